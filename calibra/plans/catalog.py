@@ -1,0 +1,59 @@
+"""Registry of named queries: Spark DataFrames and their DuckDB oracles.
+
+Every query reads the driver tables (through the fixture views) in full.
+Computed doubles are rounded to 9 digits so that two engines summing in a
+different order compare equal.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from calibra.operators import calibration as C
+from calibra.operators import scoring as S
+from calibra.plans import oracles as O
+from calibra.sources import fixtures as FX
+
+R = O.R
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return fn
+    return deco
+
+
+def rounded(df: DataFrame, digits: int = R) -> DataFrame:
+    """Round every double column (two engines sum in different orders)."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.response_features(FX.responses(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Minimum slice
+# ---------------------------------------------------------------------------
+
+@register("overall_by_model", O.with_ctes(f"""
+SELECT model_id, count(*) AS n,
+  {O.rnd('avg(correct)')} AS accuracy,
+  {O.rnd('avg(confidence_norm)')} AS mean_confidence,
+  {O.rnd('avg(confidence_norm) - avg(correct)')} AS overconfidence_gap,
+  {O.rnd(O.ece_sql())} AS ece,
+  {O.rnd('stddev_samp(CAST(confidence AS DOUBLE))')} AS conf_sd,
+  {O.rnd('avg(CASE WHEN confidence >= 95 THEN 1.0 ELSE 0.0 END)')} AS pct_conf_ge_95
+FROM feat GROUP BY model_id
+""", "f1"))
+def q_overall_by_model(spark, sf_dir):
+    return rounded(C.overall_by_model(feat(spark, sf_dir), FX.FIXTURE_MODELS))
