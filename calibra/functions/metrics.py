@@ -40,15 +40,17 @@ def _c(x) -> Column:
 def bin_index(score, n_bins: int = N_BINS) -> Column:
     """0-based bin of a score; bins are [lo, hi) except the last, [lo, 1].
 
+    Counted as the number of inner edges at or below the score, which is the
+    same bin as the interval test and keeps the generated code small.
     Scores outside [0, 1], NaN and NULL get NULL (not binned).
     """
     s = _c(score)
     e = bin_edges(n_bins)
-    expr = F.when((s >= F.lit(e[0])) & (s < F.lit(e[1])), F.lit(0))
-    for b in range(1, n_bins - 1):
-        expr = expr.when((s >= F.lit(e[b])) & (s < F.lit(e[b + 1])), F.lit(b))
-    expr = expr.when((s >= F.lit(e[n_bins - 1])) & (s <= F.lit(e[n_bins])), F.lit(n_bins - 1))
-    return expr
+    count = None
+    for b in range(1, n_bins):
+        term = (s >= F.lit(e[b])).cast("int")
+        count = term if count is None else count + term
+    return F.when((s >= F.lit(e[0])) & (s <= F.lit(e[n_bins])), count)
 
 
 def bin_bound(index, which: str = "lo", n_bins: int = N_BINS) -> Column:
@@ -116,3 +118,17 @@ def hard_minus_easy(score, correct, difficulty, weight=None) -> Column:
     d = _c(difficulty)
     return (conditional_gap(score, correct, d == "hard", weight)
             - conditional_gap(score, correct, d == "easy", weight))
+
+
+def drop_null_groups(agg, key_cols: list[str], count_col: str):
+    """Drop groups whose key has a NULL, *after* an aggregation.
+
+    The predicate also reads the aggregated count so that Catalyst cannot
+    push it below the aggregate (a pushed key filter would re-evaluate the
+    key expression, e.g. a parsed score, once more per input row).
+    """
+    any_null = None
+    for k in key_cols:
+        cond = F.col(k).isNull()
+        any_null = cond if any_null is None else (any_null | cond)
+    return agg.filter(F.col(count_col) > F.when(any_null, F.col(count_col)).otherwise(F.lit(0)))

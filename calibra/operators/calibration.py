@@ -102,11 +102,15 @@ def reliability_bins(feat: DataFrame, score: str = SCORE, n_bins: int = N_BINS)
     per model and task, so the shuffle is tiny whatever the row count.
     """
     b = M.bin_index(F.col(score).cast("double"), n_bins)
-    binned = feat.withColumn("bin", b).filter(F.col("bin").isNotNull())
-    out = binned.groupBy("model_id", "bin").agg(
+    # Unbinned rows form a NULL group that is dropped after the aggregation.
+    # The predicate reads the aggregated count on purpose: a predicate on the
+    # grouping key alone would be pushed below the aggregate and the parse
+    # projection, re-evaluating the whole score expression per row.
+    out = feat.groupBy("model_id", b.alias("bin")).agg(
         F.avg(F.col(CORRECT)).alias("accuracy"),
         F.avg(F.col(score).cast("double")).alias("confidence"),
         F.count(F.lit(1)).alias("count"))
+    out = M.drop_null_groups(out, ["bin"], "count")
     lo, hi = M.bin_bound(F.col("bin"), "lo", n_bins), M.bin_bound(F.col("bin"), "hi", n_bins)
     return out.select("model_id", F.col("bin").cast("int").alias("bin"),
                       lo.alias("bin_lo"), hi.alias("bin_hi"), ((lo + hi) / 2).alias("bin_center"),

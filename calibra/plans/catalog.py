@@ -57,3 +57,455 @@ FROM feat GROUP BY model_id
 """, "f1"))
 def q_overall_by_model(spark, sf_dir):
     return rounded(C.overall_by_model(feat(spark, sf_dir), FX.FIXTURE_MODELS))
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FX.responses(spark, sf_dir)
+
+
+_CORE_SQL = f"""count(*) AS n,
+  {O.rnd('avg(correct)')} AS accuracy,
+  {O.rnd('avg(confidence_norm)')} AS mean_confidence,
+  {O.rnd('avg(confidence_norm) - avg(correct)')} AS overconfidence_gap,
+  {O.rnd(O.ece_sql())} AS ece"""
+
+
+# ---------------------------------------------------------------------------
+# Grouped calibration tables
+# ---------------------------------------------------------------------------
+
+@register("parse_rates", O.with_ctes(f"""
+SELECT model_id, count(*) AS n, {O.rnd('avg(CAST(parse_ok AS DOUBLE))')} AS parse_ok_rate
+FROM responses GROUP BY model_id""", "f1"))
+def q_parse_rates(spark, sf_dir):
+    return rounded(C.parse_rates(raw(spark, sf_dir), FX.FIXTURE_MODELS))
+
+
+@register("summary_by_difficulty", O.with_ctes(f"""
+SELECT model_id, difficulty, {_CORE_SQL}
+FROM feat GROUP BY model_id, difficulty""", "f1"))
+def q_summary_by_difficulty(spark, sf_dir):
+    return rounded(C.summary_by_difficulty(feat(spark, sf_dir), FX.FIXTURE_MODELS))
+
+
+@register("ece_by_model", O.with_ctes(f"""
+SELECT model_id, count(*) AS n, {O.rnd(O.ece_sql())} AS ece FROM feat GROUP BY model_id""", "f1"))
+def q_ece_by_model(spark, sf_dir):
+    return rounded(C.ece_by_model(feat(spark, sf_dir)))
+
+
+@register("reliability_bins", O.with_ctes(f"""
+SELECT model_id, bin,
+  {O.rnd(f'list_extract({O.edge_list()}, bin + 1)')} AS bin_lo,
+  {O.rnd(f'list_extract({O.edge_list()}, bin + 2)')} AS bin_hi,
+  {O.rnd(f'(list_extract({O.edge_list()}, bin + 1) + list_extract({O.edge_list()}, bin + 2)) / 2')} AS bin_center,
+  {O.rnd('avg(correct)')} AS accuracy, {O.rnd('avg(confidence_norm)')} AS confidence,
+  count(*) AS count
+FROM (SELECT *, {O.bin_case('confidence_norm')} AS bin FROM feat) b
+WHERE bin IS NOT NULL GROUP BY model_id, bin""", "f1"))
+def q_reliability_bins(spark, sf_dir):
+    return rounded(C.reliability_bins(feat(spark, sf_dir)))
+
+
+@register("ece_by_domain", O.with_ctes(f"""
+SELECT model_id, domain, {O.rnd(O.ece_sql())} AS ece, count(*) AS n
+FROM feat GROUP BY model_id, domain""", "f1"))
+def q_ece_by_domain(spark, sf_dir):
+    return rounded(C.ece_by_domain(feat(spark, sf_dir)))
+
+
+_USABLE = "internal_prob_answer IS NOT NULL"
+_VVI_SQL = f"""
+SELECT model_id,
+  CASE WHEN n_raw >= 30 THEN n_usable ELSE n_raw END AS n_with_internal,
+  CASE WHEN n_raw < 30 THEN 'insufficient / unavailable internal probs' END AS note,
+  CASE WHEN n_raw >= 30 THEN {O.rnd('r')} END AS pearson_r_verbal_internal,
+  CASE WHEN n_raw >= 30 THEN {O.rnd('ece_v')} END AS ece_verbal,
+  CASE WHEN n_raw >= 30 THEN {O.rnd('ece_i')} END AS ece_internal
+FROM (
+  SELECT model_id,
+    count(internal_prob_answer) AS n_raw,
+    count(CAST(internal_prob_answer AS DOUBLE)) AS n_usable,
+    corr(CASE WHEN {_USABLE} THEN confidence_norm END, internal_prob_answer) AS r,
+    {O.ece_sql(f'(CASE WHEN {_USABLE} THEN confidence_norm END)', 'correct',
+               f'(CASE WHEN {_USABLE} THEN 1.0 ELSE 0.0 END)')} AS ece_v,
+    {O.ece_sql('internal_prob_answer', 'correct', f'(CASE WHEN {_USABLE} THEN 1.0 ELSE 0.0 END)')} AS ece_i
+  FROM feat GROUP BY model_id) g"""
+
+
+@register("verbal_vs_internal", O.with_ctes(_VVI_SQL, "f1"))
+def q_verbal_vs_internal(spark, sf_dir):
+    return rounded(C.verbal_vs_internal(feat(spark, sf_dir)))
+
+
+@register("hard_minus_easy", O.with_ctes(f"""
+SELECT model_id, {O.rnd('easy_gap')} AS easy_gap, {O.rnd('hard_gap')} AS hard_gap,
+  {O.rnd('hard_gap - easy_gap')} AS hard_minus_easy_gap,
+  CASE WHEN hard_gap - easy_gap IS NULL THEN 'INCOMPLETE' WHEN hard_gap - easy_gap > 0 THEN 'YES' ELSE 'NO' END
+    AS hard_gt_easy
+FROM (SELECT model_id,
+  avg(CASE WHEN difficulty = 'easy' THEN confidence_norm END) - avg(CASE WHEN difficulty = 'easy' THEN correct END) AS easy_gap,
+  avg(CASE WHEN difficulty = 'hard' THEN confidence_norm END) - avg(CASE WHEN difficulty = 'hard' THEN correct END) AS hard_gap
+  FROM feat GROUP BY model_id) g""", "f1"))
+def q_hard_minus_easy(spark, sf_dir):
+    return rounded(C.hard_minus_easy(feat(spark, sf_dir)))
+
+
+@register("robustness_slices", O.with_ctes(f"""
+SELECT bank, model_id, {_CORE_SQL} FROM (
+  SELECT 'original_180' AS bank, * FROM feat WHERE bank_source = 'original_180'
+  UNION ALL SELECT 'full_540' AS bank, * FROM feat) s
+GROUP BY bank, model_id""", "f1"))
+def q_robustness_slices(spark, sf_dir):
+    return rounded(C.robustness_slices(feat(spark, sf_dir)))
+
+
+_DISP_SQL = f"""count(*) AS n,
+  {O.rnd('avg(CAST(confidence AS DOUBLE))')} AS mean_confidence_0_100,
+  {O.rnd('stddev_samp(CAST(confidence AS DOUBLE))')} AS sd_confidence,
+  {O.rnd('avg(CASE WHEN confidence >= 95 THEN 1.0 ELSE 0.0 END)')} AS pct_confidence_ge_95"""
+
+
+@register("confidence_dispersion", O.with_ctes(
+    f"SELECT model_id, {_DISP_SQL} FROM feat GROUP BY model_id", "f1"))
+def q_confidence_dispersion(spark, sf_dir):
+    return rounded(C.confidence_dispersion(feat(spark, sf_dir)))
+
+
+@register("confidence_dispersion_by_difficulty", O.with_ctes(
+    f"SELECT model_id, difficulty, {_DISP_SQL} FROM feat GROUP BY model_id, difficulty", "f1"))
+def q_confidence_dispersion_by_difficulty(spark, sf_dir):
+    return rounded(C.confidence_dispersion(feat(spark, sf_dir), by_difficulty=True))
+
+
+@register("verification_counts", O.with_ctes(f"""
+SELECT model_id, difficulty, count(*) AS n_rows,
+  count(CASE WHEN parse_ok AND confidence IS NOT NULL THEN 1 END) AS n_analyzed,
+  {O.rnd('avg(CAST(parse_ok AS DOUBLE))')} AS parse_ok_rate,
+  {O.rnd('avg(CASE WHEN parse_ok AND confidence IS NOT NULL THEN CAST(is_correct AS DOUBLE) END)')} AS accuracy,
+  {O.rnd('avg(CASE WHEN parse_ok AND confidence IS NOT NULL THEN CAST(confidence AS DOUBLE) END)')}
+    AS mean_confidence_0_100
+FROM responses GROUP BY model_id, difficulty""", "f1"))
+def q_verification_counts(spark, sf_dir):
+    return rounded(C.verification_counts(raw(spark, sf_dir)))
+
+
+@register("capability_vs_ece", O.with_ctes(f"""
+SELECT model_id, {O.rnd('avg(correct)')} AS accuracy, {O.rnd(O.ece_sql())} AS ece
+FROM feat GROUP BY model_id""", "f1"))
+def q_capability_vs_ece(spark, sf_dir):
+    return rounded(C.capability_vs_ece(feat(spark, sf_dir)))
+
+
+@register("ece_heatmap", O.with_ctes(f"""
+SELECT model_id,
+  {O.rnd("max(CASE WHEN domain = 'STEM' THEN ece END)")} AS "STEM",
+  {O.rnd("max(CASE WHEN domain = 'Social_Science' THEN ece END)")} AS "Social_Science",
+  {O.rnd("max(CASE WHEN domain = 'Humanities' THEN ece END)")} AS "Humanities"
+FROM (SELECT model_id, domain, {O.ece_sql()} AS ece FROM feat GROUP BY model_id, domain) c
+GROUP BY model_id""", "f1"))
+def q_ece_heatmap(spark, sf_dir):
+    return rounded(C.ece_heatmap(feat(spark, sf_dir)))
+
+
+def _pivot_cols(metric_sql: dict[str, str]) -> str:
+    cols = []
+    for d in ["easy", "medium", "hard"]:
+        for name, expr in metric_sql.items():
+            cols.append(f"{O.rnd(f'max(CASE WHEN difficulty = {chr(39)}{d}{chr(39)} THEN {expr} END)')} AS {d}_{name}")
+    return ",\n  ".join(cols)
+
+
+@register("difficulty_pivots", O.with_ctes(f"""
+SELECT model_id,
+  {_pivot_cols({'accuracy': 'acc', 'confidence': 'conf', 'gap': 'gap'})}
+FROM (SELECT model_id, difficulty, avg(correct) AS acc, avg(CAST(confidence AS DOUBLE)) AS conf,
+        avg(confidence_norm) - avg(correct) AS gap FROM feat GROUP BY model_id, difficulty) c
+GROUP BY model_id""", "f1"))
+def q_difficulty_pivots(spark, sf_dir):
+    return rounded(C.difficulty_pivots(feat(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Row-level operators
+# ---------------------------------------------------------------------------
+
+_KEYS = ["model_id", "question_id", "trial_index"]
+
+
+@register("parse_responses", O.with_ctes("""
+SELECT model_id, question_id, trial_index, predicted_letter, confidence, parse_ok FROM responses""", "f1"))
+def q_parse_responses(spark, sf_dir):
+    r = S.parse_responses(FX.raw_responses(spark, sf_dir))
+    return r.select(*_KEYS, "predicted_letter", "confidence", "parse_ok")
+
+
+@register("score_responses", O.with_ctes("""
+SELECT model_id, question_id, trial_index, answer_index, predicted_letter, is_correct, parse_ok
+FROM responses""", "f1"))
+def q_score_responses(spark, sf_dir):
+    return raw(spark, sf_dir).select(*_KEYS, "answer_index", "predicted_letter", "is_correct", "parse_ok")
+
+
+@register("response_features", O.with_ctes(f"""
+SELECT model_id, question_id, trial_index, {O.rnd('confidence_norm')} AS confidence_norm,
+  difficulty_numeric, {O.rnd('correct')} AS correct, {O.rnd('overconfidence_gap_row')} AS overconfidence_gap_row
+FROM feat""", "f1"))
+def q_response_features(spark, sf_dir):
+    return rounded(feat(spark, sf_dir).select(
+        *_KEYS, "confidence_norm", "difficulty_numeric", "correct", "overconfidence_gap_row"))
+
+
+@register("primary_models", O.with_ctes("""
+SELECT model_id, question_id, trial_index,
+  CAST(CASE model_id WHEN 'R' THEN 1 WHEN 'A' THEN 2 END AS INTEGER) AS model_ord
+FROM responses WHERE model_id IN ('R', 'A')""", "f1"))
+def q_primary_models(spark, sf_dir):
+    return S.primary_models(raw(spark, sf_dir), ["R", "A"]).select(*_KEYS, "model_ord")
+
+
+@register("drop_model", O.with_ctes("""
+SELECT model_id, question_id, trial_index, parse_ok FROM responses
+WHERE model_id IS DISTINCT FROM 'N'""", "f1"))
+def q_drop_model(spark, sf_dir):
+    return S.drop_model(raw(spark, sf_dir), "N").select(*_KEYS, "parse_ok")
+
+
+@register("slim_export", O.with_ctes("""
+SELECT * EXCLUDE (raw_response, error) FROM responses""", "f1"))
+def q_slim_export(spark, sf_dir):
+    return S.slim_export(raw(spark, sf_dir))
+
+
+@register("truthy_flags", """
+SELECT flag_text, coalesce(lower(flag_text) IN ('1', 'true', 'yes'), false) AS flag, count(*) AS n
+FROM (SELECT CASE l_linenumber WHEN 1 THEN '1' WHEN 2 THEN 'TRUE' WHEN 3 THEN 'Yes' WHEN 4 THEN 'no'
+             WHEN 5 THEN 'False' WHEN 6 THEN '0' END AS flag_text FROM lineitem) t
+GROUP BY flag_text""")
+def q_truthy_flags(spark, sf_dir):
+    from calibra.functions import parsing as P
+    li = FX.table(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber")
+    txt = (F.when(ln == 1, "1").when(ln == 2, "TRUE").when(ln == 3, "Yes").when(ln == 4, "no")
+           .when(ln == 5, "False").when(ln == 6, "0"))
+    t = li.select(txt.alias("flag_text"))
+    return t.groupBy("flag_text", P.truthy("flag_text").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("numeric_coerce", O.with_ctes(r"""
+SELECT conf_text, TRY_CAST(trim(conf_text) AS DOUBLE) AS value, count(*) AS n
+FROM (SELECT regexp_extract(raw_response, '(?i)CONFIDENCE:\s*(\S*)', 1) AS conf_text FROM raw_responses) t
+GROUP BY conf_text""", "f1_raw"))
+def q_numeric_coerce(spark, sf_dir):
+    from calibra.functions import parsing as P
+    t = FX.raw_responses(spark, sf_dir).select(
+        F.regexp_extract("raw_response", r"(?i)CONFIDENCE:\s*(\S*)", 1).alias("conf_text"))
+    return t.groupBy("conf_text", P.numeric("conf_text").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("final_letter", O.with_ctes(f"""
+SELECT model_id, question_id, trial_index, {O.FINAL_LETTER_SQL.format(t='freeform_reply')} AS final_letter
+FROM freeform""", "freeform"))
+def q_final_letter(spark, sf_dir):
+    from calibra.functions import parsing as P
+    return FX.freeform_replies(spark, sf_dir).select(
+        *_KEYS, P.final_letter("freeform_reply").alias("final_letter"))
+
+
+@register("run_metadata", O.with_ctes(f"""
+SELECT count(*) AS n_raw,
+  count(CASE WHEN parse_ok AND confidence IS NOT NULL THEN 1 END) AS n_analyzed,
+  count(DISTINCT model_id) AS n_models,
+  array_to_string(list_sort(list(DISTINCT model_id)), ',') AS models,
+  CAST(max(trial_index) + 1 AS INTEGER) AS trials_per_question,
+  max(temperature) AS temperature,
+  max(max_output_tokens) AS max_output_tokens,
+  2000 AS n_bootstrap
+FROM responses""", "f1"))
+def q_run_metadata(spark, sf_dir):
+    from calibra.sources.sinks import run_metadata
+    return run_metadata(raw(spark, sf_dir), n_bootstrap=2000)
+
+
+# ---------------------------------------------------------------------------
+# Inference
+# ---------------------------------------------------------------------------
+
+from calibra.operators import inference as INF  # noqa: E402
+
+
+@register("difficulty_regression", O.with_ctes(f"""
+SELECT model_id, regr_count(overconfidence_gap_row, difficulty_numeric) AS n,
+  {O.rnd('regr_slope(overconfidence_gap_row, difficulty_numeric)')} AS slope,
+  {O.rnd('''sqrt(greatest(regr_syy(overconfidence_gap_row, difficulty_numeric)
+      - regr_slope(overconfidence_gap_row, difficulty_numeric) * regr_sxy(overconfidence_gap_row, difficulty_numeric), 0)
+      / (regr_count(overconfidence_gap_row, difficulty_numeric) - 2)
+      / regr_sxx(overconfidence_gap_row, difficulty_numeric))''')} AS se,
+  {O.rnd('regr_r2(overconfidence_gap_row, difficulty_numeric)')} AS r_squared
+FROM feat GROUP BY model_id""", "f1"))
+def q_difficulty_regression(spark, sf_dir):
+    return rounded(INF.regression_sums(feat(spark, sf_dir)))
+
+
+@register("difficulty_regression_tests")
+def q_difficulty_regression_tests(spark, sf_dir):
+    """Full regression table: OLS with t-based CI and p, Spearman with p,
+    hard-minus-easy gap (p-values via t tails on one row per model)."""
+    f = feat(spark, sf_dir)
+    reg = INF.difficulty_regression(f)
+    sp = INF.spearman_with_p(f).drop("n")
+    hme = C.hard_minus_easy(f).select("model_id", "hard_minus_easy_gap")
+    return rounded(reg.join(sp, "model_id").join(hme, "model_id"))
+
+
+_MIDRANK = "(rank() OVER (PARTITION BY model_id ORDER BY {c}) + (count(*) OVER (PARTITION BY model_id, {c}) - 1) / 2.0)"
+
+
+@register("spearman_gap_difficulty", O.with_ctes(f"""
+SELECT model_id, count(*) AS n,
+  {O.rnd('CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END')} AS spearman_rho
+FROM (SELECT model_id, {_MIDRANK.format(c='difficulty_numeric')} AS rx,
+             {_MIDRANK.format(c='overconfidence_gap_row')} AS ry FROM feat) r
+GROUP BY model_id""", "f1"))
+def q_spearman_gap_difficulty(spark, sf_dir):
+    return rounded(INF.spearman(feat(spark, sf_dir)))
+
+
+@register("verbal_vs_internal_tests")
+def q_verbal_vs_internal_tests(spark, sf_dir):
+    """A7 with Pearson's p (t tail on one row per model)."""
+    f = feat(spark, sf_dir)
+    v = C.verbal_vs_internal(f)
+    v = INF.add_correlation_p(v, "pearson_r_verbal_internal", "n_with_internal", out="pearson_p")
+    return rounded(v)
+
+
+_CHI2_SQL = """
+cells AS (SELECT {keys}, CAST(parse_ok AS VARCHAR) AS parsed, difficulty, count(*)::DOUBLE AS o
+          FROM responses GROUP BY ALL),
+full_t AS (
+  SELECT r.*, d.difficulty, coalesce(c.o, 0.0) AS o
+  FROM (SELECT DISTINCT {keys}, CAST(parse_ok AS VARCHAR) AS parsed FROM responses) r
+  JOIN (SELECT DISTINCT {keys}, difficulty FROM responses) d USING ({keys})
+  LEFT JOIN cells c USING ({keys}, parsed, difficulty)),
+marg AS (
+  SELECT *, sum(o) OVER (PARTITION BY {keys}, parsed) AS rt, sum(o) OVER (PARTITION BY {keys}, difficulty) AS ct,
+         sum(o) OVER (PARTITION BY {keys}) AS nt FROM full_t),
+chi AS (
+  SELECT {keys}, CAST(sum(o) AS BIGINT) AS n,
+    CASE WHEN count(CASE WHEN rt * ct / nt <= 0 THEN 1 END) = 0
+         THEN sum((o - rt * ct / nt) * (o - rt * ct / nt) / (rt * ct / nt)) END AS chi2,
+    CAST((count(DISTINCT parsed) - 1) * (count(DISTINCT difficulty) - 1) AS INTEGER) AS dof
+  FROM marg GROUP BY {keys})"""
+
+
+def _chi2_sql(keys: str) -> str:
+    return _CHI2_SQL.format(keys=keys)
+
+
+@register("parse_missingness_chi2", O.with_ctes(f""",
+{_chi2_sql('model_id').strip()}
+SELECT model_id, n, {O.rnd('chi2')} AS chi2, dof,
+  {O.rnd('CASE WHEN chi2 IS NOT NULL THEN exp(-chi2 / 2) END')} AS p_value
+FROM chi""".replace("\n,\n", "", 1), "f1").replace(")\n,", "),", 1))
+def q_parse_missingness_chi2(spark, sf_dir):
+    return rounded(INF.parse_missingness_chi2(raw(spark, sf_dir)))
+
+
+def holm_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named p-values derived from the data: parse-failure x difficulty
+    independence per model x domain (chi-square, 2 degrees of freedom)."""
+    r = raw(spark, sf_dir)
+    t = INF.parse_missingness_chi2(r, keys=("model_id", "domain"))
+    model_ord = F.when(F.col("model_id") == "R", 1).when(F.col("model_id") == "A", 2).otherwise(3)
+    dom_ord = F.when(F.col("domain") == "STEM", 1).when(F.col("domain") == "Social_Science", 2).otherwise(3)
+    return t.select(F.concat_ws("_", "model_id", "domain").alias("test"),
+                    F.col("p_value").alias("p_raw"), (model_ord * 10 + dom_ord).alias("input_ord"))
+
+
+@register("holm_correction", O.with_ctes(f""",
+{_chi2_sql('model_id, domain').strip()},
+pv AS (SELECT model_id || '_' || domain AS test,
+         CASE WHEN chi2 IS NOT NULL THEN exp(-chi2 / 2) END AS p_raw,
+         (CASE model_id WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) * 10
+         + (CASE domain WHEN 'STEM' THEN 1 WHEN 'Social_Science' THEN 2 ELSE 3 END) AS input_ord
+       FROM chi),
+rk AS (SELECT *, CAST(row_number() OVER (ORDER BY coalesce(p_raw, 1.0), input_ord, test) AS INTEGER) AS rank,
+              count(*) OVER () AS m FROM pv)
+SELECT test, {O.rnd('p_raw')} AS p_raw,
+  {O.rnd('CASE WHEN p_raw IS NOT NULL THEN max(least(1.0, p_raw * (m - rank + 1))) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END')} AS p_holm,
+  rank
+FROM rk""".replace("\n,\n", "", 1), "f1").replace(")\n,", "),", 1))
+def q_holm_correction(spark, sf_dir):
+    return rounded(INF.holm(holm_input(spark, sf_dir)))
+
+
+N_BOOT_POISSON = 200
+_W_THRESH = INF.poisson1_thresholds()
+_W_SQL = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in _W_THRESH)
+
+
+def _poisson_sql(n_boot: int) -> str:
+    ece_w = O.ece_sql("confidence_norm", "correct", "w")
+    hme = ("(sum(CASE WHEN difficulty = 'hard' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'hard' THEN w END)"
+           " - sum(CASE WHEN difficulty = 'hard' THEN w * correct END) / sum(CASE WHEN difficulty = 'hard' THEN w END))"
+           " - (sum(CASE WHEN difficulty = 'easy' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'easy' THEN w END)"
+           " - sum(CASE WHEN difficulty = 'easy' THEN w * correct END) / sum(CASE WHEN difficulty = 'easy' THEN w END))")
+    return f""",
+reps AS (
+  SELECT f.*, r.replicate,
+    ('0x' || substr(md5('42|' || CAST(r.replicate AS VARCHAR) || '|' || model_id || '|' || question_id || '|'
+      || CAST(trial_index AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM feat f, (SELECT CAST(range AS INTEGER) AS replicate FROM range({n_boot})) r),
+wrep AS (SELECT *, {_W_SQL} AS w FROM reps),
+rm AS (
+  SELECT model_id, replicate,
+    sum(w * correct) / sum(w) AS accuracy,
+    sum(w * confidence_norm) / sum(w) - sum(w * correct) / sum(w) AS overconfidence_gap,
+    {ece_w} AS ece,
+    {hme} AS hard_minus_easy_gap
+  FROM wrep WHERE w > 0 GROUP BY model_id, replicate),
+lng AS (
+  SELECT model_id, 'accuracy' AS metric, accuracy AS value FROM rm
+  UNION ALL SELECT model_id, 'overconfidence_gap', overconfidence_gap FROM rm
+  UNION ALL SELECT model_id, 'ece', ece FROM rm
+  UNION ALL SELECT model_id, 'hard_minus_easy_gap', hard_minus_easy_gap FROM rm),
+ci AS (
+  SELECT model_id, metric, quantile_cont(value, 0.025) AS ci_lo, quantile_cont(value, 0.975) AS ci_hi,
+    avg(CASE WHEN metric = 'hard_minus_easy_gap' THEN coalesce(CAST(value <= 0 AS DOUBLE), 0.0) END) AS p_le_0
+  FROM lng GROUP BY model_id, metric),
+pts AS (
+  SELECT model_id, avg(correct) AS accuracy, avg(confidence_norm) - avg(correct) AS overconfidence_gap,
+    {O.ece_sql()} AS ece,
+    (avg(CASE WHEN difficulty = 'hard' THEN confidence_norm END) - avg(CASE WHEN difficulty = 'hard' THEN correct END))
+    - (avg(CASE WHEN difficulty = 'easy' THEN confidence_norm END) - avg(CASE WHEN difficulty = 'easy' THEN correct END))
+      AS hard_minus_easy_gap
+  FROM feat GROUP BY model_id),
+plong AS (
+  SELECT model_id, 'accuracy' AS metric, accuracy AS point FROM pts
+  UNION ALL SELECT model_id, 'overconfidence_gap', overconfidence_gap FROM pts
+  UNION ALL SELECT model_id, 'ece', ece FROM pts
+  UNION ALL SELECT model_id, 'hard_minus_easy_gap', hard_minus_easy_gap FROM pts)"""
+
+
+@register("bootstrap_ci_poisson", O.with_ctes(_poisson_sql(N_BOOT_POISSON) + f"""
+SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi,
+  {O.rnd('p_le_0')} AS p_le_0
+FROM plong JOIN ci USING (model_id, metric)""", "f1").replace(")\n,", "),", 1))
+def q_bootstrap_ci_poisson(spark, sf_dir):
+    return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON))
+
+
+@register("hard_gt_easy_boot_p", O.with_ctes(_poisson_sql(N_BOOT_POISSON) + f"""
+SELECT model_id, {O.rnd('p_le_0')} AS hard_gt_easy_p_boot FROM ci WHERE metric = 'hard_minus_easy_gap'
+""", "f1").replace(")\n,", "),", 1))
+def q_hard_gt_easy_boot_p(spark, sf_dir):
+    b = INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON)
+    return rounded(b.filter(F.col("metric") == "hard_minus_easy_gap")
+                   .select("model_id", F.col("p_le_0").alias("hard_gt_easy_p_boot")))
+
+
+@register("bootstrap_ci")
+def q_bootstrap_ci(spark, sf_dir):
+    """I4(b): 2000-replicate multinomial bootstrap over compressed cells."""
+    return rounded(INF.bootstrap_cells(feat(spark, sf_dir), n_boot=2000))

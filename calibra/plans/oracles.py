@@ -145,3 +145,26 @@ def ece_sql(score: str = "confidence_norm", correct: str = "correct", weight: st
 
 def rnd(expr: str, digits: int = R) -> str:
     return f"round({expr}, {digits})"
+
+_FREEFORM = r"""
+freeform AS (
+  SELECT model_id, question_id, trial_index, difficulty, correct_letter, answer_index, raw_response,
+    CASE
+      WHEN l_linenumber = 1 THEN 'Reasoning about option ' || x || '.' || chr(10) || 'FINAL_ANSWER: ' || x
+      WHEN l_linenumber = 2 THEN 'final_answer: ' || lower(x)
+      WHEN l_linenumber = 3 THEN 'I think it is a tough one; my pick is ' || x || '.'
+      WHEN l_linenumber = 4 THEN 'It is a hard question.'
+      WHEN l_linenumber = 5 THEN 'No idea.'
+      WHEN l_linenumber = 6 THEN 'FINAL_ANSWER: ' || x || chr(10) || 'Actually maybe B'
+      ELSE 'FINAL_ANSWER:' || lower(x)
+    END AS freeform_reply
+  FROM (SELECT *, coalesce(nullif(upper(regexp_extract(raw_response, '(?i)ANSWER:\s*([A-D])', 1)), ''), 'B') AS x
+        FROM raw_responses)
+)"""
+
+CTES["freeform"] = _FREEFORM
+ORDER.append("freeform")
+DEPS["freeform"] = ["f1_raw"]
+
+FINAL_LETTER_SQL = (r"coalesce(nullif(upper(regexp_extract({t}, 'FINAL_ANSWER:\s*([A-Da-d])', 1)), ''), "
+                    r"list_extract(regexp_extract_all(upper({t}), '\b([A-D])\b', 1), -1))")

@@ -226,3 +226,27 @@ def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return r.select("model_id", "question_id", "trial_index",
                     letter.alias("predicted_letter"), arr.alias("tokens"))
+
+
+def freeform_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-form (unconstrained) replies for the same cells as F1.
+
+    By line number: 1 labelled answer, 2 lower-case label (fallback search),
+    3 prose ending in the letter, 4 only the article "a", 5 no letter,
+    6 label then a later letter, 7 label with a lower-case letter.
+    """
+    r = raw_responses(spark, sf_dir)
+    sent = parsing.answer_letter("raw_response")
+    x = F.coalesce(sent, F.lit("B"))
+    ln = F.col("l_linenumber")
+    text = (
+        F.when(ln == 1, F.concat(F.lit("Reasoning about option "), x, F.lit(".\nFINAL_ANSWER: "), x))
+        .when(ln == 2, F.concat(F.lit("final_answer: "), F.lower(x)))
+        .when(ln == 3, F.concat(F.lit("I think it is a tough one; my pick is "), x, F.lit(".")))
+        .when(ln == 4, F.lit("It is a hard question."))
+        .when(ln == 5, F.lit("No idea."))
+        .when(ln == 6, F.concat(F.lit("FINAL_ANSWER: "), x, F.lit("\nActually maybe B")))
+        .otherwise(F.concat(F.lit("FINAL_ANSWER:"), F.lower(x)))
+    )
+    return r.select("model_id", "question_id", "trial_index", "difficulty", "correct_letter",
+                    "answer_index", "raw_response", text.alias("freeform_reply"))
