@@ -67,18 +67,20 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_partkey") + 1 + F.col("l_suppkey") % 3) % 4).cast("int"))
     letter = _letter(sent)
     conf = (F.col("l_quantity") * 2).cast("int").cast("string")
-    nl = F.lit("\n")
     low_tax = F.col("l_tax") < 0.015
     ln = F.col("l_linenumber")
-    reply = (
-        F.when(ln == 2, F.concat(F.lit("answer:"), F.lower(letter), F.lit(" confidence:"), conf))
-        .when(ln == 3, F.concat(F.lit(PROSE_PREFIX), nl, nl, F.lit("ANSWER: "), letter, nl,
-                                F.lit("CONFIDENCE: "), conf, F.lit("%")))
-        .when(low_tax & (ln == 5), F.lit(REFUSAL_TEXT))
-        .when(low_tax & (ln == 6), F.concat(F.lit("ANSWER: "), letter, nl, F.lit("CONFIDENCE: 150")))
-        .when(low_tax & (ln == 7), F.concat(F.lit("ANSWER: "), letter, nl, F.lit("CONFIDENCE: 1000")))
-        .otherwise(F.concat(F.lit("ANSWER: "), letter, nl, F.lit("CONFIDENCE: "), conf))
-    )
+    # The reply is assembled from small parts so the letter expression occurs
+    # once (the parse later references the reply several times).
+    refusal = low_tax & (ln == 5)
+    prefix = (F.when(refusal, F.lit(REFUSAL_TEXT)).when(ln == 2, F.lit("answer:"))
+              .when(ln == 3, F.lit(PROSE_PREFIX + "\n\nANSWER: ")).otherwise(F.lit("ANSWER: ")))
+    letter_part = F.when(refusal, F.lit("")).when(ln == 2, F.lower(letter)).otherwise(letter)
+    mid = (F.when(refusal, F.lit("")).when(ln == 2, F.lit(" confidence:"))
+           .otherwise(F.lit("\nCONFIDENCE: ")))
+    conf_part = (F.when(refusal, F.lit("")).when(low_tax & (ln == 6), F.lit("150"))
+                 .when(low_tax & (ln == 7), F.lit("1000")).otherwise(conf))
+    suffix = F.when(ln == 3, F.lit("%")).otherwise(F.lit(""))
+    reply = F.concat(prefix, letter_part, mid, conf_part, suffix)
     top_tax = F.col("l_tax") == 0.08
     model = F.col("l_returnflag")
     return j.select(
