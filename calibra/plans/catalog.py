@@ -509,3 +509,199 @@ def q_hard_gt_easy_boot_p(spark, sf_dir):
 def q_bootstrap_ci(spark, sf_dir):
     """I4(b): 2000-replicate multinomial bootstrap over compressed cells."""
     return rounded(INF.bootstrap_cells(feat(spark, sf_dir), n_boot=2000))
+
+
+# ---------------------------------------------------------------------------
+# Question bank
+# ---------------------------------------------------------------------------
+
+from calibra.operators import bank as B  # noqa: E402
+
+PER_CELL, SUPP_SEED = 40, 43
+
+
+def classified(spark, sf_dir):
+    return B.classify_pool(FX.pool(spark, sf_dir))
+
+
+def original(spark, sf_dir):
+    return FX.original_bank(spark, sf_dir)
+
+
+def supplement(spark, sf_dir):
+    return B.build_supplement(FX.pool(spark, sf_dir), original(spark, sf_dir), PER_CELL, SUPP_SEED)
+
+
+def bank_full(spark, sf_dir):
+    return B.full_bank(original(spark, sf_dir), supplement(spark, sf_dir))
+
+
+@register("classify_pool", O.with_ctes("""
+SELECT doc_id, subject, domain, difficulty FROM classified_pool""", "f4"))
+def q_classify_pool(spark, sf_dir):
+    return classified(spark, sf_dir).select("doc_id", "subject", "domain", "difficulty")
+
+
+@register("flatten_choices", O.with_ctes("""
+SELECT doc_id, choices[1] AS choice_A, choices[2] AS choice_B, choices[3] AS choice_C, choices[4] AS choice_D,
+  answer AS answer_index, ['A','B','C','D'][answer + 1] AS answer_letter FROM pool_base""", "f4"))
+def q_flatten_choices(spark, sf_dir):
+    base = FX._pool_base(spark, sf_dir)
+    return B.flatten_choices(base).select("doc_id", "choice_A", "choice_B", "choice_C", "choice_D",
+                                          "answer_index", "answer_letter")
+
+
+@register("content_disjoint_pool", O.with_ctes("""
+SELECT doc_id, domain, difficulty FROM disjoint_pool""", "f4"))
+def q_content_disjoint_pool(spark, sf_dir):
+    return B.content_disjoint(classified(spark, sf_dir), original(spark, sf_dir)).select(
+        "doc_id", "domain", "difficulty")
+
+
+@register("bank_overlap", O.with_ctes("""
+SELECT sha256(o.content_key) AS key_sha256, o.n_a, p.n_b FROM
+  (SELECT content_key, count(*) AS n_a FROM original GROUP BY content_key) o
+  JOIN (SELECT content_key, count(*) AS n_b FROM classified_pool GROUP BY content_key) p USING (content_key)""", "f4"))
+def q_bank_overlap(spark, sf_dir):
+    ov = B.overlap_keys(original(spark, sf_dir), classified(spark, sf_dir))
+    return ov.select(F.sha2("content_key", 256).alias("key_sha256"), "n_a", "n_b")
+
+
+@register("stratified_sample", O.with_ctes("""
+SELECT doc_id, domain, difficulty, CAST(sample_rank AS INTEGER) AS sample_rank FROM supp_sample""", "f4"))
+def q_stratified_sample(spark, sf_dir):
+    d = B.content_disjoint(classified(spark, sf_dir), original(spark, sf_dir))
+    s = B.stratified_sample(d, ["domain", "difficulty"], PER_CELL, SUPP_SEED, "doc_id")
+    return s.select("doc_id", "domain", "difficulty", "sample_rank")
+
+
+@register("sampling_shortfall", O.with_ctes(f"""
+SELECT s.domain, s.difficulty, coalesce(a.available, 0) AS available, CAST({PER_CELL} AS BIGINT) AS target,
+  least(coalesce(a.available, 0), {PER_CELL}) AS sampled,
+  CAST({PER_CELL} - least(coalesce(a.available, 0), {PER_CELL}) AS BIGINT) AS short_by,
+  CASE WHEN coalesce(a.available, 0) = 0 THEN 'EMPTY' WHEN a.available < {PER_CELL} THEN 'SHORTFALL' ELSE 'OK' END
+    AS status
+FROM (SELECT * FROM (VALUES ('STEM'), ('Social_Science'), ('Humanities')) d(domain),
+                    (VALUES ('easy'), ('medium'), ('hard')) t(difficulty)) s
+LEFT JOIN (SELECT domain, difficulty, count(*) AS available FROM disjoint_pool GROUP BY ALL) a
+  USING (domain, difficulty)""", "f4"))
+def q_sampling_shortfall(spark, sf_dir):
+    d = B.content_disjoint(classified(spark, sf_dir), original(spark, sf_dir))
+    return B.sampling_shortfall(d, PER_CELL)
+
+
+@register("bank_ids", O.with_ctes("SELECT question_id, doc_id FROM supplement", "f4"))
+def q_bank_ids(spark, sf_dir):
+    return supplement(spark, sf_dir).select("question_id", "doc_id")
+
+
+@register("full_bank", O.with_ctes("SELECT * FROM full_bank", "f4"))
+def q_full_bank(spark, sf_dir):
+    return bank_full(spark, sf_dir)
+
+
+@register("bank_coverage", O.with_ctes("""
+SELECT s.domain, s.difficulty, s.bank_source, coalesce(c.n, 0) AS n
+FROM (SELECT * FROM (VALUES ('STEM'), ('Social_Science'), ('Humanities')) d(domain),
+                    (VALUES ('easy'), ('medium'), ('hard')) t(difficulty),
+                    (VALUES ('original_180'), ('supplement_v2')) b(bank_source)) s
+LEFT JOIN (SELECT domain, difficulty, bank_source, count(*) AS n FROM full_bank GROUP BY ALL) c
+  USING (domain, difficulty, bank_source)""", "f4"))
+def q_bank_coverage(spark, sf_dir):
+    return B.bank_coverage(bank_full(spark, sf_dir), ["original_180", "supplement_v2"])
+
+
+@register("bank_grid", O.with_ctes("""
+SELECT domain, count(CASE WHEN difficulty = 'easy' THEN 1 END) AS easy,
+  count(CASE WHEN difficulty = 'medium' THEN 1 END) AS medium,
+  count(CASE WHEN difficulty = 'hard' THEN 1 END) AS hard
+FROM full_bank GROUP BY domain""", "f4"))
+def q_bank_grid(spark, sf_dir):
+    return B.bank_grid(bank_full(spark, sf_dir))
+
+
+@register("duplicate_items", O.with_ctes("""
+SELECT * FROM (
+  SELECT 'id' AS kind, CAST(doc_id AS VARCHAR) AS key, count(*) AS n, CAST(min(doc_id) AS VARCHAR) AS first_id,
+         CAST(max(doc_id) AS VARCHAR) AS last_id FROM pool_keyed GROUP BY doc_id
+  UNION ALL
+  SELECT 'content_key', sha256(content_key), count(*), CAST(min(doc_id) AS VARCHAR), CAST(max(doc_id) AS VARCHAR)
+  FROM pool_keyed GROUP BY content_key) d WHERE n > 1""", "f4"))
+def q_duplicate_items(spark, sf_dir):
+    return B.duplicate_items(B.with_content_key(FX._pool_base(spark, sf_dir)), "doc_id")
+
+
+@register("independent_items", O.with_ctes("""
+SELECT sha256(content_key) AS key_sha256, min(doc_id) AS doc_id FROM pool_keyed GROUP BY content_key""", "f4"))
+def q_independent_items(spark, sf_dir):
+    ind = B.independent_items(B.with_content_key(FX._pool_base(spark, sf_dir)), "doc_id")
+    return ind.select(F.sha2("content_key", 256).alias("key_sha256"), "doc_id")
+
+
+@register("diagnostic_sample", O.with_ctes("""
+SELECT question_id, difficulty, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('7|' || question_id), question_id) AS sample_rank
+  FROM full_bank) s
+WHERE sample_rank <= 2
+ORDER BY CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 WHEN 'hard' THEN 3 ELSE 4 END, sample_rank
+LIMIT 6""", "f4"))
+def q_diagnostic_sample(spark, sf_dir):
+    return B.diagnostic_sample(bank_full(spark, sf_dir)).select("question_id", "difficulty", "sample_rank")
+
+
+@register("spot_check", O.with_ctes("""
+SELECT question_id, domain, difficulty, subject, answer_letter FROM supplement
+ORDER BY md5('7|' || question_id), question_id LIMIT 3""", "f4"))
+def q_spot_check(spark, sf_dir):
+    return B.spot_check(supplement(spark, sf_dir)).select(
+        "question_id", "domain", "difficulty", "subject", "answer_letter")
+
+
+@register("limit_questions", O.with_ctes("""
+SELECT question_id, domain, difficulty FROM full_bank ORDER BY question_id LIMIT 10""", "f4"))
+def q_limit_questions(spark, sf_dir):
+    return B.limit_questions(bank_full(spark, sf_dir), 10).select("question_id", "domain", "difficulty")
+
+
+@register("pick_first_per_tier", O.with_ctes("""
+SELECT question_id, domain, difficulty FROM (
+  SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY question_id) AS rn FROM original
+  WHERE domain = (SELECT CASE WHEN bool_or(domain = 'STEM') THEN 'STEM' ELSE arg_min(domain, question_id) END
+                  FROM original)) s
+WHERE rn = 1""", "f4"))
+def q_pick_first_per_tier(spark, sf_dir):
+    return B.pick_first_per_tier(original(spark, sf_dir)).select("question_id", "domain", "difficulty")
+
+
+def _prompt_sql(template: str) -> str:
+    before, rest = template.split("{question}")
+    middle, after = rest.split("{choices}")
+    lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    block = ("concat_ws(chr(10), 'A. ' || choice_A, 'B. ' || choice_B, 'C. ' || choice_C, 'D. ' || choice_D)")
+    return f"{lit(before)} || question || {lit(middle)} || {block} || {lit(after)}"
+
+
+def _prompt_oracle() -> str:
+    from calibra.schemas import CONSTRAINED_PROMPT, FREEFORM_PROMPT, REPAIR_SUFFIX
+    lit = "'" + REPAIR_SUFFIX.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return O.with_ctes(f"""
+SELECT question_id, {_prompt_sql(CONSTRAINED_PROMPT)} AS prompt_constrained,
+  {_prompt_sql(FREEFORM_PROMPT)} AS prompt_freeform,
+  {_prompt_sql(CONSTRAINED_PROMPT)} || {lit} AS prompt_repair
+FROM full_bank
+WHERE choice_A IS NOT NULL AND choice_B IS NOT NULL AND choice_C IS NOT NULL AND choice_D IS NOT NULL""", "f4")
+
+
+@register("prompt_table", _prompt_oracle())
+def q_prompt_table(spark, sf_dir):
+    return B.prompt_table(bank_full(spark, sf_dir))
+
+
+@register("empirical_difficulty", O.with_ctes(f"""
+SELECT question_id, n, {O.rnd('accuracy')} AS accuracy,
+  CASE WHEN accuracy <= q1 THEN 'hard' WHEN accuracy <= q2 THEN 'medium' ELSE 'easy' END AS empirical_difficulty
+FROM (SELECT question_id, count(*) AS n, avg(correct) AS accuracy FROM feat GROUP BY question_id) i,
+     (SELECT quantile_cont(accuracy, 1.0 / 3.0) AS q1, quantile_cont(accuracy, 2.0 / 3.0) AS q2
+      FROM (SELECT question_id, avg(correct) AS accuracy FROM feat GROUP BY question_id) x) c""", "f1"))
+def q_empirical_difficulty(spark, sf_dir):
+    return rounded(B.empirical_difficulty(feat(spark, sf_dir)))

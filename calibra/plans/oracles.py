@@ -168,3 +168,65 @@ DEPS["freeform"] = ["f1_raw"]
 
 FINAL_LETTER_SQL = (r"coalesce(nullif(upper(regexp_extract({t}, 'FINAL_ANSWER:\s*([A-Da-d])', 1)), ''), "
                     r"list_extract(regexp_extract_all(upper({t}), '\b([A-D])\b', 1), -1))")
+
+
+# pool and original bank from documents --------------------------------
+
+def _f4_sql() -> str:
+    from calibra.schemas import DOMAIN_SUBJECTS, TIER_SUBJECTS
+    from calibra.sources.fixtures import POOL_SUBJECTS
+    subj_list = "[" + ", ".join(f"'{s}'" for s in POOL_SUBJECTS) + "]"
+    dom_vals = ", ".join(f"('{s}', '{d}', {i})" for i, (d, subs) in enumerate(DOMAIN_SUBJECTS.items())
+                         for s in subs)
+    tier_vals = ", ".join(f"('{s}', '{t}', {i})" for i, (t, subs) in enumerate(TIER_SUBJECTS.items())
+                          for s in subs)
+    n = len(POOL_SUBJECTS)
+    return rf"""
+dom_map AS (SELECT * FROM (VALUES {dom_vals}) t(subject, domain, prio)),
+tier_map AS (SELECT * FROM (VALUES {tier_vals}) t(subject, difficulty, prio)),
+subject_dim AS (
+  SELECT d.subject, d.domain, t.difficulty
+  FROM (SELECT subject, arg_min(domain, prio) AS domain FROM dom_map GROUP BY subject) d
+  JOIN (SELECT subject, arg_max(difficulty, prio) AS difficulty FROM tier_map GROUP BY subject) t USING (subject)),
+pool_base AS (
+  SELECT doc_id, source, lang, n_chars, text AS question,
+    list_extract({subj_list}, CAST(n_chars % {n} AS INTEGER) + 1) AS subject,
+    ['lang:' || lang, 'source:' || source, 'chars:' || CAST(n_chars AS VARCHAR), 'id:' || CAST(doc_id AS VARCHAR)] AS choices,
+    CAST(doc_id % 4 AS INTEGER) AS answer
+  FROM documents),
+pool_keyed AS (
+  SELECT *, subject || '||' || regexp_replace(question, '^\s+|\s+$', '', 'g') AS content_key FROM pool_base),
+pool AS (SELECT * FROM pool_keyed WHERE source <> 'src0'),
+classified_pool AS (SELECT p.*, d.domain, d.difficulty FROM pool p JOIN subject_dim d USING (subject)),
+original AS (
+  SELECT printf('q%06d', doc_id) AS question_id, subject, domain, difficulty, question,
+    choices[1] AS choice_A, choices[2] AS choice_B, choices[3] AS choice_C, choices[4] AS choice_D,
+    answer AS answer_index, ['A','B','C','D'][answer + 1] AS answer_letter, 'original_180' AS bank_source,
+    doc_id, content_key
+  FROM pool_keyed JOIN subject_dim USING (subject) WHERE source = 'src0'),
+disjoint_pool AS (
+  SELECT * FROM classified_pool WHERE content_key NOT IN (SELECT content_key FROM original)),
+supp_sample AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY domain, difficulty ORDER BY md5('43|' || CAST(doc_id AS VARCHAR)), doc_id)
+      AS sample_rank FROM disjoint_pool) s WHERE sample_rank <= 40),
+supplement AS (
+  SELECT printf('s%04d', row_number() OVER (ORDER BY
+      CASE domain WHEN 'STEM' THEN 1 WHEN 'Social_Science' THEN 2 WHEN 'Humanities' THEN 3 ELSE 4 END,
+      CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 WHEN 'hard' THEN 3 ELSE 4 END, sample_rank) - 1)
+      AS question_id,
+    subject, domain, difficulty, question,
+    choices[1] AS choice_A, choices[2] AS choice_B, choices[3] AS choice_C, choices[4] AS choice_D,
+    answer AS answer_index, ['A','B','C','D'][answer + 1] AS answer_letter, 'supplement_v2' AS bank_source,
+    doc_id, sample_rank
+  FROM supp_sample),
+full_bank AS (
+  SELECT question_id, subject, domain, difficulty, question, choice_A, choice_B, choice_C, choice_D,
+         answer_index, answer_letter, bank_source FROM original
+  UNION ALL
+  SELECT question_id, subject, domain, difficulty, question, choice_A, choice_B, choice_C, choice_D,
+         answer_index, answer_letter, bank_source FROM supplement)"""
+
+
+CTES["f4"] = _f4_sql()
+ORDER.append("f4")
