@@ -705,3 +705,164 @@ FROM (SELECT question_id, count(*) AS n, avg(correct) AS accuracy FROM feat GROU
       FROM (SELECT question_id, avg(correct) AS accuracy FROM feat GROUP BY question_id) x) c""", "f1"))
 def q_empirical_difficulty(spark, sf_dir):
     return rounded(B.empirical_difficulty(feat(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Collection operations
+# ---------------------------------------------------------------------------
+
+from calibra.operators import ops as OPS  # noqa: E402
+
+DRY_MODELS = ["claude_haiku", "gpt4o_mini", "gemini_flash"]
+TRIALS = 5
+SPEND_CAP = 0.012
+GATE_CAP = 25.0
+
+
+def _plan_values(models, trials) -> str:
+    return ", ".join(f"('{m}', {t})" for m in models for t in range(trials))
+
+
+@register("collection_plan", O.with_ctes(f"""
+SELECT b.question_id, p.model_id, CAST(p.trial_index AS INTEGER) AS trial_index
+FROM full_bank b, (VALUES {_plan_values(DRY_MODELS, TRIALS)}) p(model_id, trial_index)""", "f4"))
+def q_collection_plan(spark, sf_dir):
+    return OPS.collection_plan(bank_full(spark, sf_dir), DRY_MODELS, TRIALS)
+
+
+@register("remaining_work", O.with_ctes(f"""
+SELECT q.question_id, p.model_id, CAST(p.trial_index AS INTEGER) AS trial_index
+FROM (SELECT DISTINCT question_id FROM responses) q,
+     (VALUES {_plan_values(FX.FIXTURE_MODELS, TRIALS)}) p(model_id, trial_index)
+WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.question_id = q.question_id AND r.model_id = p.model_id
+                  AND r.trial_index = p.trial_index)""", "f1"))
+def q_remaining_work(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    plan = OPS.collection_plan(r.select("question_id").distinct(), FX.FIXTURE_MODELS, TRIALS)
+    return OPS.remaining_work(plan, r)
+
+
+def _dry_sql() -> str:
+    from calibra.schemas import DEFAULT_WALL_SEC, DRY_IN_TOKENS, DRY_OUT_TOKENS, WALL_SEC
+    reg = ", ".join(f"('{m}', '{p}', '{pm}', {float(WALL_SEC.get(m, DEFAULT_WALL_SEC))!r})"
+                    for m, (p, pm) in OPS.MODEL_REGISTRY.items())
+    return O.with_ctes(f""",
+reg AS (SELECT * FROM (VALUES {reg}) t(model_id, provider, model, wall_sec)),
+per AS (
+  SELECT c.model_id, c.calls,
+    (c.calls * {DRY_IN_TOKENS} / 1000000.0) * coalesce(p1.in_rate, p2.in_rate, 1.0)
+      + (c.calls * {DRY_OUT_TOKENS} / 1000000.0) * coalesce(p1.out_rate, p2.out_rate, 5.0) AS est_cost_usd,
+    c.calls * coalesce(r.wall_sec, {DEFAULT_WALL_SEC}) / 3600.0 AS est_hours
+  FROM (SELECT p.model_id, count(*) AS calls FROM full_bank b,
+          (VALUES {_plan_values(DRY_MODELS, TRIALS)}) p(model_id, trial_index) GROUP BY p.model_id) c
+  LEFT JOIN reg r USING (model_id)
+  LEFT JOIN pricing p1 ON lower(r.provider) = p1.provider AND r.model = p1.model
+  LEFT JOIN pricing p2 ON lower(r.provider) = p2.provider AND p2.model = 'default')
+SELECT coalesce(model_id, 'TOTAL') AS model_id, CAST(sum(calls) AS BIGINT) AS calls,
+  {O.rnd('sum(est_cost_usd)')} AS est_cost_usd, {O.rnd('sum(est_hours)')} AS est_hours
+FROM per GROUP BY ROLLUP (model_id)""".replace("\n,\n", "", 1), "f4", "f2").replace(")\n,", "),", 1)
+
+
+@register("dry_run_estimate", _dry_sql())
+def q_dry_run_estimate(spark, sf_dir):
+    plan = OPS.collection_plan(bank_full(spark, sf_dir), DRY_MODELS, TRIALS)
+    return rounded(OPS.dry_run_estimate(plan))
+
+
+def costed_calls(spark, sf_dir):
+    return OPS.call_cost(FX.calls(spark, sf_dir))
+
+
+@register("call_cost", O.with_ctes(f"""
+SELECT run_id, call_id, provider, model, input_tokens, output_tokens, {O.rnd('cost_usd', 12)} AS cost_usd
+FROM costed""", "f2"))
+def q_call_cost(spark, sf_dir):
+    return rounded(costed_calls(spark, sf_dir).select(
+        "run_id", "call_id", "provider", "model", "input_tokens", "output_tokens", "cost_usd"), 12)
+
+
+@register("cost_by_provider", O.with_ctes(f"""
+SELECT lower(provider) AS provider, count(*) AS n_calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {O.rnd('sum(cost_usd)', 12)} AS cost_usd
+FROM costed GROUP BY lower(provider)""", "f2"))
+def q_cost_by_provider(spark, sf_dir):
+    return rounded(OPS.cost_by_provider(costed_calls(spark, sf_dir)), 12)
+
+
+@register("spend_cap", O.with_ctes(f"""
+SELECT run_id, call_id, ts, {O.rnd('cost_usd', 12)} AS cost_usd, {O.rnd('run_cost_usd', 12)} AS run_cost_usd FROM (
+  SELECT *, sum(cost_usd) OVER (PARTITION BY run_id ORDER BY ts, call_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_cost_usd
+  FROM costed) s
+WHERE run_cost_usd <= {SPEND_CAP!r}""", "f2"))
+def q_spend_cap(spark, sf_dir):
+    kept = OPS.spend_cap(costed_calls(spark, sf_dir), SPEND_CAP)
+    return rounded(kept.select("run_id", "call_id", "ts", "cost_usd", "run_cost_usd"), 12)
+
+
+@register("retry_collapse", O.with_ctes("""
+SELECT a.cell_id, a.attempt AS attempts_used, a.predicted_letter, a.confidence, a.parse_ok,
+  s.input_tokens, s.output_tokens,
+  concat_ws(' | ', a.internal_prob_note, 'parse_attempts=' || CAST(a.attempt AS VARCHAR) || '/3') AS internal_prob_note
+FROM attempts_p a
+JOIN (SELECT cell_id, coalesce(min(CASE WHEN parse_ok THEN attempt END), max(attempt)) AS chosen
+      FROM attempts_p GROUP BY cell_id) c ON a.cell_id = c.cell_id AND a.attempt = c.chosen
+JOIN (SELECT p.cell_id, CAST(sum(p.input_tokens) AS BIGINT) AS input_tokens,
+             CAST(sum(p.output_tokens) AS BIGINT) AS output_tokens
+      FROM attempts_p p JOIN (SELECT cell_id, coalesce(min(CASE WHEN parse_ok THEN attempt END), max(attempt)) AS chosen
+                              FROM attempts_p GROUP BY cell_id) c2
+        ON p.cell_id = c2.cell_id AND p.attempt <= c2.chosen
+      GROUP BY p.cell_id) s ON s.cell_id = a.cell_id""", "f3"))
+def q_retry_collapse(spark, sf_dir):
+    return OPS.retry_collapse(FX.attempts(spark, sf_dir))
+
+
+@register("integrity_check", O.with_ctes(f"""
+SELECT model_id, count(*) AS n,
+  {O.rnd('avg(CAST(coalesce(parse_ok, false) AS DOUBLE))')} AS parse_ok_rate,
+  count(CASE WHEN config_version IS DISTINCT FROM 'v2' THEN 1 END) AS bad_config_version,
+  count(CASE WHEN coalesce(max_output_tokens, 0) <> 1024 THEN 1 END) AS bad_max_tokens,
+  CAST((SELECT count(DISTINCT question_id) FROM responses) * {TRIALS} AS BIGINT) AS expected
+FROM responses GROUP BY model_id""", "f1"))
+def q_integrity_check(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    expected = r.select(F.countDistinct("question_id")).scalar() * TRIALS
+    return rounded(OPS.integrity_check(r, expected))
+
+
+@register("run_gate", O.with_ctes(f""",
+rc AS (
+  SELECT r.*, (coalesce(input_tokens, 0) / 1000000.0) * coalesce(p1.in_rate, p2.in_rate, 1.0)
+            + (coalesce(output_tokens, 0) / 1000000.0) * coalesce(p1.out_rate, p2.out_rate, 5.0) AS cost
+  FROM responses r
+  LEFT JOIN pricing p1 ON lower(r.backend) = p1.provider AND r.model_name = p1.model
+  LEFT JOIN pricing p2 ON lower(r.backend) = p2.provider AND p2.model = 'default'),
+per AS (
+  SELECT model_id, count(*) AS n, count(CASE WHEN parse_ok THEN 1 END) AS n_ok,
+    bool_or(internal_prob_answer IS NOT NULL) AS has_internal_prob, sum(cost) AS cost_usd,
+    count(CASE WHEN error IS NOT NULL THEN 1 END) AS errors
+  FROM rc GROUP BY model_id)
+SELECT model_id, n, n_ok, has_internal_prob, {O.rnd('cost_usd')} AS cost_usd, errors,
+  (sum(n_ok) OVER () = sum(n) OVER ()) AND (sum(cost_usd) OVER () <= {GATE_CAP!r}) AS gate_pass
+FROM per""".replace("\n,\n", "", 1), "f1", "f2").replace(")\n,", "),", 1))
+def q_run_gate(spark, sf_dir):
+    return rounded(OPS.run_gate(raw(spark, sf_dir), GATE_CAP))
+
+
+_MERGE_COLS = ["model_id", "question_id", "trial_index", "parse_ok", "confidence"]
+
+
+@register("merge_results", O.with_ctes("""
+SELECT model_id, question_id, trial_index, parse_ok, confidence, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_id, question_id, trial_index ORDER BY prio) AS rn FROM (
+    SELECT model_id, question_id, trial_index, parse_ok, confidence, 'existing' AS source, 0 AS prio
+    FROM responses WHERE trial_index < 3
+    UNION ALL
+    SELECT model_id, question_id, trial_index, parse_ok, confidence, 'new' AS source, 1 AS prio
+    FROM responses WHERE trial_index >= 2) u) r
+WHERE rn = 1""", "f1"))
+def q_merge_results(spark, sf_dir):
+    r = raw(spark, sf_dir).select(*_MERGE_COLS)
+    existing = r.filter(F.col("trial_index") < 3).withColumn("source", F.lit("existing"))
+    new = r.filter(F.col("trial_index") >= 2).withColumn("source", F.lit("new"))
+    return OPS.merge_results(existing, new, ["model_id", "question_id", "trial_index"])

@@ -230,3 +230,52 @@ full_bank AS (
 
 CTES["f4"] = _f4_sql()
 ORDER.append("f4")
+
+
+def _pricing_values() -> str:
+    from calibra.schemas import PRICING_PER_1M
+    rows = [f"('{p}', '{m}', {r[0]!r}, {r[1]!r})" for p, ms in PRICING_PER_1M.items() for m, r in ms.items()]
+    return ", ".join(rows)
+
+
+CTES["f2"] = rf"""
+calls AS (
+  SELECT user_id AS run_id, event_id AS call_id, ts,
+    CASE event_type WHEN 'click' THEN 'openai' WHEN 'view' THEN 'gemini' WHEN 'purchase' THEN 'anthropic'
+      WHEN 'signup' THEN 'ollama' WHEN 'error' THEN 'acme' END AS provider,
+    ['gpt-4o-mini', 'gemini-2.5-flash', 'unlisted-model'][CAST(event_id % 3 AS INTEGER) + 1] AS model,
+    CAST(floor(value * 10) AS BIGINT) AS input_tokens,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS output_tokens
+  FROM events),
+pricing AS (SELECT * FROM (VALUES {_pricing_values()}) t(provider, model, in_rate, out_rate)),
+costed AS (
+  SELECT c.*, (coalesce(input_tokens, 0) / 1000000.0) * coalesce(p1.in_rate, p2.in_rate, 1.0)
+            + (coalesce(output_tokens, 0) / 1000000.0) * coalesce(p1.out_rate, p2.out_rate, 5.0) AS cost_usd
+  FROM calls c
+  LEFT JOIN pricing p1 ON lower(c.provider) = p1.provider AND c.model = p1.model
+  LEFT JOIN pricing p2 ON lower(c.provider) = p2.provider AND p2.model = 'default')"""
+ORDER.append("f2")
+
+CTES["f3"] = r"""
+attempts AS (
+  SELECT cell_id, attempt, raw_response,
+    nullif(upper(regexp_extract(raw_response, '(?i)ANSWER:\s*([A-D])', 1)), '') AS predicted_letter,
+    CASE WHEN TRY_CAST(nullif(regexp_extract(raw_response, '(?i)CONFIDENCE:\s*(\d{1,3})', 1), '') AS INTEGER) <= 100
+         THEN TRY_CAST(nullif(regexp_extract(raw_response, '(?i)CONFIDENCE:\s*(\d{1,3})', 1), '') AS INTEGER) END
+      AS confidence,
+    input_tokens, output_tokens, internal_prob_note
+  FROM (
+    SELECT l_orderkey AS cell_id,
+      CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey,
+           l_extendedprice, l_quantity, l_shipdate) AS INTEGER) AS attempt,
+      CASE WHEN l_tax < 0.04 AND l_linenumber % 2 = 1 THEN 'I am not able to answer this question.'
+           ELSE 'ANSWER: ' || ['A','B','C','D'][CAST(l_partkey % 4 AS INTEGER) + 1] || chr(10) || 'CONFIDENCE: '
+                || CAST(CAST(l_quantity * 2 AS INTEGER) AS VARCHAR) END AS raw_response,
+      CAST(300 + CAST(l_quantity AS INTEGER) AS BIGINT) AS input_tokens,
+      CAST(10 + l_linenumber * 5 AS BIGINT) AS output_tokens,
+      CAST(NULL AS VARCHAR) AS internal_prob_note
+    FROM lineitem) a
+  WHERE attempt <= 3),
+attempts_p AS (
+  SELECT *, coalesce(predicted_letter IS NOT NULL AND confidence IS NOT NULL, false) AS parse_ok FROM attempts)"""
+ORDER.append("f3")

@@ -124,7 +124,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("call_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
         _case(F.col("event_type"), EVENT_PROVIDER).alias("provider"),
         F.element_at(F.array(*[F.lit(m) for m in EVENT_MODEL_BY_MOD3]),
                      (F.col("event_id") % 3 + 1).cast("int")).alias("model"),
