@@ -866,3 +866,104 @@ def q_merge_results(spark, sf_dir):
     existing = r.filter(F.col("trial_index") < 3).withColumn("source", F.lit("existing"))
     new = r.filter(F.col("trial_index") >= 2).withColumn("source", F.lit("new"))
     return OPS.merge_results(existing, new, ["model_id", "question_id", "trial_index"])
+
+
+# ---------------------------------------------------------------------------
+# Diagnostics
+# ---------------------------------------------------------------------------
+
+from calibra.operators import diagnostics as DG  # noqa: E402
+
+_STRIP = r"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
+_TOK = "tokens[i + 1].token"
+_MATCH = (f"length({_STRIP.format(x=_TOK)}) BETWEEN 1 AND 2 "
+          f"AND upper(substr({_STRIP.format(x=_TOK)}, 1, 1)) = upper(predicted_letter)")
+
+
+@register("answer_token_prob", O.with_ctes(rf""",
+m AS (
+  SELECT *, coalesce(len(tokens), 0) AS n,
+    CASE WHEN coalesce(len(tokens), 0) > 0
+         THEN list_filter(range(0, len(tokens)), lambda i: {_MATCH}) ELSE [] END AS idx
+  FROM token_logprobs),
+e AS (SELECT *, CASE WHEN len(idx) > 0 THEN tokens[idx[1] + 1] END AS entry FROM m),
+a AS (
+  SELECT *, list_filter(coalesce(entry.top_logprobs, []), lambda x: coalesce(x.token, '') <> '' AND x.logprob IS NOT NULL) AS usable
+  FROM e),
+d AS (
+  SELECT *, list_filter(usable, lambda x, j: NOT list_contains(list_transform(usable[j + 1:], lambda y: y.token), x.token)) AS dedup
+  FROM a),
+o AS (
+  SELECT *, (predicted_letter IS NULL OR n = 0) AS no_input FROM d)
+SELECT model_id, question_id, trial_index,
+  {O.rnd("CASE WHEN NOT no_input AND len(idx) > 0 AND entry.logprob IS NOT NULL THEN exp(entry.logprob) END")}
+    AS internal_prob_answer,
+  CASE WHEN no_input THEN 'no answer letter or empty logprobs'
+       WHEN len(idx) = 0 THEN 'logprob extraction ambiguous/failed: no token matching answer letter '''
+         || upper(predicted_letter) || ''' among ' || CAST(n AS VARCHAR) || ' tokens'
+       WHEN entry.logprob IS NULL THEN 'matched token missing logprob'
+       WHEN len(idx) > 1 THEN 'logprob extraction ambiguous: ' || CAST(len(idx) AS VARCHAR) || ' tokens match '''
+         || upper(predicted_letter) || ''' at indices [' || array_to_string(idx, ', ') || ']; using first match'
+  END AS internal_prob_note,
+  CASE WHEN NOT no_input AND len(idx) > 0 AND entry.logprob IS NOT NULL AND len(dedup) > 0
+       THEN CAST(len(dedup) AS INTEGER) END AS n_alternatives,
+  CASE WHEN NOT no_input AND len(idx) > 0 AND entry.logprob IS NOT NULL AND len(dedup) > 0
+       THEN array_to_string(list_sort(list_transform(dedup, lambda x: x.token)), '|') END AS alt_tokens,
+  {O.rnd("CASE WHEN NOT no_input AND len(idx) > 0 AND entry.logprob IS NOT NULL AND len(dedup) > 0 THEN list_sum(list_transform(dedup, lambda x: exp(x.logprob))) END")}
+    AS alt_prob_sum
+FROM o""".replace("\n,\n", "", 1), "f5").replace(")\n,", "),", 1))
+def q_answer_token_prob(spark, sf_dir):
+    t = DG.answer_token_prob(FX.token_logprobs(spark, sf_dir))
+    alts = F.col("internal_prob_alternatives")
+    return rounded(t.select(
+        "model_id", "question_id", "trial_index", "internal_prob_answer", "internal_prob_note",
+        F.size(alts).cast("int").alias("n_alternatives"),
+        F.array_join(F.array_sort(F.map_keys(alts)), "|").alias("alt_tokens"),
+        F.aggregate(F.map_values(alts), F.lit(0.0), lambda acc, x: acc + x).alias("alt_prob_sum")))
+
+
+def _formats(spark, sf_dir):
+    return DG.score_formats(FX.freeform_replies(spark, sf_dir))
+
+
+_FMT_SQL = f""",
+fs AS (
+  SELECT model_id, question_id, trial_index, correct_letter,
+    coalesce(nullif(upper(regexp_extract(raw_response, '(?i)ANSWER:\\s*([A-D])', 1)), '') = correct_letter, false)
+      AS correct_constrained,
+    coalesce({O.FINAL_LETTER_SQL.format(t='freeform_reply')} = correct_letter, false) AS correct_unconstrained
+  FROM freeform)"""
+
+
+@register("format_comparison", O.with_ctes(_FMT_SQL + f"""
+SELECT model_id, {O.rnd('avg(CAST(correct_constrained AS DOUBLE))')} AS constrained,
+  {O.rnd('avg(CAST(correct_unconstrained AS DOUBLE))')} AS unconstrained
+FROM fs GROUP BY model_id""", "freeform").replace(")\n,", "),", 1))
+def q_format_comparison(spark, sf_dir):
+    return rounded(DG.format_comparison(_formats(spark, sf_dir)))
+
+
+@register("format_discordance", O.with_ctes(_FMT_SQL + """
+SELECT model_id, count(*) AS n_pairs,
+  count(CASE WHEN correct_constrained AND correct_unconstrained THEN 1 END) AS both_correct,
+  count(CASE WHEN correct_constrained AND NOT correct_unconstrained THEN 1 END) AS constrained_only,
+  count(CASE WHEN NOT correct_constrained AND correct_unconstrained THEN 1 END) AS unconstrained_only,
+  count(CASE WHEN NOT correct_constrained AND NOT correct_unconstrained THEN 1 END) AS neither
+FROM fs GROUP BY model_id""", "freeform").replace(")\n,", "),", 1))
+def q_format_discordance(spark, sf_dir):
+    return DG.format_discordance(_formats(spark, sf_dir))
+
+
+@register("trial_consistency", O.with_ctes(f""",
+pairs AS (
+  SELECT a.model_id, a.question_id, CAST(a.confidence AS DOUBLE) AS x, CAST(b.confidence AS DOUBLE) AS y
+  FROM feat a JOIN feat b ON a.model_id = b.model_id AND a.question_id = b.question_id
+   AND a.trial_index < b.trial_index),
+both_ways AS (SELECT model_id, x, y FROM pairs UNION ALL SELECT model_id, y, x FROM pairs)
+SELECT p.model_id, p.n_items, p.n_pairs, {O.rnd('b.r')} AS pair_corr, {O.rnd('p.mad')} AS mean_abs_delta
+FROM (SELECT model_id, count(DISTINCT question_id) AS n_items, count(*) AS n_pairs, avg(abs(x - y)) AS mad
+      FROM pairs GROUP BY model_id) p
+JOIN (SELECT model_id, corr(x, y) AS r FROM both_ways GROUP BY model_id) b USING (model_id)""".replace("\n,\n", "", 1),
+    "f1").replace(")\n,", "),", 1))
+def q_trial_consistency(spark, sf_dir):
+    return rounded(DG.trial_consistency(feat(spark, sf_dir)))

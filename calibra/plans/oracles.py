@@ -279,3 +279,39 @@ attempts AS (
 attempts_p AS (
   SELECT *, coalesce(predicted_letter IS NOT NULL AND confidence IS NOT NULL, false) AS parse_ok FROM attempts)"""
 ORDER.append("f3")
+
+CTES["f5"] = r"""
+f5_base AS (
+  SELECT model_id, question_id, trial_index, l_linenumber AS ln, -l_discount * 10 AS lp,
+    nullif(upper(regexp_extract(raw_response, '(?i)ANSWER:\s*([A-D])', 1)), '') AS L
+  FROM raw_responses),
+f5_parts AS (
+  SELECT *, ' ' || coalesce(L, '?') AS sp_letter,
+    ' ' || ['A','B','C','D'][((coalesce(list_position(['A','B','C','D'], L) - 1, 0) + 1) % 4) + 1] AS sp_other,
+    CAST([] AS STRUCT(token VARCHAR, logprob DOUBLE)[]) AS no_top
+  FROM f5_base),
+f5_alts AS (
+  SELECT *,
+    [{'token': sp_letter, 'logprob': lp}, {'token': sp_other, 'logprob': lp - 1.5}] AS alts,
+    [{'token': sp_letter, 'logprob': lp}, {'token': sp_other, 'logprob': lp - 1.5},
+     {'token': sp_letter, 'logprob': lp - 0.5}] AS dup_alts,
+    [{'token': 'ANSWER', 'logprob': -0.1, 'top_logprobs': no_top},
+     {'token': ':', 'logprob': -0.01, 'top_logprobs': no_top}] AS head
+  FROM f5_parts),
+token_logprobs AS (
+  SELECT model_id, question_id, trial_index, L AS predicted_letter,
+    CASE
+      WHEN ln = 2 THEN list_concat(head, [{'token': ' maybe', 'logprob': lp, 'top_logprobs': alts}])
+      WHEN ln = 3 THEN list_concat(head, [{'token': sp_letter, 'logprob': lp, 'top_logprobs': alts},
+                                          {'token': chr(10), 'logprob': -0.2, 'top_logprobs': no_top},
+                                          {'token': coalesce(L, '?'), 'logprob': lp - 0.25, 'top_logprobs': alts}])
+      WHEN ln = 4 THEN list_concat(head, [{'token': sp_letter, 'logprob': CAST(NULL AS DOUBLE), 'top_logprobs': alts}])
+      WHEN ln = 5 THEN list_concat(head, [{'token': sp_letter, 'logprob': lp, 'top_logprobs': dup_alts}])
+      WHEN ln = 6 THEN list_concat(head, [{'token': coalesce(L, '?') || 'n', 'logprob': lp - 2.0, 'top_logprobs': alts},
+                                          {'token': sp_letter, 'logprob': lp, 'top_logprobs': alts}])
+      WHEN ln = 7 THEN list_concat(head, [{'token': sp_letter, 'logprob': lp, 'top_logprobs': no_top}])
+      ELSE list_concat(head, [{'token': sp_letter, 'logprob': lp, 'top_logprobs': alts}])
+    END AS tokens
+  FROM f5_alts)"""
+ORDER.append("f5")
+DEPS["f5"] = ["f1_raw"]
