@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import parsing
+from calibra.sources.readers import spread_if_undersplit
 from calibra.schemas import DOMAIN_SUBJECTS, LETTERS
 
 # Configured model order of the fixture: non-alphabetical on purpose.
@@ -56,8 +57,9 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    # Partitioning on l_partkey for the join also satisfies the window below
+    # Partitioning on l_partkey serves the join and the window below
     # (clustered on l_partkey, l_returnflag): one shuffle for both.
+    li = spread_if_undersplit(li, ["l_partkey"])
     j = li.join(part, li.l_partkey == part.p_partkey)
     b = F.substring("p_brand", 7, 10).try_cast("int")
     w = Window.partitionBy("l_partkey", "l_returnflag").orderBy(
@@ -120,7 +122,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """call ledger from events (run = user, call = event)."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread_if_undersplit(table(spark, sf_dir, "events"), ["user_id"])
     return ev.select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("call_id"),
@@ -138,6 +140,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+    li = spread_if_undersplit(li, ["l_orderkey"])
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
     letter = _letter((F.col("l_partkey") % 4).cast("int"))
@@ -162,7 +165,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pool_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spread_if_undersplit(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     subj = F.element_at(F.array(*[F.lit(s) for s in POOL_SUBJECTS]),
                         (F.col("n_chars") % len(POOL_SUBJECTS) + 1).cast("int"))
     return docs.select(
