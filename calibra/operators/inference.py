@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from calibra.functions import metrics as M
 from calibra.functions import stats as ST
 from calibra.schemas import N_BINS
+from calibra.session import ship_package
 
 X, Y = "difficulty_numeric", "overconfidence_gap_row"
 
@@ -50,6 +51,7 @@ def regression_sums(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y)
 
 def difficulty_regression(feat: DataFrame, keys=("model_id",), level: float = 0.95) -> DataFrame:
     """I1 with p-value and confidence interval (t tails on one row per group)."""
+    ship_package(feat.sparkSession)
     base = regression_sums(feat, keys)
     dfree = (F.col("n") - 2).cast("double")
     tstat = F.try_divide(F.col("slope"), F.col("se"))
@@ -102,6 +104,7 @@ def spearman(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> Dat
 
 def add_correlation_p(df: DataFrame, r_col: str, n_col: str = "n", out: str | None = None) -> DataFrame:
     """I3/I2 p-value: t = r sqrt((n-2)/(1-r^2)), two-sided, df = n - 2."""
+    ship_package(df.sparkSession)
     r, n = F.col(r_col), F.col(n_col).cast("double")
     t = r * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - r * r))
     p = F.when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(ST.t_p_value(t, n - 2))
@@ -175,6 +178,7 @@ def chi2_df2_p(chi2_col: str = "chi2") -> F.Column:
 
 def parse_missingness_chi2(raw: DataFrame, keys=("model_id",)) -> DataFrame:
     """Parse failure x difficulty independence per group, with p."""
+    ship_package(raw.sparkSession)
     t = chi2_independence(raw.withColumn("parsed", F.col("parse_ok").cast("string")),
                           list(keys), "parsed", "difficulty")
     p = F.when(F.col("dof") == 2, chi2_df2_p()).otherwise(
@@ -286,6 +290,9 @@ def _cells(feat: DataFrame, keys: list[str], score: str, n_bins: int) -> DataFra
 
 def _replicate_fn(keys: list[str], block_size: int, n_bins: int, seed: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        # cells arrive in partition-dependent order: fix it before drawing
+        pdf = pdf.sort_values(["score", "correct", "hard", "easy"], kind="mergesort",
+                              na_position="first").reset_index(drop=True)
         gkey = "|".join(str(pdf[k].iloc[0]) for k in keys)
         block = int(pdf["block"].iloc[0])
         rng = np.random.default_rng([seed, block, zlib.crc32(gkey.encode())])
@@ -333,6 +340,7 @@ def bootstrap_cells(feat: DataFrame, keys=("model_id",), n_boot: int = 2000, lev
     101 x 2 x 3 cells for integer confidences), then replicate blocks of
     each group run in parallel tasks.  Cost is independent of the row count.
     """
+    ship_package(feat.sparkSession)
     keys = list(keys)
     cells = _cells(feat, keys, score, n_bins)
     n_blocks = (n_boot + block_size - 1) // block_size

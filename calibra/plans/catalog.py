@@ -967,3 +967,47 @@ JOIN (SELECT model_id, corr(x, y) AS r FROM both_ways GROUP BY model_id) b USING
     "f1").replace(")\n,", "),", 1))
 def q_trial_consistency(spark, sf_dir):
     return rounded(DG.trial_consistency(feat(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Stream monitors, batch form (ST2-ST4); the streaming runs are in tests
+# ---------------------------------------------------------------------------
+
+from calibra.streaming import monitors as STM  # noqa: E402
+
+DRIFT_WINDOW = "30 days"
+
+
+@register("drift_windows", O.with_ctes(f"""
+SELECT time_bucket(INTERVAL '30 days', collection_timestamp, TIMESTAMP '1970-01-01 00:00:00') AS window_start,
+  time_bucket(INTERVAL '30 days', collection_timestamp, TIMESTAMP '1970-01-01 00:00:00') + INTERVAL '30 days'
+    AS window_end,
+  model_id, count(*) AS n, {O.rnd('avg(correct)')} AS accuracy,
+  {O.rnd('avg(confidence_norm) - avg(correct)')} AS overconfidence_gap, {O.rnd(O.ece_sql())} AS ece
+FROM feat GROUP BY ALL""", "f1"))
+def q_drift_windows(spark, sf_dir):
+    return rounded(STM.drift_frame(raw(spark, sf_dir), window=DRIFT_WINDOW))
+
+
+@register("progress_by_model", O.with_ctes(f""",
+rc AS (
+  SELECT r.*, (coalesce(input_tokens, 0) / 1000000.0) * coalesce(p1.in_rate, p2.in_rate, 1.0)
+            + (coalesce(output_tokens, 0) / 1000000.0) * coalesce(p1.out_rate, p2.out_rate, 5.0) AS cost
+  FROM responses r
+  LEFT JOIN pricing p1 ON lower(r.backend) = p1.provider AND r.model_name = p1.model
+  LEFT JOIN pricing p2 ON lower(r.backend) = p2.provider AND p2.model = 'default')
+SELECT model_id, count(*) AS n, {O.rnd('avg(CAST(parse_ok AS DOUBLE))')} AS parse_ok_rate,
+  {O.rnd('sum(cost)')} AS cost_usd
+FROM rc GROUP BY model_id""".replace("\n,\n", "", 1), "f1", "f2").replace(")\n,", "),", 1))
+def q_progress_by_model(spark, sf_dir):
+    return rounded(STM.progress_frame(raw(spark, sf_dir)))
+
+
+ALERT_CAP = 0.02
+
+
+@register("spend_alerts", O.with_ctes(f"""
+SELECT run_id, {O.rnd('sum(cost_usd)', 12)} AS run_cost_usd, count(*) AS n_calls
+FROM costed GROUP BY run_id HAVING sum(cost_usd) > {ALERT_CAP!r}""", "f2"))
+def q_spend_alerts(spark, sf_dir):
+    return rounded(STM.spend_alert_frame(costed_calls(spark, sf_dir), ALERT_CAP), 12)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import parsing
+from calibra.session import ship_package
 from calibra.sources.readers import spread_if_undersplit
 from calibra.schemas import DOMAIN_SUBJECTS, LETTERS
 
@@ -36,6 +37,7 @@ PROSE_PREFIX = "Let me think this through step by step."
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
