@@ -63,12 +63,10 @@ def read_jsonl_dir(spark: SparkSession, raw_dir: str, stamp: str, models: list[s
                    schema: T.StructType) -> DataFrame:
     """One JSONL file per model and stamp, unioned in one scan.
 
-    Malformed lines are dropped (PERMISSIVE + corrupt-record filter), blank
+    Malformed lines are dropped (DROPMALFORMED), blank
     lines are skipped by the JSON source, and a missing model file is an
     error, as in the single-machine loader.
     """
-    from py4j.protocol import Py4JJavaError  # noqa: F401
-
     paths = [f"{raw_dir.rstrip('/')}/{m}_{stamp}.jsonl" for m in models]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -76,13 +74,9 @@ def read_jsonl_dir(spark: SparkSession, raw_dir: str, stamp: str, models: list[s
         hp = jvm.org.apache.hadoop.fs.Path(p)
         if not hp.getFileSystem(conf).exists(hp):
             raise FileNotFoundError(f"Missing {p}")
-    full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths))
-    df = df.withColumn("_source_file", F.input_file_name())
-    return (df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-            .withColumn("_file_model", F.regexp_extract("_source_file", r"([^/]+)_[^_/]+\.jsonl$", 1))
-            .drop("_source_file"))
+    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
+    return df.withColumn("_file_model",
+                         F.regexp_extract(F.input_file_name(), r"([^/]+)_[^_/]+\.jsonl$", 1))
 
 
 def read_bank_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

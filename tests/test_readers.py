@@ -1,0 +1,82 @@
+"""Sources and sinks."""
+import json
+import os
+import tempfile
+
+import pytest
+
+from calibra.schemas import BANK_SCHEMA, RESPONSE_V1_SCHEMA, RESPONSE_V2_SCHEMA
+from calibra.sources import readers as RD
+from calibra.sources import sinks as SK
+
+
+def _tmp():
+    return tempfile.mkdtemp(prefix="calibra-io-", dir="/tmp")
+
+
+def test_multiline_csv_v1_flags(spark):
+    d = _tmp()
+    p = os.path.join(d, "results.csv")
+    header = ",".join(f.name for f in RESPONSE_V1_SCHEMA.fields)
+    row1 = ('q0000,s,STEM,easy,m1,b,n,0,0.3,"Answer this.\n\nQuestion: ""x""?","ANSWER: A\nCONFIDENCE: 100",,'
+            'A,B,False,100.0,True,2026-07-13T18:15:34+00:00')
+    row2 = 'q0001,s,STEM,hard,m1,b,n,1,0.3,p,,boom,,C,no,,yes,2026-07-13T18:15:35+00:00'
+    with open(p, "w") as f:
+        f.write(header + "\n" + row1 + "\n" + row2 + "\n")
+    df = RD.read_results_csv(spark, p, RESPONSE_V1_SCHEMA).orderBy("question_id").collect()
+    assert len(df) == 2
+    assert df[0].raw_response == "ANSWER: A\nCONFIDENCE: 100" and df[0].prompt.endswith('"x"?')
+    assert (df[0].is_correct, df[0].parse_ok, df[0].confidence) == (False, True, 100.0)
+    assert (df[1].is_correct, df[1].parse_ok, df[1].confidence) == (False, True, None)
+
+
+def test_jsonl_dir_skips_malformed_and_requires_every_model(spark):
+    d = _tmp()
+    rec = {"question_id": "q1", "model_id": "m1", "trial_index": 0, "parse_ok": True, "confidence": 80}
+    with open(os.path.join(d, "m1_S1.jsonl"), "w") as f:
+        f.write(json.dumps(rec) + "\n\n{not json\n" + json.dumps({**rec, "trial_index": 1}) + "\n")
+    with open(os.path.join(d, "m2_S1.jsonl"), "w") as f:
+        f.write(json.dumps({**rec, "model_id": "m2"}) + "\n")
+    df = RD.read_jsonl_dir(spark, d, "S1", ["m1", "m2"], RESPONSE_V2_SCHEMA)
+    assert df.count() == 3
+    assert {r._file_model for r in df.collect()} == {"m1", "m2"}
+    with pytest.raises(FileNotFoundError):
+        RD.read_jsonl_dir(spark, d, "S1", ["m1", "m3"], RESPONSE_V2_SCHEMA)
+
+
+def test_bank_json_array_and_empty(spark):
+    d = _tmp()
+    p = os.path.join(d, "bank.json")
+    with open(p, "w") as f:
+        json.dump([{"question_id": "q0000", "subject": "sociology", "answer_index": 2}], f)
+    assert RD.read_bank_json(spark, p, BANK_SCHEMA).first().answer_index == 2
+    p2 = os.path.join(d, "empty.json")
+    with open(p2, "w") as f:
+        f.write("[]")
+    with pytest.raises(RuntimeError):
+        RD.read_bank_json(spark, p2, BANK_SCHEMA)
+
+
+def test_corpus_subject_fallback(spark):
+    d = _tmp()
+    spark.createDataFrame([("q", ["a", "b", "c", "d"], 1)], "question string, choices array<string>, answer int") \
+        .write.parquet(os.path.join(d, "astronomy"))
+    spark.createDataFrame([("q2", "sociology", ["a", "b", "c", "d"], 0)],
+                          "question string, subject string, choices array<string>, answer int") \
+        .write.parquet(os.path.join(d, "sociology"))
+    df = RD.read_corpus(spark, os.path.join(d, "missing_all"),
+                        {"astronomy": os.path.join(d, "astronomy"), "sociology": os.path.join(d, "sociology"),
+                         "virology": os.path.join(d, "nope")}, None)
+    assert sorted(r.subject for r in df.collect()) == ["astronomy", "sociology"]
+
+
+def test_sinks_roundtrip(spark):
+    d = _tmp()
+    df = spark.createDataFrame([("m1", 1), ("m2", 2)], "model_id string, v int")
+    SK.append_jsonl(df, os.path.join(d, "log"))
+    SK.append_jsonl(df, os.path.join(d, "log"))
+    assert spark.read.json(os.path.join(d, "log")).count() == 4
+    SK.write_table(df, os.path.join(d, "bins"), partition_by="model_id")
+    assert {"model_id=m1", "model_id=m2"} <= set(os.listdir(os.path.join(d, "bins")))
+    SK.write_table(df, os.path.join(d, "csv"), fmt="csv")
+    assert spark.read.option("header", True).csv(os.path.join(d, "csv")).count() == 2
