@@ -1011,3 +1011,33 @@ SELECT run_id, {O.rnd('sum(cost_usd)', 12)} AS run_cost_usd, count(*) AS n_calls
 FROM costed GROUP BY run_id HAVING sum(cost_usd) > {ALERT_CAP!r}""", "f2"))
 def q_spend_alerts(spark, sf_dir):
     return rounded(STM.spend_alert_frame(costed_calls(spark, sf_dir), ALERT_CAP), 12)
+
+
+# ---------------------------------------------------------------------------
+# Near duplicates
+# ---------------------------------------------------------------------------
+
+from calibra.operators import neardup as ND  # noqa: E402
+
+
+@register("near_duplicates", rf"""
+WITH toks AS (
+  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'),
+                                           lambda x: x <> '')) AS tokens
+  FROM documents),
+sets AS (
+  SELECT sha256(array_to_string(list_sort(tokens), ' ')) AS set_id, min(doc_id) AS rep_id,
+         count(*) AS n_members, any_value(tokens) AS tokens, len(any_value(tokens)) AS L
+  FROM toks WHERE len(tokens) > 0 GROUP BY 1),
+pairs AS (
+  SELECT a.rep_id AS rep_a, b.rep_id AS rep_b, a.n_members AS n_a, b.n_members AS n_b,
+         len(list_intersect(a.tokens, b.tokens)) AS inter, a.L AS la, b.L AS lb
+  FROM sets a JOIN sets b ON a.set_id < b.set_id AND b.L >= a.L * 0.9 AND a.L >= b.L * 0.9)
+SELECT least(rep_a, rep_b) AS doc_a, greatest(rep_a, rep_b) AS doc_b,
+  CASE WHEN rep_a < rep_b THEN n_a ELSE n_b END AS members_a,
+  CASE WHEN rep_a < rep_b THEN n_b ELSE n_a END AS members_b,
+  CAST(inter AS INTEGER) AS inter, CAST(la + lb - inter AS INTEGER) AS union_size,
+  {O.rnd('inter / (la + lb - inter)')} AS jaccard
+FROM pairs WHERE inter / (la + lb - inter) >= 0.9""")
+def q_near_duplicates(spark, sf_dir):
+    return rounded(ND.near_duplicates(FX.table(spark, sf_dir, "documents"), "doc_id", "text", 0.9))
