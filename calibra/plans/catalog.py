@@ -1041,3 +1041,47 @@ SELECT least(rep_a, rep_b) AS doc_a, greatest(rep_a, rep_b) AS doc_b,
 FROM pairs WHERE inter / (la + lb - inter) >= 0.9""")
 def q_near_duplicates(spark, sf_dir):
     return rounded(ND.near_duplicates(FX.table(spark, sf_dir, "documents"), "doc_id", "text", 0.9))
+
+
+# ---------------------------------------------------------------------------
+# Provider payloads
+# ---------------------------------------------------------------------------
+
+from calibra.functions import payloads as PL  # noqa: E402
+
+
+@register("payload_text", O.with_ctes(r"""
+SELECT model_id, question_id, trial_index, provider,
+  regexp_replace(raw_response, '^\s+|\s+$', '', 'g') AS text,
+  CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens
+FROM payloads""", "f1_raw", "f6"))
+def q_payload_text(spark, sf_dir):
+    p = PL.payload_text(FX.provider_payloads(spark, sf_dir))
+    return p.select("model_id", "question_id", "trial_index", "provider", "text", "input_tokens",
+                    "output_tokens")
+
+
+@register("normalize_logprobs", O.with_ctes(rf"""
+SELECT model_id, question_id, trial_index, provider,
+  CASE WHEN provider = 'openai' OR (provider = 'ollama' AND line <> 5) OR (provider = 'gemini' AND line <> 7)
+       THEN CAST(len(tokens) AS INTEGER) END AS n_tokens,
+  CASE WHEN provider = 'openai' OR (provider = 'ollama' AND line <> 5)
+         THEN CAST(list_sum(list_transform(tokens, lambda x: len(x.top_logprobs))) AS INTEGER)
+       WHEN provider = 'gemini' AND line = 4 THEN 0
+       WHEN provider = 'gemini' AND line <> 7
+         THEN CAST(list_sum(list_transform(tokens, lambda x: 1 + len(x.top_logprobs))) AS INTEGER)
+  END AS n_top,
+  (provider = 'gemini' AND line = 7) AS only_avg,
+  CASE WHEN provider = 'gemini' AND line = 7
+         THEN 'not available at per-token granularity for this model/API version (avgLogprobs=-0.25)'
+       WHEN provider = 'ollama' AND line = 5
+         THEN 'Ollama logprobs requested but not returned (null/absent). internal_prob_answer set to None.'
+  END AS logprob_note
+FROM payloads""", "f1_raw", "f6"))
+def q_normalize_logprobs(spark, sf_dir):
+    n = PL.normalize_logprobs(FX.provider_payloads(spark, sf_dir))
+    return n.select("model_id", "question_id", "trial_index", "provider",
+                    F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"),
+                    F.aggregate(F.col("tokens"), F.lit(0), lambda acc, x: acc + F.size(x["top_logprobs"]))
+                    .alias("n_top"),
+                    "only_avg", "logprob_note")

@@ -315,3 +315,15 @@ token_logprobs AS (
   FROM f5_alts)"""
 ORDER.append("f5")
 DEPS["f5"] = ["f1_raw"]
+
+CTES["f6"] = r"""
+payload_src AS (
+  SELECT t.*, r.raw_response, r.input_tokens, r.output_tokens, r.l_linenumber AS line
+  FROM token_logprobs t JOIN raw_responses r USING (model_id, question_id, trial_index)),
+payloads AS (
+  SELECT *, CASE WHEN model_id = 'R' THEN 'anthropic'
+                 WHEN model_id = 'A' AND line IN (5, 6) THEN 'ollama'
+                 WHEN model_id = 'A' THEN 'openai' ELSE 'gemini' END AS provider
+  FROM payload_src)"""
+ORDER.append("f6")
+DEPS["f6"] = ["f5"]

@@ -233,7 +233,63 @@ def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(*head, tok(sp_letter, lp, alts)))
     )
     return r.select("model_id", "question_id", "trial_index",
-                    letter.alias("predicted_letter"), arr.alias("tokens"))
+                    letter.alias("predicted_letter"), arr.alias("tokens"), "raw_response",
+                    "input_tokens", "output_tokens", F.col("l_linenumber").alias("line"))
+
+
+GEMINI_AVG_LOGPROB = -0.25
+
+
+def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider JSON payloads built from F1 replies and F5 token arrays.
+
+    R -> Anthropic content parts; A -> OpenAI choices with token logprobs
+    (line 6: Ollama shape, line 5: Ollama without logprobs); N -> Gemini
+    parts with a thought part and topCandidates (line 4: chosenCandidates,
+    line 7: only an average log-probability).
+    """
+    t = token_logprobs(spark, sf_dir)
+    reply, toks, ln = F.col("raw_response"), F.col("tokens"), F.col("line")
+    inp, out = F.col("input_tokens").cast("long"), F.col("output_tokens").cast("long")
+    anthropic = F.to_json(F.struct(
+        F.array(F.struct(F.lit("thinking").alias("type"), F.lit("scratch").alias("text")),
+                F.struct(F.lit("text").alias("type"), reply.alias("text"))).alias("content"),
+        F.struct(inp.alias("input_tokens"), out.alias("output_tokens")).alias("usage")))
+    openai = F.to_json(F.struct(
+        F.array(F.struct(F.struct(reply.alias("content")).alias("message"),
+                         F.struct(toks.alias("content")).alias("logprobs"))).alias("choices"),
+        F.struct(inp.alias("prompt_tokens"), out.alias("completion_tokens")).alias("usage")))
+    ollama = F.to_json(F.struct(reply.alias("response"), inp.alias("prompt_eval_count"),
+                                out.alias("eval_count"),
+                                F.when(ln != 5, toks).alias("logprobs")))
+    cand = lambda tk, lp: F.struct(tk.alias("token"), lp.alias("logProbability"))
+    top = F.transform(toks, lambda x: F.struct(F.concat(
+        F.array(cand(x["token"], x["logprob"])),
+        F.transform(x["top_logprobs"], lambda a: cand(a["token"], a["logprob"]))).alias("candidates")))
+    chosen = F.transform(toks, lambda x: cand(x["token"], x["logprob"]))
+    lpr = (F.when(ln == 7, F.lit(None))
+           .when(ln == 4, F.struct(F.lit(None).cast("array<struct<candidates:"
+                                             "array<struct<token:string,logProbability:double>>>>")
+                                   .alias("topCandidates"), chosen.alias("chosenCandidates")))
+           .otherwise(F.struct(top.alias("topCandidates"),
+                               F.lit(None).cast("array<struct<token:string,logProbability:double>>")
+                               .alias("chosenCandidates"))))
+    gemini = F.to_json(F.struct(
+        F.array(F.struct(
+            F.struct(F.array(F.struct(F.lit("Thinking it over.").alias("text"), F.lit(True).alias("thought")),
+                             F.struct(reply.alias("text"), F.lit(None).cast("boolean").alias("thought")))
+                     .alias("parts")).alias("content"),
+            F.lit(GEMINI_AVG_LOGPROB).alias("avgLogprobs"),
+            lpr.alias("logprobsResult"))).alias("candidates"),
+        F.struct(inp.alias("promptTokenCount"), out.alias("candidatesTokenCount")).alias("usageMetadata")))
+    m = F.col("model_id")
+    provider = (F.when(m == "R", F.lit("anthropic"))
+                .when((m == "A") & ln.isin(5, 6), F.lit("ollama"))
+                .when(m == "A", F.lit("openai")).otherwise(F.lit("gemini")))
+    payload = (F.when(provider == "anthropic", anthropic).when(provider == "openai", openai)
+               .when(provider == "ollama", ollama).otherwise(gemini))
+    return t.select("model_id", "question_id", "trial_index", provider.alias("provider"),
+                    payload.alias("payload"))
 
 
 def freeform_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
