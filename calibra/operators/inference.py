@@ -68,29 +68,34 @@ def difficulty_regression(feat: DataFrame, keys=("model_id",), level: float = 0.
 # Spearman rank correlation with average ranks
 # ---------------------------------------------------------------------------
 
-def _midranks(cells: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Average (mid) rank of each distinct value: window over distinct values only."""
-    dist = cells.groupBy(*keys, col).agg(F.sum("w").alias("cnt"))
-    w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    return dist.select(*keys, col, (F.sum("cnt").over(w) - (F.col("cnt") - 1) / 2.0).alias(out))
+def _midrank(keys: list[str], col: str) -> F.Column:
+    """Average rank of a distinct value from windows over the cells table.
+
+    cumulative weight through the value (RANGE frame: ties included) minus
+    half of the value's own weight less one.
+    """
+    upto = Window.partitionBy(*keys).orderBy(col).rangeBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy(*keys, col)
+    return F.sum("w").over(upto) - (F.sum("w").over(same) - 1) / 2.0
 
 
 def spearman(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> DataFrame:
     """Spearman rho (and n) per group.
 
-    Rows are compressed to distinct (x, y) cells with multiplicities, each
-    distinct value gets its mid-rank from a running count, and rho is the
-    weighted Pearson correlation of the ranks.  Cost is set by the number
-    of distinct values, not rows.
+    Rows are compressed to distinct (x, y) cells with multiplicities (map-side
+    partial aggregation), each cell gets the mid-ranks of its x and y from
+    windows over the cells of its group, and rho is the weighted Pearson
+    correlation of the ranks.  One scan, no joins; window cost is set by
+    the number of distinct values, not rows.  (A continuous score with a
+    huge number of distinct values per group would need range-partitioned
+    ranks with prefix offsets instead.)
     """
     keys = list(keys)
     cells = M.drop_null_groups(
         feat.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("w")), [x, y], "w")
-    rx = _midranks(cells, keys, x, "rx")
-    ry = _midranks(cells, keys, y, "ry")
-    j = cells.join(rx, keys + [x]).join(ry, keys + [y])
+    ranked = cells.withColumn("rx", _midrank(keys, x)).withColumn("ry", _midrank(keys, y))
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
-    agg = j.groupBy(*keys).agg(
+    agg = ranked.groupBy(*keys).agg(
         F.sum(w).alias("sw"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
         F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"))
     n = F.col("sw")

@@ -1085,3 +1085,23 @@ def q_normalize_logprobs(spark, sf_dir):
                     F.aggregate(F.col("tokens"), F.lit(0), lambda acc, x: acc + F.size(x["top_logprobs"]))
                     .alias("n_top"),
                     "only_avg", "logprob_note")
+
+
+# ---------------------------------------------------------------------------
+# Reference-layout result tables (p-values / bootstrap: rows-only check)
+# ---------------------------------------------------------------------------
+
+from calibra.plans import audit as AUD  # noqa: E402
+
+
+@register("overall_by_model_ci")
+def q_overall_by_model_ci(spark, sf_dir):
+    """A2 with 2000-replicate bootstrap intervals of accuracy, gap and ECE."""
+    return rounded(AUD.overall_with_ci(feat(spark, sf_dir), FX.FIXTURE_MODELS))
+
+
+@register("holm_model_tests")
+def q_holm_model_tests(spark, sf_dir):
+    """I6 over per-model slope t-tests and hard > easy bootstrap p-values."""
+    reg = AUD.regression_table(feat(spark, sf_dir))
+    return rounded(AUD.holm_tests(reg, FX.FIXTURE_MODELS))
