@@ -132,3 +132,12 @@ def drop_null_groups(agg, key_cols: list[str], count_col: str):
         cond = F.col(k).isNull()
         any_null = cond if any_null is None else (any_null | cond)
     return agg.filter(F.col(count_col) > F.when(any_null, F.col(count_col)).otherwise(F.lit(0)))
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson correlation over rows where both are present; NULL (not an
+    ANSI division error) when either side is constant."""
+    xc, yc = _c(x).cast("double"), _c(y).cast("double")
+    both = xc.isNotNull() & yc.isNotNull()
+    xs, ys = F.when(both, xc), F.when(both, yc)
+    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))

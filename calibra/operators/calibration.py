@@ -139,7 +139,7 @@ def verbal_vs_internal(feat: DataFrame, internal_col: str = "internal_prob_answe
     agg = feat.groupBy("model_id").agg(
         F.count(F.when(raw_present, F.lit(1))).alias("n_raw_internal"),
         F.count(F.when(usable, F.lit(1))).alias("n_usable"),
-        F.corr(F.when(usable, F.col(SCORE)), ip).alias("r"),
+        M.safe_corr(F.when(usable, F.col(SCORE)), ip).alias("r"),
         M.ece(F.when(usable, F.col(SCORE)), F.col(CORRECT), w).alias("ece_v"),
         M.ece(ip, F.col(CORRECT), w).alias("ece_i"))
     enough = F.col("n_raw_internal") >= min_rows
@@ -220,3 +220,21 @@ def difficulty_pivots(feat: DataFrame) -> DataFrame:
         F.first("acc").alias("accuracy"), F.first("conf").alias("confidence"),
         F.first("gap").alias("gap"))
     return p
+
+
+def ordered(df: DataFrame, models: list[str] | None = None, by_difficulty: bool = False) -> DataFrame:
+    """K6: presentation order - configured model order, then easy < medium < hard.
+
+    Sorting happens only on small result tables, right before a sink.
+    """
+    cols = []
+    if models:
+        ordinal = F.lit(len(models))
+        for i, m in reversed(list(enumerate(models))):
+            ordinal = F.when(F.col("model_id") == m, F.lit(i)).otherwise(ordinal)
+        cols.append(ordinal)
+    cols.append(F.col("model_id"))
+    if by_difficulty:
+        d = F.col("difficulty")
+        cols.append(F.when(d == "easy", 0).when(d == "medium", 1).when(d == "hard", 2).otherwise(3))
+    return df.orderBy(*cols)

@@ -268,11 +268,15 @@ def _points(feat: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bootstrap_poisson(feat: DataFrame, keys=("model_id",), n_boot: int = 200, level: float = 0.95,
-                      seed: int = 42) -> DataFrame:
-    """I4(a)/I5: Poisson bootstrap CIs and the one-sided hard > easy p."""
+                      seed: int = 42, cluster_col: str | None = None) -> DataFrame:
+    """I4(a)/I5: Poisson bootstrap CIs and the one-sided hard > easy p.
+
+    With ``cluster_col`` (I8) every row of a cluster (e.g. a question)
+    shares one weight per replicate: a cluster bootstrap.
+    """
     keys = list(keys)
-    key_col = F.concat_ws("|", *[F.col(c).cast("string") for c in
-                                 ("model_id", "question_id", "trial_index")])
+    parts = ("model_id", cluster_col) if cluster_col else ("model_id", "question_id", "trial_index")
+    key_col = F.concat_ws("|", *[F.col(c).cast("string") for c in parts])
     reps = poisson_replicates(feat, key_col, n_boot, seed).groupBy(*keys, "replicate").agg(
         *weighted_metrics(keys))
     ci = _ci_from_replicates(reps, keys, level)

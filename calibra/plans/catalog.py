@@ -445,7 +445,7 @@ _W_THRESH = INF.poisson1_thresholds()
 _W_SQL = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in _W_THRESH)
 
 
-def _poisson_sql(n_boot: int) -> str:
+def _poisson_sql(n_boot: int, cluster: bool = False) -> str:
     ece_w = O.ece_sql("confidence_norm", "correct", "w")
     hme = ("(sum(CASE WHEN difficulty = 'hard' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'hard' THEN w END)"
            " - sum(CASE WHEN difficulty = 'hard' THEN w * correct END) / sum(CASE WHEN difficulty = 'hard' THEN w END))"
@@ -454,8 +454,8 @@ def _poisson_sql(n_boot: int) -> str:
     return f""",
 reps AS (
   SELECT f.*, r.replicate,
-    ('0x' || substr(md5('42|' || CAST(r.replicate AS VARCHAR) || '|' || model_id || '|' || question_id || '|'
-      || CAST(trial_index AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+    ('0x' || substr(md5('42|' || CAST(r.replicate AS VARCHAR) || '|' || model_id || '|' || question_id
+      {"" if cluster else "|| '|' || CAST(trial_index AS VARCHAR)"}), 1, 8))::BIGINT / 4294967296.0 AS u
   FROM feat f, (SELECT CAST(range AS INTEGER) AS replicate FROM range({n_boot})) r),
 wrep AS (SELECT *, {_W_SQL} AS w FROM reps),
 rm AS (
@@ -1105,3 +1105,12 @@ def q_holm_model_tests(spark, sf_dir):
     """I6 over per-model slope t-tests and hard > easy bootstrap p-values."""
     reg = AUD.regression_table(feat(spark, sf_dir))
     return rounded(AUD.holm_tests(reg, FX.FIXTURE_MODELS))
+
+
+@register("bootstrap_ci_cluster", O.with_ctes(_poisson_sql(N_BOOT_POISSON, cluster=True) + f"""
+SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi,
+  {O.rnd('p_le_0')} AS p_le_0
+FROM plong JOIN ci USING (model_id, metric)""", "f1").replace(")\n,", "),", 1))
+def q_bootstrap_ci_cluster(spark, sf_dir):
+    """I8: cluster (by question) Poisson bootstrap."""
+    return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON, cluster_col="question_id"))

@@ -82,3 +82,11 @@ def test_pick_first_per_tier_prefers_stem(spark):
          ("q0", "STEM", "easy")], "question_id string, domain string, difficulty string")
     got = sorted((r.difficulty, r.question_id) for r in B.pick_first_per_tier(bank).collect())
     assert got == [("easy", "q0"), ("hard", "q2"), ("medium", "q4")]
+
+
+def test_require_columns_lists_missing(spark):
+    import pytest
+    df = spark.createDataFrame([("q", "s")], "question string, subject string")
+    B.require_columns(df, ["question", "subject"])
+    with pytest.raises(ValueError, match=r"missing columns: \['answer', 'choices'\]"):
+        B.require_columns(df, ["question", "subject", "choices", "answer"])

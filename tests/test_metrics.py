@@ -90,3 +90,22 @@ def test_hard_minus_easy_null_when_tier_missing(spark):
     assert out["m"].hard_minus_easy_gap is None and out["m"].hard_gt_easy == "INCOMPLETE"
     assert out["k"].hard_minus_easy_gap == pytest.approx(0.8 - (0.9 - 1.0))
     assert out["k"].hard_gt_easy == "YES"
+
+
+def test_internal_threshold_counts_raw_values_before_coercion(spark):
+    """< 30 raw non-null values -> note; the count is taken before coercion."""
+    rows = [("m29", 0.8, 1.0, "0.7") for _ in range(29)] + [("m30", 0.8, 1.0, "0.7") for _ in range(29)] \
+        + [("m30", 0.8, 1.0, "junk")]
+    feat = spark.createDataFrame(rows, "model_id string, confidence_norm double, correct double, "
+                                       "internal_prob_answer string")
+    out = {r.model_id: r for r in C.verbal_vs_internal(feat).collect()}
+    assert out["m29"].note == "insufficient / unavailable internal probs" and out["m29"].n_with_internal == 29
+    assert out["m30"].note is None and out["m30"].n_with_internal == 29
+    assert out["m30"].ece_verbal == pytest.approx(0.2) and out["m30"].ece_internal == pytest.approx(0.3)
+
+
+def test_presentation_order(spark):
+    df = spark.createDataFrame([("A", "hard"), ("R", "easy"), ("A", "easy"), ("N", "medium")],
+                               "model_id string, difficulty string")
+    got = [(r.model_id, r.difficulty) for r in C.ordered(df, ["R", "A", "N"], by_difficulty=True).collect()]
+    assert got == [("R", "easy"), ("A", "easy"), ("A", "hard"), ("N", "medium")]
