@@ -335,7 +335,7 @@ from calibra.operators import inference as INF  # noqa: E402
 
 
 @register("difficulty_regression", O.with_ctes(f"""
-SELECT model_id, regr_count(overconfidence_gap_row, difficulty_numeric) AS n,
+SELECT model_id, CAST(regr_count(overconfidence_gap_row, difficulty_numeric) AS BIGINT) AS n,
   {O.rnd('regr_slope(overconfidence_gap_row, difficulty_numeric)')} AS slope,
   {O.rnd('''sqrt(greatest(regr_syy(overconfidence_gap_row, difficulty_numeric)
       - regr_slope(overconfidence_gap_row, difficulty_numeric) * regr_sxy(overconfidence_gap_row, difficulty_numeric), 0)

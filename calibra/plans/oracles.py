@@ -245,7 +245,7 @@ calls AS (
       WHEN 'signup' THEN 'ollama' WHEN 'error' THEN 'acme' END AS provider,
     ['gpt-4o-mini', 'gemini-2.5-flash', 'unlisted-model'][CAST(event_id % 3 AS INTEGER) + 1] AS model,
     CAST(floor(value * 10) AS BIGINT) AS input_tokens,
-    CAST(json_extract_string(props, '$.k') AS BIGINT) AS output_tokens
+    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS output_tokens
   FROM events),
 pricing AS (SELECT * FROM (VALUES {_pricing_values()}) t(provider, model, in_rate, out_rate)),
 costed AS (

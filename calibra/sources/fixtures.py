@@ -133,7 +133,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(m) for m in EVENT_MODEL_BY_MOD3]),
                      (F.col("event_id") % 3 + 1).cast("int")).alias("model"),
         F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("output_tokens"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("output_tokens"),
     )
 
 

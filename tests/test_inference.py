@@ -152,3 +152,10 @@ def test_poisson_weights_have_mean_one(spark):
     u = np.random.default_rng(0).random(200000)
     w = (u[:, None] >= np.array(th)[None, :]).sum(1)
     assert w.mean() == pytest.approx(1.0, abs=0.01) and w.var() == pytest.approx(1.0, abs=0.02)
+
+
+def test_bootstrap_picks_method_by_checked_cell_count(spark):
+    f = _boot_feat(spark)
+    a = INF.bootstrap(f, n_boot=100)
+    b = INF.bootstrap(f, n_boot=100, max_cells=5)   # falls back to the Poisson form
+    assert a.count() == b.count() == 8
