@@ -240,17 +240,21 @@ CALLS_SCHEMA = T.StructType([
 # Dimension tables (fixed, tiny: safe to broadcast)
 # ---------------------------------------------------------------------------
 
-def subject_dim(spark: SparkSession) -> DataFrame:
+def subject_dim(spark: SparkSession, domains: dict | None = None, tiers: dict | None = None) -> DataFrame:
     """subject -> domain, difficulty with ordinals.
 
-    First domain listing a subject wins; for tiers the last tier wins.  The
+    ``domains`` / ``tiers`` are {key: [subjects]} maps as found in the
+    study's configuration files (defaults: the fixed maps above).  First
+    domain listing a subject wins; for tiers the last tier wins.  The
     priorities are carried as columns and resolved with one ``groupBy``.
     """
     from pyspark.sql import functions as F
 
-    dom_rows = [(s, d, di, si) for di, (d, subs) in enumerate(DOMAIN_SUBJECTS.items())
+    domains = DOMAIN_SUBJECTS if domains is None else domains
+    tiers = TIER_SUBJECTS if tiers is None else tiers
+    dom_rows = [(s, d, di, si) for di, (d, subs) in enumerate(domains.items())
                 for si, s in enumerate(subs)]
-    tier_rows = [(s, t, ti) for ti, (t, subs) in enumerate(TIER_SUBJECTS.items()) for s in subs]
+    tier_rows = [(s, t, ti) for ti, (t, subs) in enumerate(tiers.items()) for s in subs]
     dom = spark.createDataFrame(dom_rows, "subject string, domain string, domain_prio int, pos int")
     tier = spark.createDataFrame(tier_rows, "subject string, difficulty string, tier_prio int")
     dom1 = dom.groupBy("subject").agg(

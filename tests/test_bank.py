@@ -90,3 +90,9 @@ def test_require_columns_lists_missing(spark):
     B.require_columns(df, ["question", "subject"])
     with pytest.raises(ValueError, match=r"missing columns: \['answer', 'choices'\]"):
         B.require_columns(df, ["question", "subject", "choices", "answer"])
+
+
+def test_subject_dim_from_custom_maps(spark):
+    dims = {r.subject: (r.domain, r.difficulty) for r in subject_dim(
+        spark, {"D1": ["a", "b"], "D2": ["b", "c"]}, {"easy": ["a", "b"], "hard": ["b"], "medium": ["c"]}).collect()}
+    assert dims == {"a": ("D1", "easy"), "b": ("D1", "hard"), "c": ("D2", "medium")}

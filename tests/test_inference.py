@@ -159,3 +159,13 @@ def test_bootstrap_picks_method_by_checked_cell_count(spark):
     a = INF.bootstrap(f, n_boot=100)
     b = INF.bootstrap(f, n_boot=100, max_cells=5)   # falls back to the Poisson form
     assert a.count() == b.count() == 8
+
+
+def test_one_sided_bootstrap_p_can_be_zero(spark):
+    """No +1 correction - a clear hard > easy effect gives p = 0.0 exactly."""
+    rows = [("m", f"q{i}", 0, "easy", 90, 0.9, 1.0) for i in range(300)] + \
+           [("m", f"h{i}", 0, "hard", 90, 0.9, float(i % 10 == 0)) for i in range(300)]
+    f = spark.createDataFrame(rows, "model_id string, question_id string, trial_index int, difficulty string, "
+                                    "confidence int, confidence_norm double, correct double")
+    r = INF.bootstrap_cells(f, n_boot=500).filter("metric = 'hard_minus_easy_gap'").first()
+    assert r.p_le_0 == 0.0 and r.point == pytest.approx(0.9)

@@ -91,3 +91,12 @@ def test_dry_run_reproduces_published_estimate(spark):
     assert round(out["TOTAL"].est_cost_usd, 2) == 2.86
     assert out["TOTAL"].est_hours == pytest.approx(8.25)
     assert [round(out[m].est_hours, 2) for m in ("claude_haiku", "gpt4o_mini", "gemini_flash")] == [2.62, 1.5, 4.12]
+
+
+def test_error_rows_count_as_done(spark):
+    """A done row carrying an error is not re-planned."""
+    bank = spark.createDataFrame([("q1",), ("q2",)], "question_id string")
+    plan = OPS.collection_plan(bank, ["m"], 1)
+    done = spark.createDataFrame([("q1", "m", 0, "TimeoutError: x")],
+                                 "question_id string, model_id string, trial_index int, error string")
+    assert [r.question_id for r in OPS.remaining_work(plan, done).collect()] == ["q2"]
