@@ -16,8 +16,18 @@ SLIM_DROP = ["raw_response", "internal_prob_alternatives", "error"]
 
 
 def parse_responses(df: DataFrame, text_col: str = "raw_response") -> DataFrame:
-    """Add predicted_letter, confidence, parse_ok parsed from the reply."""
-    return df.withColumns(parsing.parse_reply(text_col))
+    """Add predicted_letter, confidence, parse_ok parsed from the reply.
+
+    The two regex matches come out of a one-row generator (``inline``):
+    Catalyst cannot push a filter on generator output below the generator,
+    so later filters on the parse (e.g. the analysis filter) read the parsed
+    values instead of re-running both regexes in a pushed-down copy.
+    """
+    p = parsing.parse_reply(text_col)
+    keep = [c for c in df.columns if c not in ("predicted_letter", "confidence", "parse_ok")]
+    parsed = df.select(*keep, F.inline(F.array(F.struct(
+        p["predicted_letter"].alias("predicted_letter"), p["confidence"].alias("confidence")))))
+    return parsed.withColumn("parse_ok", F.col("predicted_letter").isNotNull() & F.col("confidence").isNotNull())
 
 
 def score_responses(df: DataFrame, text_col: str = "raw_response",
