@@ -18,8 +18,12 @@ NO_TOKENS_NOTE = "no answer letter or empty logprobs"
 MISSING_LOGPROB_NOTE = "matched token missing logprob"
 
 
+# ASCII whitespace stripped from tokens (space, tab, newline, CR, VT, FF).
+_WS = " \t\n\r\x0b\x0c"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(_WS))
 
 
 def answer_token_prob(df: DataFrame, tokens_col: str = "tokens",
@@ -133,8 +137,12 @@ def trial_consistency(feat: DataFrame, item_col: str = "question_id",
     No pair is ever materialised, and a hot item is reduced map-side.
     """
     v = F.col(value_col).cast("double")
-    per_item = feat.groupBy("model_id", item_col).agg(
-        F.count(v).cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    # one scan: distinct values per item with multiplicities feed both parts
+    cells = M.drop_null_groups(feat.groupBy("model_id", item_col, v.alias("c")).agg(
+        F.count(F.lit(1)).cast("double").alias("cnt")), ["c"], "cnt")
+    c, cnt = F.col("c"), F.col("cnt")
+    per_item = cells.groupBy("model_id", item_col).agg(
+        F.sum(cnt).alias("n"), F.sum(cnt * c).alias("s"), F.sum(cnt * c * c).alias("q"))
     per_item = per_item.filter(F.col("n") >= 2)
     pair_terms = per_item.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -145,8 +153,6 @@ def trial_consistency(feat: DataFrame, item_col: str = "question_id",
     np_, sx, sxx, sxy = F.col("np"), F.col("sx"), F.col("sxx"), F.col("sxy")
     r = F.try_divide(np_ * sxy - sx * sx, np_ * sxx - sx * sx)
 
-    cells = M.drop_null_groups(feat.groupBy("model_id", item_col, v.alias("c")).agg(
-        F.count(F.lit(1)).cast("double").alias("cnt")), ["c"], "cnt")
     w = Window.partitionBy("model_id", item_col).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     below = cells.withColumns({"c_lt": F.coalesce(F.sum("cnt").over(w), F.lit(0.0)),
                                "s_lt": F.coalesce(F.sum(F.col("cnt") * F.col("c")).over(w), F.lit(0.0))})

@@ -158,8 +158,9 @@ def chi2_independence(df: DataFrame, keys: list[str], row_col: str, col_col: str
     freedom are (rows - 1) * (cols - 1) of the observed levels.
     """
     cells = df.groupBy(*keys, row_col, col_col).agg(F.count(F.lit(1)).alias("o"))
-    rows_lv = df.select(*keys, row_col).distinct()
-    cols_lv = df.select(*keys, col_col).distinct()
+    # observed levels come from the (small) cell table: the data is read once
+    rows_lv = cells.select(*keys, row_col).distinct()
+    cols_lv = cells.select(*keys, col_col).distinct()
     full = rows_lv.join(cols_lv, keys).join(cells, keys + [row_col, col_col], "left") \
         .withColumn("o", F.coalesce("o", F.lit(0)).cast("double"))
     g = Window.partitionBy(*keys)
