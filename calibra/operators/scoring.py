@@ -64,11 +64,11 @@ def response_features(df: DataFrame) -> DataFrame:
     correct = is_correct as 0/1, overconfidence_gap_row = norm - correct.
     """
     a = analysis_rows(df)
-    return a.withColumns({
-        "confidence_norm": F.col("confidence").cast("double") / 100.0,
-        "difficulty_numeric": difficulty_numeric("difficulty"),
-        "correct": F.col("is_correct").cast("double"),
-    }).withColumn("overconfidence_gap_row", F.col("confidence_norm") - F.col("correct"))
+    cols = {"confidence_norm": F.col("confidence").cast("double") / 100.0,
+            "correct": F.col("is_correct").cast("double")}
+    if "difficulty" in df.columns:
+        cols["difficulty_numeric"] = difficulty_numeric("difficulty")
+    return a.withColumns(cols).withColumn("overconfidence_gap_row", F.col("confidence_norm") - F.col("correct"))
 
 
 def primary_models(df: DataFrame, models: list[str], model_col: str = "model_id") -> DataFrame:

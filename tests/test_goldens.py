@@ -64,3 +64,31 @@ def test_published_bootstrap_intervals(feat):
         assert a.ci_hi == pytest.approx(p["acc_hi"], abs=0.003)
         assert e.ci_lo == pytest.approx(p["ece_lo"], abs=0.003)
         assert e.ci_hi == pytest.approx(p["ece_hi"], abs=0.003)
+
+
+# The study's 9-record smoke file (model, raw reply, stored letter, correct letter,
+# stored confidence).
+SMOKE = [
+    ("gemini_flash", "ANSWER: A\nCONFIDENCE: 100", "A", "B", 100),
+    ("llama3.1", "ANSWER: A\nCONFIDENCE: 90", "A", "B", 90),
+    ("mistral", " ANSWER: A\nCONFIDENCE: 95", "A", "B", 95),
+    ("gemini_flash", "ANSWER: A\nCONFIDENCE: 95", "A", "B", 95),
+    ("llama3.1", "ANSWER: B\nCONFIDENCE: 90", "B", "B", 90),
+    ("mistral", " ANSWER: A\nCONFIDENCE: 95", "A", "B", 95),
+    ("gemini_flash", "ANSWER: B\nCONFIDENCE: 100", "B", "B", 100),
+    ("llama3.1", "ANSWER: A\nCONFIDENCE: 80", "A", "B", 80),
+    ("mistral", " ANSWER: A\nCONFIDENCE: 100", "A", "B", 100),
+]
+
+
+def test_smoke_file_reparses_and_scores(spark):
+    from calibra.operators.scoring import response_features, score_responses
+    df = spark.createDataFrame([(m, r, p, c, k) for m, r, p, c, k in SMOKE],
+                               "model_id string, raw_response string, stored_letter string, "
+                               "correct_letter string, stored_conf int")
+    scored = score_responses(df).collect()
+    for row in scored:
+        assert row.predicted_letter == row.stored_letter and row.confidence == row.stored_conf
+        assert row.parse_ok
+    acc = {r.model_id: r.accuracy for r in C.capability_vs_ece(response_features(score_responses(df))).collect()}
+    assert acc == pytest.approx({"gemini_flash": 1 / 3, "llama3.1": 1 / 3, "mistral": 0.0})
