@@ -26,3 +26,32 @@ def test_run_audit_writes_all_tables(spark):
     assert sorted(r.model_id for r in bins.select("model_id").distinct().collect()) == ["A", "N", "R"]
     slim = spark.read.parquet(os.path.join(out, "slim_results"))
     assert "raw_response" not in slim.columns
+
+
+def test_v1_csv_results_give_the_same_tables(spark):
+    """S1 + P1 + P2 end to end: a v1 CSV (text flags, '80.0' confidences,
+    multi-line replies) read back gives the same calibration table."""
+    from pyspark.sql import functions as F
+
+    from calibra.operators import calibration as C
+    from calibra.operators.scoring import response_features
+    from calibra.schemas import RESPONSE_V1_SCHEMA
+    from calibra.sources.readers import read_results_csv
+
+    scored = FX.responses(spark, SF001)
+    v1 = scored.select(
+        "question_id", "subject", "domain", "difficulty", "model_id", "backend", "model_name",
+        F.col("trial_index").alias("trial"), "temperature", F.lit("prompt\nwith lines").alias("prompt"),
+        "raw_response", "error", "predicted_letter", "correct_letter",
+        F.when(F.col("is_correct"), "True").otherwise("False").alias("is_correct"),
+        F.format_string("%.1f", F.col("confidence").cast("double")).alias("confidence"),
+        F.when(F.col("parse_ok"), "True").otherwise("False").alias("parse_ok"),
+        F.col("collection_timestamp").cast("string").alias("timestamp_utc"))
+    out = tempfile.mkdtemp(prefix="calibra-v1-", dir="/tmp")
+    v1.write.option("header", True).option("quote", '"').option("escape", '"').csv(out + "/csv")
+    back = read_results_csv(spark, out + "/csv", RESPONSE_V1_SCHEMA)
+    assert back.count() == scored.count()
+    a = {r.model_id: r for r in C.overall_by_model(response_features(back)).collect()}
+    b = {r.model_id: r for r in C.overall_by_model(response_features(scored)).collect()}
+    for m in b:
+        assert a[m].n == b[m].n and abs(a[m].ece - b[m].ece) < 1e-12 and abs(a[m].accuracy - b[m].accuracy) < 1e-12
