@@ -407,7 +407,7 @@ def _chi2_sql(keys: str) -> str:
 {_chi2_sql('model_id').strip()}
 SELECT model_id, n, {O.rnd('chi2')} AS chi2, dof,
   {O.rnd('CASE WHEN chi2 IS NOT NULL THEN exp(-chi2 / 2) END')} AS p_value
-FROM chi""".replace("\n,\n", "", 1), "f1").replace(")\n,", "),", 1))
+FROM chi""", "f1"))
 def q_parse_missingness_chi2(spark, sf_dir):
     return rounded(INF.parse_missingness_chi2(raw(spark, sf_dir)))
 
@@ -435,7 +435,7 @@ rk AS (SELECT *, CAST(row_number() OVER (ORDER BY coalesce(p_raw, 1.0), input_or
 SELECT test, {O.rnd('p_raw')} AS p_raw,
   {O.rnd('CASE WHEN p_raw IS NOT NULL THEN max(least(1.0, p_raw * (m - rank + 1))) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END')} AS p_holm,
   rank
-FROM rk""".replace("\n,\n", "", 1), "f1").replace(")\n,", "),", 1))
+FROM rk""", "f1"))
 def q_holm_correction(spark, sf_dir):
     return rounded(INF.holm(holm_input(spark, sf_dir)))
 
@@ -491,14 +491,14 @@ plong AS (
 @register("bootstrap_ci_poisson", O.with_ctes(_poisson_sql(N_BOOT_POISSON) + f"""
 SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi,
   {O.rnd('p_le_0')} AS p_le_0
-FROM plong JOIN ci USING (model_id, metric)""", "f1").replace(")\n,", "),", 1))
+FROM plong JOIN ci USING (model_id, metric)""", "f1"))
 def q_bootstrap_ci_poisson(spark, sf_dir):
     return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON))
 
 
 @register("hard_gt_easy_boot_p", O.with_ctes(_poisson_sql(N_BOOT_POISSON) + f"""
 SELECT model_id, {O.rnd('p_le_0')} AS hard_gt_easy_p_boot FROM ci WHERE metric = 'hard_minus_easy_gap'
-""", "f1").replace(")\n,", "),", 1))
+""", "f1"))
 def q_hard_gt_easy_boot_p(spark, sf_dir):
     b = INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON)
     return rounded(b.filter(F.col("metric") == "hard_minus_easy_gap")
@@ -760,7 +760,7 @@ per AS (
   LEFT JOIN pricing p2 ON lower(r.provider) = p2.provider AND p2.model = 'default')
 SELECT coalesce(model_id, 'TOTAL') AS model_id, CAST(sum(calls) AS BIGINT) AS calls,
   {O.rnd('sum(est_cost_usd)')} AS est_cost_usd, {O.rnd('sum(est_hours)')} AS est_hours
-FROM per GROUP BY ROLLUP (model_id)""".replace("\n,\n", "", 1), "f4", "f2").replace(")\n,", "),", 1)
+FROM per GROUP BY ROLLUP (model_id)""", "f4", "f2")
 
 
 @register("dry_run_estimate", _dry_sql())
@@ -844,7 +844,7 @@ per AS (
   FROM rc GROUP BY model_id)
 SELECT model_id, n, n_ok, has_internal_prob, {O.rnd('cost_usd')} AS cost_usd, errors,
   (sum(n_ok) OVER () = sum(n) OVER ()) AND (sum(cost_usd) OVER () <= {GATE_CAP!r}) AS gate_pass
-FROM per""".replace("\n,\n", "", 1), "f1", "f2").replace(")\n,", "),", 1))
+FROM per""", "f1", "f2"))
 def q_run_gate(spark, sf_dir):
     return rounded(OPS.run_gate(raw(spark, sf_dir), GATE_CAP))
 
@@ -911,7 +911,7 @@ SELECT model_id, question_id, trial_index,
        THEN array_to_string(list_sort(list_transform(dedup, lambda x: x.token)), '|') END AS alt_tokens,
   {O.rnd("CASE WHEN NOT no_input AND len(idx) > 0 AND entry.logprob IS NOT NULL AND len(dedup) > 0 THEN list_sum(list_transform(dedup, lambda x: exp(x.logprob))) END")}
     AS alt_prob_sum
-FROM o""".replace("\n,\n", "", 1), "f5").replace(")\n,", "),", 1))
+FROM o""", "f5"))
 def q_answer_token_prob(spark, sf_dir):
     t = DG.answer_token_prob(FX.token_logprobs(spark, sf_dir))
     alts = F.col("internal_prob_alternatives")
@@ -938,7 +938,7 @@ fs AS (
 @register("format_comparison", O.with_ctes(_FMT_SQL + f"""
 SELECT model_id, {O.rnd('avg(CAST(correct_constrained AS DOUBLE))')} AS constrained,
   {O.rnd('avg(CAST(correct_unconstrained AS DOUBLE))')} AS unconstrained
-FROM fs GROUP BY model_id""", "freeform").replace(")\n,", "),", 1))
+FROM fs GROUP BY model_id""", "freeform"))
 def q_format_comparison(spark, sf_dir):
     return rounded(DG.format_comparison(_formats(spark, sf_dir)))
 
@@ -949,7 +949,7 @@ SELECT model_id, count(*) AS n_pairs,
   count(CASE WHEN correct_constrained AND NOT correct_unconstrained THEN 1 END) AS constrained_only,
   count(CASE WHEN NOT correct_constrained AND correct_unconstrained THEN 1 END) AS unconstrained_only,
   count(CASE WHEN NOT correct_constrained AND NOT correct_unconstrained THEN 1 END) AS neither
-FROM fs GROUP BY model_id""", "freeform").replace(")\n,", "),", 1))
+FROM fs GROUP BY model_id""", "freeform"))
 def q_format_discordance(spark, sf_dir):
     return DG.format_discordance(_formats(spark, sf_dir))
 
@@ -963,8 +963,8 @@ both_ways AS (SELECT model_id, x, y FROM pairs UNION ALL SELECT model_id, y, x F
 SELECT p.model_id, p.n_items, p.n_pairs, {O.rnd('b.r')} AS pair_corr, {O.rnd('p.mad')} AS mean_abs_delta
 FROM (SELECT model_id, count(DISTINCT question_id) AS n_items, count(*) AS n_pairs, avg(abs(x - y)) AS mad
       FROM pairs GROUP BY model_id) p
-JOIN (SELECT model_id, corr(x, y) AS r FROM both_ways GROUP BY model_id) b USING (model_id)""".replace("\n,\n", "", 1),
-    "f1").replace(")\n,", "),", 1))
+JOIN (SELECT model_id, corr(x, y) AS r FROM both_ways GROUP BY model_id) b USING (model_id)""",
+    "f1"))
 def q_trial_consistency(spark, sf_dir):
     return rounded(DG.trial_consistency(feat(spark, sf_dir)))
 
@@ -998,7 +998,7 @@ rc AS (
   LEFT JOIN pricing p2 ON lower(r.backend) = p2.provider AND p2.model = 'default')
 SELECT model_id, count(*) AS n, {O.rnd('avg(CAST(parse_ok AS DOUBLE))')} AS parse_ok_rate,
   {O.rnd('sum(cost)')} AS cost_usd
-FROM rc GROUP BY model_id""".replace("\n,\n", "", 1), "f1", "f2").replace(")\n,", "),", 1))
+FROM rc GROUP BY model_id""", "f1", "f2"))
 def q_progress_by_model(spark, sf_dir):
     return rounded(STM.progress_frame(raw(spark, sf_dir)))
 
@@ -1110,7 +1110,7 @@ def q_holm_model_tests(spark, sf_dir):
 @register("bootstrap_ci_cluster", O.with_ctes(_poisson_sql(N_BOOT_POISSON, cluster=True) + f"""
 SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi,
   {O.rnd('p_le_0')} AS p_le_0
-FROM plong JOIN ci USING (model_id, metric)""", "f1").replace(")\n,", "),", 1))
+FROM plong JOIN ci USING (model_id, metric)""", "f1"))
 def q_bootstrap_ci_cluster(spark, sf_dir):
     """I8: cluster (by question) Poisson bootstrap."""
     return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON, cluster_col="question_id"))

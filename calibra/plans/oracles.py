@@ -115,7 +115,12 @@ def with_ctes(body: str, *names: str) -> str:
     for n in names:
         add(n)
     parts = [CTES[n].strip() for n in ORDER if n in need]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    head = "WITH " + ",\n".join(parts)
+    rest = body.lstrip()
+    if rest.startswith(","):
+        # the body continues the WITH list with its own CTEs
+        return head + rest
+    return head + "\n" + body
 
 
 # ---------------------------------------------------------------------------
