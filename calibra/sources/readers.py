@@ -74,11 +74,24 @@ def read_jsonl_dir(spark: SparkSession, raw_dir: str, stamp: str, models: list[s
         hp = jvm.org.apache.hadoop.fs.Path(p)
         if not hp.getFileSystem(conf).exists(hp):
             raise FileNotFoundError(f"Missing {p}")
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
+    df = spark.read.schema(_lenient(schema)).option("mode", "DROPMALFORMED").json(paths)
+    df = _restore_types(df, schema)
     return df.withColumn("_file_model",
                          F.regexp_extract(F.input_file_name(), r"([^/]+)_[^_/]+\.jsonl$", 1))
 
 
+def _lenient(schema: T.StructType) -> T.StructType:
+    """Wire schema: integer fields read as double, so ``1024.0`` is not a bad record."""
+    return T.StructType([T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, (T.IntegerType, T.LongType))
+                                       else f.dataType, f.nullable) for f in schema.fields])
+
+
+def _restore_types(df: DataFrame, schema: T.StructType) -> DataFrame:
+    fixes = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields
+             if isinstance(f.dataType, (T.IntegerType, T.LongType))}
+    return df.withColumns(fixes) if fixes else df
+
+
 def read_bank_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S3: a JSON array of bank items; an empty bank is an error."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
