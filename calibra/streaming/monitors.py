@@ -107,11 +107,25 @@ def start(frame: DataFrame, name: str, mode: str, sink: str = "memory", path: st
 
 
 def append_batches(frame: DataFrame, path: str, name: str, checkpoint: str | None = None):
-    """ST1 sink: each micro-batch appended to a table; a replayed batch id is
-    skipped (the checkpoint commits the id after the write)."""
+    """ST1 sink: each micro-batch lands in its own ``batch_id=N`` folder.
+
+    The write overwrites that folder, so a batch replayed after a failure
+    (same id, same input offsets) replaces its earlier partial output instead
+    of duplicating it: exactly-once output on top of at-least-once delivery.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     spark = frame.sparkSession
     return (frame.writeStream.foreachBatch(write).queryName(name)
             .option("checkpointLocation", checkpoint or checkpoint_path(spark, name))
             .trigger(availableNow=True).start())
+
+
+def daily_spend_frame(costed: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
+                      window: str = "1 day") -> DataFrame:
+    """Per-provider spend per event-time window; closed windows only in append mode."""
+    c = event_time(costed, ts_col).withWatermark(ts_col, delay)
+    agg = c.groupBy(F.window(ts_col, window).alias("w"), "provider").agg(
+        F.count(F.lit(1)).alias("n_calls"), F.sum("cost_usd").alias("cost_usd"))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                      "provider", "n_calls", "cost_usd")

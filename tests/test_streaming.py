@@ -72,3 +72,18 @@ def test_spend_alert_stream(spark):
     got = {r.run_id for r in spark.sql("SELECT * FROM alert_test").collect()}
     want = {r.run_id for r in STM.spend_alert_frame(spark.read.parquet(path), 0.002).collect()}
     assert got == want and len(want) > 0
+
+
+def test_daily_spend_stream_closed_windows_only(spark):
+    """Events at sf0.01, 1-day windows, 1-hour watermark: 145 closed windows
+    covering 9,671 of the 10,000 calls are emitted; the last day stays open."""
+    from calibra.operators.ops import call_cost
+    from tests.conftest import SF01
+    costed = call_cost(FX.calls(spark, SF01)).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, scratch = _write_parts(costed, 1)
+    schema = spark.read.parquet(path).schema
+    frame = STM.daily_spend_frame(STM.read_stream(spark, path, schema))
+    q = STM.start(frame, "daily_spend_test", "append", checkpoint=os.path.join(scratch, "ck"))
+    q.awaitTermination(120)
+    rows = spark.sql("SELECT * FROM daily_spend_test").collect()
+    assert len(rows) == 145 and sum(r.n_calls for r in rows) == 9671
