@@ -2,9 +2,9 @@
 
 Everything row-level is an aggregate or a window over *distinct values*:
 regression from ``regr_*`` sums, Spearman from mid-ranks of distinct values
-with multiplicities, chi-square from a contingency ``groupBy``.  Python runs
-only on aggregated rows (p-values) and on compressed cells (multinomial
-bootstrap), never per data row.
+with multiplicities, chi-square from a contingency ``groupBy``.  p-values are
+built-in expressions on the aggregated rows; Python runs only on compressed
+cells (multinomial bootstrap), never per data row.
 """
 
 from __future__ import annotations
@@ -51,16 +51,15 @@ def regression_sums(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y)
 
 def difficulty_regression(feat: DataFrame, keys=("model_id",), level: float = 0.95) -> DataFrame:
     """I1 with p-value and confidence interval (t tails on one row per group)."""
-    ship_package(feat.sparkSession)
     base = regression_sums(feat, keys)
     dfree = (F.col("n") - 2).cast("double")
     tstat = F.try_divide(F.col("slope"), F.col("se"))
-    crit = ST.t_critical(F.lit(0.5 + level / 2.0), dfree)
+    crit = ST.t_quantile_col(0.5 + level / 2.0, dfree)
     return base.select(
         *keys, "n", "slope", "se",
         (F.col("slope") - crit * F.col("se")).alias("ci_lo"),
         (F.col("slope") + crit * F.col("se")).alias("ci_hi"),
-        F.when(F.col("se").isNotNull(), ST.t_p_value(tstat, dfree)).alias("p_value"),
+        F.when(F.col("se").isNotNull(), ST.t_p_value_col(tstat, dfree)).alias("p_value"),
         "r_squared")
 
 
@@ -109,10 +108,9 @@ def spearman(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> Dat
 
 def add_correlation_p(df: DataFrame, r_col: str, n_col: str = "n", out: str | None = None) -> DataFrame:
     """I3/I2 p-value: t = r sqrt((n-2)/(1-r^2)), two-sided, df = n - 2."""
-    ship_package(df.sparkSession)
     r, n = F.col(r_col), F.col(n_col).cast("double")
     t = r * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - r * r))
-    p = F.when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(ST.t_p_value(t, n - 2))
+    p = F.when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(ST.t_p_value_col(t, n - 2))
     return df.withColumn(out or f"{r_col}_p", F.when(r.isNotNull() & (n > 2), p))
 
 
@@ -184,11 +182,10 @@ def chi2_df2_p(chi2_col: str = "chi2") -> F.Column:
 
 def parse_missingness_chi2(raw: DataFrame, keys=("model_id",)) -> DataFrame:
     """Parse failure x difficulty independence per group, with p."""
-    ship_package(raw.sparkSession)
     t = chi2_independence(raw.withColumn("parsed", F.col("parse_ok").cast("string")),
                           list(keys), "parsed", "difficulty")
     p = F.when(F.col("dof") == 2, chi2_df2_p()).otherwise(
-        ST.chi2_p_value(F.col("chi2"), F.col("dof").cast("double")))
+        ST.chi2_sf_col(F.col("chi2"), F.col("dof")))
     return t.withColumn("p_value", F.when(F.col("chi2").isNotNull(), p))
 
 
