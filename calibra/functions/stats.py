@@ -137,9 +137,12 @@ def chi2_sf(x: float, dof: float) -> float:
 
 
 # ---------------------------------------------------------------------------
-# The same tails as built-in Column expressions (JVM side, no Python worker).
-# Lanczos log-gamma and the continued fraction of the incomplete beta run as
-# ``aggregate`` over a fixed sequence; meant for aggregated rows.
+# The same tails as built-in SQL expressions (JVM side, no Python worker).
+# Lanczos log-gamma and the continued fractions of the incomplete beta /
+# gamma run as ``aggregate`` over a fixed sequence.  The expression is built
+# as SQL text and handed to the JVM in one ``expr`` call (building it from
+# Column objects would cost thousands of driver round trips).  Arguments are
+# column names; meant for aggregated rows.
 # ---------------------------------------------------------------------------
 
 # Lanczos approximation, g = 7, nine coefficients.
@@ -149,84 +152,132 @@ LANCZOS_COEF = [
     -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
     1.5056327351493116e-7,
 ]
-_CF_ITERS = 120
-_NEWTON_ITERS = 12
+_CF_STEPS = 200        # half-steps of the beta continued fraction (100 full terms)
+_GAMMA_ITERS = 300
+_NEWTON_ITERS = 8
 
 
-def lgamma_col(z):
-    """log Gamma(z) for z >= 0.5 (Lanczos)."""
-    zz = z - F.lit(1.0)
-    x = F.lit(LANCZOS_COEF[0])
-    for i, c in enumerate(LANCZOS_COEF[1:], start=1):
-        x = x + F.lit(c) / (zz + F.lit(float(i)))
-    t = zz + F.lit(LANCZOS_G + 0.5)
-    return F.lit(0.5 * math.log(2 * math.pi)) + (zz + 0.5) * F.log(t) - t + F.log(x)
-
+def _d(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
 
-def _guard(v):
-    return F.when(F.abs(v) < _EPS, F.lit(_EPS)).otherwise(v)
 
+def _g(v: str) -> str:
+    return f"(CASE WHEN abs({v}) < {_d(_EPS)} THEN {_d(_EPS)} ELSE {v} END)"
 
-def _betacf_col(a, b, x):
-    qab, qap, qam = a + b, a + F.lit(1.0), a - F.lit(1.0)
-    d0 = F.lit(1.0) / _guard(F.lit(1.0) - qab * x / qap)
-    init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
 
-    def step(acc, m):
-        m = m.cast("double")
-        m2 = m * 2.0
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d1 = F.lit(1.0) / _guard(F.lit(1.0) + aa * acc["d"])
-        c1 = _guard(F.lit(1.0) + aa / acc["c"])
-        h1 = acc["h"] * d1 * c1
-        aa2 = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d2 = F.lit(1.0) / _guard(F.lit(1.0) + aa2 * d1)
-        c2 = _guard(F.lit(1.0) + aa2 / c1)
-        return F.struct(c2.alias("c"), d2.alias("d"), (h1 * d2 * c2).alias("h"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_CF_ITERS)), init, step)["h"]
-
-
-def betainc_col(a, b, x):
-    """Regularised incomplete beta I_x(a, b) as a Column."""
-    inner = F.least(F.greatest(x, F.lit(1e-300)), F.lit(1.0 - 1e-16))
-    front = F.exp(lgamma_col(a + b) - lgamma_col(a) - lgamma_col(b)
-                  + a * F.log(inner) + b * F.log1p(-inner))
-    direct = front * _betacf_col(a, b, inner) / a
-    mirror = F.lit(1.0) - front * _betacf_col(b, a, F.lit(1.0) - inner) / b
-    val = F.when(inner < (a + 1.0) / (a + b + 2.0), direct).otherwise(mirror)
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(val)
-
-
-def t_p_value_col(t, df):
-    """Two-sided Student-t p-value as a Column (NULL for NULL / non-positive df)."""
-    tt, d = t.cast("double"), df.cast("double")
-    p = F.when(F.isnan(tt), F.lit(None)).when(tt.isin(float("inf"), float("-inf")), F.lit(0.0)) \
-        .otherwise(betainc_col(d / 2.0, F.lit(0.5), d / (d + tt * tt)))
-    return F.when(tt.isNotNull() & (d > 0), p)
-
-
-def t_quantile_col(q: float, df):
-    """Student-t quantile (q > 0.5) as a Column: Newton steps on the two-sided
-    tail from a series start (normal quantile with 1/df and 1/df^2 terms)."""
-    d = df.cast("double")
+def lgamma_sql(z: str) -> str:
+    """log Gamma(z) for z >= 0.5 (Lanczos)."""
+    zz = f"(({z}) - 1D)"
+    series = " + ".join([_d(LANCZOS_COEF[0])] + [f"{_d(c)} / ({zz} + {i}D)"
+                                                 for i, c in enumerate(LANCZOS_COEF[1:], start=1)])
+    t = f"({zz} + {_d(LANCZOS_G + 0.5)})"
+    return f"({_d(0.5 * math.log(2 * math.pi))} + ({zz} + 0.5D) * ln({t}) - {t} + ln({series}))"
+
+
+def _betacf_sql(a: str, b: str, x: str) -> str:
+    qab, qap, qam = f"({a} + {b})", f"({a} + 1D)", f"({a} - 1D)"
+    d0 = f"(1D / {_g(f'1D - {qab} * {x} / {qap}')})"
+    m = "CAST((cf_k + 1) DIV 2 AS DOUBLE)"
+    aa = (f"(CASE WHEN cf_k % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({qam} + 2D * {m}) * ({a} + 2D * {m})) "
+          f"ELSE -({a} + {m}) * ({qab} + {m}) * {x} / (({a} + 2D * {m}) * ({qap} + 2D * {m})) END)")
+    dn = f"(1D / {_g(f'1D + {aa} * cf.d')})"
+    cn = _g(f"1D + {aa} / cf.c")
+    # h is carried one factor behind (h_k = h * d * c of the state), so each
+    # step's coefficient appears only twice in the lambda body
+    return (f"aggregate(sequence(1, {_CF_STEPS}), named_struct('c', 1D, 'd', {d0}, 'h', 1D), "
+            f"(cf, cf_k) -> named_struct('c', {cn}, 'd', {dn}, 'h', cf.h * cf.d * cf.c), "
+            f"cf -> cf.h * cf.d * cf.c)")
+
+
+def betainc_sql(a: str, b: str, x: str, log_beta: str | None = None) -> str:
+    """Regularised incomplete beta I_x(a, b) as SQL text.
+
+    ``log_beta`` may name a column holding lgamma(a+b) - lgamma(a) - lgamma(b)
+    computed beforehand (keeps lambda bodies small and fast to analyse).
+    """
+    a, b, x = f"({a})", f"({b})", f"({x})"
+    lb = log_beta or f"({lgamma_sql(f'{a} + {b}')} - {lgamma_sql(a)} - {lgamma_sql(b)})"
+    front = f"exp({lb} + {a} * ln({x}) + {b} * log1p(-{x}))"
+    return (f"(CASE WHEN {x} <= 0D THEN 0D WHEN {x} >= 1D THEN 1D "
+            f"WHEN {x} < ({a} + 1D) / ({a} + {b} + 2D) THEN {front} * {_betacf_sql(a, b, x)} / {a} "
+            f"ELSE 1D - {front} * {_betacf_sql(b, a, f'(1D - {x})')} / {b} END)")
+
+
+def t_log_beta_sql(df: str) -> str:
+    """lgamma(df/2 + 1/2) - lgamma(df/2) - lgamma(1/2) for a df column."""
+    d = f"CAST(`{df}` AS DOUBLE)"
+    return (f"({lgamma_sql(f'{d} / 2D + 0.5D')} - {lgamma_sql(f'{d} / 2D')} "
+            f"- {_d(math.lgamma(0.5))})")
+
+
+def t_p_value_sql(t: str, df: str, log_beta: str | None = None) -> str:
+    """Two-sided Student-t p-value; NULL for NULL/NaN t or non-positive df."""
+    t, d = f"CAST(`{t}` AS DOUBLE)", f"CAST(`{df}` AS DOUBLE)"
+    lb = f"`{log_beta}`" if log_beta else None
+    return (f"(CASE WHEN {t} IS NULL OR {d} IS NULL OR {d} <= 0D OR isnan({t}) THEN NULL "
+            f"WHEN abs({t}) = CAST('Infinity' AS DOUBLE) THEN 0D "
+            f"ELSE {betainc_sql(f'{d} / 2D', '0.5D', f'{d} / ({d} + {t} * {t})', lb)} END)")
+
+
+def t_quantile_sql(q: float, df: str, log_beta: str) -> str:
+    """Student-t quantile (q > 0.5): Newton steps on the two-sided tail from a
+    series start (normal quantile with 1/df and 1/df^2 terms).  ``log_beta``
+    names the column of ``t_log_beta_sql(df)``."""
+    d = f"CAST(`{df}` AS DOUBLE)"
+    lb = f"`{log_beta}`"
     z = _normal_quantile(q)
-    start = (F.lit(z) + F.lit(z ** 3 + z) / (4.0 * d)
-             + F.lit(5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96.0 * d * d))
-    tail = F.lit(2.0 * (1.0 - q))
-    log_c = (lgamma_col((d + 1.0) / 2.0) - lgamma_col(d / 2.0) - F.log(d * math.pi) / 2.0)
-
-    def step(t, _i):
-        p2 = betainc_col(d / 2.0, F.lit(0.5), d / (d + t * t))
-        dens = F.exp(log_c - (d + 1.0) / 2.0 * F.log1p(t * t / d))
-        return F.greatest(t + (p2 - tail) / (2.0 * dens), t / 4.0)
-
-    r = F.aggregate(F.sequence(F.lit(1), F.lit(_NEWTON_ITERS)), start, step)
-    return F.when(d > 0, r)
+    start = f"({_d(z)} + {_d(z ** 3 + z)} / (4D * {d}) + {_d(5 * z ** 5 + 16 * z ** 3 + 3 * z)} / (96D * {d} * {d}))"
+    # t density: exp(log_beta - ln(df)/2 - (df+1)/2 log1p(t^2/df)) (log_beta includes -lgamma(1/2))
+    p2 = betainc_sql(f"{d} / 2D", "0.5D", f"{d} / ({d} + nt * nt)", lb)
+    dens = f"exp({lb} - ln({d}) / 2D - ({d} + 1D) / 2D * log1p(nt * nt / {d}))"
+    step = f"greatest(nt + ({p2} - {_d(2.0 * (1.0 - q))}) / (2D * {dens}), nt / 4D)"
+    return (f"(CASE WHEN {d} > 0D THEN aggregate(sequence(1, {_NEWTON_ITERS}), {start}, "
+            f"(nt, n_i) -> {step}) END)")
+
+
+def with_t_tests(df, t: str, dof: str, p_out: str | None = None, q: float | None = None,
+                 q_out: str | None = None):
+    """Add a two-sided t p-value and/or a t quantile for the rows of a (small,
+    aggregated) table; the log-beta term is computed once in its own column."""
+    out = df.withColumn("_tlb", F.expr(t_log_beta_sql(dof)))
+    if q_out:
+        out = out.withColumn(q_out, F.expr(t_quantile_sql(q, dof, "_tlb")))
+    if p_out:
+        out = out.withColumn(p_out, F.expr(t_p_value_sql(t, dof, "_tlb")))
+    return out.drop("_tlb")
+
+
+def chi2_sf_sql(x: str, dof: str) -> str:
+    """Chi-square upper tail Q(dof/2, x/2): series below s+1, continued fraction above."""
+    s, y = f"(CAST(`{dof}` AS DOUBLE) / 2D)", f"(CAST(`{x}` AS DOUBLE) / 2D)"
+    front = f"exp(-{y} + {s} * ln(greatest({y}, {_d(1e-300)})) - {lgamma_sql(s)})"
+    series = (f"aggregate(sequence(1, {_GAMMA_ITERS}), named_struct('ap', {s}, 'term', 1D / {s}, 'total', 1D / {s}), "
+              f"(gs, gi) -> named_struct('ap', gs.ap + 1D, 'term', gs.term * {y} / (gs.ap + 1D), "
+              f"'total', gs.total + gs.term * {y} / (gs.ap + 1D))).total")
+    an = f"(-CAST(gk AS DOUBLE) * (CAST(gk AS DOUBLE) - {s}))"
+    bn = "(gc.b + 2D)"
+    dn = f"(1D / {_g(f'{an} * gc.d + {bn}')})"
+    cn = _g(f"{bn} + {an} / gc.c")
+    b0 = f"({y} + 1D - {s})"
+    cf = (f"aggregate(sequence(1, {_GAMMA_ITERS}), named_struct('b', {b0}, 'c', {_d(1.0 / _EPS)}, "
+          f"'d', 1D / {b0}, 'h', 1D), (gc, gk) -> named_struct('b', {bn}, 'c', {cn}, 'd', {dn}, "
+          f"'h', gc.h * gc.d * gc.c), gc -> gc.h * gc.d * gc.c)")
+    xv = f"CAST(`{x}` AS DOUBLE)"
+    return (f"(CASE WHEN {xv} IS NULL OR isnan({xv}) OR `{dof}` IS NULL OR `{dof}` <= 0 THEN NULL "
+            f"WHEN {y} <= 0D THEN 1D WHEN {y} < {s} + 1D THEN 1D - {series} * {front} "
+            f"ELSE {front} * {cf} END)")
+
+
+def t_p_value_col(t: str, df: str):
+    return F.expr(t_p_value_sql(t, df))
+
+
+def chi2_sf_col(x: str, dof: str):
+    return F.expr(chi2_sf_sql(x, dof))
 
 
 def _normal_quantile(q: float) -> float:
-    """Standard normal quantile (driver-side constant, bisection on erfc)."""
+    """Standard normal quantile (a driver-side constant, bisection on erfc)."""
     lo, hi = 0.0, 40.0
     for _ in range(200):
         mid = (lo + hi) / 2
@@ -235,34 +286,3 @@ def _normal_quantile(q: float) -> float:
         else:
             hi = mid
     return (lo + hi) / 2
-
-
-def chi2_sf_col(x, dof):
-    """Chi-square upper tail Q(dof/2, x/2) as a Column (series below s+1,
-    continued fraction above); NULL for NULL input or non-positive dof."""
-    s, y = dof.cast("double") / 2.0, x.cast("double") / 2.0
-    log_front = -y + s * F.log(F.greatest(y, F.lit(1e-300))) - lgamma_col(s)
-
-    def series_step(acc, _i):
-        ap = acc["ap"] + 1.0
-        term = acc["term"] * y / ap
-        return F.struct(ap.alias("ap"), term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    init = F.struct(s.alias("ap"), (F.lit(1.0) / s).alias("term"), (F.lit(1.0) / s).alias("sum"))
-    lower = F.aggregate(F.sequence(F.lit(1), F.lit(400)), init, series_step)["sum"]
-    q_series = F.lit(1.0) - lower * F.exp(log_front)
-
-    def cf_step(acc, i):
-        i = i.cast("double")
-        an = -i * (i - s)
-        b = acc["b"] + 2.0
-        d = F.lit(1.0) / _guard(an * acc["d"] + b)
-        c = _guard(b + an / acc["c"])
-        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
-
-    b0 = y + 1.0 - s
-    init_cf = F.struct(b0.alias("b"), F.lit(1.0 / _EPS).alias("c"), (F.lit(1.0) / b0).alias("d"),
-                       (F.lit(1.0) / b0).alias("h"))
-    q_cf = F.exp(log_front) * F.aggregate(F.sequence(F.lit(1), F.lit(400)), init_cf, cf_step)["h"]
-    q = F.when(y <= 0, F.lit(1.0)).when(y < s + 1.0, q_series).otherwise(q_cf)
-    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")) & (dof > 0), q)

@@ -51,15 +51,17 @@ def regression_sums(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y)
 
 def difficulty_regression(feat: DataFrame, keys=("model_id",), level: float = 0.95) -> DataFrame:
     """I1 with p-value and confidence interval (t tails on one row per group)."""
-    base = regression_sums(feat, keys)
-    dfree = (F.col("n") - 2).cast("double")
-    tstat = F.try_divide(F.col("slope"), F.col("se"))
-    crit = ST.t_quantile_col(0.5 + level / 2.0, dfree)
-    return base.select(
+    base = regression_sums(feat, keys).withColumns({
+        "_df": (F.col("n") - 2).cast("double"),
+        "_t": F.try_divide(F.col("slope"), F.col("se"))})
+    # critical value and p-value are evaluated once each, in their own projection
+    tested = ST.with_t_tests(base, "_t", "_df", p_out="_p", q=0.5 + level / 2.0, q_out="_crit")
+    crit = F.col("_crit")
+    return tested.select(
         *keys, "n", "slope", "se",
         (F.col("slope") - crit * F.col("se")).alias("ci_lo"),
         (F.col("slope") + crit * F.col("se")).alias("ci_hi"),
-        F.when(F.col("se").isNotNull(), ST.t_p_value_col(tstat, dfree)).alias("p_value"),
+        F.when(F.col("se").isNotNull(), F.col("_p")).alias("p_value"),
         "r_squared")
 
 
@@ -109,9 +111,10 @@ def spearman(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> Dat
 def add_correlation_p(df: DataFrame, r_col: str, n_col: str = "n", out: str | None = None) -> DataFrame:
     """I3/I2 p-value: t = r sqrt((n-2)/(1-r^2)), two-sided, df = n - 2."""
     r, n = F.col(r_col), F.col(n_col).cast("double")
-    t = r * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - r * r))
-    p = F.when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(ST.t_p_value_col(t, n - 2))
-    return df.withColumn(out or f"{r_col}_p", F.when(r.isNotNull() & (n > 2), p))
+    tmp = df.withColumns({"_t": r * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - r * r)), "_df": n - 2})
+    tmp = ST.with_t_tests(tmp, "_t", "_df", p_out="_p")
+    p = F.when(F.abs(r) >= 1.0, F.lit(0.0)).otherwise(F.col("_p"))
+    return tmp.withColumn(out or f"{r_col}_p", F.when(r.isNotNull() & (n > 2), p)).drop("_t", "_df", "_p")
 
 
 def spearman_with_p(feat: DataFrame, keys=("model_id",)) -> DataFrame:
@@ -185,7 +188,7 @@ def parse_missingness_chi2(raw: DataFrame, keys=("model_id",)) -> DataFrame:
     t = chi2_independence(raw.withColumn("parsed", F.col("parse_ok").cast("string")),
                           list(keys), "parsed", "difficulty")
     p = F.when(F.col("dof") == 2, chi2_df2_p()).otherwise(
-        ST.chi2_sf_col(F.col("chi2"), F.col("dof")))
+        ST.chi2_sf_col("chi2", "dof"))
     return t.withColumn("p_value", F.when(F.col("chi2").isNotNull(), p))
 
 

@@ -175,9 +175,8 @@ def test_jvm_tails_match_reference_functions(spark):
     from pyspark.sql import functions as F
     rows = [(3.9576683114406555, 2698.0, 23.5738, 2), (1.5, 3.0, 3.0, 5), (0.2, 1.0, 10.0, 3), (4.0, 10.0, 100.0, 4)]
     df = spark.createDataFrame(rows, "t double, d double, x double, k int")
-    out = df.select("t", "d", "x", "k", ST.t_p_value_col(F.col("t"), F.col("d")).alias("p"),
-                    ST.t_quantile_col(0.975, F.col("d")).alias("q"),
-                    ST.chi2_sf_col(F.col("x"), F.col("k")).alias("c")).collect()
+    out = ST.with_t_tests(df, "t", "d", p_out="p", q=0.975, q_out="q").select(
+        "t", "d", "x", "k", "p", "q", ST.chi2_sf_col("x", "k").alias("c")).collect()
     for r in out:
         assert r.p == pytest.approx(ST.t_two_sided_p(r.t, r.d), rel=1e-10)
         assert r.q == pytest.approx(ST.t_quantile(0.975, r.d), rel=1e-10)
