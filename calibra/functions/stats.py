@@ -260,7 +260,7 @@ def chi2_sf_sql(x: str, dof: str) -> str:
     cn = _g(f"{bn} + {an} / gc.c")
     b0 = f"({y} + 1D - {s})"
     cf = (f"aggregate(sequence(1, {_GAMMA_ITERS}), named_struct('b', {b0}, 'c', {_d(1.0 / _EPS)}, "
-          f"'d', 1D / {b0}, 'h', 1D), (gc, gk) -> named_struct('b', {bn}, 'c', {cn}, 'd', {dn}, "
+          f"'d', 1D / {b0}, 'h', {_d(_EPS)}), (gc, gk) -> named_struct('b', {bn}, 'c', {cn}, 'd', {dn}, "
           f"'h', gc.h * gc.d * gc.c), gc -> gc.h * gc.d * gc.c)")
     xv = f"CAST(`{x}` AS DOUBLE)"
     return (f"(CASE WHEN {xv} IS NULL OR isnan({xv}) OR `{dof}` IS NULL OR `{dof}` <= 0 THEN NULL "
