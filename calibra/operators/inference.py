@@ -147,6 +147,41 @@ def holm(pvals: DataFrame, test_col: str = "test", p_col: str = "p_raw",
                          F.when(F.col("_clean").isNotNull(), run).alias("p_holm"), "rank")
 
 
+def holm_large(pvals: DataFrame, test_col: str = "test", p_col: str = "p_raw",
+               order_col: str = "input_ord") -> DataFrame:
+    """Holm step-down for a very large table of tests, without a single-task window.
+
+    The tests are range-partitioned and sorted by (p, input order, name);
+    ``monotonically_increasing_id`` then encodes (partition, position).  A
+    per-partition summary (row count and the largest capped adjusted p, one
+    row per partition) gives each partition its rank offset and the running
+    maximum carried in from earlier partitions; everything else is a window
+    inside one range partition.  Same result as ``holm``.
+    """
+    p = F.col(p_col)
+    clean = F.when(~F.isnan(p), p)
+    ordered = pvals.withColumn("_clean", clean).orderBy(
+        F.coalesce(F.col("_clean"), F.lit(1.0)), F.col(order_col), F.col(test_col))
+    ided = ordered.withColumn("_id", F.monotonically_increasing_id())
+    ided = ided.withColumns({"_part": F.shiftright(F.col("_id"), 33),
+                             "_pos": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = ided.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    m = counts.agg(F.sum("_cnt")).scalar()
+    ranked = ided.join(F.broadcast(offsets.select("_part", "_off")), "_part").withColumn(
+        "rank", (F.col("_off") + F.row_number().over(Window.partitionBy("_part").orderBy("_pos"))).cast("int"))
+    adj = F.least(F.lit(1.0), F.col("_clean") * (m - F.col("rank") + 1))
+    local = Window.partitionBy("_part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_adj", adj).withColumn("_run", F.max("_adj").over(local))
+    part_max = ranked.groupBy("_part").agg(F.max("_adj").alias("_pmax"))
+    carried = part_max.withColumn("_carry", F.max("_pmax").over(before)).select("_part", "_carry")
+    out = ranked.join(F.broadcast(carried), "_part")
+    holm_p = F.greatest(F.col("_run"), F.coalesce(F.col("_carry"), F.col("_run")))
+    return out.select(F.col(test_col).alias("test"), p.alias("p_raw"),
+                      F.when(F.col("_clean").isNotNull(), holm_p).alias("p_holm"), "rank")
+
+
 # ---------------------------------------------------------------------------
 # Chi-square independence test of parse failure vs difficulty
 # ---------------------------------------------------------------------------

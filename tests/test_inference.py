@@ -181,3 +181,21 @@ def test_jvm_tails_match_reference_functions(spark):
         assert r.p == pytest.approx(ST.t_two_sided_p(r.t, r.d), rel=1e-10)
         assert r.q == pytest.approx(ST.t_quantile(0.975, r.d), rel=1e-10)
         assert r.c == pytest.approx(ST.chi2_sf(r.x, r.k), rel=1e-10)
+
+
+def test_holm_large_equals_window_version(spark):
+    rng = np.random.default_rng(9)
+    ps = rng.random(5000) ** 3
+    ps[::7] = 0.0                    # ties
+    ps[::97] = float("nan")          # NaN sorts as 1.0, stays NULL
+    rows = [(f"t{i}", float(p), i) for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "test string, p_raw double, input_ord int").repartition(7)
+    a = {r.test: (r.rank, r.p_holm) for r in INF.holm(df).collect()}
+    b = {r.test: (r.rank, r.p_holm) for r in INF.holm_large(df).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == b[k][0]
+        if a[k][1] is None:
+            assert b[k][1] is None
+        else:
+            assert b[k][1] == pytest.approx(a[k][1], rel=1e-12)
