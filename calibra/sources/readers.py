@@ -24,10 +24,11 @@ def spread_if_undersplit(df: DataFrame, keys: list[str] | None = None) -> DataFr
     next operator's key lets that operator reuse the partitioning.
     """
     spark = df.sparkSession
-    target = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
+    # only small inputs get here (fewer splits than cores): two tasks per core
+    target = max(2 * cores, 1)
     spread = df.repartition(target, *keys) if keys else df.repartition(target)
     # Kept for the session: later filters are pushed down to this spread
     # copy (parallel partitions) instead of into the single scan task; an
