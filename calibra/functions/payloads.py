@@ -41,6 +41,7 @@ OLLAMA_SCHEMA = _st(
     ("response", S), ("prompt_eval_count", L_), ("eval_count", L_),
     ("logprobs", T.ArrayType(OPENAI_TOKEN)))
 
+# Note texts for providers without per-token probabilities.
 NOT_PER_TOKEN = "not available at per-token granularity for this model/API version"
 OLLAMA_MISSING = ("Ollama logprobs requested but not returned (null/absent). "
                   "internal_prob_answer set to None.")
@@ -122,9 +123,8 @@ def normalize_logprobs(df: DataFrame, provider_col: str = "provider",
     tokens = (F.when(prov == "openai", oai).when(prov == "ollama", F.when(F.size(F.coalesce(oll, F.array())) > 0, oll))
               .when(prov == "gemini", gem))
     only_avg = (prov == "gemini") & gem.isNull() & cand0["avgLogprobs"].isNotNull()
-    note = (F.when(only_avg, F.format_string(
-        "not available at per-token granularity for this model/API version (avgLogprobs=%s)",
-        cand0["avgLogprobs"].cast("string")))
+    note = (F.when(only_avg, F.format_string(NOT_PER_TOKEN + " (avgLogprobs=%s)",
+                                             cand0["avgLogprobs"].cast("string")))
         .when((prov == "gemini") & gem.isNull(), F.lit(NOT_PER_TOKEN))
         .when((prov == "ollama") & tokens.isNull(), F.lit(OLLAMA_MISSING)))
     return df.withColumns({"tokens": tokens, "only_avg": only_avg, "logprob_note": note})

@@ -25,6 +25,8 @@ from calibra.schemas import DIFFICULTY_ORDER, DOMAIN_ORDER, N_BINS
 
 SCORE = "confidence_norm"
 CORRECT = "correct"
+# Fixed value: note of a group with too few internal probabilities.
+INSUFFICIENT_INTERNAL_NOTE = "insufficient / unavailable internal probs"
 
 
 def _core_aggs(score=SCORE, correct=CORRECT, weight=None, with_n=True) -> list:
@@ -146,7 +148,7 @@ def verbal_vs_internal(feat: DataFrame, internal_col: str = "internal_prob_answe
     return agg.select(
         "model_id",
         F.when(enough, F.col("n_usable")).otherwise(F.col("n_raw_internal")).alias("n_with_internal"),
-        F.when(~enough, F.lit("insufficient / unavailable internal probs")).alias("note"),
+        F.when(~enough, F.lit(INSUFFICIENT_INTERNAL_NOTE)).alias("note"),
         F.when(enough, F.col("r")).alias("pearson_r_verbal_internal"),
         F.when(enough, F.col("ece_v")).alias("ece_verbal"),
         F.when(enough, F.col("ece_i")).alias("ece_internal"))

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from calibra.functions import metrics as M
 from calibra.functions import parsing
 
+# Note texts of the answer-token extraction (format strings).
 NO_TOKENS_NOTE = "no answer letter or empty logprobs"
 MISSING_LOGPROB_NOTE = "matched token missing logprob"
+AMBIGUOUS_NOTE = "logprob extraction ambiguous: %d tokens match '%s' at indices [%s]; using first match"
+NO_MATCH_NOTE = "logprob extraction ambiguous/failed: no token matching answer letter '%s' among %d tokens"
 
 
 # ASCII whitespace stripped from tokens (space, tab, newline, CR, VT, FF).
@@ -55,12 +58,9 @@ def answer_token_prob(df: DataFrame, tokens_col: str = "tokens",
         a["token"].alias("key"), F.exp(a["logprob"]).alias("value"))))
     no_input = letter.isNull() | (n == 0)
     n_match = F.size(idx)
-    ambiguous = F.format_string(
-        "logprob extraction ambiguous: %d tokens match '%s' at indices [%s]; using first match",
-        n_match, letter, F.array_join(F.transform(idx, lambda i: i.cast("string")), ", "))
-    failed = F.format_string(
-        "logprob extraction ambiguous/failed: no token matching answer letter '%s' among %d tokens",
-        letter, n)
+    ambiguous = F.format_string(AMBIGUOUS_NOTE, n_match, letter,
+                                F.array_join(F.transform(idx, lambda i: i.cast("string")), ", "))
+    failed = F.format_string(NO_MATCH_NOTE, letter, n)
     note = (F.when(no_input, F.lit(NO_TOKENS_NOTE))
             .when(n_match == 0, failed)
             .when(lp.isNull(), F.lit(MISSING_LOGPROB_NOTE))

@@ -1,4 +1,4 @@
-"""The calibration audit as one Spark job graph (the study's analysis step).
+"""The study's analysis step as one Spark job graph.
 
     raw responses --score once--> scored table (parquet, by model)
         -> parse rates, overall + bootstrap CIs, reliability bins,
