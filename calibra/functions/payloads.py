@@ -86,10 +86,6 @@ def payload_text(df: DataFrame, provider_col: str = "provider", payload_col: str
                            "output_tokens": F.coalesce(out, F.lit(0)).cast("bigint")})
 
 
-def _norm_tok(tok: str, lp: Column, top: Column) -> Column:
-    return F.struct(F.coalesce(tok, F.lit("")).alias("token"), lp.alias("logprob"), top.alias("top_logprobs"))
-
-
 def normalize_logprobs(df: DataFrame, provider_col: str = "provider",
                        payload_col: str = "payload") -> DataFrame:
     """One token array shape for every provider.

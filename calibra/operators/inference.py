@@ -231,11 +231,8 @@ def parse_missingness_chi2(raw: DataFrame, keys=("model_id",)) -> DataFrame:
 # bootstrap
 # ---------------------------------------------------------------------------
 
-# Poisson(1) CDF thresholds: weight = number of thresholds <= u.
-POISSON1_THRESHOLDS = None
-
-
 def poisson1_thresholds(kmax: int = 12) -> list[float]:
+    """Poisson(1) CDF values at 0..kmax: a weight is the number of thresholds <= u."""
     cdf, p, out = 0.0, np.exp(-1.0), []
     for k in range(kmax + 1):
         cdf += p
