@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from calibra.schemas import (CONFIG_VERSION, DEFAULT_WALL_SEC, DRY_IN_TOKENS, DRY_OUT_TOKENS,
                              MAX_OUTPUT_TOKENS, UNKNOWN_PROVIDER_RATES, WALL_SEC, pricing_dim)
 
-# Model registry: model id -> (provider, pricing model) used for dry runs.
+# Model registry, model id -> (provider, pricing model), used for dry runs.
 MODEL_REGISTRY = {
     "claude_haiku": ("anthropic", "default"),
     "gpt4o_mini": ("openai", "gpt-4o-mini"),
