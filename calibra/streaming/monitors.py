@@ -129,3 +129,55 @@ def daily_spend_frame(costed: DataFrame, ts_col: str = "ts", delay: str = "1 hou
         F.count(F.lit(1)).alias("n_calls"), F.sum("cost_usd").alias("cost_usd"))
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       "provider", "n_calls", "cost_usd")
+
+
+def spend_alert_stateful(costed: DataFrame, cap: float, run_col: str = "run_id", ts_col: str = "ts",
+                         idle: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """ST4 with bounded state: one alert per run, state dropped when the run goes idle.
+
+    A custom stateful operator (``applyInPandasWithState``) keeps per run the
+    spend so far; the first call that takes it over the cap emits one alert
+    row (with that call's time).  An event-time timeout removes a run's state
+    once the watermark passes its last call plus ``idle``, so state grows
+    with active runs, not with all runs ever seen.  Each group's batch is a
+    small pandas frame of that run's new calls.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from calibra.session import ship_package
+
+    ship_package(costed.sparkSession)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    key_type = dict(costed.dtypes)[run_col]
+    out_schema = f"{run_col} {key_type}, run_cost_usd double, n_calls long, crossed_at timestamp"
+    state_schema = "total double, n long, alerted boolean, last_ms long"
+
+    def fn(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, n, alerted, last_ms = state.get if state.exists else (0.0, 0, False, 0)
+        out = []
+        for pdf in batches:
+            pdf = pdf.sort_values([ts_col], kind="mergesort")
+            running = total + pdf["cost_usd"].fillna(0.0).cumsum()
+            if not alerted:
+                over = (running > cap).to_numpy().nonzero()[0]
+                if len(over):
+                    i = int(over[0])
+                    alerted = True
+                    out.append({run_col: key[0], "run_cost_usd": float(running.iloc[i]),
+                                "n_calls": int(n + i + 1), "crossed_at": pdf[ts_col].iloc[i]})
+            total = float(running.iloc[-1]) if len(pdf) else total
+            n += len(pdf)
+            if len(pdf):
+                last_ms = max(last_ms, int(pd.Timestamp(pdf[ts_col].max()).value // 1_000_000))
+        state.update((total, n, alerted, last_ms))
+        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out)
+
+    c = event_time(costed, ts_col).withWatermark(ts_col, delay)
+    return c.groupBy(run_col).applyInPandasWithState(
+        fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

@@ -87,3 +87,18 @@ def test_daily_spend_stream_closed_windows_only(spark):
     q.awaitTermination(120)
     rows = spark.sql("SELECT * FROM daily_spend_test").collect()
     assert len(rows) == 145 and sum(r.n_calls for r in rows) == 9671
+
+
+def test_stateful_spend_alert_once_per_run(spark):
+    from calibra.operators.ops import call_cost
+    costed = call_cost(FX.calls(spark, SF001)).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, scratch = _write_parts(costed, 2)
+    schema = spark.read.parquet(path).schema
+    frame = STM.spend_alert_stateful(STM.read_stream(spark, path, schema, max_files_per_trigger=1), 0.002)
+    q = STM.start(frame, "alert_state_test", "append", checkpoint=os.path.join(scratch, "ck"))
+    q.awaitTermination(180)
+    got = spark.sql("SELECT * FROM alert_state_test").collect()
+    want = {r.run_id for r in STM.spend_alert_frame(spark.read.parquet(path), 0.002).collect()}
+    assert {r.run_id for r in got} == want and len(got) == len(want) > 0
+    for r in got:
+        assert r.run_cost_usd > 0.002
