@@ -917,7 +917,7 @@ def q_answer_token_prob(spark, sf_dir):
     alts = F.col("internal_prob_alternatives")
     return rounded(t.select(
         "model_id", "question_id", "trial_index", "internal_prob_answer", "internal_prob_note",
-        F.size(alts).cast("int").alias("n_alternatives"),
+        F.when(alts.isNotNull(), F.size(alts)).cast("int").alias("n_alternatives"),
         F.array_join(F.array_sort(F.map_keys(alts)), "|").alias("alt_tokens"),
         F.aggregate(F.map_values(alts), F.lit(0.0), lambda acc, x: acc + x).alias("alt_prob_sum")))
 
