@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import parsing
+from calibra.functions.windows import segmented_row_number
 from calibra.session import ship_package
 from calibra.sources.readers import spread_if_undersplit
 from calibra.schemas import DOMAIN_SUBJECTS, LETTERS
@@ -33,6 +34,7 @@ EVENT_MODEL_BY_MOD3 = ["gpt-4o-mini", "gemini-2.5-flash", "unlisted-model"]
 POOL_SUBJECTS = sorted({s for subs in DOMAIN_SUBJECTS.values() for s in subs}) + [
     "anatomy", "virology"]
 REFUSAL_TEXT = "I am not able to answer this question."
+ORDER_BUCKET = 100_000  # order keys per numbering bucket
 PROSE_PREFIX = "Let me think this through step by step."
 
 
@@ -59,13 +61,16 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    # Partitioning on l_partkey serves the join and the window below
-    # (clustered on l_partkey, l_returnflag): one shuffle for both.
     li = spread_if_undersplit(li, ["l_partkey"])
+    # trial number = position of the row within its (part, model) cell; a
+    # segmented row number, so a part holding a third of all rows is
+    # numbered by many tasks (buckets of order keys) rather than one
+    li = segmented_row_number(
+        li, ["l_partkey", "l_returnflag"],
+        ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"],
+        F.floor(F.col("l_orderkey") / ORDER_BUCKET), out="_trial")
     j = li.join(part, li.l_partkey == part.p_partkey)
     b = F.substring("p_brand", 7, 10).try_cast("int")
-    w = Window.partitionBy("l_partkey", "l_returnflag").orderBy(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     ans = (F.col("l_partkey") % 4).cast("int")
     sent = F.when(F.col("l_linestatus") == "F", ans).otherwise(
         ((F.col("l_partkey") + 1 + F.col("l_suppkey") % 3) % 4).cast("int"))
@@ -101,7 +106,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         model.alias("model_id"),
         _case(model, FIXTURE_BACKEND).alias("backend"),
         _case(model, FIXTURE_MODEL_NAME).alias("model_name"),
-        (F.row_number().over(w) - 1).cast("int").alias("trial_index"),
+        (F.col("_trial") - 1).cast("int").alias("trial_index"),
         F.col("l_shipdate").alias("collection_timestamp"),
         reply.alias("raw_response"),
         _letter(ans).alias("correct_letter"),

@@ -100,3 +100,16 @@ def test_error_rows_count_as_done(spark):
     done = spark.createDataFrame([("q1", "m", 0, "TimeoutError: x")],
                                  "question_id string, model_id string, trial_index int, error string")
     assert [r.question_id for r in OPS.remaining_work(plan, done).collect()] == ["q2"]
+
+
+def test_segmented_row_number_equals_plain_window_on_hot_key(spark):
+    from pyspark.sql import Window
+
+    from calibra.functions.windows import segmented_row_number
+    rows = [("hot", k, k % 3) for k in range(3000)] + [(f"c{k % 50}", k, 0) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k long, t long").repartition(6)
+    w = Window.partitionBy("g").orderBy("k", "t")
+    plain = {(r.g, r.k): r.rn for r in df.select("g", "k", F.row_number().over(w).alias("rn")).collect()}
+    seg = {(r.g, r.k): r.rn for r in segmented_row_number(df, ["g"], ["k", "t"], F.floor(F.col("k") / 250), "rn")
+           .collect()}
+    assert seg == plain
