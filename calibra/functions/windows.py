@@ -27,5 +27,7 @@ def segmented_row_number(df: DataFrame, partition_cols: list[str], order_cols: l
     counts = b.groupBy(*partition_cols, "_seg").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*partition_cols).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*partition_cols, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return numbered.join(offsets, [*partition_cols, "_seg"]).withColumn(
+    # left join to a table distinct on its keys: Catalyst drops it (and the
+    # count) when a query does not use the number
+    return numbered.join(offsets, [*partition_cols, "_seg"], "left").withColumn(
         out, (F.col("_off") + F.col("_local")).cast("int")).drop("_seg", "_local", "_off")
