@@ -1114,3 +1114,9 @@ FROM plong JOIN ci USING (model_id, metric)""", "f1"))
 def q_bootstrap_ci_cluster(spark, sf_dir):
     """I8: cluster (by question) Poisson bootstrap."""
     return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON, cluster_col="question_id"))
+
+
+@register("holm_correction_large", ORACLES["holm_correction"])
+def q_holm_correction_large(spark, sf_dir):
+    """I6 through the range-partitioned form (same result as holm_correction)."""
+    return rounded(INF.holm_large(holm_input(spark, sf_dir)))
