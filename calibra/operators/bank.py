@@ -255,8 +255,8 @@ def empirical_difficulty(feat: DataFrame, item_col: str = "question_id") -> Data
     """
     items = feat.groupBy(item_col).agg(F.count(F.lit(1)).alias("n"),
                                        F.avg("correct").alias("accuracy"))
-    q1 = items.agg(F.percentile("accuracy", F.lit(1.0 / 3.0))).scalar()
-    q2 = items.agg(F.percentile("accuracy", F.lit(2.0 / 3.0))).scalar()
+    cuts = items.agg(F.percentile("accuracy", F.array(F.lit(1.0 / 3.0), F.lit(2.0 / 3.0)))).scalar()
+    q1, q2 = cuts[0], cuts[1]
     tier = (F.when(F.col("accuracy") <= q1, F.lit("hard"))
             .when(F.col("accuracy") <= q2, F.lit("medium")).otherwise(F.lit("easy")))
     return items.select(item_col, "n", "accuracy", tier.alias("empirical_difficulty"))
