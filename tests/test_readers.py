@@ -80,3 +80,13 @@ def test_sinks_roundtrip(spark):
     assert {"model_id=m1", "model_id=m2"} <= set(os.listdir(os.path.join(d, "bins")))
     SK.write_table(df, os.path.join(d, "csv"), fmt="csv")
     assert spark.read.option("header", True).csv(os.path.join(d, "csv")).count() == 2
+
+
+def test_spread_only_touches_under_split_inputs(spark):
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert RD.spread_if_undersplit(many, ["id"]) is many
+    few = spark.range(0, 1000, numPartitions=1)
+    spread = RD.spread_if_undersplit(few, ["id"])
+    assert spread is not few and spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread.count() == 1000
+    spread.unpersist()
