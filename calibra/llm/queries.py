@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, simhash
+from calibra.llm import decontaminate, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,37 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+# what the schedule comes to: whole blocks of the source in md5 order, again from its start,
+# and a part of the last block
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) AS BIGINT) AS size
+           FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS sid FROM s),
+w AS (SELECT *, CAST([5, 2, 1][sid % 3 + 1] AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 2 AS cap FROM n),
+f AS (SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER before, 0))
+                / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level, cap / weight AS ratio
+      FROM w WINDOW before AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap ELSE weight *
+             (SELECT level FROM f WHERE cap > weight * level ORDER BY ratio, sid LIMIT 1) END AS target,
+             least(source_size, greatest(64, CAST(ceil(source_size / 4096) AS BIGINT))) AS blocks FROM f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN blocks * target / source_size ELSE 0 END AS quota FROM t),
+e AS (SELECT *, CAST(floor(quota) AS BIGINT) AS full_blocks FROM q),
+a AS (SELECT *, full_blocks // greatest(blocks, 1) AS rounds, full_blocks % greatest(blocks, 1) AS b FROM e),
+g AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE
+             CAST(floor(CAST(b AS DOUBLE) * source_size / blocks) AS BIGINT)
+             + CAST(round((quota - full_blocks) * (floor(CAST(b + 1 AS DOUBLE) * source_size / blocks)
+                          - floor(CAST(b AS DOUBLE) * source_size / blocks))) AS BIGINT) END AS part FROM a),
+p AS (SELECT doc_id, d.size, g.source_size, target, rounds, part,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('0:' || d.doc_id), d.doc_id) - d.size AS start
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(rounds * size + greatest(0, least(start + size, part) - start) AS BIGINT) AS taken FROM p
+"""
+
+
+@query("op3_mix_sources", OP3_SQL)
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"), weights=(5, 2, 1), total=1.5, repeat=2) \
+        .select("doc_id", "size", "source_size", "target", "taken")
