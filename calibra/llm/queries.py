@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, mixing, simhash, urlfilter
+from calibra.llm import decontaminate, mixing, simhash, tokenfile, urlfilter
+from calibra.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +117,15 @@ URL_RULES = {
 @query("op6_url_filter")
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def token_table(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Write the documents' ids and read them back."""
+    folder = f"{shared_folder(spark)}/tokens"
+    tokenfile.write(documents, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_token_ids")
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(spark, table(spark, sf_dir, "documents"))
