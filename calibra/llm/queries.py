@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, mixing, simhash, tokenfile, urlfilter
-from calibra.llm.common import shared_folder
+from calibra.llm import decontaminate, langid, mixing, simhash, tokenfile, urlfilter
+from calibra.llm.common import fold, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,15 @@ def token_table(spark: SparkSession, documents: DataFrame) -> DataFrame:
 @query("op9_token_ids")
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, table(spark, sf_dir, "documents"))
+
+
+def language_model(documents: DataFrame) -> langid.Model:
+    return langid.fit(documents.where(fold(F.col("doc_id"), 3) != 1))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs.select("doc_id", "text"), language_model(docs)).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred",
+        F.col("lang_score").alias("score"))
