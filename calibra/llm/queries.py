@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, langid, mixing, simhash, tokenfile, urlfilter
-from calibra.llm.common import fold, shared_folder
+from calibra.llm import decontaminate, langid, mixing, quality, simhash, tokenfile, urlfilter
+from calibra.llm.common import fold, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), language_model(docs)).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred",
         F.col("lang_score").alias("score"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(quality.measured(table(spark, sf_dir, "documents")), "statistics")
+    rules = quality.fit(stats, table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return stats.select("doc_id", *quality.COUNTS, failed.alias("base_failed"), (~failed & (rules.verdict() == 1)).alias("kept"))
