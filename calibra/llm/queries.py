@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, langid, mixing, quality, simhash, tokenfile, toxicity, urlfilter
+from calibra.llm import decontaminate, htmltext, langid, mixing, quality, simhash, tokenfile, toxicity, urlfilter
 from calibra.llm.common import fold, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
