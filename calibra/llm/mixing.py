@@ -167,3 +167,21 @@ def takes(documents: DataFrame, **how) -> DataFrame:
     return placed.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left") \
         .select("doc_id", "text_key", "size", "source", "source_size", "target",
                 F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed(documents: DataFrame, **how) -> DataFrame:
+    """The documents of the mix, all columns, each as often as the mix takes it.
+
+    Takes are rounded to whole documents; only the document at the end of a
+    source's target can be off, by half of it.  Documents that the mix takes
+    nothing of are not in it.  Rows that repeat an id, text and source share
+    their takes evenly.
+    """
+    key = ["doc_id", "text_key", "source"]
+    copies = takes(documents, **how).where("size > 0").groupBy(*key) \
+        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0") \
+        .select(*[F.col(c).alias(f"_{c}") for c in key], "_copies")
+    keyed = documents.withColumn("_key", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")) \
+        & keyed["source"].eqNullSafe(F.col("_source"))
+    return keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*documents.columns)

@@ -1,16 +1,54 @@
 """From raw documents to packed token ids, in stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next stage's docs.
+written as Parquet and read again as the next stage's docs.  Every stage
+works on all that the one before it kept; all but the last return the columns
+of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from calibra.llm import decontaminate, langid, mixing, simhash
 from calibra.llm.common import written
+from calibra.llm.queries import language_model, token_table
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go; a missing ``lang`` is filled in."""
+    found = langid.predict(docs, language_model(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicate(docs, shingle=3, radius=3, seed=42)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights: documents repeat or go."""
+    return mixing.mixed(docs, weights=(5, 2, 1), total=1.5, repeat=2)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_table(spark, docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mix_sources),
+    ("token ids", token_ids),
+]
 
 # language ID and token ids have no SQL form; tests/llm holds the stages
 # against brute force instead
