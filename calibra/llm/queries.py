@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, htmltext, langid, mixing, quality, simhash, tokenfile, toxicity, urlfilter
+from calibra.llm import decontaminate, htmltext, langid, lmscore, mixing, quality, simhash, tokenfile, toxicity, urlfilter
 from calibra.llm.common import fold, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, vocabulary = lmscore.fit(docs, fold(F.col("doc_id"), 10) != 0)
+    return lmscore.score(docs, model, vocabulary).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")
