@@ -36,7 +36,9 @@ def test_damage_is_noticed():
 
 def test_words_give_what_whole_texts_give():
     texts = ["It's we'll DON'T", "a b c\x1cd", "É é é ́x", "<|endoftext|> x <|startoftext|>y", "ΑΣ ΑΣ. Σ",
-             "12 345,6 ٠", "tab\tline\nfeed\x0b\x0c\r.", "\U0001f600\U0001f600 ok", "z" * 3000, "  ", "İstanbul"]
+             "12 345,6 ٠", "tab\tline\nfeed\x0b\x0c\r.", "\U0001f600\U0001f600 ok", "z" * 3000, "  ", "İstanbul",
+             "end. end, END! can't. l’été, «oui». x' 's 'S don't; ªº ⅷ. ﬁne, ǅ ẞ. 한국어. 日本語, e\u0301te\u0301.", "<|ENDOFTEXT|> A <|endoftext|>, B",
+             "A.", "a?!:;", "...", ".a", "a.b.", "ⓐ. \u00ad. a\u00adb,"]
     of = Tokenizer.from_file(PATH)
     want = [of.encode(t, add_special_tokens=False).ids for t in texts]
     got = [np.frombuffer(r, "<u4").tolist() for r in tokenfile.Encoder(PATH)([t.encode() for t in texts])]
