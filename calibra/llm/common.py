@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.session import ship_package
+
 # what ``bytes.split()`` splits on, written for Java's regex
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -66,6 +68,12 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow``, with this package sent to the workers first."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back.
 

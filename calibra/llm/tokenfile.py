@@ -3,7 +3,8 @@
 *Tokens.*  The tokenizers library encodes each text; white space between
 words carries no state in the tokenizers meant here, so a text is encoded
 word by word (ASCII space only; other spaces are left to the library) and
-each worker keeps the ids of the words it has met, up to ``_CACHE`` of them.
+each worker keeps the ids of the words it has met lately, up to twice
+``_CACHE`` of them.
 
 *File format.*  A folder of Parquet files, one row a segment, so that any
 store Spark writes to will do and Spark's commit protocol leaves whole files
@@ -44,11 +45,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
+from calibra.llm.common import in_arrow
+
 BLOCK = 512
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 20
 _CACHE = 400_000
 _LONG_WORD = 64
+_STOPS = ".,;:!?"
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIIII")
 
@@ -137,28 +141,97 @@ def read_ids(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndar
 # ---- tokens -------------------------------------------------------------
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes."""
+    """Texts to ids as little-endian unsigned 32-bit bytes.
+
+    New words are encoded many at a time: of letters alone they are one
+    pre-token each, so where the tokenizer marks word ends the ids of many
+    words in one text can be told apart.  Stops behind the letters are a
+    pre-token of their own.  Other words are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         from tokenizers import Tokenizer
-        self.of, self.known = Tokenizer.from_file(path), {}
+        self.of = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        suffix = getattr(self.of.model, "end_of_word_suffix", None)
+        vocabulary = self.of.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
+        # whether "A" and "a" are one to the tokenizer
+        self.lowers = self.of.normalizer is not None and self.of.normalizer.normalize_str("AZ") == "az"
+
+    def _many(self, words: list[str]) -> list[bytes] | None:
+        """ids of each word, told apart by the word ends; None if they can't be."""
+        ids = np.array(self.of.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.nonzero(self.ends[ids])[0] + 1
+        if len(at) != len(words) or at[-1] != len(ids):
+            return None
+        raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: set[bytes], have) -> dict[bytes, bytes]:
+        """ids of new words; ``have`` gives those of a word met before, or None."""
+        whole, others, composed = [], [], []
+        for w in new:
+            t = w.decode()
+            if t.isalpha():
+                whole.append(w)
+                continue
+            core = t.rstrip(_STOPS)
+            if core.isalpha():  # two pre-tokens, each as it is alone
+                core = core.encode()
+                composed.append((w, core, w[len(core):]))
+            else:
+                others.append(w)
+        for k, into in ((1, whole), (2, others)):
+            into += {c[k] for c in composed} - new - {c[k] for c in composed if have(c[k])}
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(whole), 512):
+            some = whole[at:at + 512]
+            got = self._many([w.decode() for w in some]) if self.ends.any() else None
+            if got is None:
+                others += some
+            else:
+                out.update(zip(some, got))
+        for at in range(0, len(others), 512):
+            some = others[at:at + 512]
+            for w, e in zip(some, self.of.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                out[w] = np.array(e.ids, "<u4").tobytes()
+        for w, a, b in composed:
+            out[w] = (out.get(a) or have(a)) + (out.get(b) or have(b))
+        return out
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        if len(self.known) > _CACHE:
-            self.known = {}
-        known, once = self.known, {}
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for w, e in zip(some, self.of.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                (known if len(w) <= _LONG_WORD else once)[w] = np.array(e.ids, "<u4").tobytes()
+        texts = [t or b"" for t in texts]
+        # a special token in a text is told by its case
+        split = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
+        if len(self.known) > _CACHE:  # words not met since then go at the next turn
+            self.known, self.older = {}, self.known
+        known, older, once = self.known, self.older, {}
+        new = {w for words in split for w in words if w not in known}
+        for w in [w for w in new if w in older]:
+            known[w] = older[w]
+            new.discard(w)
+        for w, raw in self._learn(new, lambda w: known.get(w) or older.get(w)).items():
+            (known if len(w) <= _LONG_WORD else once)[w] = raw
         if once:
             known = {**known, **once}
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, block: int = BLOCK,
           percentile: int = PERCENTILE, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode doc_id, text and write the segments to ``folder``."""
@@ -167,7 +240,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, blo
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, first = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, part, seq, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         ids, raw, size, kind = [], [], 0, None
 
         def segment() -> pa.RecordBatch:
@@ -197,7 +270,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, blo
         StructField("part", IntegerType()), StructField("seq", IntegerType()), StructField("first", LongType()),
         StructField("n_ids", LongType()), StructField("doc_ids", ArrayType(rows.schema["doc_id"].dataType)),
         StructField("counts", ArrayType(LongType())), StructField("payload", BinaryType())])
-    rows.mapInArrow(run, schema).write.parquet(folder)
+    rows.transform(in_arrow, run, schema).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,4 +299,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     schema = StructType([StructField("doc_id", segments.schema["doc_ids"].dataType.elementType)] +
                         [StructField(c, LongType()) for c in ("start", "n_tokens", "ids_crc32")] +
                         [StructField("ids", BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
