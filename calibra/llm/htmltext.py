@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from calibra.llm.common import small_enough, written
+from calibra.llm.common import in_arrow, small_enough, written
 from calibra.llm.urlfilter import host_of
 
 PARTS = 64
@@ -325,7 +325,7 @@ def infer(pages: DataFrame) -> DataFrame:
                                   ("lo", pa.int64()), ("hi", pa.int64()), ("chars", pa.int64()), ("bad", pa.bool_())]))
 
     kinds = "host string, wrapper string, path string, pages long, lo long, hi long, chars long, bad boolean"
-    facts = written(pages.mapInArrow(run, kinds), "facts")
+    facts = written(pages.transform(in_arrow, run, kinds), "facts")
     shapes = facts.where("wrapper is not null").select("host", "wrapper").distinct() \
         .withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
 
@@ -347,7 +347,7 @@ def infer(pages: DataFrame) -> DataFrame:
                 got.append(text_slots(json.loads(w), {x["path"]: (x["pages"], x["bad"], x["chars"]) for x in s or ()}))
             yield pa.RecordBatch.from_arrays([b["host"], b["wrapper"], pa.array(got, pa.list_(pa.string()))], ["host", "wrapper", "text_paths"])
 
-    return whole.join(seen, "host", "left").mapInArrow(chosen, "host string, wrapper string, text_paths array<string>")
+    return whole.join(seen, "host", "left").transform(in_arrow, chosen, "host string, wrapper string, text_paths array<string>")
 
 
 def main_text(page: str | None, text_paths: list[str] | None) -> str:
@@ -368,5 +368,5 @@ def extract(pages: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
             got = [main_text(h, p) for h, p in zip(b["html"].to_pylist(), b["text_paths"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["host"], pa.array(got, pa.string())], ["page_id", "url", "host", "text"])
 
-    return joined.mapInArrow(run, StructType([joined.schema["page_id"], joined.schema["url"], StructField("host", StringType()),
+    return joined.transform(in_arrow, run, StructType([joined.schema["page_id"], joined.schema["url"], StructField("host", StringType()),
                                               StructField("text", StringType())]))

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from calibra.llm.common import in_arrow
+
 UNKNOWN = "und"
 ORDERS = 3
 BUCKETS = 1 << 16
@@ -121,7 +123,7 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, landmarks: int
                                              ["doc_id", "lang", "bits"])
 
     texts = texts.where("text is not null")
-    bits = texts.mapInArrow(run, "doc_id string, lang string, bits binary")
+    bits = texts.transform(in_arrow, run, "doc_id string, lang string, bits binary")
     # an id that many rows repeat is learned from once, whichever sorts first
     got = bits.groupBy("doc_id", "lang").agg(F.min("bits").alias("bits")).orderBy("lang", F.xxhash64("doc_id")).collect()
     got = [r for r in got if any(r.bits)]
@@ -167,4 +169,4 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                                  [*some.schema.names, "lang_pred", "lang_score"])
 
-    return documents.mapInArrow(run, out)
+    return documents.transform(in_arrow, run, out)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from calibra.llm.common import written
+from calibra.llm.common import in_arrow, written
 from calibra.llm.components import components
 
 _SLICE = 1 << 15
@@ -69,7 +69,7 @@ def fingerprints(documents: DataFrame, *, shingle: int = 3, seed: int = 42) -> D
 
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     out = StructType([rows.schema["doc_id"], StructField("text_key", LongType()), StructField("fp", LongType())])
-    return rows.mapInArrow(run, out)
+    return rows.transform(in_arrow, run, out)
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:
@@ -168,7 +168,7 @@ def links(distinct: DataFrame, *, radius: int = 3, tile: int = 2048) -> DataFram
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).view(np.int64)) for f in (found_a, found_b)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.transform(in_arrow, run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 3, seed: int = 42,

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from calibra.llm.common import written
+from calibra.llm.common import in_arrow, written
 
 SAMPLE_ROWS = 12_000
 LEXICON_TERMS = 4_000
@@ -231,7 +231,7 @@ def _sample(documents: DataFrame, labels: DataFrame, label: str, sample_rows: in
             keys = [_vote_key(words_of(t)) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["y"].cast(pa.int64()), b["text"], pa.array(keys, pa.int64())], ["y", "text", "key"])
 
-    keyed = written(rows.mapInArrow(run, "y long, text string, key long"), "sample")
+    keyed = written(rows.transform(in_arrow, run, "y long, text string, key long"), "sample")
     votes = keyed.groupBy("key").agg((1 / F.count(F.lit(1))).alias("vote"))
     return written(keyed.join(votes, "key").select("y", "text", "vote"), "voted")
 
@@ -249,7 +249,7 @@ def _counts(sample: DataFrame, grams) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string())] + [pa.array([float(s[g]) for g in names]) for s in (sums[1], sums[0])], ["gram", "toxic", "other"])
 
-    return sample.mapInArrow(run, "gram string, toxic double, other double").groupBy("gram") \
+    return sample.transform(in_arrow, run, "gram string, toxic double, other double").groupBy("gram") \
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -294,7 +294,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", sample
                                              ["y", "vote", *FEATURES])
 
     kinds = ", ".join(f"{c} double" for c in ("vote", *FEATURES))
-    got = sample.mapInArrow(run, f"y long, {kinds}").orderBy(*FEATURES, "y", "vote").toPandas()
+    got = sample.transform(in_arrow, run, f"y long, {kinds}").orderBy(*FEATURES, "y", "vote").toPandas()
     model.weights = _logistic(got[FEATURES].to_numpy(), got["y"].to_numpy() > 0, got["vote"].to_numpy())
     return model
 
@@ -340,4 +340,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 [b["doc_id"], pa.array([shared.value.score(g) for g in got], pa.float64()),
                  *(pa.array([g[k] for g in got], pa.float64()) for k in range(len(FEATURES)))], ["doc_id", "score", *FEATURES])
 
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"]] + [StructField(c, DoubleType()) for c in ("score", *FEATURES)]))
+    return rows.transform(in_arrow, run, StructType([rows.schema["doc_id"]] + [StructField(c, DoubleType()) for c in ("score", *FEATURES)]))
