@@ -81,6 +81,7 @@ def main(argv: list[str] | None = None) -> int:
         from calibra.operators import ops as OPS
         from calibra.sources.readers import read_bank_json
         plan = OPS.collection_plan(read_bank_json(spark, args.bank, BANK_SCHEMA), args.models, args.trials)
+        # a line cut off by a crash counts as not done
         done = spark.read.schema(RESPONSE_V2_SCHEMA).option("mode", "DROPMALFORMED").json(args.done)
         OPS.remaining_work(plan, done).write.mode("overwrite").parquet(args.out)
     elif args.cmd == "supplement":

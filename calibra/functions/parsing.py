@@ -66,7 +66,8 @@ def letter_to_index(letter) -> Column:
 
 def index_to_letter(idx) -> Column:
     """0..3 -> A..D, anything else NULL."""
-    return F.try_element_at(F.array(*[F.lit(x) for x in LETTERS]), (_c(idx) + 1).cast("int"))
+    i = _c(idx).cast("int")
+    return F.when((i >= 0) & (i < len(LETTERS)), F.get(F.array(*[F.lit(x) for x in LETTERS]), i))
 
 
 def is_correct(letter, answer_index) -> Column:

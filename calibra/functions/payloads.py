@@ -1,7 +1,7 @@
 """Provider payload parsing (P14, P15): JSON text -> reply text, usage, tokens.
 
-One explicit schema per provider shape, parsed with ``from_json`` and
-reshaped with higher-order functions; the provider column selects the
+One explicit schema with the fields of all providers, parsed once with
+``from_json`` and reshaped with higher-order functions; the provider column selects the
 branch.  An aggregate-only average log-probability is *not* a token
 probability: such rows get no tokens and a note.
 """
@@ -21,23 +21,26 @@ def _st(*fields) -> T.StructType:
 
 TOK = _st(("token", S), ("logprob", D))
 OPENAI_TOKEN = _st(("token", S), ("logprob", D), ("top_logprobs", T.ArrayType(TOK)))
-OPENAI_SCHEMA = _st(
+GEM_CAND = _st(("token", S), ("logProbability", D), ("logprob", D))
+GEMINI_RESULT = _st(
+    ("topCandidates", T.ArrayType(_st(("candidates", T.ArrayType(GEM_CAND))))),
+    ("chosenCandidates", T.ArrayType(GEM_CAND)))
+# the top-level fields of all providers; none has two meanings
+PAYLOAD_SCHEMA = _st(
+    # OpenAI
     ("choices", T.ArrayType(_st(("message", _st(("content", S))),
                                 ("logprobs", _st(("content", T.ArrayType(OPENAI_TOKEN))))))),
-    ("usage", _st(("prompt_tokens", L_), ("completion_tokens", L_))))
-ANTHROPIC_SCHEMA = _st(
+    # OpenAI and Anthropic
+    ("usage", _st(("prompt_tokens", L_), ("completion_tokens", L_), ("input_tokens", L_), ("output_tokens", L_))),
+    # Anthropic
     ("content", T.ArrayType(_st(("type", S), ("text", S)))),
-    ("usage", _st(("input_tokens", L_), ("output_tokens", L_))))
-GEM_CAND = _st(("token", S), ("logProbability", D))
-GEMINI_SCHEMA = _st(
+    # Gemini
     ("candidates", T.ArrayType(_st(
         ("content", _st(("parts", T.ArrayType(_st(("text", S), ("thought", B)))))),
-        ("avgLogprobs", D),
-        ("logprobsResult", _st(
-            ("topCandidates", T.ArrayType(_st(("candidates", T.ArrayType(GEM_CAND))))),
-            ("chosenCandidates", T.ArrayType(GEM_CAND))))))),
-    ("usageMetadata", _st(("promptTokenCount", L_), ("candidatesTokenCount", L_))))
-OLLAMA_SCHEMA = _st(
+        ("avgLogprobs", D), ("logprobsResult", GEMINI_RESULT)))),
+    ("logprobsResult", GEMINI_RESULT),
+    ("usageMetadata", _st(("promptTokenCount", L_), ("candidatesTokenCount", L_))),
+    # Ollama
     ("response", S), ("prompt_eval_count", L_), ("eval_count", L_),
     ("logprobs", T.ArrayType(OPENAI_TOKEN)))
 
@@ -51,39 +54,37 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _parsed(payload: str) -> dict[str, Column]:
-    return {"openai": F.from_json(payload, OPENAI_SCHEMA), "anthropic": F.from_json(payload, ANTHROPIC_SCHEMA),
-            "gemini": F.from_json(payload, GEMINI_SCHEMA), "ollama": F.from_json(payload, OLLAMA_SCHEMA)}
+def _some(arr: Column) -> Column:
+    """NULL for an empty array."""
+    return F.when(F.size(F.coalesce(arr, F.array())) > 0, arr)
 
 
 def payload_text(df: DataFrame, provider_col: str = "provider", payload_col: str = "payload") -> DataFrame:
-    """Reply text and token usage from a provider JSON payload.
+    """Reply text, token usage and error from a provider JSON payload.
 
-    Anthropic: text parts joined; Gemini: non-thought parts joined; OpenAI:
-    first choice's message; Ollama: ``response``.  Texts are stripped.
+    Anthropic: text parts joined; Gemini: non-thought parts joined; both
+    stripped, and without text the call is an error.  OpenAI: first choice's
+    message; Ollama: ``response``, whose absence is an error; both as sent.
+    The payload is parsed once, into a column that the fields are read from.
     """
-    p = _parsed(payload_col)
-    prov = F.lower(F.col(provider_col))
-    anth = F.array_join(F.filter(F.transform(
-        F.filter(p["anthropic"]["content"], lambda x: x["type"] == "text"), lambda x: x["text"]),
-        lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
-    gem_parts = F.get(p["gemini"]["candidates"], 0)["content"]["parts"]
-    gem = F.array_join(F.filter(F.transform(
-        F.filter(gem_parts, lambda x: ~F.coalesce(x["thought"], F.lit(False))), lambda x: x["text"]),
-        lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
-    oai = F.get(p["openai"]["choices"], 0)["message"]["content"]
-    text = (F.when(prov == "anthropic", anth).when(prov == "gemini", gem)
-            .when(prov == "openai", F.coalesce(oai, F.lit(""))).when(prov == "ollama", p["ollama"]["response"]))
-    inp = (F.when(prov == "anthropic", p["anthropic"]["usage"]["input_tokens"])
-           .when(prov == "gemini", p["gemini"]["usageMetadata"]["promptTokenCount"])
-           .when(prov == "openai", p["openai"]["usage"]["prompt_tokens"])
-           .when(prov == "ollama", p["ollama"]["prompt_eval_count"]))
-    out = (F.when(prov == "anthropic", p["anthropic"]["usage"]["output_tokens"])
-           .when(prov == "gemini", p["gemini"]["usageMetadata"]["candidatesTokenCount"])
-           .when(prov == "openai", p["openai"]["usage"]["completion_tokens"])
-           .when(prov == "ollama", p["ollama"]["eval_count"]))
-    return df.withColumns({"text": _strip(text), "input_tokens": F.coalesce(inp, F.lit(0)).cast("bigint"),
-                           "output_tokens": F.coalesce(out, F.lit(0)).cast("bigint")})
+    df = df.withColumn("_p", F.from_json(payload_col, PAYLOAD_SCHEMA))
+    p, prov = F.col("_p"), F.lower(F.col(provider_col))
+    join = lambda arr: F.array_join(F.filter(arr, lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
+    anth = join(F.transform(F.filter(p["content"], lambda x: x["type"] == "text"), lambda x: x["text"]))
+    gem = join(F.transform(F.filter(F.get(p["candidates"], 0)["content"]["parts"],
+                                    lambda x: ~F.coalesce(x["thought"], F.lit(False))), lambda x: x["text"]))
+    text = (F.when(prov == "anthropic", F.coalesce(_strip(anth), F.lit("")))
+            .when(prov == "gemini", F.coalesce(_strip(gem), F.lit("")))
+            .when(prov == "openai", F.coalesce(F.get(p["choices"], 0)["message"]["content"], F.lit("")))
+            .when(prov == "ollama", p["response"]))
+    inp = (F.when(prov == "anthropic", p["usage"]["input_tokens"]).when(prov == "openai", p["usage"]["prompt_tokens"])
+           .when(prov == "gemini", p["usageMetadata"]["promptTokenCount"]).when(prov == "ollama", p["prompt_eval_count"]))
+    out = (F.when(prov == "anthropic", p["usage"]["output_tokens"]).when(prov == "openai", p["usage"]["completion_tokens"])
+           .when(prov == "gemini", p["usageMetadata"]["candidatesTokenCount"]).when(prov == "ollama", p["eval_count"]))
+    df = df.withColumns({"text": text, "input_tokens": F.coalesce(inp, F.lit(0)).cast("bigint"),
+                         "output_tokens": F.coalesce(out, F.lit(0)).cast("bigint")}).drop("_p")
+    lost = F.col("text").isNull() | (prov.isin("anthropic", "gemini") & (F.col("text") == ""))
+    return df.withColumn("error", F.when(lost, F.concat(prov, F.lit(": no text in the reply"))))
 
 
 def normalize_logprobs(df: DataFrame, provider_col: str = "provider",
@@ -93,34 +94,32 @@ def normalize_logprobs(df: DataFrame, provider_col: str = "provider",
     Adds ``tokens`` (array<struct<token, logprob, top_logprobs>>, NULL when
     the provider returned none), ``only_avg`` and ``logprob_note``.
     """
-    p = _parsed(payload_col)
-    prov = F.lower(F.col(provider_col))
-    top_t = lambda arr: F.transform(F.coalesce(arr, F.array()), lambda x: F.struct(
-        F.coalesce(x["token"], F.lit("")).alias("token"), x["logprob"].alias("logprob")))
+    df = df.withColumn("_p", F.from_json(payload_col, PAYLOAD_SCHEMA))
+    p, prov = F.col("_p"), F.lower(F.col(provider_col))
+    token = lambda x: F.coalesce(x["token"], F.lit("")).alias("token")
+    none = F.array().cast(T.ArrayType(TOK))
     as_norm = lambda arr: F.transform(arr, lambda t: F.struct(
-        F.coalesce(t["token"], F.lit("")).alias("token"), t["logprob"].alias("logprob"),
-        top_t(t["top_logprobs"]).alias("top_logprobs")))
-    oai = as_norm(F.get(p["openai"]["choices"], 0)["logprobs"]["content"])
-    oll = as_norm(p["ollama"]["logprobs"])
-    cand0 = F.get(p["gemini"]["candidates"], 0)
-    lpr = cand0["logprobsResult"]
-    gem_top = F.transform(F.filter(lpr["topCandidates"], lambda pos: F.size(F.coalesce(pos["candidates"], F.array())) > 0),
-                          lambda pos: F.struct(
-                              F.coalesce(F.get(pos["candidates"], 0)["token"], F.lit("")).alias("token"),
-                              F.get(pos["candidates"], 0)["logProbability"].alias("logprob"),
-                              F.transform(pos["candidates"], lambda c: F.struct(
-                                  F.coalesce(c["token"], F.lit("")).alias("token"),
-                                  c["logProbability"].alias("logprob"))).alias("top_logprobs")))
-    gem_chosen = F.transform(lpr["chosenCandidates"], lambda c: F.struct(
-        F.coalesce(c["token"], F.lit("")).alias("token"), c["logProbability"].alias("logprob"),
-        F.array().cast(T.ArrayType(TOK)).alias("top_logprobs")))
-    gem = F.when(F.size(F.coalesce(lpr["topCandidates"], F.array())) > 0, gem_top).otherwise(gem_chosen)
-    gem = F.when(F.size(F.coalesce(gem, F.array())) > 0, gem)
-    tokens = (F.when(prov == "openai", oai).when(prov == "ollama", F.when(F.size(F.coalesce(oll, F.array())) > 0, oll))
-              .when(prov == "gemini", gem))
-    only_avg = (prov == "gemini") & gem.isNull() & cand0["avgLogprobs"].isNotNull()
-    note = (F.when(only_avg, F.format_string(NOT_PER_TOKEN + " (avgLogprobs=%s)",
-                                             cand0["avgLogprobs"].cast("string")))
-        .when((prov == "gemini") & gem.isNull(), F.lit(NOT_PER_TOKEN))
-        .when((prov == "ollama") & tokens.isNull(), F.lit(OLLAMA_MISSING)))
-    return df.withColumns({"tokens": tokens, "only_avg": only_avg, "logprob_note": note})
+        token(t), t["logprob"].alias("logprob"),
+        F.transform(F.coalesce(t["top_logprobs"], none), lambda x: F.struct(token(x), x["logprob"].alias("logprob")))
+        .alias("top_logprobs")))
+    cand0 = F.get(p["candidates"], 0)
+    # the chosen tokens, else the first of each position's candidates
+    held = cand0["logprobsResult"].isNotNull()
+    of = lambda f: F.when(held, _some(cand0["logprobsResult"][f])).otherwise(_some(p["logprobsResult"][f]))
+    chosen = F.transform(of("chosenCandidates"), lambda c: F.struct(
+        token(c), F.coalesce(c["logProbability"], c["logprob"]).alias("logprob"), none.alias("top_logprobs")))
+    firsts = F.transform(F.filter(of("topCandidates"), lambda pos: F.size(F.coalesce(pos["candidates"], F.array())) > 0),
+                         lambda pos: F.struct(
+                             token(F.get(pos["candidates"], 0)), F.get(pos["candidates"], 0)["logProbability"].alias("logprob"),
+                             F.transform(pos["candidates"], lambda c: F.struct(token(c), c["logProbability"].alias("logprob")))
+                             .alias("top_logprobs")))
+    tokens = (F.when(prov == "openai", as_norm(F.get(p["choices"], 0)["logprobs"]["content"]))
+              .when(prov == "ollama", as_norm(_some(p["logprobs"])))
+              .when(prov == "gemini", F.coalesce(chosen, _some(firsts))))
+    df = df.withColumns({"tokens": tokens, "_avg": cand0["avgLogprobs"]}).drop("_p")
+    bare = (prov == "gemini") & F.col("tokens").isNull()
+    only_avg = bare & F.col("_avg").isNotNull()
+    note = (F.when(only_avg, F.format_string(NOT_PER_TOKEN + " (avgLogprobs=%s)", F.col("_avg").cast("string")))
+            .when(bare, F.lit(NOT_PER_TOKEN))
+            .when((prov == "ollama") & F.col("tokens").isNull(), F.lit(OLLAMA_MISSING)))
+    return df.withColumns({"only_avg": only_avg, "logprob_note": note}).drop("_avg")

@@ -293,8 +293,8 @@ def _ci_from_replicates(reps: DataFrame, keys: list[str], level: float) -> DataF
                      F.coalesce((F.col("value") <= 0).cast("double"), F.lit(0.0)))).alias("p_le_0"))
 
 
-def _points(feat: DataFrame, keys: list[str]) -> DataFrame:
-    agg = feat.groupBy(*keys).agg(*weighted_metrics(keys, weight=None))
+def _points(feat: DataFrame, keys: list[str], score: str = "confidence_norm") -> DataFrame:
+    agg = feat.groupBy(*keys).agg(*weighted_metrics(keys, score=score, weight=None))
     return agg.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("point")) for m in METRICS
     ])).alias("mp")).select(*keys, "mp.metric", "mp.point")
@@ -396,17 +396,4 @@ def bootstrap_cells(feat: DataFrame, keys=("model_id",), n_boot: int = 2000, lev
         _replicate_fn(keys, block_size, n_bins, seed), schema=schema)
     reps = reps.filter(F.col("replicate") < n_boot)
     ci = _ci_from_replicates(reps, keys, level)
-    return _points(feat, keys).join(ci, keys + ["metric"])
-
-
-def bootstrap(feat: DataFrame, keys=("model_id",), n_boot: int = 2000, level: float = 0.95, seed: int = 42,
-              score: str = "confidence_norm", max_cells: int = 100_000) -> DataFrame:
-    """I4 entry point: the cell multinomial when every group compresses to at
-    most ``max_cells`` distinct cells (checked with one small aggregate job),
-    else the row-level Poisson bootstrap, whose cost grows with rows but
-    which never gathers a group in one task."""
-    keys = list(keys)
-    widest = _cells(feat, keys, score, N_BINS).groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if widest is not None and widest <= max_cells:
-        return bootstrap_cells(feat, keys, n_boot, level, seed, score=score)
-    return bootstrap_poisson(feat, keys, n_boot, level, seed)
+    return _points(feat, keys, score).join(ci, keys + ["metric"])

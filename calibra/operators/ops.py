@@ -151,24 +151,34 @@ def dry_run_estimate(plan: DataFrame, registry: dict | None = None) -> DataFrame
 def retry_collapse(attempts: DataFrame, max_attempts: int = 3, cell_col: str = "cell_id") -> DataFrame:
     """Attempts 1..n of one cell -> the first parsed attempt, else the last.
 
-    Tokens are summed over the attempts made up to the chosen one and the
-    note gets ``parse_attempts=k/n`` appended with " | ".
+    Attempts beyond ``max_attempts`` are not part of the protocol and don't
+    count.  Tokens and cost are summed over the attempts made up to the
+    chosen one and the note gets ``parse_attempts=k/n`` appended with " | ".
+    One partial aggregate: each task keeps a few sums and one struct a cell
+    and attempt number, however many rows a cell has.
     """
-    w = Window.partitionBy(cell_col)
-    first_ok = F.min(F.when(F.col("parse_ok"), F.col("attempt"))).over(w)
-    last = F.max("attempt").over(w)
-    made = attempts.withColumn("_chosen", F.coalesce(first_ok, last)).filter(
-        F.col("attempt") <= F.col("_chosen"))
-    pick = F.when(F.col("attempt") == F.col("_chosen"), F.lit(0)).otherwise(F.lit(1))
-    chosen = F.min_by(F.struct("attempt", "predicted_letter", "confidence", "parse_ok",
-                               "internal_prob_note"), pick)
-    agg = made.groupBy(cell_col).agg(chosen.alias("c"), F.sum("input_tokens").alias("input_tokens"),
-                                     F.sum("output_tokens").alias("output_tokens"))
-    note = F.concat_ws(" | ", F.col("c.internal_prob_note"),
-                       F.format_string(f"parse_attempts=%d/{max_attempts}", F.col("c.attempt")))
-    return agg.select(cell_col, F.col("c.attempt").alias("attempts_used"), "c.predicted_letter",
-                      "c.confidence", "c.parse_ok", "input_tokens", "output_tokens",
-                      note.alias("internal_prob_note"))
+    within = F.col("attempt").between(1, max_attempts)
+    reply = F.struct("predicted_letter", "confidence", "parse_ok", "internal_prob_note")
+    sums = ("input_tokens", "output_tokens", "call_cost_usd")
+    per: list[Column] = []
+    for k in range(1, max_attempts + 1):
+        here = F.col("attempt") == k
+        per.append(F.max(F.when(here, reply)).alias(f"_r{k}"))
+        per += [F.sum(F.when(here, F.col(c))).alias(f"_{c}{k}") for c in sums]
+    wide = attempts.filter(within).groupBy(cell_col).agg(
+        F.coalesce(F.min(F.when(F.col("parse_ok"), F.col("attempt"))), F.max("attempt")).alias("k"), *per)
+
+    def upto(c: str) -> Column:
+        total = F.lit(0)
+        for k in range(1, max_attempts + 1):
+            total = total + F.when(F.col("k") >= k, F.coalesce(F.col(f"_{c}{k}"), F.lit(0))).otherwise(0)
+        return total
+
+    chosen = F.element_at(F.array(*[F.col(f"_r{k}") for k in range(1, max_attempts + 1)]), F.col("k"))
+    out = wide.select(cell_col, "k", chosen.alias("c"), *[upto(c).alias(c) for c in sums])
+    note = F.concat_ws(" | ", F.col("c.internal_prob_note"), F.format_string(f"parse_attempts=%d/{max_attempts}", F.col("k")))
+    return out.select(cell_col, F.col("k").alias("attempts_used"), "c.predicted_letter", "c.confidence", "c.parse_ok",
+                      *sums, note.alias("internal_prob_note"))
 
 
 def integrity_check(responses: DataFrame, expected: Column | int,
@@ -206,12 +216,13 @@ def run_gate(responses: DataFrame, cap: float) -> DataFrame:
 def merge_results(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Union of existing and new rows; on a key clash the existing row wins.
 
-    ``min_by`` is a partial aggregate, so a hot key is reduced in every task
-    before the shuffle.
+    Among several existing (else new) rows of a key the smallest by their
+    remaining columns wins, so that reruns agree.  ``min`` is a partial
+    aggregate: a hot key is reduced in every task before the shuffle.
     """
     cols = existing.columns
+    rest = [c for c in cols if c not in keys]
     u = existing.select(*cols, F.lit(0).alias("_prio")).unionByName(
         new.select(*cols, F.lit(1).alias("_prio")))
-    rest = [c for c in cols if c not in keys]
-    best = u.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("_prio")).alias("_r"))
-    return best.select(*keys, "_r.*")
+    best = u.groupBy(*keys).agg(F.min(F.struct("_prio", *rest)).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])

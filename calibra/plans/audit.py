@@ -63,10 +63,34 @@ def holm_tests(reg: DataFrame, models: list[str]) -> DataFrame:
     return INF.holm(pv.select("t.*"))
 
 
+# columns that later tables read and the v1 layout has not (or names otherwise)
+_LATER_COLUMNS = {"internal_prob_answer": "double", "bank_source": "string", "trial_index": "int", "temperature": "double",
+                  "max_output_tokens": "int", "config_version": "string", "answer_index": "int", "input_tokens": "int",
+                  "output_tokens": "int", "collection_timestamp": "string"}
+
+
+def with_later_columns(raw: DataFrame) -> DataFrame:
+    """v1 results under the v2 names; what v1 did not record is NULL."""
+    for old, new in (("trial", "trial_index"), ("timestamp_utc", "collection_timestamp")):
+        if old in raw.columns and new not in raw.columns:
+            raw = raw.withColumnRenamed(old, new)
+    return raw.withColumns({c: F.lit(None).cast(t) for c, t in _LATER_COLUMNS.items() if c not in raw.columns})
+
+
+def _read_back(like: DataFrame, path: str, fmt: str) -> DataFrame:
+    r = like.sparkSession.read.schema(like.schema)
+    return r.option("header", True).option("quote", '"').option("escape", '"').csv(path) if fmt == "csv" else r.format(fmt).load(path)
+
+
 def run_audit(spark: SparkSession, raw: DataFrame, out_dir: str, models: list[str] | None = None,
               n_boot: int = 2000, fmt: str = "parquet") -> dict:
-    """Score once, write every result table under ``out_dir``; return metadata."""
+    """Score once, write every result table under ``out_dir``; return metadata.
+
+    With ``models`` only their rows are analysed, in every table; tables are
+    in that order of models (else by name), then of difficulty.
+    """
     scored_path = os.path.join(out_dir, "scored")
+    raw = with_later_columns(raw if models is None else S.primary_models(raw, models))
     scored = raw if "parse_ok" in raw.columns else S.score_responses(raw)
     write_table(scored, scored_path, partition_by="model_id")
     scored = spark.read.parquet(scored_path)
@@ -80,15 +104,17 @@ def run_audit(spark: SparkSession, raw: DataFrame, out_dir: str, models: list[st
                                                     "n_with_internal", out="pearson_p"),
         "original_vs_full": C.robustness_slices(feat),
         "confidence_dispersion": C.confidence_dispersion(feat),
-        "slim_results": S.slim_export(scored),
     }
     for name, df in tables.items():
-        write_table(df, os.path.join(out_dir, name), fmt=fmt)
+        small = C.ordered(df, models, by_difficulty="difficulty" in df.columns) if "model_id" in df.columns else df
+        write_table(small, os.path.join(out_dir, name), fmt=fmt)
+    write_table(S.slim_export(scored), os.path.join(out_dir, "slim_results"), fmt=fmt)
     write_table(C.reliability_bins(feat), os.path.join(out_dir, "reliability_bins"), fmt=fmt,
                 partition_by="model_id")
     reg_path = os.path.join(out_dir, "difficulty_regression")
-    write_table(regression_table(feat, n_boot), reg_path, fmt="parquet")
-    reg = spark.read.parquet(reg_path)
+    reg = C.ordered(regression_table(feat, n_boot), models)
+    write_table(reg, reg_path, fmt=fmt)
+    reg = _read_back(reg, reg_path, fmt)
     model_order = models or sorted(r.model_id for r in reg.select("model_id").collect())
     write_table(holm_tests(reg, model_order), os.path.join(out_dir, "holm_corrected_tests"), fmt=fmt)
     meta_df = run_metadata(scored, n_bootstrap=n_boot)

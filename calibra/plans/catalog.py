@@ -802,19 +802,20 @@ def q_spend_cap(spark, sf_dir):
 
 @register("retry_collapse", O.with_ctes("""
 SELECT a.cell_id, a.attempt AS attempts_used, a.predicted_letter, a.confidence, a.parse_ok,
-  s.input_tokens, s.output_tokens,
+  s.input_tokens, s.output_tokens, s.call_cost_usd,
   concat_ws(' | ', a.internal_prob_note, 'parse_attempts=' || CAST(a.attempt AS VARCHAR) || '/3') AS internal_prob_note
-FROM attempts_p a
+FROM attempts_3 a
 JOIN (SELECT cell_id, coalesce(min(CASE WHEN parse_ok THEN attempt END), max(attempt)) AS chosen
-      FROM attempts_p GROUP BY cell_id) c ON a.cell_id = c.cell_id AND a.attempt = c.chosen
+      FROM attempts_3 GROUP BY cell_id) c ON a.cell_id = c.cell_id AND a.attempt = c.chosen
 JOIN (SELECT p.cell_id, CAST(sum(p.input_tokens) AS BIGINT) AS input_tokens,
-             CAST(sum(p.output_tokens) AS BIGINT) AS output_tokens
-      FROM attempts_p p JOIN (SELECT cell_id, coalesce(min(CASE WHEN parse_ok THEN attempt END), max(attempt)) AS chosen
-                              FROM attempts_p GROUP BY cell_id) c2
+             CAST(sum(p.output_tokens) AS BIGINT) AS output_tokens,
+             round(sum(p.call_cost_usd), 12) AS call_cost_usd
+      FROM attempts_3 p JOIN (SELECT cell_id, coalesce(min(CASE WHEN parse_ok THEN attempt END), max(attempt)) AS chosen
+                              FROM attempts_3 GROUP BY cell_id) c2
         ON p.cell_id = c2.cell_id AND p.attempt <= c2.chosen
       GROUP BY p.cell_id) s ON s.cell_id = a.cell_id""", "f3"))
 def q_retry_collapse(spark, sf_dir):
-    return OPS.retry_collapse(FX.attempts(spark, sf_dir))
+    return rounded(OPS.retry_collapse(FX.attempts(spark, sf_dir)), 12)
 
 
 @register("integrity_check", O.with_ctes(f"""
@@ -822,11 +823,11 @@ SELECT model_id, count(*) AS n,
   {O.rnd('avg(CAST(coalesce(parse_ok, false) AS DOUBLE))')} AS parse_ok_rate,
   count(CASE WHEN config_version IS DISTINCT FROM 'v2' THEN 1 END) AS bad_config_version,
   count(CASE WHEN coalesce(max_output_tokens, 0) <> 1024 THEN 1 END) AS bad_max_tokens,
-  CAST((SELECT count(DISTINCT question_id) FROM responses) * {TRIALS} AS BIGINT) AS expected
+  CAST((SELECT count(*) FROM part) * {TRIALS} AS BIGINT) AS expected
 FROM responses GROUP BY model_id""", "f1"))
 def q_integrity_check(spark, sf_dir):
     r = raw(spark, sf_dir)
-    expected = r.select(F.countDistinct("question_id")).scalar() * TRIALS
+    expected = FX.table(spark, sf_dir, "part").count() * TRIALS  # the bank: a question that no model answered counts too
     return rounded(OPS.integrity_check(r, expected))
 
 
@@ -1052,13 +1053,16 @@ from calibra.functions import payloads as PL  # noqa: E402
 
 @register("payload_text", O.with_ctes(r"""
 SELECT model_id, question_id, trial_index, provider,
-  regexp_replace(raw_response, '^\s+|\s+$', '', 'g') AS text,
-  CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens
+  CASE WHEN line = 2 THEN ''
+       WHEN provider IN ('anthropic', 'gemini') THEN regexp_replace(raw_response, '^\s+|\s+$', '', 'g')
+       ELSE '  ' || raw_response || ' ' || chr(10) END AS text,
+  CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens,
+  CASE WHEN provider IN ('anthropic', 'gemini') AND line = 2 THEN provider || ': no text in the reply' END AS error
 FROM payloads""", "f1_raw", "f6"))
 def q_payload_text(spark, sf_dir):
     p = PL.payload_text(FX.provider_payloads(spark, sf_dir))
     return p.select("model_id", "question_id", "trial_index", "provider", "text", "input_tokens",
-                    "output_tokens")
+                    "output_tokens", "error")
 
 
 @register("normalize_logprobs", O.with_ctes(rf"""
@@ -1067,10 +1071,16 @@ SELECT model_id, question_id, trial_index, provider,
        THEN CAST(len(tokens) AS INTEGER) END AS n_tokens,
   CASE WHEN provider = 'openai' OR (provider = 'ollama' AND line <> 5)
          THEN CAST(list_sum(list_transform(tokens, lambda x: len(x.top_logprobs))) AS INTEGER)
-       WHEN provider = 'gemini' AND line = 4 THEN 0
-       WHEN provider = 'gemini' AND line <> 7
+       WHEN provider = 'gemini' AND line = 3
          THEN CAST(list_sum(list_transform(tokens, lambda x: 1 + len(x.top_logprobs))) AS INTEGER)
+       WHEN provider = 'gemini' AND line <> 7 THEN 0
   END AS n_top,
+  CASE WHEN provider = 'gemini' AND line = 3 THEN '?'
+       WHEN provider = 'openai' OR (provider = 'ollama' AND line <> 5) OR (provider = 'gemini' AND line <> 7)
+       THEN tokens[-1].token END AS last_token,
+  CASE WHEN provider = 'gemini' AND line = 3 THEN -0.05
+       WHEN provider = 'openai' OR (provider = 'ollama' AND line <> 5) OR (provider = 'gemini' AND line <> 7)
+       THEN {O.rnd('tokens[-1].logprob + CAST(0 AS DOUBLE)')} END AS last_logprob,
   (provider = 'gemini' AND line = 7) AS only_avg,
   CASE WHEN provider = 'gemini' AND line = 7
          THEN 'not available at per-token granularity for this model/API version (avgLogprobs=-0.25)'
@@ -1080,11 +1090,12 @@ SELECT model_id, question_id, trial_index, provider,
 FROM payloads""", "f1_raw", "f6"))
 def q_normalize_logprobs(spark, sf_dir):
     n = PL.normalize_logprobs(FX.provider_payloads(spark, sf_dir))
-    return n.select("model_id", "question_id", "trial_index", "provider",
-                    F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"),
-                    F.aggregate(F.col("tokens"), F.lit(0), lambda acc, x: acc + F.size(x["top_logprobs"]))
-                    .alias("n_top"),
-                    "only_avg", "logprob_note")
+    last = F.element_at("tokens", -1)
+    return rounded(n.select(
+        "model_id", "question_id", "trial_index", "provider",
+        F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"),
+        F.aggregate(F.col("tokens"), F.lit(0), lambda acc, x: acc + F.size(x["top_logprobs"])).alias("n_top"),
+        last["token"].alias("last_token"), (last["logprob"] + F.lit(0.0)).alias("last_logprob"), "only_avg", "logprob_note"))
 
 
 # ---------------------------------------------------------------------------

@@ -268,7 +268,7 @@ attempts AS (
     CASE WHEN TRY_CAST(nullif(regexp_extract(raw_response, '(?i)CONFIDENCE:\s*(\d{1,3})', 1), '') AS INTEGER) <= 100
          THEN TRY_CAST(nullif(regexp_extract(raw_response, '(?i)CONFIDENCE:\s*(\d{1,3})', 1), '') AS INTEGER) END
       AS confidence,
-    input_tokens, output_tokens, internal_prob_note
+    input_tokens, output_tokens, call_cost_usd, internal_prob_note
   FROM (
     SELECT l_orderkey AS cell_id,
       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey,
@@ -278,11 +278,12 @@ attempts AS (
                 || CAST(CAST(l_quantity * 2 AS INTEGER) AS VARCHAR) END AS raw_response,
       CAST(300 + CAST(l_quantity AS INTEGER) AS BIGINT) AS input_tokens,
       CAST(10 + l_linenumber * 5 AS BIGINT) AS output_tokens,
+      CAST(l_extendedprice / 1000000 AS DOUBLE) AS call_cost_usd,
       CAST(NULL AS VARCHAR) AS internal_prob_note
-    FROM lineitem) a
-  WHERE attempt <= 3),
-attempts_p AS (
-  SELECT *, coalesce(predicted_letter IS NOT NULL AND confidence IS NOT NULL, false) AS parse_ok FROM attempts)"""
+    FROM lineitem) a),
+attempts_3 AS (
+  SELECT *, coalesce(predicted_letter IS NOT NULL AND confidence IS NOT NULL, false) AS parse_ok FROM attempts
+  WHERE attempt <= 3)"""
 ORDER.append("f3")
 
 CTES["f5"] = r"""

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from calibra.functions import parsing
 from calibra.functions.windows import segmented_row_number
 from calibra.session import ship_package
-from calibra.sources.readers import spread_if_undersplit
 from calibra.schemas import DOMAIN_SUBJECTS, LETTERS
 
 # Configured model order of the fixture: non-alphabetical on purpose.
@@ -61,7 +60,6 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    li = spread_if_undersplit(li, ["l_partkey"])
     # trial number = position of the row within its (part, model) cell; a
     # segmented row number, so a part holding a third of all rows is
     # numbered by many tasks (buckets of order keys) rather than one
@@ -129,7 +127,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """call ledger from events (run = user, call = event)."""
-    ev = spread_if_undersplit(table(spark, sf_dir, "events"), ["user_id"])
+    ev = table(spark, sf_dir, "events")
     return ev.select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("call_id"),
@@ -143,11 +141,10 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """parse attempts, cell = order, attempt = line position (at most 3)."""
+    """parse attempts, cell = order, attempt = line position."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
-    li = spread_if_undersplit(li, ["l_orderkey"])
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
     letter = _letter((F.col("l_partkey") % 4).cast("int"))
@@ -157,7 +154,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit(REFUSAL_TEXT)).otherwise(
         F.concat(F.lit("ANSWER: "), letter, F.lit("\nCONFIDENCE: "), conf))
     p = parsing.parse_reply(reply)
-    out = li.select(
+    return li.select(
         F.col("l_orderkey").alias("cell_id"),
         F.row_number().over(w).cast("int").alias("attempt"),
         reply.alias("raw_response"),
@@ -166,14 +163,13 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         p["parse_ok"].alias("parse_ok"),
         (300 + F.col("l_quantity").cast("int")).cast("bigint").alias("input_tokens"),
         (10 + F.col("l_linenumber") * 5).cast("bigint").alias("output_tokens"),
+        (F.col("l_extendedprice") / 1_000_000).cast("double").alias("call_cost_usd"),
         F.lit(None).cast("string").alias("internal_prob_note"),
     )
-    return out.filter(F.col("attempt") <= 3)
 
 
 def _pool_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_if_undersplit(
-        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     subj = F.element_at(F.array(*[F.lit(s) for s in POOL_SUBJECTS]),
                         (F.col("n_chars") % len(POOL_SUBJECTS) + 1).cast("int"))
     return docs.select(
@@ -250,11 +246,15 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     R -> Anthropic content parts; A -> OpenAI choices with token logprobs
     (line 6: Ollama shape, line 5: Ollama without logprobs); N -> Gemini
-    parts with a thought part and topCandidates (line 4: chosenCandidates,
-    line 7: only an average log-probability).
+    parts with a thought part and both candidate lists, whose chosen tokens
+    differ from the most likely ones (line 4: chosenCandidates alone, line 3:
+    topCandidates alone, line 6: the result at top level, with the short key,
+    line 7: only an average log-probability).  Texts are padded with blanks;
+    line 2 has an empty text.
     """
     t = token_logprobs(spark, sf_dir)
-    reply, toks, ln = F.col("raw_response"), F.col("tokens"), F.col("line")
+    toks, ln = F.col("tokens"), F.col("line")
+    reply = F.when(ln == 2, F.lit("")).otherwise(F.concat(F.lit("  "), F.col("raw_response"), F.lit(" \n")))
     inp, out = F.col("input_tokens").cast("long"), F.col("output_tokens").cast("long")
     anthropic = F.to_json(F.struct(
         F.array(F.struct(F.lit("thinking").alias("type"), F.lit("scratch").alias("text")),
@@ -268,17 +268,15 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 out.alias("eval_count"),
                                 F.when(ln != 5, toks).alias("logprobs")))
     cand = lambda tk, lp: F.struct(tk.alias("token"), lp.alias("logProbability"))
+    short = lambda tk, lp: F.struct(tk.alias("token"), lp.alias("logprob"))
+    # the most likely token of each position is not the one that was chosen
     top = F.transform(toks, lambda x: F.struct(F.concat(
-        F.array(cand(x["token"], x["logprob"])),
+        F.array(cand(F.lit("?"), F.lit(-0.05))),
         F.transform(x["top_logprobs"], lambda a: cand(a["token"], a["logprob"]))).alias("candidates")))
     chosen = F.transform(toks, lambda x: cand(x["token"], x["logprob"]))
-    lpr = (F.when(ln == 7, F.lit(None))
-           .when(ln == 4, F.struct(F.lit(None).cast("array<struct<candidates:"
-                                             "array<struct<token:string,logProbability:double>>>>")
-                                   .alias("topCandidates"), chosen.alias("chosenCandidates")))
-           .otherwise(F.struct(top.alias("topCandidates"),
-                               F.lit(None).cast("array<struct<token:string,logProbability:double>>")
-                               .alias("chosenCandidates"))))
+    lpr = F.when(~ln.isin(6, 7), F.struct(F.when(ln != 4, top).alias("topCandidates"),
+                                          F.when(ln != 3, chosen).alias("chosenCandidates")))
+    lpr_top = F.when(ln == 6, F.struct(F.transform(toks, lambda x: short(x["token"], x["logprob"])).alias("chosenCandidates")))
     gemini = F.to_json(F.struct(
         F.array(F.struct(
             F.struct(F.array(F.struct(F.lit("Thinking it over.").alias("text"), F.lit(True).alias("thought")),
@@ -286,6 +284,7 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("parts")).alias("content"),
             F.lit(GEMINI_AVG_LOGPROB).alias("avgLogprobs"),
             lpr.alias("logprobsResult"))).alias("candidates"),
+        lpr_top.alias("logprobsResult"),
         F.struct(inp.alias("promptTokenCount"), out.alias("candidatesTokenCount")).alias("usageMetadata")))
     m = F.col("model_id")
     provider = (F.when(m == "R", F.lit("anthropic"))

@@ -1,4 +1,4 @@
-"""Readers (S1-S5) with explicit schemas, and input-parallelism helpers.
+"""Readers (S1-S5) with explicit schemas.
 
 No reader infers a schema; every one takes a StructType from
 ``calibra.schemas``.  Paths may be local or on shared storage.
@@ -6,7 +6,6 @@ No reader infers a schema; every one takes a StructType from
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,28 +13,6 @@ from pyspark.sql import types as T
 from calibra.functions import parsing
 
 
-def spread_if_undersplit(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Hash-repartition a scan that has fewer splits than the session's cores.
-
-    A single large row group is read by one task; the CPU-heavy stages that
-    follow (reply parsing, windows) would then run single-threaded.  On a
-    cluster reading many files the scan already has more splits than cores
-    and the plan is left untouched (no extra shuffle).  Partitioning on the
-    next operator's key lets that operator reuse the partitioning.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    # only small inputs get here (fewer splits than cores): two tasks per core
-    target = max(2 * cores, 1)
-    spread = df.repartition(target, *keys) if keys else df.repartition(target)
-    # Kept for the session: later filters are pushed down to this spread
-    # copy (parallel partitions) instead of into the single scan task; an
-    # executor loss recomputes the lost blocks from the source files.
-    return spread.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     r = spark.read
     if schema is not None:
@@ -60,36 +37,42 @@ def read_results_csv(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return df.withColumns(fixes) if fixes else df
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+
+
 def read_jsonl_dir(spark: SparkSession, raw_dir: str, stamp: str, models: list[str],
-                   schema: T.StructType) -> DataFrame:
+                   schema: T.StructType, malformed: str = "fail") -> DataFrame:
     """One JSONL file per model and stamp, unioned in one scan.
 
-    Malformed lines are dropped (DROPMALFORMED), blank
-    lines are skipped by the JSON source, and a missing model file is an
-    error, as in the single-machine loader.
+    A line that is not JSON stops an analysis (``malformed="fail"``); a
+    resumed collection passes ``"skip"`` and asks for that cell again.
+    Numbers may be written as strings; what is no number becomes NULL.
     """
+    modes = {"fail": "FAILFAST", "skip": "DROPMALFORMED"}
     paths = [f"{raw_dir.rstrip('/')}/{m}_{stamp}.jsonl" for m in models]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if not hp.getFileSystem(conf).exists(hp):
-            raise FileNotFoundError(f"Missing {p}")
-    df = spark.read.schema(_lenient(schema)).option("mode", "DROPMALFORMED").json(paths)
+    absent = [p for p in paths if not _exists(spark, p)]
+    if absent:
+        raise FileNotFoundError(f"no response file at {', '.join(absent)}")
+    df = spark.read.schema(_wire(schema)).option("mode", modes[malformed]).json(paths)
     df = _restore_types(df, schema)
     return df.withColumn("_file_model",
                          F.regexp_extract(F.input_file_name(), r"([^/]+)_[^_/]+\.jsonl$", 1))
 
 
-def _lenient(schema: T.StructType) -> T.StructType:
-    """Wire schema: integer fields read as double, so ``1024.0`` is not a bad record."""
-    return T.StructType([T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, (T.IntegerType, T.LongType))
-                                       else f.dataType, f.nullable) for f in schema.fields])
+_NUMBERS = (T.IntegerType, T.LongType, T.DoubleType)
+
+
+def _wire(schema: T.StructType) -> T.StructType:
+    """Number fields are read as text, so that 85, 85.0 and "85" are all good records."""
+    return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, _NUMBERS) else f.dataType, f.nullable)
+                         for f in schema.fields])
 
 
 def _restore_types(df: DataFrame, schema: T.StructType) -> DataFrame:
-    fixes = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields
-             if isinstance(f.dataType, (T.IntegerType, T.LongType))}
+    fixes = {f.name: F.trim(f.name).try_cast("double").try_cast(f.dataType) for f in schema.fields
+             if isinstance(f.dataType, _NUMBERS)}
     return df.withColumns(fixes) if fixes else df
 
 
@@ -97,33 +80,31 @@ def read_bank_json(spark: SparkSession, path: str, schema: T.StructType) -> Data
     """S3: a JSON array of bank items; an empty bank is an error."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
     if df.isEmpty():
-        raise RuntimeError(f"Empty or invalid bank: {path}")
+        raise RuntimeError(f"the bank at {path} has no items")
     return df
 
 
 def read_corpus(spark: SparkSession, all_path: str | None, subject_paths: dict[str, str],
                 schema: T.StructType) -> DataFrame:
-    """One 'all' table, else the union of per-subject tables.
+    """One table of all subjects, else its per-subject parts in one scan.
 
-    Per-subject parts without a subject column get it from their name.
+    Which parts exist is asked of the file system; a part that exists but
+    can't be read stops the job.  Columns are those of ``schema``; a null
+    subject is the name its part was given.
     """
-    if all_path:
-        try:
-            return spark.read.parquet(all_path)
-        except Exception:  # noqa: BLE001 - fall back to per-subject parts
-            pass
-    frames = []
-    for subject, p in subject_paths.items():
-        try:
-            part = spark.read.parquet(p)
-        except Exception:  # noqa: BLE001 - skip unavailable subjects
-            continue
-        if "subject" not in part.columns:
-            part = part.withColumn("subject", F.lit(subject))
-        frames.append(part)
-    if not frames:
-        raise RuntimeError("Could not load any corpus subjects.")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    if all_path and _exists(spark, all_path):
+        return spark.read.schema(schema).parquet(all_path)
+    parts = {subject: p for subject, p in subject_paths.items() if _exists(spark, p)}
+    if not parts:
+        raise FileNotFoundError("the corpus has neither a common table nor a subject part: "
+                                + ", ".join([all_path or "-", *subject_paths.values()]))
+    df = spark.read.schema(schema).parquet(*parts.values())
+    if "subject" not in df.columns:
+        df = df.withColumn("subject", F.lit(None).cast("string"))
+    # a file belongs to the part whose folder or file its own path continues
+    named = F.lit(None).cast("string")
+    at = F.col("_metadata.file_path")
+    for subject, p in parts.items():
+        whole = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath()
+        named = F.when(F.url_decode(at).contains(whole + "/") | F.url_decode(at).endswith(whole), F.lit(subject)).otherwise(named)
+    return df.withColumn("subject", F.coalesce("subject", named))

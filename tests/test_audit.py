@@ -28,6 +28,18 @@ def test_run_audit_writes_all_tables(spark):
     assert "raw_response" not in slim.columns
 
 
+def test_only_configured_models_in_every_table(spark):
+    out = tempfile.mkdtemp(prefix="calibra-audit-", dir="/tmp")
+    raw = FX.raw_responses(spark, SF001).drop("l_linenumber", "l_discount")
+    meta = run_audit(spark, raw, out, models=["R", "A"], n_boot=100, fmt="csv")
+    assert meta["n_models"] == 2 and meta["n_raw"] == raw.filter("model_id in ('R', 'A')").count()
+    read = lambda name: spark.read.option("header", True).csv(os.path.join(out, name))
+    assert sorted(int(r["rank"]) for r in read("holm_corrected_tests").collect()) == [1, 2, 3, 4]
+    assert [r.model_id for r in read("overall_by_model").collect()] == ["R", "A"]
+    for name in ("parse_rates", "ece_by_model_domain", "original_vs_full", "confidence_dispersion", "difficulty_regression", "slim_results"):
+        assert {r.model_id for r in read(name).select("model_id").distinct().collect()} == {"R", "A"}, name
+
+
 def test_v1_csv_results_give_the_same_tables(spark):
     """S1 + P1 + P2 end to end: a v1 CSV (text flags, '80.0' confidences,
     multi-line replies) read back gives the same calibration table."""
@@ -55,3 +67,8 @@ def test_v1_csv_results_give_the_same_tables(spark):
     b = {r.model_id: r for r in C.overall_by_model(response_features(scored)).collect()}
     for m in b:
         assert a[m].n == b[m].n and abs(a[m].ece - b[m].ece) < 1e-12 and abs(a[m].accuracy - b[m].accuracy) < 1e-12
+    v1_out = tempfile.mkdtemp(prefix="calibra-audit-", dir="/tmp")
+    meta = run_audit(spark, back, v1_out, models=FX.FIXTURE_MODELS, n_boot=100)
+    assert meta["n_raw"] == scored.count()
+    assert spark.read.parquet(os.path.join(v1_out, "holm_corrected_tests")).count() == 6
+    assert spark.read.parquet(os.path.join(v1_out, "verbal_vs_internal")).count() == 3

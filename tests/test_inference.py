@@ -154,11 +154,14 @@ def test_poisson_weights_have_mean_one(spark):
     assert w.mean() == pytest.approx(1.0, abs=0.01) and w.var() == pytest.approx(1.0, abs=0.02)
 
 
-def test_bootstrap_picks_method_by_checked_cell_count(spark):
-    f = _boot_feat(spark)
-    a = INF.bootstrap(f, n_boot=100)
-    b = INF.bootstrap(f, n_boot=100, max_cells=5)   # falls back to the Poisson form
-    assert a.count() == b.count() == 8
+def test_bootstrap_resamples_the_score_it_is_given(spark):
+    from pyspark.sql import functions as F
+    f = _boot_feat(spark).withColumn("other", F.lit(0.5))
+    point, lo, hi = ({r.model_id: r[k] for r in INF.bootstrap_cells(f, n_boot=200, score="other")
+                      .filter("metric = 'overconfidence_gap'").collect()} for k in ("point", "ci_lo", "ci_hi"))
+    want = {r.model_id: 0.5 - r.a for r in f.groupBy("model_id").agg(F.avg("correct").alias("a")).collect()}
+    assert point == pytest.approx(want)
+    assert all(lo[m] < want[m] < hi[m] for m in want)
 
 
 def test_one_sided_bootstrap_p_can_be_zero(spark):

@@ -54,16 +54,21 @@ def test_running_spend_matches_plain_window(spark):
 
 
 def test_retry_collapse(spark):
-    rows = [(1, 1, None, None, False, 100, 10, None), (1, 2, "B", 70, True, 100, 10, None),
-            (1, 3, "C", 60, True, 100, 10, None),
-            (2, 1, None, None, False, 50, 5, "note"), (2, 2, None, None, False, 50, 5, "note2")]
-    df = spark.createDataFrame(rows, "cell_id long, attempt int, predicted_letter string, confidence int, "
-                                     "parse_ok boolean, input_tokens long, output_tokens long, internal_prob_note string")
-    out = {r.cell_id: r for r in OPS.retry_collapse(df).collect()}
-    assert (out[1].attempts_used, out[1].predicted_letter, out[1].input_tokens) == (2, "B", 200)
+    rows = [(1, 1, None, None, False, 100, 10, 0.5, None), (1, 2, "B", 70, True, 100, 10, 0.25, None),
+            (1, 3, "C", 60, True, 100, 10, 4.0, None),
+            (2, 1, None, None, False, 50, 5, None, "note"), (2, 2, None, None, False, 50, 5, 1.0, "note2"),
+            # five attempts: the fourth is beyond the protocol, parsed or not
+            *[(3, k, "D" if k == 4 else None, 50 if k == 4 else None, k == 4, 10, 1, 1.0, None) for k in range(1, 6)]]
+    df = spark.createDataFrame(rows, "cell_id long, attempt int, predicted_letter string, confidence int, parse_ok boolean, "
+                                     "input_tokens long, output_tokens long, call_cost_usd double, internal_prob_note string")
+    collapsed = OPS.retry_collapse(df)
+    assert "Window" not in collapsed._jdf.queryExecution().toString()
+    out = {r.cell_id: r for r in collapsed.collect()}
+    assert (out[1].attempts_used, out[1].predicted_letter, out[1].input_tokens, out[1].call_cost_usd) == (2, "B", 200, 0.75)
     assert out[1].internal_prob_note == "parse_attempts=2/3"
-    assert (out[2].attempts_used, out[2].parse_ok, out[2].output_tokens) == (2, False, 10)
+    assert (out[2].attempts_used, out[2].parse_ok, out[2].output_tokens, out[2].call_cost_usd) == (2, False, 10, 1.0)
     assert out[2].internal_prob_note == "note2 | parse_attempts=2/3"
+    assert (out[3].attempts_used, out[3].parse_ok, out[3].input_tokens, out[3].internal_prob_note) == (3, False, 30, "parse_attempts=3/3")
 
 
 def test_merge_existing_wins(spark):

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import types as T
 
 from calibra.schemas import BANK_SCHEMA, RESPONSE_V1_SCHEMA, RESPONSE_V2_SCHEMA
 from calibra.sources import readers as RD
@@ -30,20 +31,32 @@ def test_multiline_csv_v1_flags(spark):
     assert (df[1].is_correct, df[1].parse_ok, df[1].confidence) == (False, True, None)
 
 
-def test_jsonl_dir_skips_malformed_and_requires_every_model(spark):
+def test_jsonl_dir_malformed_lines_and_missing_models(spark):
     d = _tmp()
     rec = {"question_id": "q1", "model_id": "m1", "trial_index": 0, "parse_ok": True, "confidence": 80}
     with open(os.path.join(d, "m1_S1.jsonl"), "w") as f:
         f.write(json.dumps(rec) + "\n\n{not json\n" + json.dumps({**rec, "trial_index": 1}) + "\n")
     with open(os.path.join(d, "m2_S1.jsonl"), "w") as f:
         f.write(json.dumps({**rec, "model_id": "m2"}) + "\n")
-    df = RD.read_jsonl_dir(spark, d, "S1", ["m1", "m2"], RESPONSE_V2_SCHEMA)
+    with pytest.raises(Exception, match="(?i)malformed"):  # an analysis doesn't lose rows silently
+        RD.read_jsonl_dir(spark, d, "S1", ["m1", "m2"], RESPONSE_V2_SCHEMA).collect()
+    df = RD.read_jsonl_dir(spark, d, "S1", ["m1", "m2"], RESPONSE_V2_SCHEMA, malformed="skip")
     assert df.count() == 3
     assert {r._file_model for r in df.collect()} == {"m1", "m2"}
     with pytest.raises(FileNotFoundError):
         RD.read_jsonl_dir(spark, d, "S1", ["m1", "m3"], RESPONSE_V2_SCHEMA)
 
 
+def test_jsonl_numbers_as_text(spark):
+    d = _tmp()
+    rows = [{"model_id": "m", "trial_index": 0, "confidence": "85"}, {"model_id": "m", "trial_index": 1.0, "confidence": 70},
+            {"model_id": "m", "trial_index": 2, "confidence": "high"}, {"model_id": "m", "trial_index": 3, "confidence": None}]
+    with open(os.path.join(d, "m_S1.jsonl"), "w") as f:
+        f.write("\n".join(map(json.dumps, rows)) + "\n")
+    got = RD.read_jsonl_dir(spark, d, "S1", ["m"], RESPONSE_V2_SCHEMA).orderBy("trial_index").collect()
+    assert [(r.trial_index, r.confidence) for r in got] == [(0, 85), (1, 70), (2, None), (3, None)]
+
+
 def test_bank_json_array_and_empty(spark):
     d = _tmp()
     p = os.path.join(d, "bank.json")
@@ -64,10 +77,17 @@ def test_corpus_subject_fallback(spark):
     spark.createDataFrame([("q2", "sociology", ["a", "b", "c", "d"], 0)],
                           "question string, subject string, choices array<string>, answer int") \
         .write.parquet(os.path.join(d, "sociology"))
-    df = RD.read_corpus(spark, os.path.join(d, "missing_all"),
-                        {"astronomy": os.path.join(d, "astronomy"), "sociology": os.path.join(d, "sociology"),
-                         "virology": os.path.join(d, "nope")}, None)
+    schema = T.StructType.fromDDL("question string, subject string, choices array<string>, answer int")
+    parts = {k: os.path.join(d, k) for k in ("astronomy", "sociology", "virology")}
+    df = RD.read_corpus(spark, os.path.join(d, "missing_all"), parts, schema)
     assert sorted(r.subject for r in df.collect()) == ["astronomy", "sociology"]
+    with pytest.raises(FileNotFoundError):
+        RD.read_corpus(spark, None, {"virology": parts["virology"]}, schema)
+    os.mkdir(parts["virology"])
+    with open(os.path.join(parts["virology"], "part.parquet"), "w") as f:
+        f.write("damaged")
+    with pytest.raises(Exception, match="(?i)parquet"):  # a part that can't be read is not left out
+        RD.read_corpus(spark, None, parts, schema).collect()
 
 
 def test_sinks_roundtrip(spark):
@@ -80,13 +100,3 @@ def test_sinks_roundtrip(spark):
     assert {"model_id=m1", "model_id=m2"} <= set(os.listdir(os.path.join(d, "bins")))
     SK.write_table(df, os.path.join(d, "csv"), fmt="csv")
     assert spark.read.option("header", True).csv(os.path.join(d, "csv")).count() == 2
-
-
-def test_spread_only_touches_under_split_inputs(spark):
-    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert RD.spread_if_undersplit(many, ["id"]) is many
-    few = spark.range(0, 1000, numPartitions=1)
-    spread = RD.spread_if_undersplit(few, ["id"])
-    assert spread is not few and spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    assert spread.count() == 1000
-    spread.unpersist()
