@@ -78,50 +78,40 @@ def _strings(rows: DataFrame, order: int) -> DataFrame:
 
 
 def learn(labelled: DataFrame, *, order: int = 4) -> DataFrame:
-    """s, cls -> cls, gram, logp (of its last character), back (log weight as a context; null if it never was one)."""
+    """s, cls -> cls, gram, gain (null if unseen), back (log weight as a context; null if it never was one)."""
     counts = _strings(labelled.select("cls", "s"), order).groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("c"))
     counts = written(counts.withColumn("n", F.char_length("gram")).withColumn("context", F.expr("substring(gram, 1, n - 1)")), "counts")
     contexts = written(counts.groupBy("cls", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("d")), "contexts")
     full = counts.join(contexts, ["cls", "context"])
-    level = full.where("n = 1").select("cls", "gram", ((F.col("c") + F.col("d") / ALPHABET) / (F.col("total") + F.col("d"))).alias("p"))
-    levels = level
-    for n in range(2, order + 2):
+    level, levels = None, None
+    for n in range(1, order + 2):
         here = full.where(F.col("n") == n).withColumn("shorter", F.expr("substring(gram, 2, n - 1)"))
-        level = here.join(level.select(F.col("cls").alias("_cls"), F.col("gram").alias("_gram"), F.col("p").alias("_p")),
-                          (F.col("cls") == F.col("_cls")) & (F.col("shorter") == F.col("_gram"))) \
-            .select("cls", "gram", ((F.col("c") + F.col("d") * F.col("_p")) / (F.col("total") + F.col("d"))).alias("p"))
-        level = written(level, f"level{n}")
-        levels = levels.unionAll(level)
+        if level is None:
+            here = here.withColumn("below", F.lit(1 / ALPHABET))
+        else:
+            here = here.join(level.select(F.col("cls").alias("_cls"), F.col("gram").alias("_gram"), F.col("p").alias("below")),
+                             (F.col("cls") == F.col("_cls")) & (F.col("shorter") == F.col("_gram")))
+        p = (F.col("c") + F.col("d") * F.col("below")) / (F.col("total") + F.col("d"))
+        level = written(here.select("cls", "gram", p.alias("p"), F.log(p / F.col("below")).alias("gain")), f"level{n}")
+        levels = level if levels is None else levels.unionAll(level)
     back = contexts.select(F.col("cls").alias("_cls"), F.col("context").alias("_gram"),
                            F.log(F.col("d") / (F.col("total") + F.col("d"))).alias("back"))
     return levels.join(back, (F.col("cls") == F.col("_cls")) & (F.col("gram") == F.col("_gram")), "full") \
-        .select(F.coalesce("cls", "_cls").alias("cls"), F.coalesce("gram", "_gram").alias("gram"),
-                F.log("p").alias("logp"), "back")
+        .select(F.coalesce("cls", "_cls").alias("cls"), F.coalesce("gram", "_gram").alias("gram"), "gain", "back")
 
 
 def score(rows: DataFrame, model: DataFrame, *, order: int = 4, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """key, s (both null-free) -> key, score: log-likelihood as accepted minus as rejected, per character."""
     side = lambda cls, v: F.max(F.when(F.col("cls") == cls, F.col(v)))
-    both = written(model.groupBy("gram").agg(side(1, "logp").alias("logp1"), side(1, "back").alias("back1"),
-                                             side(0, "logp").alias("logp0"), side(0, "back").alias("back0")), "model")
-    known, contexts = both.select("gram", "logp1", "logp0"), both.select(F.col("gram").alias("context"), "back1", "back0")
+    both = written(model.groupBy("gram").agg(side(1, "gain").alias("gain1"), side(1, "back").alias("back1"),
+                                             side(0, "gain").alias("gain0"), side(0, "back").alias("back0")), "model")
+    known, contexts = both.select("gram", "gain1", "gain0"), both.select(F.col("gram").alias("context"), "back1", "back0")
     if small_enough(both, broadcast_rows):
         known, contexts = F.broadcast(known), F.broadcast(contexts)
     grams = _strings(rows.select("key", "s"), order).withColumn("context", F.expr("substring(gram, 1, n - 1)"))
     met = grams.join(known, "gram", "left").join(contexts, "context", "left")
-
-    def total(cls: int) -> tuple[Column, Column]:
-        seen = F.max(F.when(F.col(f"logp{cls}").isNotNull(), F.struct("n", F.col(f"logp{cls}").alias("v"))))["v"]
-        # an unseen string after a seen context: the context's weight; unseen contexts weigh 1
-        lost = F.sum(F.when(F.col(f"logp{cls}").isNull(), F.coalesce(f"back{cls}", F.lit(0.0))).otherwise(0.0))
-        return seen, lost
-
-    s1, l1 = total(1)
-    s0, l0 = total(0)
-    # a character that a class has never seen: the empty context's weight (in lost) and the uniform distribution
-    floor = F.lit(-math.log(ALPHABET))
-    each = met.groupBy("key", "pos").agg((F.coalesce(s1, floor) + l1).alias("a"), (F.coalesce(s0, floor) + l0).alias("r"))
-    return each.groupBy("key").agg((F.sum(F.col("a") - F.col("r")) / F.count(F.lit(1))).alias("score"))
+    worth = F.coalesce("gain1", "back1", F.lit(0.0)) - F.coalesce("gain0", "back0", F.lit(0.0))  # an unseen context weighs 1
+    return met.groupBy("key").agg((F.sum(worth) / F.sum((F.col("n") == 1).cast("int"))).alias("score"))
 
 
 def _text(host: Column, path: Column) -> Column:
@@ -170,14 +160,16 @@ def judge(pages: DataFrame, rules: dict[str, str], *, order: int = 4, folds: int
     if classes != {0, 1}:
         return rows.select("page_id", "host", "path", "rule", F.lit(0.0).alias("score"), F.lit(float("-inf")).alias("threshold"),
                            F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    # exchanges of a stated width: what little they carry becomes many strings
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = None
     for k in range(folds):  # each fold is scored by what the others teach
-        out = labelled.where(F.col("fold") == k).select("key", "cls", "s").distinct()
+        out = labelled.where(F.col("fold") == k).select("key", "cls", "s").repartition(width, "key").distinct()
         part = score(out, learn(labelled.where(F.col("fold") != k), order=order), order=order, broadcast_rows=broadcast_rows) \
             .join(out.select("key", "cls"), "key")
         held = part if held is None else held.unionAll(part)
     cut = _threshold(written(held, "held"))
-    distinct = rows.select("key", _text(F.col("host"), F.col("path")).alias("s")).distinct()
+    distinct = rows.select("key", _text(F.col("host"), F.col("path")).alias("s")).repartition(width, "key").distinct()
     scored = written(score(distinct, learn(labelled, order=order), order=order, broadcast_rows=broadcast_rows), "scores")
     return rows.join(scored, "key", "left").select(
         "page_id", "host", "path", "rule", "score", F.lit(cut).alias("threshold"),
