@@ -114,9 +114,59 @@ URL_RULES = {
 }
 
 
-@query("op6_url_filter")
+def _op6_sql(order: int = 4, bins: int = 2000) -> str:
+    """The same models by counting strings, a level of smoothing at a time."""
+    levels = "".join(f"""
+p{n} AS (SELECT f.mdl, f.cls, f.gram, (c + d * q.p) / (total + d) AS p, ln((c + d * q.p) / (total + d) / q.p) AS gain
+       FROM fullc f JOIN p{n - 1} q ON f.mdl = q.mdl AND f.cls = q.cls AND substr(f.gram, 2, {n - 1}) = q.gram WHERE n = {n}),"""
+                     for n in range(2, order + 2))
+    every = " UNION ALL ".join(f"SELECT mdl, cls, gram, gain FROM p{n}" for n in range(1, order + 2))
+    rules = " ".join(f"""WHEN (host = '{r.partition("/")[0]}' OR host LIKE '%.{r.partition("/")[0]}')
+      AND starts_with(path, '/{r.partition("/")[2]}') THEN '{r}'""" for r in sorted(URL_RULES, key=len, reverse=True))
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in URL_RULES.items())
+    return rf"""
+WITH u0 AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {AZ}) AS host,
+              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+u1 AS (SELECT *, CASE {rules} END AS rule FROM u0),
+u AS (SELECT *, CASE rule {verdicts} END AS ruled, chr(2) || host || path || chr(3) AS s,
+        CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % 2 AS fold FROM u1),
+lab AS (SELECT s, CAST(ruled = 'allow' AS INTEGER) AS cls, fold FROM u WHERE ruled IS NOT NULL),
+train AS (SELECT mdl, cls, s FROM lab, (VALUES (0), (1), (2)) m(mdl) WHERE mdl = 2 OR fold <> mdl),
+cnt AS (SELECT mdl, cls, gram, len(gram) AS n, count(*) AS c FROM (
+          SELECT mdl, cls, substr(s, CAST(p - k + 1 AS BIGINT), k) AS gram FROM (
+            SELECT *, unnest(range(1, least({order + 1}, p) + 1)) AS k FROM (
+              SELECT mdl, cls, s, unnest(range(2, len(s) + 1)) AS p FROM train))) GROUP BY mdl, cls, gram),
+ctx AS (SELECT mdl, cls, substr(gram, 1, n - 1) AS context, sum(c) AS total, count(*) AS d FROM cnt GROUP BY ALL),
+fullc AS (SELECT cnt.mdl, cnt.cls, gram, n, c, total, CAST(d AS DOUBLE) AS d
+          FROM cnt JOIN ctx ON cnt.mdl = ctx.mdl AND cnt.cls = ctx.cls AND substr(gram, 1, n - 1) = context),
+p1 AS (SELECT mdl, cls, gram, (c + d / 256) / (total + d) AS p, ln((c + d / 256) / (total + d) * 256) AS gain FROM fullc WHERE n = 1),{levels}
+g AS ({every}),
+b AS (SELECT mdl, cls, context, ln(d / (total + CAST(d AS DOUBLE))) AS back FROM ctx),
+todo AS (SELECT DISTINCT fold AS mdl, s, cls FROM lab UNION ALL SELECT DISTINCT 2, s, NULL FROM u),
+parts AS (SELECT DISTINCT mdl, s, p, k, substr(s, CAST(p - k + 1 AS BIGINT), k) AS gram FROM (
+            SELECT *, unnest(range(1, least({order + 1}, p) + 1)) AS k FROM (SELECT mdl, s, unnest(range(2, len(s) + 1)) AS p FROM todo))),
+sc AS (SELECT x.mdl, x.s, sum(coalesce(g1.gain, b1.back, 0) - coalesce(g0.gain, b0.back, 0)) / (len(x.s) - 1) AS score
+       FROM parts x LEFT JOIN g g1 ON g1.mdl = x.mdl AND g1.cls = 1 AND g1.gram = x.gram
+       LEFT JOIN g g0 ON g0.mdl = x.mdl AND g0.cls = 0 AND g0.gram = x.gram
+       LEFT JOIN b b1 ON b1.mdl = x.mdl AND b1.cls = 1 AND b1.context = substr(x.gram, 1, k - 1)
+       LEFT JOIN b b0 ON b0.mdl = x.mdl AND b0.cls = 0 AND b0.context = substr(x.gram, 1, k - 1)
+       GROUP BY x.mdl, x.s),
+held AS (SELECT score, cls FROM sc JOIN todo USING (mdl, s) WHERE mdl < 2),
+lim AS (SELECT min(score) AS lo, CASE WHEN max(score) > min(score) THEN (max(score) - min(score)) / {bins} ELSE 1.0 END AS step,
+               sum(cls) AS n1, sum(1 - cls) AS n0 FROM held),
+bin AS (SELECT least(floor((score - lo) / step), {bins - 1}) AS bin, sum(cls) AS ones, sum(1 - cls) AS zeros FROM held, lim GROUP BY 1),
+err AS (SELECT bin, coalesce(sum(ones) OVER w, 0) / n1 + (n0 - coalesce(sum(zeros) OVER w, 0)) / n0 AS e FROM bin, lim
+        WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT lo + step * (min(bin) + max(bin)) / 2 AS cut FROM err, lim WHERE e <= (SELECT min(e) FROM err) + 1e-12 GROUP BY lo, step)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score
+FROM u JOIN sc ON sc.s = u.s AND sc.mdl = 2, cut
+"""
+
+
+@query("op6_url_filter", _op6_sql())
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
 def token_table(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def judge(pages: DataFrame, rules: dict[str, str], *, order: int = 4, folds: int
     rows = rows.withColumn("ruled", ruled)
     labelled = rows.where("ruled is not null").select(
         "key", _text(F.col("host"), F.col("path")).alias("s"), (F.col("ruled") == "allow").cast("int").alias("cls"),
-        F.pmod(F.xxhash64("host"), F.lit(folds)).alias("fold"))
+        F.pmod(F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).alias("fold"))
     classes = {r.cls for r in labelled.select("cls").distinct().collect()}
     if classes != {0, 1}:
         return rows.select("page_id", "host", "path", "rule", F.lit(0.0).alias("score"), F.lit(float("-inf")).alias("threshold"),
