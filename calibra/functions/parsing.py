@@ -17,7 +17,8 @@ CONFIDENCE_PATTERN = r"(?i)CONFIDENCE:\s*(\d{1,3})"
 # Free-form replies: labelled final answer (label case-sensitive), else the
 # last standalone letter A-D of the upper-cased text.
 FINAL_ANSWER_PATTERN = r"FINAL_ANSWER:\s*([A-Da-d])"
-STANDALONE_LETTER_PATTERN = r"\b([A-D])\b"
+# a letter between characters that are no letter, digit or underscore in any script
+STANDALONE_LETTER_PATTERN = r"(?<![\p{L}\p{N}_])([A-D])(?![\p{L}\p{N}_])"
 
 TRUTHY = ["1", "true", "yes"]
 

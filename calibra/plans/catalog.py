@@ -312,6 +312,34 @@ def q_final_letter(spark, sf_dir):
         *_KEYS, P.final_letter("freeform_reply").alias("final_letter"))
 
 
+_FREE_TEXT_SQL = r"""
+SELECT {keys}, nullif(upper(regexp_extract(text, '(?i)ANSWER:\s*([A-D])', 1)), '') AS predicted_letter,
+  CASE WHEN TRY_CAST(nullif(regexp_extract(text, '(?i)CONFIDENCE:\s*(\d{{1,3}})', 1), '') AS INTEGER) <= 100
+       THEN TRY_CAST(nullif(regexp_extract(text, '(?i)CONFIDENCE:\s*(\d{{1,3}})', 1), '') AS INTEGER) END AS confidence,
+  coalesce(nullif(upper(regexp_extract(text, 'FINAL_ANSWER:\s*([A-Da-d])', 1)), ''),
+           list_filter(regexp_split_to_array(upper(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w IN ('A', 'B', 'C', 'D'))[-1]) AS final_letter
+FROM {table}"""
+
+
+def _free_text(df: DataFrame, *keys: str) -> DataFrame:
+    from calibra.functions import parsing as P
+    p = P.parse_reply("text")
+    return df.select(*keys, p["predicted_letter"].alias("predicted_letter"), p["confidence"].alias("confidence"),
+                     P.final_letter("text").alias("final_letter"))
+
+
+@register("parse_conversations", _FREE_TEXT_SQL.format(keys="conv_id, turn, role", table="conversations"))
+def q_parse_conversations(spark, sf_dir):
+    """P6, P9 over every turn of the conversations table."""
+    return _free_text(FX.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+
+
+@register("parse_documents", _FREE_TEXT_SQL.format(keys="doc_id", table="documents"))
+def q_parse_documents(spark, sf_dir):
+    """P6, P9 over every document: text of several scripts, up to book length."""
+    return _free_text(FX.table(spark, sf_dir, "documents"), "doc_id")
+
+
 @register("run_metadata", O.with_ctes(f"""
 SELECT count(*) AS n_raw,
   count(CASE WHEN parse_ok AND confidence IS NOT NULL THEN 1 END) AS n_analyzed,
