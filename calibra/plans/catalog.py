@@ -7,6 +7,8 @@ different order compare equal.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -469,7 +471,7 @@ def q_holm_correction(spark, sf_dir):
 
 
 N_BOOT_POISSON = 200
-_W_THRESH = INF.poisson1_thresholds()
+_W_THRESH = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]  # Poisson(1) below k + 1
 _W_SQL = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in _W_THRESH)
 
 

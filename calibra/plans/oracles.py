@@ -8,7 +8,8 @@ alone.  Computed doubles are rounded to 9 digits on both sides.
 
 from __future__ import annotations
 
-from calibra.functions.metrics import bin_edges
+# fixed values: the ten bins' edges, as doubles (those of i / 10 that i * 0.1 misses are kept as they come)
+EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
 
 R = 9  # rounding digits of computed doubles
 
@@ -128,11 +129,11 @@ def with_ctes(body: str, *names: str) -> str:
 # ---------------------------------------------------------------------------
 
 def edge_list() -> str:
-    return "[" + ", ".join(repr(e) + "::DOUBLE" for e in bin_edges()) + "]"
+    return "[" + ", ".join(repr(e) + "::DOUBLE" for e in EDGES) + "]"
 
 
 def bin_case(score: str) -> str:
-    e = bin_edges()
+    e = EDGES
     n = len(e) - 1
     parts = [f"WHEN {score} >= {e[i]!r} AND {score} < {e[i + 1]!r} THEN {i}" for i in range(n - 1)]
     parts.append(f"WHEN {score} >= {e[n - 1]!r} AND {score} <= {e[n]!r} THEN {n - 1}")
@@ -140,12 +141,19 @@ def bin_case(score: str) -> str:
 
 
 def ece_sql(score: str = "confidence_norm", correct: str = "correct", weight: str | None = None) -> str:
-    w = "1.0" if weight is None else weight
+    """The definition: the sum over bins of n_b / N * |accuracy_b - confidence_b|.
+
+    Weighted rows (resamples, which are many) take the sums without the means.
+    """
     b = bin_case(score)
-    terms = [f"abs(coalesce(sum(CASE WHEN {b} = {i} THEN {w} * ({correct} - {score}) END), 0.0))"
-             for i in range(len(bin_edges()) - 1)]
-    total = "count(*)" if weight is None else f"sum({w})"
-    return f"coalesce(({' + '.join(terms)}) / nullif({total}, 0), 0.0)"
+    if weight is not None:
+        terms = [f"abs(coalesce(sum(CASE WHEN {b} = {i} THEN {weight} * ({correct} - {score}) END), 0.0))" for i in range(len(EDGES) - 1)]
+        return f"coalesce(({' + '.join(terms)}) / nullif(sum({weight}), 0), 0.0)"
+    terms = []
+    for i in range(len(EDGES) - 1):
+        here = f"FILTER (WHERE {b} = {i} AND {correct} IS NOT NULL)"
+        terms.append(f"coalesce(CAST(count(*) {here} AS DOUBLE) / count(*) * abs(avg({correct}) {here} - avg({score}) {here}), 0.0)")
+    return "(" + " + ".join(terms) + ")"
 
 
 def rnd(expr: str, digits: int = R) -> str:
