@@ -77,10 +77,17 @@ def places(text: str | None, orders: int = ORDERS) -> np.ndarray:
 
 
 def _sample(rows: DataFrame, per_language: int) -> DataFrame:
-    """doc_id, lang of the rows with the smallest hashes, per language."""
-    w = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    """doc_id, lang of at most ``per_language`` rows a language, those with the smallest hashes.
+
+    Each language is first thinned, by the hash, to about twice that many
+    rows, so that the ranking sees few rows however many there are.
+    """
     ids = rows.where("doc_id is not null and lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    return ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_language).select("doc_id", "lang")
+    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("_share"))
+    u = F.shiftrightunsigned("_h", 11) / 2.0**53
+    w = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    return ids.join(share, "lang").where(u < F.col("_share")).withColumn("_r", F.row_number().over(w)) \
+        .where(F.col("_r") <= per_language).select("doc_id", "lang")
 
 
 class Model:
