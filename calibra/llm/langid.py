@@ -137,16 +137,20 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, landmarks: int
     languages = sorted({r.lang for r in got})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
-    x = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got])
-    size = np.sqrt(x.sum(axis=1, dtype=np.float64))
+    packed = np.stack([np.frombuffer(r.bits, np.uint8) for r in got])
+    size = np.sqrt(np.bitwise_count(packed).sum(axis=1, dtype=np.float64))
     nth: dict[str, int] = {}
     marks = []
     for k, r in enumerate(got):
         nth[r.lang] = nth.get(r.lang, 0) + 1
         if nth[r.lang] <= landmarks:
             marks.append(k)
-    land = x[marks].astype(np.float32)
-    kernel = np.concatenate([x[a:a + 256].astype(np.float32) @ land.T for a in range(0, len(x), 256)]).astype(np.float64)
+    # rows are unpacked a few at a time, and only where a landmark has something
+    land = np.unpackbits(packed[marks], axis=1)
+    used = np.nonzero(land.any(axis=0))[0]
+    land = land[:, used].astype(np.float32)
+    kernel = np.concatenate([np.unpackbits(packed[a:a + 64], axis=1)[:, used].astype(np.float32) @ land.T
+                             for a in range(0, len(packed), 64)]).astype(np.float64)
     kernel /= size[:, None] * size[marks][None, :]
     value, vector = np.linalg.eigh(kernel[marks])
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
@@ -155,7 +159,9 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, landmarks: int
     # one row's weight is one over its language's rows, so that none is drowned
     weight = (1 / y.sum(axis=0))[y.argmax(axis=1)]
     beta = np.linalg.solve(phi.T @ (phi * weight[:, None]) + ridge * np.eye(phi.shape[1]), phi.T @ (y * weight[:, None]))
-    return Model(languages, (land / size[marks][:, None]).T.astype(np.float64) @ (root @ beta))
+    matrix = np.zeros((BUCKETS, len(languages)))
+    matrix[used] = land.T @ ((root @ beta) / size[marks][:, None])
+    return Model(languages, matrix)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
