@@ -75,6 +75,24 @@ MAIN = frozenset("article articlebody main content post entry story".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z]+")
+_WHOLE = re.compile(r"[\s]+")
+# words that may stand beside a word of BOILERPLATE in a compound, as in share-buttons
+_COMPOUND = frozenset("""
+area bar block blocks box button buttons container form frame group holder icons inner item items label link links list outer panel
+policy posts articles section slot text top bottom left right unit wrap wrapper
+""".split())
+
+
+def _tokens(value: str) -> set[str]:
+    """The words that whole class tokens stand for; a compound counts if all of its words speak of boilerplate."""
+    out = set()
+    for token in _WHOLE.split(value.lower()):
+        parts = [w for w in _SPLIT.split(token) if w]
+        if len(parts) < 2:
+            out.update(parts)
+        elif "hidden" not in parts and all(w in BOILERPLATE | _COMPOUND for w in parts):
+            out.update(w for w in parts if w in BOILERPLATE)
+    return out
 
 
 @lru_cache(4096)
@@ -84,11 +102,11 @@ def _mark(tag: str, attributes: str) -> tuple[str, bool]:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop"):
-            words |= set(_SPLIT.split(value.lower()))
+            words |= _tokens(value)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             words.add("hidden")
     bad = sorted(words & BOILERPLATE)
-    if bad and tag not in CENTRES | {"body", "html"} or "comment" in words or "hidden" in words:
+    if tag not in ("body", "html") and (bad and tag not in CENTRES or "comment" in words or "hidden" in words):
         return f"{tag}.{(bad or ['hidden'])[0]}", True
     good = sorted(words & MAIN)
     return (f"{tag}.{good[0]}" if good else tag), tag in LEFT_OUT

@@ -57,3 +57,13 @@ def test_host_without_a_main_element(spark):
     assert got[90] == got[91] == "" and got[92] == "lone" and got[None] == got[1]
     assert got[93] == "\n\n".join(["word"] * 50_000)
     assert H.extract(pages.where("false")).count() == 0
+
+
+def test_class_tokens_count_whole():
+    for attributes in ('class="overflow-hidden"', 'class="no-sidebar"', 'class="has-menu with-ads"', 'id="related-work"', 'class="not-hidden"'):
+        for tag in ("div", "section", "body", "article", "p"):
+            assert not H._mark(tag, attributes)[1], (tag, attributes)
+    for attributes in ('class="box sidebar"', 'id="cookie-notice"', 'class="share-buttons"', 'class="hidden"', "hidden", 'class="nav_menu"'):
+        assert H._mark("div", attributes)[1], attributes
+    assert H._mark("div", 'class="content no-sidebar"') == ("div.content", False)
+    assert not H._mark("body", 'class="hidden"')[1]
