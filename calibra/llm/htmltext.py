@@ -10,22 +10,27 @@ word of ``BOILERPLATE`` or ``MAIN``, by that word.
 streams are aligned level by level (longest common subsequence of the
 elements); an element that both have is aligned within, one that only one of
 them has becomes optional, and neighbours of the same kind become one repeated
-group.  Each host's wrapper is the alignment of all its pages: equal wrappers
-are counted once, those of a host are aligned in up to ``PARTS`` parallel
-groups, and the groups' wrappers with each other.
-
-*Slots.*  A text slot is a path of elements.  Slots in boilerplate are left
-out; if the wrapper has a main element, its slots are the text; else the text
-is that of the slots below the smallest element that holds most of the
-characters that vary between the host's pages, and slots that always read the
-same on ``CONSTANT_PAGES`` or more pages are left out.
-
-*Text.*  A page's blocks at its host's text slots, in page order: character
+group.  Pages of a host that have the same containers around most of their
+text, and alike have or lack a main element, are of one template; a
+template's wrapper is the alignment of all its pages: equal wrappers are
+counted once, the others are aligned in up to ``PARTS`` parallel groups, and
+the groups' wrappers with each other.
+
+*Slots.*  Each page is matched against its template's wrapper, which gives
+every text the place of its slot.  A slot that reads the same on
+``CONSTANT_PAGES`` or more distinct pages (copies count once) is constant,
+others vary.  The text is that of the smallest container that holds most of
+the varying characters, without its constant slots that all pages have.  Word
+lists break ties: slots of ``BOILERPLATE`` count only where no other slot
+varies; around or below that container a main element is preferred, and so it
+is in templates of too few pages to tell what is constant.
+
+*Text.*  A page's blocks at its template's text slots, in page order: character
 references decoded, white space turned to single spaces, trimmed, joined by
 blank lines.
 
-Wrappers join pages by host; they are broadcast only after a count shows that
-they are at most ``broadcast_rows`` hosts.
+Wrappers join pages by host and template; they are broadcast only after a
+count shows that they are at most ``broadcast_rows``.
 
 Nulls and odd cases: a null or empty page has the text ''; a null URL belongs
 to the empty host; rows that repeat an id are extracted each; an empty table
@@ -37,6 +42,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,6 +71,7 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("head nav footer aside form fieldset title dialog menu".split())
 CENTRES = frozenset("article main".split())
+CONTAINERS = frozenset("html body main article section div".split())
 BOILERPLATE = frozenset("""
 ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu menus nav navbar navigation
 breadcrumb breadcrumbs masthead topbar footer contentinfo complementary cookie cookies consent gdpr notice notices alert popup modal dialog newsletter
@@ -289,101 +297,274 @@ def align_all(wrappers: list[str]) -> str:
     return json.dumps(out or [])
 
 
-def slots(wrapper: list, base: str = "") -> list[str]:
-    """Paths of the text slots."""
+def _named(kids: list, base: str) -> list[str]:
+    """Paths of the children, the second and further ones of a name being numbered."""
+    met: Counter = Counter()
     out = []
-    for name, _, _, kids in wrapper:
-        out += [base] if name == "#" else slots(kids, f"{base}/{name}")
+    for k in kids:
+        met[k[0]] += 1
+        out.append(f"{base}/{k[0]}" + (f"[{met[k[0]]}]" if met[k[0]] > 1 else ""))
+    return out
+
+
+def slots(wrapper: list, base: str = "", required: bool = False) -> list[str]:
+    """Paths of the text slots, or of those that every page of the wrapper has."""
+    out = []
+    for k, path in zip(wrapper, _named(wrapper, base)):
+        if not (required and k[1]):
+            out += [base] if k[0] == "#" else slots(k[3], path, required)
     return list(dict.fromkeys(out))
 
 
+# ---- matching a page against its wrapper ----
+
+def _places(names: list[str], kids: list) -> list[int] | None:
+    """Which of the expression's children each name is, in order; what every page has is passed over only if nothing else fits."""
+    after, last = [0] * (len(kids) + 1), len(kids)  # the next required one behind each
+    for j in range(len(kids) - 1, -2, -1):
+        after[j + 1] = last
+        if j >= 0 and not kids[j][1]:
+            last = j
+    where: dict[str, list[int]] = {}
+    for j, k in enumerate(kids):
+        where.setdefault(k[0], []).append(j)
+    ends, rows = [-1], []
+    for name in names:
+        back, loose = {}, {}
+        for k in where.get(name, ()):
+            i = bisect_left(ends, k) - 1
+            if i >= 0:
+                loose[k] = ends[i]
+                if k <= after[ends[i] + 1]:
+                    back[k] = ends[i]
+        rows.append(back or loose)
+        ends = sorted(rows[-1])
+        if not ends:
+            return None
+    at, out = ends[-1], []
+    for back in reversed(rows):
+        out.append(at)
+        at = back[at]
+    return out[::-1]
+
+
+def matched(stream: list[tuple[str, str, bool]], wrapper: list) -> list[str]:
+    """The wrapper's slot of each text of the stream, in order."""
+    root: list = ["", []]
+    open_, paths, n = [root], [""], 0
+    for path, text, _ in stream:
+        to = path if text else path.rpartition("/")[0]
+        while paths[-1] != to and len(paths) > 1:
+            paths.pop()
+            open_.pop()
+        if text:
+            open_[-1][1].append(["#", n])
+            n += 1
+        else:
+            node = [path.rpartition("/")[2], []]
+            open_[-1][1].append(node)
+            open_.append(node)
+            paths.append(path)
+    out = [""] * n
+
+    def walk(nodes: list, kids: list, base: str) -> None:
+        runs: list[tuple[str, list]] = []
+        for node in nodes:
+            if not runs or runs[-1][0] != node[0]:
+                runs.append((node[0], []))
+            runs[-1][1].append(node)
+        found = _places([name for name, _ in runs], kids)
+        named = _named(kids, base)
+        for k, (name, same) in enumerate(runs):
+            for node in same:
+                if name == "#":
+                    out[node[1]] = base
+                elif found is None:
+                    walk(node[1], [], f"{base}/{name}")
+                else:
+                    walk(node[1], kids[found[k]][3], named[found[k]])
+
+    walk(root[1], wrapper, "")
+    return out
+
+
+def _central(element: str) -> bool:
+    name = element.partition("[")[0]
+    return name.split(".")[0] in CENTRES or name.partition(".")[2] in MAIN
+
+
+def _tag_of(element: str) -> str:
+    return element.partition("[")[0].split(".")[0]
+
+
+def shape_of(stream: list[tuple[str, str, bool]]) -> str:
+    """Template of a page: whether it has a main element, and the containers around most of its text down to a main element."""
+    texts = [(p, len(t)) for p, t, bad in stream if t and not bad] or [(p, len(t)) for p, t, _ in stream if t]
+    if not texts:
+        return ""
+    centre = any(not bad and not t and _central(p.rpartition("/")[2]) for p, t, bad in stream)
+    whole = sum(n for _, n in texts)
+    sums: Counter = Counter()
+    for p, n in texts:
+        sums[p] += n
+    spine = ""
+    while not _central(spine.rpartition("/")[2]):
+        below: Counter = Counter()
+        for p, n in sums.items():
+            if p.startswith(spine + "/"):
+                below[p[len(spine) + 1:].partition("/")[0]] += n
+        most = max(below, key=lambda x: (below[x], x), default="")
+        if 2 * below[most] <= whole or _tag_of(most) not in CONTAINERS:
+            break
+        spine += f"/{most}"
+    return f"{'main' if centre else ''}:{spine}"
+
+
 def text_slots(wrapper: list, seen: dict[str, tuple[int, bool, int]]) -> list[str]:
-    """Paths whose text is the page's; seen: pages, boilerplate and characters (0 if always the same) by path."""
-    good = [p for p in slots(wrapper) if p in seen and not seen[p][1]]
-    central = [p for p in good if any(x.split(".")[0] in CENTRES or x.partition(".")[2] in MAIN for x in p.split("/"))]
-    if central:
+    """Slots whose text is the page's; seen: distinct pages (up to CONSTANT_PAGES), marked as boilerplate, and characters (0 if constant) by slot."""
+    known = [p for p in slots(wrapper) if p in seen]
+    vary = {p: seen[p][2] for p in known}
+    good = [p for p in known if not seen[p][1]]
+    words = [p for p in known if seen[p][1] and vary[p] and not any(
+        _tag_of(x) in LEFT_OUT or _tag_of(x) == "header" or x.partition("[")[0].endswith(".hidden") for x in p.split("/"))]
+    told = [p for p in good if vary[p] and seen[p][0] >= CONSTANT_PAGES]
+    differ = sum(vary[p] for p in words if seen[p][0] >= CONSTANT_PAGES)
+    if words and not any(vary[p] for p in good) or not told and differ > sum(vary[p] for p in good):
+        return [p for p in known if p in good or p in words]  # marked by words, and yet most of what the template varies
+    whole = sum(vary[p] for p in good)
+    central = [p for p in good if any(map(_central, p.split("/")))]
+    if not whole:
+        return central or good
+    evident = max(seen[p][0] for p in known) >= CONSTANT_PAGES
+    if central and not evident:
         return central
-    vary = {p: seen[p][2] if seen[p][0] >= CONSTANT_PAGES else max(1, seen[p][2]) for p in good}
-    whole = sum(vary.values())
-    best = ""
-    for p in good:  # the deepest element that holds most of it
+    sums: Counter = Counter()
+    for p in good:
         parts = p.split("/")
         for k in range(1, len(parts) + 1):
-            e = "/".join(parts[:k])
-            if 2 * sum(v for q, v in vary.items() if q == e or q.startswith(e + "/")) > whole and len(e) > len(best):
-                best = e
-    holder = best.rpartition("/")[0] if best.rpartition("/")[2].split(".")[0] in ("p", "li", "td", "pre", "blockquote") else best
-    return [p for p in good if (p == holder or p.startswith(holder + "/")) and vary[p] > 0]
+            sums["/".join(parts[:k])] += vary[p]
+    holder = max((e for e, n in sums.items() if 2 * n > whole), key=lambda e: (e.count("/"), e))  # the deepest that holds most of it
+    parts = holder.split("/")
+    while len(parts) > 1 and _tag_of(parts[-1]) not in CONTAINERS:
+        parts.pop()
+
+    def within(p: str, e: str) -> bool:
+        return p == e or p.startswith(e + "/")
+
+    holder = inner = "/".join(parts)
+    around = [k for k, x in enumerate(parts) if _central(x)]
+    if around:
+        holder, inner = "/".join(parts[:around[0] + 1]), "/".join(parts[:around[-1] + 1])
+        return [p for p in good if within(p, inner) or within(p, holder) and vary[p]]
+    below = [p for p in central if within(p, holder)]
+    if any(vary[p] for p in below):
+        return below
+    needed = set(slots(wrapper, required=True))
+    return [p for p in good if within(p, holder) and (vary[p] or p not in needed)]
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (as JSON), text_paths of every host of host, html."""
+_KEY = ["host", "shape"]
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    """The rows with the shape of their page."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shape_of(blocks(h)) for h in b["html"].to_pylist()], pa.string())], [*b.schema.names, "shape"])
+
+    return rows.transform(in_arrow, run, StructType([*rows.schema.fields, StructField("shape", StringType())]))
+
+
+def _beside(rows: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
+    return rows.join(F.broadcast(table) if small_enough(table, broadcast_rows) else table, _KEY, "left")
+
+
+@lru_cache(512)
+def _parsed(wrapper: str | None) -> list:
+    return json.loads(wrapper or "[]")
+
+
+def infer(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """host, shape, wrapper (as JSON), text_paths of every template of host, html."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # of equal wrappers and slots of a batch one row goes on
-            shapes: dict = {}
-            paths: dict = {}
+            # of equal wrappers of a batch one row goes on
+            found: dict = {}
             for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist()):
                 stream = blocks(page)
-                shapes[(host, json.dumps(wrapper_of(stream)))] = True
-                texts: dict[str, list] = {}
-                bad = {}
-                for path, text, boiler in stream:
-                    if text:
-                        texts.setdefault(path, []).append(text)
-                        bad[path] = boiler
-                for path, t in texts.items():
-                    h = xxhash.xxh64_intdigest("\n".join(t)) >> 1
-                    pages_, lo, hi, chars, _ = paths.get((host, path), (0, h, h, 0, False))
-                    paths[(host, path)] = (pages_ + 1, min(lo, h), max(hi, h), chars + sum(map(len, t)), bad[path])
-            rows = [(h, w, None, 0, 0, 0, 0, False) for h, w in shapes] + [(h, None, p, *v) for (h, p), v in paths.items()]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("host", "wrapper", "path", "pages", "lo", "hi", "chars", "bad"), r)) for r in rows],
-                schema=pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("path", pa.string()), ("pages", pa.int64()),
-                                  ("lo", pa.int64()), ("hi", pa.int64()), ("chars", pa.int64()), ("bad", pa.bool_())]))
-
-    kinds = "host string, wrapper string, path string, pages long, lo long, hi long, chars long, bad boolean"
-    facts = written(pages.transform(in_arrow, run, kinds), "facts")
-    shapes = facts.where("wrapper is not null").select("host", "wrapper").distinct() \
+                found[(host, shape_of(stream), json.dumps(wrapper_of(stream)))] = True
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], ["host", "shape", "wrapper"])
+
+    shapes = written(pages.transform(in_arrow, run, "host string, shape string, wrapper string").distinct(), "shapes") \
         .withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
 
     def aligned(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [align_all(rows["wrapper"].tolist())]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "shape": [rows["shape"].iloc[0]], "wrapper": [align_all(rows["wrapper"].tolist())]})
+
+    kinds = "host string, shape string, wrapper string"
+    parts = shapes.groupBy(*_KEY, "part").applyInPandas(aligned, kinds)
+    whole = written(parts.groupBy(*_KEY).applyInPandas(aligned, kinds), "aligned")
 
-    parts = shapes.groupBy("host", "part").applyInPandas(aligned, "host string, wrapper string")
-    whole = parts.groupBy("host").applyInPandas(aligned, "host string, wrapper string")
-    # sizes by path: as many rows as the wrapper has slots
-    by_path = facts.where("path is not null").groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.max("bad").alias("bad"),
-        F.when(F.min("lo") == F.max("hi"), 0).otherwise(F.sum("chars")).alias("chars"))
-    seen = by_path.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "bad", "chars")).alias("seen"))
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes: dict = {}
+            for host, shape, wrapper, page in zip(*(b[c].to_pylist() for c in ("host", "shape", "wrapper", "html"))):
+                stream = blocks(page)
+                texts: dict[str, list] = {}
+                bad = {}
+                for (_, text, boiler), slot in zip((x for x in stream if x[1]), matched(stream, _parsed(wrapper))):
+                    texts.setdefault(slot, []).append(text)
+                    bad[slot] = boiler
+                # copies differ in boilerplate at most, and boilerplate is told by whole pages
+                page_ = [xxhash.xxh64_intdigest("\n".join(t for _, t, boiler in stream if t and (every or not boiler))) >> 1 for every in (False, True)]
+                for slot, t in texts.items():
+                    h = xxhash.xxh64_intdigest("\n".join(t)) >> 1
+                    lo, hi, chars, _, met = sizes.get((host, shape, slot), (h, h, 0, False, ()))
+                    own = page_[bad[slot]]
+                    if own not in met and len(met) < CONSTANT_PAGES:
+                        met = (*met, own)
+                    sizes[(host, shape, slot)] = (min(lo, h), max(hi, h), chars + sum(map(len, t)), bad[slot], met)
+            rows = [(*key, lo, hi, 0 if k else chars, boiler, own) for key, (lo, hi, chars, boiler, met) in sizes.items() for k, own in enumerate(met)]
+            kinds = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                             ["host", "shape", "path", "lo", "hi", "chars", "bad", "page"])
+
+    sizes = _beside(_shaped(pages.select("host", "html")), whole, broadcast_rows).select(*_KEY, "wrapper", "html").transform(
+        in_arrow, measure, "host string, shape string, path string, lo long, hi long, chars long, bad boolean, page long")
+    # as many rows as the wrappers have slots; copies of a page count once
+    by_slot = sizes.groupBy(*_KEY, "path").agg(
+        F.count_distinct("page").alias("pages"), F.max("bad").alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("chars").alias("chars"))
+    constant = (F.col("lo") == F.col("hi")) & (F.col("pages") >= CONSTANT_PAGES)
+    seen = by_slot.groupBy(*_KEY).agg(F.collect_list(F.struct("path", "pages", "bad", F.when(constant, 0).otherwise(F.col("chars")).alias("chars"))).alias("seen"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for w, s in zip(b["wrapper"].to_pylist(), b["seen"].to_pylist()):
-                got.append(text_slots(json.loads(w), {x["path"]: (x["pages"], x["bad"], x["chars"]) for x in s or ()}))
-            yield pa.RecordBatch.from_arrays([b["host"], b["wrapper"], pa.array(got, pa.list_(pa.string()))], ["host", "wrapper", "text_paths"])
+                known = {x["path"]: (x["pages"], x["bad"], x["chars"]) for x in s or ()}
+                got.append(text_slots(json.loads(w), known) if known else [])
+            yield pa.RecordBatch.from_arrays([b["host"], b["shape"], b["wrapper"], pa.array(got, pa.list_(pa.string()))],
+                                             ["host", "shape", "wrapper", "text_paths"])
 
-    return whole.join(seen, "host", "left").transform(in_arrow, chosen, "host string, wrapper string, text_paths array<string>")
+    return whole.join(seen, _KEY, "left").select(*_KEY, "wrapper", "seen").transform(in_arrow, chosen, f"{kinds}, text_paths array<string>")
 
 
-def main_text(page: str | None, text_paths: list[str] | None) -> str:
-    keep = set(text_paths or ())
-    return "\n\n".join(text for path, text, bad in blocks(page) if text and not bad and path in keep)
+def main_text(page: str | None, text_paths: list[str] | None, wrapper: list | None = None) -> str:
+    """The page's texts at the slots of its wrapper; without one the page is its own."""
+    keep, stream = set(text_paths or ()), blocks(page)
+    where = matched(stream, wrapper_of(stream) if wrapper is None else wrapper)
+    return "\n\n".join(text for text, slot in zip((t for _, t, _ in stream if t), where) if slot in keep)
 
 
 def extract(pages: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, host, text of every row."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    wrappers = written(infer(rows.select("host", "html")), "wrappers").select("host", "text_paths")
-    if small_enough(wrappers, broadcast_rows):
-        wrappers = F.broadcast(wrappers)
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "text_paths")
+    wrappers = written(infer(rows.select("host", "html"), broadcast_rows), "wrappers")
+    joined = _beside(_shaped(rows), wrappers, broadcast_rows).select("page_id", "url", "host", "html", "wrapper", "text_paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(h, p) for h, p in zip(b["html"].to_pylist(), b["text_paths"].to_pylist())]
+            got = [main_text(h, p, _parsed(w)) for h, p, w in zip(*(b[c].to_pylist() for c in ("html", "text_paths", "wrapper")))]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["host"], pa.array(got, pa.string())], ["page_id", "url", "host", "text"])
 
     return joined.transform(in_arrow, run, StructType([joined.schema["page_id"], joined.schema["url"], StructField("host", StringType()),

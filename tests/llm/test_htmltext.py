@@ -67,3 +67,36 @@ def test_class_tokens_count_whole():
         assert H._mark("div", attributes)[1], attributes
     assert H._mark("div", 'class="content no-sidebar"') == ("div.content", False)
     assert not H._mark("body", 'class="hidden"')[1]
+
+
+def _page(body):
+    return f"<html><body>{body}</body></html>"
+
+
+def _texts(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in H.extract(pages).collect()}
+
+
+def test_place_in_the_wrapper_decides():
+    """Two blocks of one path, told apart only by where the expression has them."""
+    pages = [_page(f"<div>Menu of the site</div><h1>Title {i}</h1>{'<ul><li>a</ul>' * (i % 2)}<div>Story {i} of the day.</div>") for i in range(4)]
+    wrapper = json.loads(H.align_all([json.dumps(H.wrapper_of(H.blocks(p))) for p in pages]))
+    for p in pages:
+        where = dict(zip([t for _, t, _ in H.blocks(p) if t], H.matched(H.blocks(p), wrapper)))
+        assert where["Menu of the site"] == "/html/body/div" and where[next(t for t in where if t[:5] == "Story")] == "/html/body/div[2]"
+    kids = [["p", True, False, []], ["div", False, False, []], ["p", False, True, []]]
+    assert H._places(["div", "p"], kids) == [1, 2] and H._places(["p", "div", "p"], kids) == [0, 1, 2] and H._places(["ul"], kids) is None
+
+
+def test_constant_and_varying_blocks_of_one_path(spark):
+    rows = [(i, f"http://two.example/{i}", _page(f"<div><p>Opening hours and directions to our house</p></div><h1>Title {i}</h1>"
+             f"<div><p>Story {i} of the day.</p></div>")) for i in range(5)]
+    got = _texts(spark, rows)
+    assert all(got[i] == f"Title {i}\n\nStory {i} of the day." or got[i] == f"Story {i} of the day." for i in range(5)), got
+
+
+def test_marked_block_that_holds_the_text(spark):
+    rows = [(i, f"http://marked.example/{i}", _page(f"<div>Name of the site</div><div class='notice'><p>Text number {i}, of some length.</p></div>")) for i in range(5)]
+    got = _texts(spark, rows)
+    assert all(f"Text number {i}, of some length." in got[i] for i in range(5)), got
