@@ -96,6 +96,20 @@ def test_constant_and_varying_blocks_of_one_path(spark):
     assert all(got[i] == f"Title {i}\n\nStory {i} of the day." or got[i] == f"Story {i} of the day." for i in range(5)), got
 
 
+def test_templates_of_a_host(spark):
+    for n, url in ((0, "http://mixed.example/{}"), (100, None), (200, "no scheme {}")):
+        a = [(n + i, url and url.format(i), _page(f"<nav>Menu</nav><article><h1>A{i}</h1><p>Article text {i}.</p></article>")) for i in range(4)]
+        b = [(n + 50 + i, url and url.format(i), _page(f"<nav>Menu</nav><div><h1>B{i}</h1><p>Plain text {i}.</p></div>")) for i in range(4)]
+        got = _texts(spark, a + b)
+        for i in range(4):
+            assert got[n + i] == f"A{i}\n\nArticle text {i}." and got[n + 50 + i] == f"B{i}\n\nPlain text {i}."
+
+
+def test_host_of_copies(spark):
+    rows = [(i, f"http://copies.example/{i}", _page("<div><h1>Title</h1><p>One text.</p></div>")) for i in range(5)]
+    assert set(_texts(spark, rows).values()) == {"Title\n\nOne text."}
+
+
 def test_marked_block_that_holds_the_text(spark):
     rows = [(i, f"http://marked.example/{i}", _page(f"<div>Name of the site</div><div class='notice'><p>Text number {i}, of some length.</p></div>")) for i in range(5)]
     got = _texts(spark, rows)
