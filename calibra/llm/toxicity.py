@@ -8,7 +8,8 @@ Texts that are copies of each other share one vote.
 trie and the Levenshtein automaton of its terms: a state is the set of (trie
 node, edits so far), and its transitions are worked out when first met.  A
 term of five letters or more allows one edit, one of nine or more two, a
-stem none.  A word that needs edits does not count if the sample's other
+stem none; the words that made a stem are terms beside it, so that they are
+found when the stem's own letters are misspelt.  A word that needs edits does not count if the sample's other
 texts have it too, and so is a word of its own.
 
 *Context.*  Each hit is read in a window of words: between quotation marks,
@@ -277,7 +278,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", sample
         top = max((w.toxic for g, w in words.items() if g.startswith(stem)), default=0.0)
         if r.toxic >= 1.5 * top and not any(stem.startswith(s) for s in stems):
             stems[stem] = r.odds
-    terms = {g: r.odds for g, r in words.items() if not any(g.startswith(s) for s in stems)}
+    terms = {g: r.odds for g, r in words.items()}  # also those of a stem, which itself allows no edits
     if not terms and not stems:
         return Model()
 

@@ -76,3 +76,21 @@ def test_nothing_to_learn(spark):
     labels = spark.createDataFrame([(1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.0, 0.0]
+
+
+def test_misspelt_within_a_learned_stem(spark):
+    rng = random.Random(2)
+    common = ["the", "of", "and", "house", "river", "table", "green", "walk", "clock"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(common) + rng.choice(["", "s", "ing"]) for _ in range(30)]
+        if i % 4 == 0:
+            words[rng.randrange(30)] = rng.choice(["worthless", "wortling", "wortmonger", "wortish"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("worthless".startswith(s) for s in model.stems)
+    m = model.matcher()
+    assert m.match("w0rthless") == ("worthless", 1) and m.match("vortling") == ("wortling", 1)
+    assert m.match("worthless") == ("worthless", 0) and m.match("wortful")[1] == 0
+    assert model.score(m.features("walk the river you w0rthless of the table")) > 0.5 > model.score(m.features("walk the river of the table"))
