@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, htmltext, langid, lmscore, mixing, quality, simhash, tokenfile, toxicity, urlfilter
+from calibra.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, quality, simhash, tokenfile, toxicity, urlfilter
 from calibra.llm.common import fold, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,69 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(docs, model, vocabulary).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+
+
+# crc32 of a number's decimal digits: the table of the reversed polynomial, then a step a digit
+CRC_TABLE = """
+crc_rounds AS (SELECT CAST(v AS BIGINT) AS v, CAST(v AS BIGINT) AS x, 0 AS k FROM range(256) r(v)
+               UNION ALL SELECT v, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM crc_rounds WHERE k < 8),
+crc AS (SELECT list(x ORDER BY v) AS tab FROM crc_rounds WHERE k = 8)"""
+
+
+def _crc_sql(number: str) -> str:
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+# nodes a level at a time: first the trees of the languages, then the tree of their roots
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+docs AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+                CASE WHEN {_crc_sql("doc_id")} % 7 = 0 THEN {_leaf_sql("(CAST(n_chars AS HUGEINT) + 1)")} END AS changed FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY lang) AS n FROM docs),
+tree AS (SELECT lang, 0 AS level, pos, n, leaf AS digest FROM leaves
+         UNION ALL SELECT lang, level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+                   FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2),
+subs AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+         FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS level, pos, n, subroot AS digest FROM subs
+          UNION ALL SELECT level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+                    FROM crown WHERE n > 1 GROUP BY level, pos // 2),
+steps AS (SELECT l.doc_id, l.leaf, t.level AS k, l.pos >> t.level AS slot, s.digest AS sibling
+          FROM leaves l JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND t.pos = l.pos >> t.level AND t.n > 1
+          LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = t.level AND s.pos = xor(t.pos, 1)
+          UNION ALL SELECT l.doc_id, l.leaf, 1000 + c.level, s.pos >> c.level, b.digest
+          FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang
+          JOIN crown c ON c.pos = s.pos >> c.level AND c.n > 1
+          LEFT JOIN crown b ON b.level = c.level AND b.pos = xor(c.pos, 1)),
+paths AS (SELECT doc_id, leaf, list(coalesce(sibling, '') ORDER BY k) AS siblings, list(slot % 2 ORDER BY k) AS slots
+          FROM steps GROUP BY doc_id, leaf),
+fold AS (SELECT l.doc_id, l.leaf, 0 AS k, coalesce(l.changed, l.leaf) AS acc, coalesce(siblings, []) AS siblings, coalesce(slots, []) AS slots
+         FROM leaves l LEFT JOIN paths p ON p.doc_id IS NOT DISTINCT FROM l.doc_id AND p.leaf = l.leaf
+         UNION ALL SELECT doc_id, leaf, k + 1, CASE slots[k + 1] WHEN 0 THEN sha256(acc || siblings[k + 1]) ELSE sha256(siblings[k + 1] || acc) END,
+                          siblings, slots FROM fold WHERE k < len(slots))
+SELECT l.doc_id, l.leaf, subroot, r.digest AS root, sha256(array_to_string(siblings, '')) AS proof_sha256,
+       acc AS folded_root, acc = r.digest AS verified
+FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang
+JOIN fold f ON f.doc_id IS NOT DISTINCT FROM l.doc_id AND f.leaf = l.leaf AND f.k = len(f.slots), (SELECT digest FROM crown WHERE n = 1) r
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    changed = merkle.leaf(*[one_more if k == 3 else c for k, c in enumerate(columns)])
+    rows = docs.select("doc_id", "lang", merkle.leaf(*columns).alias("leaf"),
+                       F.when(fold(F.col("doc_id"), 7) == 0, changed).alias("changed"))
+    tree = merkle.manifest(rows).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
+    return tree.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -1,0 +1,102 @@
+"""Merkle manifest against a plain tree, proofs that hold and tampering that shows."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from calibra.llm import merkle
+from calibra.llm.queries import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*values):
+    return H(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def climb(digests, arity):
+    """The root of a run of leaves, and for each leaf its (before, after) digests by level."""
+    paths, at, level = [[] for _ in digests], list(range(len(digests))), list(digests)
+    while len(level) > 1:
+        for i, p in enumerate(at):
+            run = p // arity * arity
+            paths[i].append(("".join(level[run:p]), "".join(level[p + 1:run + arity])))
+        level = [H(*level[k:k + arity]) for k in range(0, len(level), arity)]
+        at = [p // arity for p in at]
+    return level[0], paths
+
+
+def plain(rows, arity):
+    """{(lang, leaf): [(subroot, root, path)]} of (doc_id, lang, leaf) rows."""
+    groups = {}
+    for doc_id, lang, digest in rows:
+        groups.setdefault(lang, []).append(((doc_id is not None, doc_id or 0), digest))
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = [climb([d for _, d in sorted(groups[x])], arity) for x in langs]
+    root, above = climb([t[0] for t in trees], arity)
+    out = {}
+    for lang, (sub, paths), top in zip(langs, trees, above):
+        for (_, d), p in zip(sorted(groups[lang]), paths):
+            out.setdefault((lang, d), []).append((sub, root, p + top))
+    return out
+
+
+@pytest.mark.parametrize("arity,height,n", [(2, 2, 45), (2, 6, 45), (3, 1, 40), (5, 2, 61), (2, 3, 1)])
+def test_tree_equals_plain_one(spark, arity, height, n):
+    rows = [(k, ["b", None, "a", "é"][k % 4] if k % 11 else "lone", H(str(k % 37))) for k in range(n)]
+    rows += [(None, "a", H("x")), (None, "a", H("y")), (3, "b", H("3")), (3, "b", H("3"))]
+    got = merkle.manifest(spark.createDataFrame(rows, "doc_id long, lang string, leaf string"), arity=arity, height=height)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.lang, r.leaf), []).append((r.subroot, r.root, [(e.before, e.after) for e in r.path]))
+    want = plain(rows, arity)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_proofs_fold_to_the_root_and_changes_show(spark):
+    rows = [(k, "ab"[k % 2], H(str(k))) for k in range(21)]
+    tree = merkle.manifest(spark.createDataFrame(rows, "doc_id long, lang string, leaf string"), height=2)
+    got = tree.select("root", merkle.folded(F.col("leaf"), F.col("path")).alias("same"),
+                      merkle.folded(F.sha2(F.col("leaf").cast("binary"), 256), F.col("path")).alias("other")).collect()
+    assert all(r.same == r.root and r.other != r.root for r in got) and len(got) == 21
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    rows = [(1, "a", "en", "s", 1), (2, None, None, None, None), (7, "", "en", "s", 0), (None, "xé", "en", "s", 2),
+            (2, "t" * 100_000, "fr", "s", (1 << 63) - 1), (2, "u", "fr", None, 1), (5, "a", "en", "s", 1), (9, "q", "en", "s", None), (20, "q", "de", "s", 9), (5, "a", "en", "s", 1)]
+    # a column named like one of the manifest's, and one more
+    docs = spark.createDataFrame([(*r, "z", 0) for r in rows], SCHEMA + ", root string, pos int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op11_merkle_manifest"](spark, str(tmp_path)).collect()
+    want = plain([(d, lang, leaf(d, s, lang, n, t)) for d, t, lang, s, n in rows], 2)
+    assert len(got) == len(rows)
+    seen = []
+    for d, t, lang, s, n in rows:
+        digest = leaf(d, s, lang, n, t)
+        tampered = d is not None and zlib.crc32(str(d).encode()) % 7 == 0 and n is not None
+        mine = sorted((r for r in got if r.doc_id == d and r.leaf == digest), key=lambda r: r.proof_sha256)
+        assert len(mine) == len([x for x in rows if x == (d, t, lang, s, n)])
+        for r in mine:
+            sub, root, _ = want[lang, digest][0]
+            assert (r.subroot, r.root) == (sub, root)
+            path = next(p for _, _, p in want[lang, digest] if H(*[b + a for b, a in p]) == r.proof_sha256)
+            acc = leaf(d, s, lang, n + 1, t) if tampered else digest
+            for b, a in path:
+                acc = H(b, acc, a)
+            assert r.folded_root == acc and r.verified == (not tampered)
+            seen.append(tampered)
+    assert any(seen) and not all(seen)
+
+
+def test_empty_table_and_single_row(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "e/documents.parquet"))
+    assert QUERIES["op11_merkle_manifest"](spark, str(tmp_path / "e")).count() == 0
+    spark.createDataFrame([(4, "a", None, "s", 1)], SCHEMA).write.parquet(str(tmp_path / "o/documents.parquet"))
+    r = QUERIES["op11_merkle_manifest"](spark, str(tmp_path / "o")).first()
+    assert r.leaf == r.subroot == r.root == leaf(4, "s", None, 1, "a") and r.proof_sha256 == H()
