@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, quality, simhash, tokenfile, toxicity, urlfilter
+from calibra.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, prefixtrie, quality, simhash, tokenfile, toxicity, urlfilter
 from calibra.llm.common import fold, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +289,59 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
         merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
     return tree.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# a node by the text of its whole sequence; a node's ancestors are its smallest member's prefixes
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+             ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS donor FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.donor, {_crc_sql("c.conv_id")} % 9 AS h, coalesce(o.n, 0) AS given
+      FROM c LEFT JOIN c o ON o.conv_id = c.donor, crc),
+r AS (SELECT k.conv_id, p, role, text FROM k JOIN t ON t.conv_id = k.donor AND p < h
+      UNION ALL SELECT k.conv_id, p - h + least(h, given), role, text FROM k JOIN t ON t.conv_id = k.conv_id AND p >= h),
+s AS (SELECT conv_id, p + 1 AS depth, strlen(text) AS bytes, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '')
+             OVER (PARTITION BY conv_id ORDER BY p)) AS key FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(bytes) AS bytes FROM s GROUP BY key),
+up AS (SELECT node.key AS below, a.key, a.depth = node.depth - 1 AS direct
+       FROM node JOIN s a ON a.conv_id = node.conv_id AND a.depth <= node.depth),
+kids AS (SELECT key, count(*) AS n_children FROM up WHERE direct GROUP BY key),
+v AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM node LEFT JOIN kids USING (key)),
+total AS (SELECT up.key, sum(saved) AS saved_tokens, sum(CAST(n_children = 0 AS INTEGER)) AS n_leaves
+          FROM up JOIN v ON v.key = up.below GROUP BY up.key),
+ends AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, arg_max(key, depth) AS key FROM s GROUP BY conv_id) GROUP BY key)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, pv.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN total USING (key) LEFT JOIN ends USING (key)
+LEFT JOIN up ON up.below = v.key AND up.direct LEFT JOIN v pv ON pv.key = up.key
+"""
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that start with turns of another: (turns, members) of the trie.
+
+    Conversation c gets the first h turns of conversation c - c % 5, then its
+    own after its first h, where h is the crc32 of c modulo 9.
+    """
+    n = turns.groupBy("conv_id").agg(F.max("n").alias("n"))
+    n = written(n.withColumns({"donor": F.col("conv_id") - F.col("conv_id") % 5, "h": fold(F.col("conv_id"), 9)}), "lengths")
+    given = n.select(F.col("conv_id").alias("donor"), F.col("n").alias("given"))
+    n = written(n.join(given, "donor", "left").withColumn("taken", F.least("h", F.coalesce("given", F.lit(0)))), "shares")
+    first = turns.where("pos < 8").select(F.col("conv_id").alias("donor"), "pos", "digest", "bytes")
+    lent = n.select("conv_id", "donor", "taken").join(first, "donor").where("pos < taken").select("conv_id", "pos", "digest", "bytes")
+    # a conversation's row once for every 1,024 of its turns, so that a long one is dealt to many tasks
+    shares = n.select(F.col("conv_id").alias("_c"), "h", "taken", F.explode(F.expr("sequence(0L, (n - 1) div 1024)")).alias("_b"))
+    own = turns.join(shares, (F.col("conv_id") == F.col("_c")) & (F.expr("pos div 1024") == F.col("_b"))).where("pos >= h") \
+        .select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "digest", "bytes")
+    members = n.select("conv_id", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n"))
+    return written(lent.unionByName(own), "rebuilt"), members
+
+
+@query("op12_conversation_trie", OP12_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = rebuilt(prefixtrie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefixtrie.prefix_trie(turns, members).withColumnRenamed("saved", "saved_tokens")
