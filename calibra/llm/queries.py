@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, prefixtrie, quality, simhash, tokenfile, toxicity, urlfilter
+from calibra.llm import decontaminate, htmltext, langid, lmscore, merkle, mixing, prefixtrie, quality, setsketch, simhash, tokenfile, toxicity, urlfilter
 from calibra.llm.common import fold, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,3 +345,9 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, members = rebuilt(prefixtrie.ordered_turns(table(spark, sf_dir, "conversations")))
     return prefixtrie.prefix_trie(turns, members).withColumnRenamed("saved", "saved_tokens")
+
+
+@query("op13_setsketch_near_dedup")
+def op13_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = setsketch.near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
