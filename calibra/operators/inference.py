@@ -9,18 +9,12 @@ cells (multinomial bootstrap), never per data row.
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calibra.functions import metrics as M
 from calibra.functions import stats as ST
-from calibra.schemas import N_BINS
-from calibra.session import ship_package
+from calibra.operators import resampling as RS
 
 X, Y = "difficulty_numeric", "overconfidence_gap_row"
 
@@ -231,169 +225,11 @@ def parse_missingness_chi2(raw: DataFrame, keys=("model_id",)) -> DataFrame:
 # bootstrap
 # ---------------------------------------------------------------------------
 
-def poisson1_thresholds(kmax: int = 12) -> list[float]:
-    """Poisson(1) CDF values at 0..kmax: a weight is the number of thresholds <= u."""
-    cdf, p, out = 0.0, np.exp(-1.0), []
-    for k in range(kmax + 1):
-        cdf += p
-        out.append(float(cdf))
-        p = p / (k + 1)
-    return out
-
-
-def md5_uniform(*parts) -> F.Column:
-    """Uniform in [0, 1) from the first 32 bits of md5(parts joined by '|')."""
-    s = F.concat_ws("|", *[p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("double") / float(2 ** 32)
-
-
-def poisson1_weight(u: F.Column) -> F.Column:
-    total = None
-    for th in poisson1_thresholds():
-        term = (u >= F.lit(th)).cast("int")
-        total = term if total is None else total + term
-    return total
-
-
-def poisson_replicates(feat: DataFrame, key_col: F.Column, n_boot: int, seed: int = 42) -> DataFrame:
-    """I4(a): explode each row into ``n_boot`` Poisson(1)-weighted replicates.
-
-    Weights are a deterministic function of (seed, replicate, row key), so
-    results do not depend on partitioning.  Cost is rows x replicates; use
-    the cell-compressed bootstrap below when the score is discrete.
-    """
-    rep = feat.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = md5_uniform(F.lit(seed), F.col("replicate"), key_col)
-    return rep.withColumn("w", poisson1_weight(u)).filter(F.col("w") > 0)
-
-
-def weighted_metrics(keys: list[str], score="confidence_norm", correct="correct",
-                     difficulty="difficulty", weight="w") -> list:
-    return [
-        M.accuracy(correct, weight).alias("accuracy"),
-        M.gap(score, correct, weight).alias("overconfidence_gap"),
-        M.ece(score, correct, weight).alias("ece"),
-        M.hard_minus_easy(score, correct, difficulty, weight).alias("hard_minus_easy_gap"),
-    ]
-
-
 METRICS = ["accuracy", "overconfidence_gap", "ece", "hard_minus_easy_gap"]
 
 
-def _ci_from_replicates(reps: DataFrame, keys: list[str], level: float) -> DataFrame:
-    """Percentile interval (linear interpolation) per group and metric."""
-    alpha = (1.0 - level) / 2.0
-    long = reps.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS
-    ])).alias("mv")).select(*keys, "mv.metric", "mv.value")
-    return long.groupBy(*keys, "metric").agg(
-        F.percentile(F.col("value"), F.lit(alpha)).alias("ci_lo"),
-        F.percentile(F.col("value"), F.lit(1.0 - alpha)).alias("ci_hi"),
-        F.avg(F.when(F.col("metric") == "hard_minus_easy_gap",
-                     F.coalesce((F.col("value") <= 0).cast("double"), F.lit(0.0)))).alias("p_le_0"))
-
-
-def _points(feat: DataFrame, keys: list[str], score: str = "confidence_norm") -> DataFrame:
-    agg = feat.groupBy(*keys).agg(*weighted_metrics(keys, score=score, weight=None))
-    return agg.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("point")) for m in METRICS
-    ])).alias("mp")).select(*keys, "mp.metric", "mp.point")
-
-
-def bootstrap_poisson(feat: DataFrame, keys=("model_id",), n_boot: int = 200, level: float = 0.95,
-                      seed: int = 42, cluster_col: str | None = None) -> DataFrame:
-    """I4(a)/I5: Poisson bootstrap CIs and the one-sided hard > easy p.
-
-    With ``cluster_col`` (I8) every row of a cluster (e.g. a question)
-    shares one weight per replicate: a cluster bootstrap.
-    """
-    keys = list(keys)
-    parts = ("model_id", cluster_col) if cluster_col else ("model_id", "question_id", "trial_index")
-    key_col = F.concat_ws("|", *[F.col(c).cast("string") for c in parts])
-    reps = poisson_replicates(feat, key_col, n_boot, seed).groupBy(*keys, "replicate").agg(
-        *weighted_metrics(keys))
-    ci = _ci_from_replicates(reps, keys, level)
-    return _points(feat, keys).join(ci, keys + ["metric"])
-
-
-# Cell-compressed multinomial bootstrap -------------------------------------
-
-CELL_SCHEMA = "bin int, score double, correct double, hard int, easy int, n long"
-
-
-def _cells(feat: DataFrame, keys: list[str], score: str, n_bins: int) -> DataFrame:
-    """Distinct (score, correct, difficulty) cells with counts, per group."""
-    s = F.col(score).cast("double")
-    return feat.groupBy(*keys, s.alias("score"), F.col("correct").cast("double").alias("correct"),
-                        (F.col("difficulty") == "hard").cast("int").alias("hard"),
-                        (F.col("difficulty") == "easy").cast("int").alias("easy")).agg(
-        F.count(F.lit(1)).alias("n")).withColumn("bin", M.bin_index(F.col("score"), n_bins))
-
-
-def _replicate_fn(keys: list[str], block_size: int, n_bins: int, seed: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        # cells arrive in partition-dependent order: fix it before drawing
-        pdf = pdf.sort_values(["score", "correct", "hard", "easy"], kind="mergesort",
-                              na_position="first").reset_index(drop=True)
-        gkey = "|".join(str(pdf[k].iloc[0]) for k in keys)
-        block = int(pdf["block"].iloc[0])
-        rng = np.random.default_rng([seed, block, zlib.crc32(gkey.encode())])
-        n = pdf["n"].to_numpy(dtype=np.int64)
-        total = int(n.sum())
-        probs = n / total
-        draws = rng.multinomial(total, probs, size=block_size).astype(np.float64)
-        s = pdf["score"].to_numpy(dtype=np.float64)
-        c = pdf["correct"].to_numpy(dtype=np.float64)
-        hard = pdf["hard"].to_numpy(dtype=np.float64)
-        easy = pdf["easy"].to_numpy(dtype=np.float64)
-        b = pdf["bin"].to_numpy(dtype=np.float64)
-        nn = draws.sum(axis=1)
-        acc = draws @ c / nn
-        gap = draws @ s / nn - acc
-        per_bin = np.zeros((block_size, n_bins))
-        ok = ~np.isnan(b)
-        for i in range(n_bins):
-            sel = ok & (b == i)
-            if sel.any():
-                per_bin[:, i] = draws[:, sel] @ (c[sel] - s[sel])
-        ece = np.abs(per_bin).sum(axis=1) / nn
-        with np.errstate(invalid="ignore", divide="ignore"):
-            nh, ne = draws @ hard, draws @ easy
-            hme = ((draws @ (hard * s)) / nh - (draws @ (hard * c)) / nh) - \
-                  ((draws @ (easy * s)) / ne - (draws @ (easy * c)) / ne)
-        hme = np.where((nh > 0) & (ne > 0), hme, np.nan)
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(block_size))
-        out["replicate"] = block * block_size + np.arange(block_size)
-        out["accuracy"], out["overconfidence_gap"], out["ece"] = acc, gap, ece
-        out["hard_minus_easy_gap"] = hme
-        return out
-    return fn
-
-
 def bootstrap_cells(feat: DataFrame, keys=("model_id",), n_boot: int = 2000, level: float = 0.95,
-                    seed: int = 42, block_size: int = 100, score: str = "confidence_norm",
-                    n_bins: int = N_BINS) -> DataFrame:
-    """I4(b)/I5: multinomial bootstrap over compressed cells.
-
-    Resampling N rows with replacement is the same as drawing
-    multinomial(N, cell shares) over the distinct (score, correct,
-    difficulty) cells, so Spark first aggregates rows into cells (map-side
-    partial aggregation, bounded by the score's value domain: at most
-    101 x 2 x 3 cells for integer confidences), then replicate blocks of
-    each group run in parallel tasks.  Cost is independent of the row count.
-    """
-    ship_package(feat.sparkSession)
-    keys = list(keys)
-    cells = _cells(feat, keys, score, n_bins)
-    n_blocks = (n_boot + block_size - 1) // block_size
-    blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    key_types = dict(feat.dtypes)
-    schema = T.StructType(
-        [T.StructField(k, T._parse_datatype_string(key_types[k])) for k in keys]
-        + [T.StructField("replicate", T.LongType())]
-        + [T.StructField(m, T.DoubleType()) for m in METRICS])
-    reps = blocks.groupBy(*keys, "block").applyInPandas(
-        _replicate_fn(keys, block_size, n_bins, seed), schema=schema)
-    reps = reps.filter(F.col("replicate") < n_boot)
-    ci = _ci_from_replicates(reps, keys, level)
-    return _points(feat, keys, score).join(ci, keys + ["metric"])
+                    seed: int = 42, block_size: int = 100, score: str = "confidence_norm") -> DataFrame:
+    """I4(b)/I5: the multinomial bootstrap of the four standard metrics (see ``resampling``)."""
+    return RS.bootstrap_cells_multinomial(feat, RS.standard_metrics(score), keys, n_boot=n_boot, level=level,
+                                          seed=seed, block=block_size)

@@ -7,14 +7,14 @@ different order compare equal.
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.functions.metrics import bin_edges
 from calibra.operators import calibration as C
+from calibra.operators import resampling as RS
 from calibra.operators import scoring as S
 from calibra.plans import oracles as O
 from calibra.sources import fixtures as FX
@@ -470,69 +470,131 @@ def q_holm_correction(spark, sf_dir):
     return rounded(INF.holm(holm_input(spark, sf_dir)))
 
 
-N_BOOT_POISSON = 200
-_W_THRESH = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]  # Poisson(1) below k + 1
-_W_SQL = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in _W_THRESH)
+N_BOOT = 2000
+
+
+def _hash_words_sql(text: str) -> str:
+    return ", ".join(f"CAST('0x' || substr(md5({text}), {at}, 8) AS UBIGINT) AS h{i}" for i, at in enumerate((1, 9)))
+
+
+def _mix_sql(name: str, source: str) -> str:
+    """CTEs that put column x of ``source`` through the 32-bit finaliser, a step each; the last is ``name``."""
+    steps = ["xor(x, x >> 16)", "(x * 2246822507::UBIGINT) & 4294967295", "xor(x, x >> 13)",
+             "(x * 3266489909::UBIGINT) & 4294967295", "xor(x, x >> 16)"]
+    out = []
+    for k, step in enumerate(steps):
+        to = name if k == len(steps) - 1 else f"{name}_{k}"
+        out.append(f"{to} AS (SELECT * REPLACE ({step} AS x) FROM {source})")
+        source = to
+    return ",\n".join(out)
+
+
+def _uniform_sql(source: str) -> str:
+    """CTE ``drawn``: every row of ``source`` (h0, h1, ...) with replicate and u."""
+    return f"""
+start AS (SELECT *, xor(h0, (replicate * 2654435761::UBIGINT) & 4294967295) AS x
+          FROM {source}, (SELECT CAST(range AS UBIGINT) AS replicate FROM range({N_BOOT}))),
+{_mix_sql("once", "start")},
+again AS (SELECT * REPLACE (xor(x, h1) AS x) FROM once),
+{_mix_sql("twice", "again")},
+drawn AS (SELECT *, (x + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM twice)"""
+
+
+_HARD_EASY = """(sum(CASE WHEN difficulty = 'hard' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'hard' THEN w END)
+  - sum(CASE WHEN difficulty = 'hard' THEN w * correct END) / sum(CASE WHEN difficulty = 'hard' THEN w END))
+  - (sum(CASE WHEN difficulty = 'easy' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'easy' THEN w END)
+  - sum(CASE WHEN difficulty = 'easy' THEN w * correct END) / sum(CASE WHEN difficulty = 'easy' THEN w END))"""
+_METRIC_SQL = {
+    "accuracy": "sum(w * correct) / sum(w)",
+    "overconfidence_gap": "sum(w * confidence_norm) / sum(w) - sum(w * correct) / sum(w)",
+    "ece": O.ece_sql("confidence_norm", "correct", "w"),
+    "hard_minus_easy_gap": _HARD_EASY,
+}
+
+
+def _interval_sql(metrics: dict[str, str], weighted: str) -> str:
+    """CTE ``ci`` from ``weighted`` (model_id, replicate, w, rows' inputs) and the points from ``feat``."""
+    union = " UNION ALL ".join(f"SELECT model_id, '{m}' AS metric, {m} AS value FROM rm" for m in metrics)
+    points = " UNION ALL ".join(f"SELECT model_id, '{m}' AS metric, {m} AS point FROM pts" for m in metrics)
+    values = ", ".join(f"{sql} AS {m}" for m, sql in metrics.items())
+    return f"""
+rm AS (SELECT model_id, replicate, {values} FROM {weighted} WHERE w > 0 GROUP BY model_id, replicate),
+pts AS (SELECT model_id, {values} FROM (SELECT *, 1.0::DOUBLE AS w FROM feat) GROUP BY model_id),
+ci AS (SELECT model_id, metric, point, quantile_cont(value, 0.025) AS ci_lo, quantile_cont(value, 0.975) AS ci_hi,
+         avg(CASE WHEN metric = 'hard_minus_easy_gap' THEN coalesce(CAST(value <= 0 AS DOUBLE), 0.0) END) AS p_le_0
+       FROM ({union}) JOIN ({points}) USING (model_id, metric) GROUP BY model_id, metric, point)"""
+
+
+def _cells_sql(metrics: dict[str, str], inputs: tuple[str, ...] = ("confidence_norm", "correct", "difficulty")) -> str:
+    """Poisson(n) weights of the cells of equal inputs."""
+    tables = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in RS.poisson_cdf(k)) + "]" for k in range(1, RS.EXACT_BELOW)) + "]"
+    text = {"difficulty": "difficulty"}
+    parts = " || '|' || ".join(f"coalesce({text.get(c, f'CAST(CAST(round(CAST({c} AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)')}, '~')" for c in inputs)
+    return f""",
+cells AS (SELECT *, {_hash_words_sql(f"'42|' || model_id || '|' || {parts}")} FROM (
+            SELECT model_id, {", ".join(inputs)}, count(*) AS n FROM feat GROUP BY ALL)),
+{_uniform_sql("cells").strip()},
+normal AS (SELECT *, CAST(n AS DOUBLE) AS nd, {RS.normal_quantile_sql("u")} AS z FROM drawn),
+weighted AS (SELECT *, CASE WHEN n < {RS.EXACT_BELOW} THEN len(list_filter({tables}[least(n, {RS.EXACT_BELOW - 1})], lambda t: t <= u))
+                            ELSE {RS.poisson_quantile_sql("nd", "z")} END AS w FROM normal),
+{_interval_sql(metrics, "weighted").strip()}"""
+
+
+def _clusters_sql() -> str:
+    """Poisson(1) weights of whole questions, applied to sums a question."""
+    below = " + ".join(f"CAST(u >= {t!r}::DOUBLE AS INTEGER)" for t in RS.poisson_cdf(1))
+    edges = [f"{e!r}::DOUBLE" for e in bin_edges()]
+    inside = lambda i: f"confidence_norm >= {edges[i]} AND confidence_norm {'<=' if i == 9 else '<'} {edges[i + 1]}"
+    bins = ", ".join(f"coalesce(sum(CASE WHEN {inside(i)} THEN correct - confidence_norm END), 0) AS b{i}" for i in range(10))
+    tiers = ", ".join(f"sum(CASE WHEN difficulty = '{t}' THEN {c} ELSE 0 END) AS {t}_{a}"
+                      for t in ("hard", "easy") for c, a in (("confidence_norm", "s"), ("correct", "c"), ("1", "n")))
+    sums = ["n", "s", "c", *[f"b{i}" for i in range(10)], *[f"{t}_{a}" for t in ("hard", "easy") for a in "scn"]]
+    hme = "(hard_s - hard_c) / nullif(hard_n, 0) - (easy_s - easy_c) / nullif(easy_n, 0)"
+    values = {"accuracy": "c / n", "overconfidence_gap": "s / n - c / n", "ece": "(" + " + ".join(f"abs(b{i})" for i in range(10)) + ") / n",
+              "hard_minus_easy_gap": hme}
+    union = " UNION ALL ".join(f"SELECT model_id, replicate, '{m}' AS metric, {v} AS value FROM rs" for m, v in values.items())
+    points = " UNION ALL ".join(f"SELECT model_id, '{m}' AS metric, {v} AS point FROM ps" for m, v in values.items())
+    return f""",
+vec AS (SELECT *, {_hash_words_sql("'42|' || model_id || '|' || question_id")} FROM (
+          SELECT model_id, question_id, CAST(count(*) AS DOUBLE) AS n, sum(confidence_norm) AS s, sum(CAST(correct AS DOUBLE)) AS c, {bins}, {tiers}
+          FROM feat GROUP BY model_id, question_id)),
+ps AS (SELECT model_id, {", ".join(f"sum({x}) AS {x}" for x in sums)} FROM vec GROUP BY model_id),
+{_uniform_sql("vec").strip()},
+rs AS (SELECT model_id, replicate, {", ".join(f"sum(w * {x}) AS {x}" for x in sums)} FROM (SELECT *, {below} AS w FROM drawn) GROUP BY model_id, replicate),
+ci AS (SELECT model_id, metric, point, quantile_cont(value, 0.025) AS ci_lo, quantile_cont(value, 0.975) AS ci_hi,
+         avg(CASE WHEN metric = 'hard_minus_easy_gap' THEN coalesce(CAST(value <= 0 AS DOUBLE), 0.0) END) AS p_le_0
+       FROM ({union}) JOIN ({points}) USING (model_id, metric) GROUP BY model_id, metric, point)"""
+
+
+_CI_SQL = f"SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi, {O.rnd('p_le_0')} AS p_le_0 FROM ci"
 
 
-def _poisson_sql(n_boot: int, cluster: bool = False) -> str:
-    ece_w = O.ece_sql("confidence_norm", "correct", "w")
-    hme = ("(sum(CASE WHEN difficulty = 'hard' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'hard' THEN w END)"
-           " - sum(CASE WHEN difficulty = 'hard' THEN w * correct END) / sum(CASE WHEN difficulty = 'hard' THEN w END))"
-           " - (sum(CASE WHEN difficulty = 'easy' THEN w * confidence_norm END) / sum(CASE WHEN difficulty = 'easy' THEN w END)"
-           " - sum(CASE WHEN difficulty = 'easy' THEN w * correct END) / sum(CASE WHEN difficulty = 'easy' THEN w END))")
-    return f""",
-reps AS (
-  SELECT f.*, r.replicate,
-    ('0x' || substr(md5('42|' || CAST(r.replicate AS VARCHAR) || '|' || model_id || '|' || question_id
-      {"" if cluster else "|| '|' || CAST(trial_index AS VARCHAR)"}), 1, 8))::BIGINT / 4294967296.0 AS u
-  FROM feat f, (SELECT CAST(range AS INTEGER) AS replicate FROM range({n_boot})) r),
-wrep AS (SELECT *, {_W_SQL} AS w FROM reps),
-rm AS (
-  SELECT model_id, replicate,
-    sum(w * correct) / sum(w) AS accuracy,
-    sum(w * confidence_norm) / sum(w) - sum(w * correct) / sum(w) AS overconfidence_gap,
-    {ece_w} AS ece,
-    {hme} AS hard_minus_easy_gap
-  FROM wrep WHERE w > 0 GROUP BY model_id, replicate),
-lng AS (
-  SELECT model_id, 'accuracy' AS metric, accuracy AS value FROM rm
-  UNION ALL SELECT model_id, 'overconfidence_gap', overconfidence_gap FROM rm
-  UNION ALL SELECT model_id, 'ece', ece FROM rm
-  UNION ALL SELECT model_id, 'hard_minus_easy_gap', hard_minus_easy_gap FROM rm),
-ci AS (
-  SELECT model_id, metric, quantile_cont(value, 0.025) AS ci_lo, quantile_cont(value, 0.975) AS ci_hi,
-    avg(CASE WHEN metric = 'hard_minus_easy_gap' THEN coalesce(CAST(value <= 0 AS DOUBLE), 0.0) END) AS p_le_0
-  FROM lng GROUP BY model_id, metric),
-pts AS (
-  SELECT model_id, avg(correct) AS accuracy, avg(confidence_norm) - avg(correct) AS overconfidence_gap,
-    {O.ece_sql()} AS ece,
-    (avg(CASE WHEN difficulty = 'hard' THEN confidence_norm END) - avg(CASE WHEN difficulty = 'hard' THEN correct END))
-    - (avg(CASE WHEN difficulty = 'easy' THEN confidence_norm END) - avg(CASE WHEN difficulty = 'easy' THEN correct END))
-      AS hard_minus_easy_gap
-  FROM feat GROUP BY model_id),
-plong AS (
-  SELECT model_id, 'accuracy' AS metric, accuracy AS point FROM pts
-  UNION ALL SELECT model_id, 'overconfidence_gap', overconfidence_gap FROM pts
-  UNION ALL SELECT model_id, 'ece', ece FROM pts
-  UNION ALL SELECT model_id, 'hard_minus_easy_gap', hard_minus_easy_gap FROM pts)"""
-
-
-@register("bootstrap_ci_poisson", O.with_ctes(_poisson_sql(N_BOOT_POISSON) + f"""
-SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi,
-  {O.rnd('p_le_0')} AS p_le_0
-FROM plong JOIN ci USING (model_id, metric)""", "f1"))
+@register("bootstrap_ci_poisson", O.with_ctes(_cells_sql(_METRIC_SQL) + _CI_SQL, "f1"))
 def q_bootstrap_ci_poisson(spark, sf_dir):
-    return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON))
+    """I4(a): 2000 Poisson replicates, drawn a cell."""
+    return rounded(RS.bootstrap_cells_poisson(feat(spark, sf_dir), RS.standard_metrics(), n_boot=N_BOOT))
 
 
-@register("hard_gt_easy_boot_p", O.with_ctes(_poisson_sql(N_BOOT_POISSON) + f"""
-SELECT model_id, {O.rnd('p_le_0')} AS hard_gt_easy_p_boot FROM ci WHERE metric = 'hard_minus_easy_gap'
-""", "f1"))
+@register("hard_gt_easy_boot_p", O.with_ctes(_cells_sql({"hard_minus_easy_gap": _HARD_EASY})
+                                             + f"SELECT model_id, {O.rnd('p_le_0')} AS hard_gt_easy_p_boot FROM ci", "f1"))
 def q_hard_gt_easy_boot_p(spark, sf_dir):
-    b = INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON)
-    return rounded(b.filter(F.col("metric") == "hard_minus_easy_gap")
-                   .select("model_id", F.col("p_le_0").alias("hard_gt_easy_p_boot")))
+    """One-sided share of replicates in which hard is not above easy."""
+    b = RS.bootstrap_cells_poisson(feat(spark, sf_dir), [RS.hard_minus_easy()], n_boot=N_BOOT)
+    return rounded(b.select("model_id", F.col("p_le_0").alias("hard_gt_easy_p_boot")))
+
+
+def brier() -> RS.Metric:
+    """A caller's own metric: mean squared distance of confidence and outcome."""
+    error = lambda: F.col("confidence_norm") - F.col("correct").cast("double")
+    return RS.Metric("brier", ("confidence_norm", "correct"), lambda: {"e": error() * error(), "n": F.lit(1.0)},
+                     lambda s: F.try_divide(s["e"], s["n"]))
+
+
+@register("custom_metric_ci", O.with_ctes(_cells_sql(
+    {"brier": "sum(w * (confidence_norm - correct) * (confidence_norm - correct)) / sum(w)"}, ("confidence_norm", "correct")) + _CI_SQL, "f1"))
+def q_custom_metric_ci(spark, sf_dir):
+    """Metric API: a metric that the library does not know, with its interval."""
+    return rounded(RS.bootstrap_cells_poisson(feat(spark, sf_dir), [brier()], n_boot=N_BOOT))
 
 
 @register("bootstrap_ci")
@@ -1148,13 +1210,10 @@ def q_holm_model_tests(spark, sf_dir):
     return rounded(AUD.holm_tests(reg, FX.FIXTURE_MODELS))
 
 
-@register("bootstrap_ci_cluster", O.with_ctes(_poisson_sql(N_BOOT_POISSON, cluster=True) + f"""
-SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi,
-  {O.rnd('p_le_0')} AS p_le_0
-FROM plong JOIN ci USING (model_id, metric)""", "f1"))
+@register("bootstrap_ci_cluster", O.with_ctes(_clusters_sql() + _CI_SQL, "f1"))
 def q_bootstrap_ci_cluster(spark, sf_dir):
-    """I8: cluster (by question) Poisson bootstrap."""
-    return rounded(INF.bootstrap_poisson(feat(spark, sf_dir), n_boot=N_BOOT_POISSON, cluster_col="question_id"))
+    """I8: 2000 Poisson replicates of whole questions, from one vector of sums a question."""
+    return rounded(RS.bootstrap_clusters(feat(spark, sf_dir), RS.standard_metrics(), "question_id", n_boot=N_BOOT))
 
 
 @register("holm_correction_large", ORACLES["holm_correction"])

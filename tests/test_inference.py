@@ -140,20 +140,6 @@ def test_multinomial_bootstrap_is_partition_invariant_and_covers_point(spark):
     assert acc.ci_hi - acc.ci_lo == pytest.approx(2 * 1.96 * math.sqrt(p * (1 - p) / 400), rel=0.25)
 
 
-def test_poisson_bootstrap_is_partition_invariant(spark):
-    f = _boot_feat(spark)
-    a = {(r.model_id, r.metric): r.ci_lo for r in INF.bootstrap_poisson(f, n_boot=50).collect()}
-    b = {(r.model_id, r.metric): r.ci_lo for r in INF.bootstrap_poisson(f.repartition(5), n_boot=50).collect()}
-    assert a == pytest.approx(b)
-
-
-def test_poisson_weights_have_mean_one(spark):
-    th = INF.poisson1_thresholds()
-    u = np.random.default_rng(0).random(200000)
-    w = (u[:, None] >= np.array(th)[None, :]).sum(1)
-    assert w.mean() == pytest.approx(1.0, abs=0.01) and w.var() == pytest.approx(1.0, abs=0.02)
-
-
 def test_bootstrap_resamples_the_score_it_is_given(spark):
     from pyspark.sql import functions as F
     f = _boot_feat(spark).withColumn("other", F.lit(0.5))

@@ -1,0 +1,155 @@
+"""Metric API and bootstraps: a caller's metric, exact draws, invariance, agreement with plain resampling."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from calibra.functions import metrics as M
+from calibra.operators import resampling as RS
+
+SCHEMA = "model_id string, question_id string, difficulty string, confidence_norm double, correct double"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(4)
+    out = []
+    for m, acc in (("m1", 0.6), ("m2", 0.9)):
+        for i in range(600):
+            out.append((m, f"q{i // 3}", ["easy", "medium", "hard"][i % 3], int(rng.integers(40, 101)) / 100.0, float(rng.random() < acc)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def feat(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def spread() -> RS.Metric:
+    """Variance of the score where the answer is right: a metric no module knows."""
+    s = lambda: F.when(F.col("correct") == 1, F.col("confidence_norm"))
+    return RS.Metric("spread", ("confidence_norm", "correct"),
+                     lambda: {"n": s().isNotNull().cast("int"), "s": s(), "q": s() * s()},
+                     lambda t: F.try_divide(t["q"], t["n"]) - F.pow(F.try_divide(t["s"], t["n"]), F.lit(2)))
+
+
+def plain_spread(rows, model):
+    x = np.array([r[3] for r in rows if r[0] == model and r[4] == 1])
+    return x.var()
+
+
+def table(df):
+    return {(r.model_id, r.metric): r for r in df.collect()}
+
+
+def test_uniform_numbers_agree_between_numpy_and_spark(spark):
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 32, (40, 2))
+    df = spark.createDataFrame([(int(a), int(b), r) for a, b in h for r in (0, 1, 77, 1999)], "_h0 long, _h1 long, replicate long")
+    got = {(r["_h0"], r["_h1"], r["replicate"]): r["_u"] for r in RS._with_uniform(df).collect()}
+    want = RS.uniforms(h[:, 0], h[:, 1], np.array([0, 1, 77, 1999]))
+    for (a, b), line in zip(h, want):
+        assert [got[int(a), int(b), r] for r in (0, 1, 77, 1999)] == line.tolist()
+    u = RS.uniforms(rng.integers(0, 1 << 32, 500), rng.integers(0, 1 << 32, 500), np.arange(2000)).ravel()
+    assert abs(u.mean() - 0.5) < 0.001 and abs(u.var() - 1 / 12) < 0.001
+    assert np.abs(np.histogram(u, 64, (0, 1))[0] / len(u) * 64 - 1).max() < 0.03
+
+
+@pytest.mark.parametrize("mean", [1, 4, 9, 10, 37, 300, 20_000])
+def test_poisson_draws_invert_the_distribution(spark, mean):
+    u = (np.arange(4000) + 0.5) / 4000
+    df = spark.createDataFrame([(float(x), mean) for x in u], "_u double, n long")
+    got = np.array([r["_w"] for r in RS._with_poisson(df, "n").orderBy("_u").collect()])
+    cdf = np.array(RS.poisson_cdf(mean)) if mean < 700 else None
+    if cdf is None:  # exp(-mean) underflows: compare moments
+        assert got.mean() == pytest.approx(mean, rel=1e-4) and got.std() == pytest.approx(mean ** 0.5, rel=5e-3)
+        return
+    exact = np.searchsorted(cdf, u, side="right")
+    assert (got == exact).mean() > (1 if mean < RS.EXACT_BELOW else 0.998) - 1e-9
+    assert np.abs(got - exact).max() <= 1
+
+
+@pytest.mark.parametrize("way", ["cells", "multinomial", "clusters"])
+def test_partitioning_and_order_do_not_matter_and_points_are_the_aggregates(feat, way):
+    metrics = [*RS.standard_metrics(), spread()]
+    run = {"cells": lambda d: RS.bootstrap_cells_poisson(d, metrics, n_boot=120),
+           "multinomial": lambda d: RS.bootstrap_cells_multinomial(d, metrics, n_boot=120),
+           "clusters": lambda d: RS.bootstrap_clusters(d, metrics, "question_id", n_boot=120)}[way]
+    a, b = table(run(feat)), table(run(feat.repartition(7).orderBy("confidence_norm")))
+    assert a.keys() == b.keys() and len(a) == 10
+    for k in a:
+        assert [a[k].point, a[k].ci_lo, a[k].ci_hi] == pytest.approx([b[k].point, b[k].ci_lo, b[k].ci_hi], abs=1e-12)
+    points = {r.model_id: r for r in feat.groupBy("model_id").agg(
+        M.accuracy("correct").alias("accuracy"), M.gap("confidence_norm", "correct").alias("overconfidence_gap"),
+        M.ece("confidence_norm", "correct").alias("ece"),
+        M.hard_minus_easy("confidence_norm", "correct", "difficulty").alias("hard_minus_easy_gap")).collect()}
+    for (model, metric), r in a.items():
+        if metric != "spread":
+            assert r.point == pytest.approx(points[model][metric], abs=1e-12)
+        assert (r.p_le_0 is not None) == (metric == "hard_minus_easy_gap")
+
+
+@pytest.mark.parametrize("way", ["cells", "multinomial"])
+def test_a_callers_metric_gets_point_and_interval(feat, rows, way):
+    f = RS.bootstrap_cells_poisson if way == "cells" else RS.bootstrap_cells_multinomial
+    got = table(f(feat, [spread()], n_boot=2000))
+    rng = np.random.default_rng(9)
+    for m in ("m1", "m2"):
+        mine = np.array([(r[3], r[4]) for r in rows if r[0] == m])
+        reps = [(lambda d: d[d[:, 1] == 1, 0].var())(mine[rng.integers(0, len(mine), len(mine))]) for _ in range(2000)]
+        r = got[m, "spread"]
+        assert r.point == pytest.approx(plain_spread(rows, m))
+        width = np.quantile(reps, 0.975) - np.quantile(reps, 0.025)
+        assert [r.ci_lo, r.ci_hi] == pytest.approx(np.quantile(reps, [0.025, 0.975]).tolist(), abs=0.08 * width)
+
+
+def test_a_callers_metric_is_an_aggregate_too(feat, rows):
+    got = {r.model_id: r.spread for r in feat.groupBy("model_id").agg(RS.aggregate(spread())).collect()}
+    assert got == pytest.approx({m: plain_spread(rows, m) for m in ("m1", "m2")})
+    twice = feat.withColumn("w", F.lit(2)).groupBy("model_id").agg(RS.aggregate(spread(), "w")).collect()
+    assert {r.model_id: r.spread for r in twice} == pytest.approx(got)
+
+
+def test_a_metric_runs_in_a_stream(spark, feat, rows, tmp_path):
+    feat.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")) \
+        .groupBy("model_id").agg(RS.aggregate(spread()))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("spread_now").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.model_id: r.spread for r in spark.table("spread_now").collect()}
+    assert got == pytest.approx({m: plain_spread(rows, m) for m in ("m1", "m2")})
+
+
+def test_clusters_widen_the_interval_of_copied_rows(spark, feat):
+    copies = feat.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(9)])))
+    metric = [RS.accuracy()]
+    one = table(RS.bootstrap_clusters(feat, metric, "question_id", n_boot=800))
+    nine = table(RS.bootstrap_clusters(copies, metric, "question_id", n_boot=800))
+    for k in one:  # nine equal rows are no more news than one: same draws, same interval
+        assert [one[k].ci_lo, one[k].ci_hi] == pytest.approx([nine[k].ci_lo, nine[k].ci_hi])
+
+
+def test_subsets_agree_with_the_whole_bootstrap_on_a_continuous_score(spark):
+    rng = np.random.default_rng(1)
+    s = rng.random(40_000)
+    data = [("m", ["easy", "medium", "hard"][i % 3], float(x), float(rng.random() < 0.3 + 0.5 * x)) for i, x in enumerate(s)]
+    f = spark.createDataFrame(data, "model_id string, difficulty string, confidence_norm double, correct double").repartition(8)
+    whole = table(RS.bootstrap_cells_poisson(f, RS.standard_metrics(), n_boot=200))
+    parts = table(RS.bootstrap_subsets(f, RS.standard_metrics(), subsets=10, n_boot=100))
+    for k, r in whole.items():
+        if k[1] == "ece":  # a subset's ECE is biased upwards; its point is that of all rows
+            assert parts[k].point == pytest.approx(r.point)
+            continue
+        width = r.ci_hi - r.ci_lo
+        assert [parts[k].point, parts[k].ci_lo, parts[k].ci_hi] == pytest.approx([r.point, r.ci_lo, r.ci_hi], abs=0.25 * width)
+
+
+def test_nulls_undefined_metrics_and_empty_tables(spark):
+    f = spark.createDataFrame([("a", "q", None, 0.5, None), ("a", None, "hard", None, 1.0), (None, "q", "easy", 0.25, 0.0)], SCHEMA)
+    for run in (lambda d: RS.bootstrap_cells_poisson(d, RS.standard_metrics(), n_boot=20),
+                lambda d: RS.bootstrap_cells_multinomial(d, RS.standard_metrics(), n_boot=20),
+                lambda d: RS.bootstrap_clusters(d, RS.standard_metrics(), "question_id", n_boot=20)):
+        got = table(run(f))
+        assert got["a", "accuracy"].point == 1.0 and got["a", "overconfidence_gap"].point == -0.5
+        assert got["a", "hard_minus_easy_gap"].point is None and got[None, "accuracy"].point == 0.0
+        assert run(f.limit(0)).count() == 0
