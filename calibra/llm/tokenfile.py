@@ -162,6 +162,20 @@ class Encoder:
             self.ends[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
         # whether "A" and "a" are one to the tokenizer
         self.lowers = self.of.normalizer is not None and self.of.normalizer.normalize_str("AZ") == "az"
+        self.steady: set[str] = set()  # letters that the tokenizer's normal form leaves as letters
+
+    def _letters(self, word: str) -> bool:
+        """Whether a word is of letters alone, also in the tokenizer's normal form, and so one pre-token."""
+        if not word.isalpha():
+            return False
+        if word.isascii() or self.steady.issuperset(word):
+            return True
+        form = self.of.normalizer.normalize_str if self.of.normalizer else str
+        for c in set(word) - self.steady:  # some letters become a letter and a mark
+            if not form(c).isalpha():
+                return False
+            self.steady.add(c)
+        return True
 
     def _many(self, words: list[str]) -> list[bytes] | None:
         """ids of each word, told apart by the word ends; None if they can't be."""
@@ -177,11 +191,11 @@ class Encoder:
         whole, others, composed = [], [], []
         for w in new:
             t = w.decode()
-            if t.isalpha():
+            if self._letters(t):
                 whole.append(w)
                 continue
             core = t.rstrip(_STOPS)
-            if core.isalpha():  # two pre-tokens, each as it is alone
+            if self._letters(core):  # two pre-tokens, each as it is alone
                 core = core.encode()
                 composed.append((w, core, w[len(core):]))
             else:

@@ -45,6 +45,17 @@ def test_words_give_what_whole_texts_give():
     assert got == want
 
 
+def test_every_letter_before_stops_gives_what_the_library_gives():
+    of, encoder = Tokenizer.from_file(PATH), tokenfile.Encoder(PATH)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    words = [c + "." for c in letters] + ["a" + c + "," for c in letters] + ["k" + c for c in letters] + ["\u09b9\u09df,", "\u0130."]
+    for at in range(0, len(words), 20_000):
+        some = words[at:at + 20_000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in of.encode_batch(some, add_special_tokens=False)]
+        got = encoder([w.encode() for w in some])
+        assert [w for w, a, b in zip(some, want, got) if a != b] == []
+
+
 def brute(docs):
     of, start, out = Tokenizer.from_file(PATH), 0, {}
     for d in sorted(docs, key=lambda d: d.doc_id):
