@@ -3,7 +3,8 @@
 *Stream.*  A page is read as a stream of block elements and text; comments,
 scripts and inline tags are not part of it, an unclosed paragraph or list item
 ends where the next block begins, and a tag cut off by the end of the page is
-dropped.  An element is known by its tag and, if its class, id or role has a
+dropped.  Elements nested more than ``DEPTH`` deep still part their text into
+blocks, but do not deepen the structure.  An element is known by its tag and, if its class, id or role has a
 word of ``BOILERPLATE`` or ``MAIN``, by that word.
 
 *Wrapper.*  A union-free expression over elements and text slots.  Two
@@ -41,6 +42,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -58,6 +60,7 @@ from calibra.llm.common import in_arrow, small_enough, written
 from calibra.llm.urlfilter import host_of
 
 PARTS = 64
+DEPTH = 100
 CONSTANT_PAGES = 3
 BROADCAST_ROWS = 20_000
 
@@ -212,8 +215,10 @@ def blocks(page: str | None) -> list[tuple[str, str, bool]]:
         name, own = _mark(tag, attributes)
         if tag == "header" and not any(s[0] in CENTRES for s in stack):
             own = True
-        stack.append((tag, f"{path}/{name}", bad or own))
-        out.append((f"{path}/{name}", "", bad or own))
+        if len(stack) < DEPTH:
+            path = f"{path}/{name}"
+            out.append((path, "", bad or own))
+        stack.append((tag, path, bad or own))
         if tag == "title":
             raw = "title"
     flush()
@@ -234,21 +239,58 @@ def _fold(kids: list) -> list:
     return out
 
 
+class _Common:
+    """Lengths of the longest common subsequences of all suffix pairs of two name lists.
+
+    A row of lengths is one integer whose zero bits are its steps, so a row
+    costs a few operations on whole integers.  Only every ``step``-th row is
+    kept; the rows between two kept ones are made again when asked for.
+    """
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.a, self.m = a, len(b)
+        self.full = (1 << self.m) - 1
+        self.where: dict[str, int] = {}
+        for j, name in enumerate(reversed(b)):
+            self.where[name] = self.where.get(name, 0) | 1 << j
+        self.step = math.isqrt(len(a)) + 1
+        row, self.kept, self.near = self.full, {len(a): self.full}, {}
+        for i in range(len(a) - 1, -1, -1):
+            row = self._above(i, row)
+            if i % self.step == 0:
+                self.kept[i] = row
+
+    def _above(self, i: int, row: int) -> int:
+        hit = row & self.where.get(self.a[i], 0)
+        return (row + hit | row - hit) & self.full
+
+    def __call__(self, i: int, j: int) -> int:
+        """Of the suffixes that start at i and j."""
+        row = self.kept.get(i)
+        if row is None:
+            row = self.near.get(i)
+        if row is None:
+            last = min(len(self.a), (i // self.step + 1) * self.step)
+            row, self.near = self.kept[last], {}
+            for k in range(last - 1, i // self.step * self.step, -1):
+                row = self.near[k] = self._above(k, row)
+            row = self.near[i]
+        n = self.m - j
+        return n - (row & (1 << n) - 1).bit_count()
+
+
 def _align(a: list, b: list) -> list:
     """One expression for what both match."""
     if a == b:
         return a
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    common = _Common([x[0] for x in a], [x[0] for x in b])
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
             out.append([a[i][0], a[i][1] or b[j][1], a[i][2] or b[j][2], _align(a[i][3], b[j][3])])
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+        elif j == m or i < n and common(i + 1, j) >= common(i, j + 1):
             out.append([a[i][0], True, *a[i][2:]])
             i += 1
         else:
@@ -466,13 +508,22 @@ def text_slots(wrapper: list, seen: dict[str, tuple[int, bool, int]]) -> list[st
 _KEY = ["host", "shape"]
 
 
-def _shaped(rows: DataFrame) -> DataFrame:
-    """The rows with the shape of their page."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """The columns of ``pages`` but html, with shape, own (the page's own expression) and stream, as JSON."""
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    new = ["shape", "own", "stream"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shape_of(blocks(h)) for h in b["html"].to_pylist()], pa.string())], [*b.schema.names, "shape"])
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                streams = [blocks(h) for h in some["html"].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*[some[f.name] for f in kept], pa.array([shape_of(x) for x in streams], pa.string()),
+                     pa.array([json.dumps(wrapper_of(x)) for x in streams], pa.string()),
+                     pa.array([json.dumps(x, ensure_ascii=False) for x in streams], pa.string())], [*[f.name for f in kept], *new])
 
-    return rows.transform(in_arrow, run, StructType([*rows.schema.fields, StructField("shape", StringType())]))
+    return pages.transform(in_arrow, run, StructType([*kept, *[StructField(c, StringType()) for c in new]]))
 
 
 def _beside(rows: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -480,22 +531,17 @@ def _beside(rows: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame
 
 
 @lru_cache(512)
-def _parsed(wrapper: str | None) -> list:
+def _loaded(wrapper: str | None) -> list:
     return json.loads(wrapper or "[]")
 
 
 def infer(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """host, shape, wrapper (as JSON), text_paths of every template of host, html."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # of equal wrappers of a batch one row goes on
-            found: dict = {}
-            for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist()):
-                stream = blocks(page)
-                found[(host, shape_of(stream), json.dumps(wrapper_of(stream)))] = True
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], ["host", "shape", "wrapper"])
-
-    shapes = written(pages.transform(in_arrow, run, "host string, shape string, wrapper string").distinct(), "shapes") \
+    return _infer(written(parsed(pages.select("host", "html")), "streams"), broadcast_rows)
+
+
+def _infer(streams: DataFrame, broadcast_rows: int) -> DataFrame:
+    shapes = written(streams.select("host", "shape", F.col("own").alias("wrapper")).distinct(), "shapes") \
         .withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
 
     def aligned(rows: pd.DataFrame) -> pd.DataFrame:
@@ -508,11 +554,11 @@ def infer(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes: dict = {}
-            for host, shape, wrapper, page in zip(*(b[c].to_pylist() for c in ("host", "shape", "wrapper", "html"))):
-                stream = blocks(page)
+            for host, shape, wrapper, page in zip(*(b[c].to_pylist() for c in ("host", "shape", "wrapper", "stream"))):
+                stream = json.loads(page)
                 texts: dict[str, list] = {}
                 bad = {}
-                for (_, text, boiler), slot in zip((x for x in stream if x[1]), matched(stream, _parsed(wrapper))):
+                for (_, text, boiler), slot in zip((x for x in stream if x[1]), matched(stream, _loaded(wrapper))):
                     texts.setdefault(slot, []).append(text)
                     bad[slot] = boiler
                 # copies differ in boilerplate at most, and boilerplate is told by whole pages
@@ -529,7 +575,7 @@ def infer(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
                                              ["host", "shape", "path", "lo", "hi", "chars", "bad", "page"])
 
-    sizes = _beside(_shaped(pages.select("host", "html")), whole, broadcast_rows).select(*_KEY, "wrapper", "html").transform(
+    sizes = _beside(streams.select(*_KEY, "stream"), whole, broadcast_rows).select(*_KEY, "wrapper", "stream").transform(
         in_arrow, measure, "host string, shape string, path string, lo long, hi long, chars long, bad boolean, page long")
     # as many rows as the wrappers have slots; copies of a page count once
     by_slot = sizes.groupBy(*_KEY, "path").agg(
@@ -551,20 +597,25 @@ def infer(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def main_text(page: str | None, text_paths: list[str] | None, wrapper: list | None = None) -> str:
     """The page's texts at the slots of its wrapper; without one the page is its own."""
-    keep, stream = set(text_paths or ()), blocks(page)
-    where = matched(stream, wrapper_of(stream) if wrapper is None else wrapper)
-    return "\n\n".join(text for text, slot in zip((t for _, t, _ in stream if t), where) if slot in keep)
+    stream = blocks(page)
+    return _text(stream, text_paths, wrapper_of(stream) if wrapper is None else wrapper)
+
+
+def _text(stream: list, text_paths: list[str] | None, wrapper: list) -> str:
+    keep = set(text_paths or ())
+    return "\n\n".join(text for text, slot in zip((t for _, t, _ in stream if t), matched(stream, wrapper)) if slot in keep)
 
 
 def extract(pages: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, host, text of every row."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    wrappers = written(infer(rows.select("host", "html"), broadcast_rows), "wrappers")
-    joined = _beside(_shaped(rows), wrappers, broadcast_rows).select("page_id", "url", "host", "html", "wrapper", "text_paths")
+    streams = written(parsed(rows), "streams")  # a page is parsed once
+    wrappers = written(_infer(streams, broadcast_rows), "wrappers")
+    joined = _beside(streams.drop("own"), wrappers, broadcast_rows).select("page_id", "url", "host", "stream", "wrapper", "text_paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(h, p, _parsed(w)) for h, p, w in zip(*(b[c].to_pylist() for c in ("html", "text_paths", "wrapper")))]
+            got = [_text(json.loads(x), p, _loaded(w)) for x, p, w in zip(*(b[c].to_pylist() for c in ("stream", "text_paths", "wrapper")))]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["host"], pa.array(got, pa.string())], ["page_id", "url", "host", "text"])
 
     return joined.transform(in_arrow, run, StructType([joined.schema["page_id"], joined.schema["url"], StructField("host", StringType()),

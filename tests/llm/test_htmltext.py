@@ -4,6 +4,7 @@ import html
 import json
 import re
 
+
 from calibra.llm import htmltext as H
 from calibra.llm.queries import QUERIES
 
@@ -114,3 +115,36 @@ def test_marked_block_that_holds_the_text(spark):
     rows = [(i, f"http://marked.example/{i}", _page(f"<div>Name of the site</div><div class='notice'><p>Text number {i}, of some length.</p></div>")) for i in range(5)]
     got = _texts(spark, rows)
     assert all(f"Text number {i}, of some length." in got[i] for i in range(5)), got
+
+
+def test_deep_and_wide_pages():
+    deep = "<html><body>" + "<div>" * 10_000 + "<p>one</p><p>two</p>" + "</div>" * 10_000 + "<article><p>three</p></article></body></html>"
+    stream = H.blocks(deep)
+    assert [t for _, t, _ in stream if t] == ["one", "two", "three"] and max(p.count("/") for p, _, _ in stream) <= H.DEPTH
+    other = H.wrapper_of(H.blocks("<html><body><div><p>x</p></div></body></html>"))
+    both = H.json.loads(H.align_all([H.json.dumps(w) for w in (H.wrapper_of(stream), other)]))
+    assert len(H.matched(stream, both)) == 3
+    wide = ["<html><body>" + "".join(f"<h2>a</h2><p>b{k}</p>" + "<ul><li>c</li></ul>" * (k % step == 0) for k in range(n)) + "</body></html>"
+            for n, step in ((2000, 7), (3000, 5))]
+    a, b = (H.wrapper_of(H.blocks(x)) for x in wide)
+    assert H._align(a, b)
+
+
+def test_alignment_lengths_equal_the_plain_table():
+    import random
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = (["abc"[r.randrange(3)] for _ in range(r.randrange(40))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        common = H._Common(a, b)
+        assert [[common(i, j) for j in range(len(b) + 1)] for i in range(len(a) + 1)] == best
+
+
+def test_query_survives_a_deep_page(spark, tmp_path):
+    pages = [(k, "http://h.org/x", "<html><body>" + "<div>" * d + f"<p>text {k} here</p>" + "</div>" * d + "</body></html>") for k, d in enumerate((1, 3, 1200, 5000))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.text for r in H.extract(spark.read.parquet(str(tmp_path / "pages.parquet"))).collect()}
+    assert got == {k: f"text {k} here" for k in range(4)}
