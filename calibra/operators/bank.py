@@ -58,20 +58,44 @@ def with_content_key(df: DataFrame, subject_col: str = "subject",
     return df.withColumn("content_key", parsing.content_key(subject_col, question_col))
 
 
+KEY_HASH = "_key_hash"
+FEW_KEYS = 1_000_000  # 64-bit hashes that are broadcast at most (8 MB)
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    keyed = with_content_key(df)
+    return keyed.withColumn(KEY_HASH, F.xxhash64("content_key"))
+
+
+def _met_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Hashes of content keys that both tables have: only 64-bit numbers are shuffled.
+
+    The hashes are broadcast if a count shows that they are few, so that the
+    rows themselves, texts and all, stay where they are; else Spark decides.
+    """
+    met = _hashed(a).select(KEY_HASH).distinct().join(_hashed(b).select(KEY_HASH).distinct(), KEY_HASH, "left_semi")
+    return F.broadcast(met) if met.limit(FEW_KEYS + 1).count() <= FEW_KEYS else met
+
+
 def content_disjoint(pool: DataFrame, bank: DataFrame) -> DataFrame:
-    """Pool rows whose content key is not in the bank (left anti-join).
+    """Pool rows whose content key is not in the bank.
 
-    Only the bank's distinct keys are shuffled; Spark hashes the key and
-    compares full strings on hash hits only.
+    Two phases: hashes of the keys first, over all rows; the keys themselves,
+    whole texts, are compared only where a hash is met on both sides.
     """
-    keys = with_content_key(bank).select("content_key").distinct()
-    return with_content_key(pool).join(keys, "content_key", "left_anti")
+    met = _met_hashes(pool, bank)
+    rows = _hashed(pool)
+    apart = rows.join(met, KEY_HASH, "left_anti")
+    keys = _hashed(bank).join(met, KEY_HASH, "left_semi").select("content_key").distinct()
+    close = rows.join(met, KEY_HASH, "left_semi").join(keys, "content_key", "left_anti")
+    return apart.unionByName(close.select(*apart.columns)).drop(KEY_HASH)
 
 
 def overlap_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Content keys present in both tables, with their multiplicities."""
-    ka = with_content_key(a).groupBy("content_key").agg(F.count(F.lit(1)).alias("n_a"))
-    kb = with_content_key(b).groupBy("content_key").agg(F.count(F.lit(1)).alias("n_b"))
+    """Content keys present in both tables, with their multiplicities; texts of hashes met on both sides only."""
+    met = _met_hashes(a, b)
+    ka, kb = (_hashed(t).join(met, KEY_HASH, "left_semi").groupBy("content_key").agg(F.count(F.lit(1)).alias(n))
+              for t, n in ((a, "n_a"), (b, "n_b")))
     return ka.join(kb, "content_key")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from calibra.functions import metrics as M
 from calibra.functions import stats as ST
 from calibra.operators import resampling as RS
+from calibra.session import ensure_checkpoint_dir
 
 X, Y = "difficulty_numeric", "overconfidence_gap_row"
 
@@ -81,14 +82,60 @@ def spearman(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> Dat
     partial aggregation), each cell gets the mid-ranks of its x and y from
     windows over the cells of its group, and rho is the weighted Pearson
     correlation of the ranks.  One scan, no joins; window cost is set by
-    the number of distinct values, not rows.  (A continuous score with a
-    huge number of distinct values per group would need range-partitioned
-    ranks with prefix offsets instead.)
+    the number of distinct values, not rows; ``spearman_ranged`` is for
+    continuous scores with a huge number of distinct values per group.
     """
     keys = list(keys)
     cells = M.drop_null_groups(
         feat.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("w")), [x, y], "w")
     ranked = cells.withColumn("rx", _midrank(keys, x)).withColumn("ry", _midrank(keys, y))
+    return _weighted_rho(ranked, keys)
+
+
+def midranks(values: DataFrame, keys: list[str], value: str, weight: str = "w") -> DataFrame:
+    """``values`` (one row per key and value, with a multiplicity) with the average rank ``rank`` of its rows.
+
+    The values are range-partitioned by (keys, value).  Inside a partition a
+    running sum ranks them; a table of one row a (group, partition) has the
+    weight of the partitions before.  Ties are one row, so none straddles two
+    partitions, and no task holds more of a group than its range.  The sorted
+    values are checkpointed, so that both uses see one numbering.
+    """
+    ensure_checkpoint_dir(values.sparkSession)
+    placed = values.orderBy(*keys, value).withColumn("_id", F.monotonically_increasing_id()).checkpoint() \
+        .withColumn("_part", F.shiftright("_id", 33))
+    of = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*names).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*of, F.col("_part").alias("_of")).agg(F.sum(weight).alias("_sum")) \
+        .select(*names, "_of", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    same = placed["_part"] == offsets["_of"]
+    for i, k in enumerate(keys):
+        same = same & placed[k].eqNullSafe(offsets[f"_k{i}"])
+    rank = F.col("_off") + F.coalesce(F.col("_local"), F.lit(0.0)) + (F.col(weight) + 1) / 2.0
+    return placed.withColumn("_local", F.sum(weight).over(inside)).join(offsets, same).select(*values.columns, rank.alias("rank"))
+
+
+def spearman_ranged(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> DataFrame:
+    """I2 for scores with any number of distinct values: as ``spearman``, with ranks from range partitions."""
+    keys = list(keys)
+    ensure_checkpoint_dir(feat.sparkSession)
+    cells = M.drop_null_groups(
+        feat.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("w")), [x, y], "w").checkpoint()
+    ranked = cells
+    for c, out in ((x, "rx"), (y, "ry")):
+        ranks = midranks(cells.groupBy(*keys, c).agg(F.sum("w").alias("w")), keys, c)
+        ranks = ranks.select(*[F.col(k).alias(f"_{out}_{i}") for i, k in enumerate(keys)], F.col(c).alias(f"_{out}"), F.col("rank").alias(out))
+        same = F.col(c) == F.col(f"_{out}")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_{out}_{i}"))
+        ranked = ranked.join(ranks, same).select(*ranked.columns, out)
+    return _weighted_rho(ranked, keys)
+
+
+def _weighted_rho(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """n and the correlation of the ranks rx and ry, weighted by w."""
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
     agg = ranked.groupBy(*keys).agg(
         F.sum(w).alias("sw"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),

@@ -9,6 +9,12 @@ with Jaccard >= t share a token among the first |x| - ceil(t |x|) + 1
 tokens of each.  Prefixes hold each set's rarest tokens, so frequent words
 never form candidate groups; a length filter (t |x| <= |y| <= |x| / t)
 prunes further, and every candidate is verified exactly.
+
+``near_duplicates`` returns every pair, which in a cluster of k distinct
+near-copies is k (k - 1) / 2 rows.  ``near_duplicate_groups`` returns one row a
+document instead: MinHash bands bring alike sets together, each is verified
+against a few representatives of its bucket only, and the links that hold are
+followed to groups.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.session import ensure_checkpoint_dir
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -75,3 +83,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def prefix_length(size: int, threshold: float) -> int:
     return size - math.ceil(size * threshold - 1e-9) + 1
+
+
+# ---------------------------------------------------------------------------
+# Groups: MinHash bands, verified links to representatives, membership
+# ---------------------------------------------------------------------------
+
+BANDS, ROWS = 12, 6  # at a similarity of 0.9 a pair shares no band once in 10,000
+
+
+def signatures(ex: DataFrame, n: int = BANDS * ROWS) -> DataFrame:
+    """set_id and ``n`` minima of seeded token hashes, from one row a token: one hash aggregate."""
+    mins = ex.groupBy("set_id").agg(*[F.min(F.xxhash64(F.lit(i), "token")).alias(f"m{i}") for i in range(n)])
+    return mins.select("set_id", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
+
+
+def buckets(sigs: DataFrame) -> DataFrame:
+    """set_id, band, key: the buckets of every set."""
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.get("sig", b * ROWS + r) for r in range(ROWS)]).alias("key"))
+                      for b in range(BANDS)])
+    return sigs.select("set_id", F.explode(bands).alias("b")).select("set_id", "b.band", "b.key")
+
+
+def head_links(rows: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """(sa, sb): of every bucket, each set with its representatives, where their ``root`` differs.
+
+    The representatives are the bucket's smallest set by one order a seed, so
+    that a set far from one of them meets others, here and in the other
+    bands.  Rows are linear in the sets: a bucket is an aggregate and a join,
+    never a list.
+    """
+    orders = [F.min(F.struct(F.xxhash64(F.lit(seed), "set_id").alias("at"), "set_id", "root")) for seed in seeds]
+    heads = rows.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                            F.array_distinct(F.array(*orders)).alias("heads")) \
+        .where("lo <> hi").select("band", "key", F.explode("heads").alias("head"))
+    return rows.join(heads, ["band", "key"]).where("root <> head.root").select(
+        F.least("set_id", "head.set_id").alias("sa"), F.greatest("set_id", "head.set_id").alias("sb")).distinct()
+
+
+def small_bucket_links(rows: DataFrame, few: int) -> DataFrame:
+    """(sa, sb): all pairs of different roots in buckets of at most ``few`` sets, so at most ``few`` a set and band."""
+    small = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
+        .where((F.col("n") <= few) & (F.col("lo") != F.col("hi"))).select("band", "key")
+    one = rows.join(small, ["band", "key"])
+    two = one.select("band", "key", F.col("set_id").alias("sb"), F.col("root").alias("other"))
+    return one.withColumnRenamed("set_id", "sa").join(two, ["band", "key"]).where("sa < sb AND root <> other").select("sa", "sb").distinct()
+
+
+def connected(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): the smallest node of each linked node's component.
+
+    Every round a node takes the smallest label of itself and its neighbours,
+    then its label's label.  A hub costs one group of an aggregate; rounds are
+    checkpointed and end when no label changes.
+    """
+    ensure_checkpoint_dir(links.sparkSession)
+    both = links.select(F.col(a).alias("n"), F.col(b).alias("o")).unionByName(links.select(F.col(b).alias("n"), F.col(a).alias("o"))).checkpoint()
+    labels = both.groupBy(F.col("n").alias("node")).agg(F.least("node", F.min("o")).alias("root")).checkpoint()
+    while True:
+        near = both.join(labels, both.o == labels.node).groupBy("n").agg(F.min("root").alias("low"))
+        low = labels.join(near, labels.node == near.n).select("node", "root", F.least("root", "low").alias("low"))
+        of = labels.select(F.col("node").alias("_of"), F.col("root").alias("_root"))
+        new = low.join(of, F.col("low") == F.col("_of"), "left") \
+            .select("node", F.col("root").alias("was"), F.least("low", F.coalesce("_root", "low")).alias("root")).checkpoint()
+        if not new.where("was <> root").limit(1).count():
+            return new.select("node", "root")
+        labels = new.select("node", "root")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9,
+                          few: int = 64) -> DataFrame:
+    """doc_id, group_id (smallest doc_id of its near-copies, itself included), group_size and n_links (verified links of its set).
+
+    Every document with a token has a row; those without one, and null texts,
+    have none.  Links are verified exactly; which pairs are tried is decided
+    by MinHash and, in buckets of more than ``few`` sets, by representatives,
+    so a group may miss a member; ``near_duplicates`` is the exact form.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    toks = docs.select(F.col(id_col).alias("doc_id"), token_set(text_col).alias("tokens")).filter(F.size("tokens") > 0)
+    member = toks.withColumn("set_id", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
+    sets = distinct_sets(docs, id_col, text_col).checkpoint()
+    sigs = signatures(sets.select("set_id", F.explode("tokens").alias("token")))
+    rows = buckets(sigs).withColumn("root", F.col("set_id")).checkpoint()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("set_id").alias(c), F.col("tokens").alias(f"t{c}")) for c in ("sa", "sb"))
+        inter = F.size(F.array_intersect("tsa", "tsb"))
+        return pairs.join(left, "sa").join(right, "sb").withColumn("inter", inter) \
+            .where(F.col("inter") / (F.size("tsa") + F.size("tsb") - F.col("inter")) >= threshold).select("sa", "sb").checkpoint()
+
+    tried = head_links(rows, (1, 2, 3)).checkpoint()
+    links = verified(tried)
+    # a second look, only where a bucket still holds several groups
+    roots = connected(links, "sa", "sb").withColumnRenamed("root", "low")
+    rows = rows.join(roots, rows.set_id == roots.node, "left").select("set_id", "band", "key", F.coalesce("low", "root").alias("root")).checkpoint()
+    again = small_bucket_links(rows, few).unionByName(head_links(rows, (4, 5, 6, 7, 8))).distinct().join(tried, ["sa", "sb"], "left_anti")
+    links = links.unionByName(verified(again))
+    degree = links.select(F.explode(F.array("sa", "sb")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = connected(links, "sa", "sb")
+    whole = sets.join(roots, sets.set_id == roots.node, "left").join(degree, "set_id", "left") \
+        .select("set_id", F.coalesce("root", "set_id").alias("root"), "rep_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links")).checkpoint()
+    groups = whole.groupBy("root").agg(F.min("rep_id").alias("group_id"), F.sum("n_members").alias("group_size"))
+    of = whole.join(groups, "root").select("set_id", "group_id", "group_size", "n_links")
+    return member.select("doc_id", "set_id").join(of, "set_id").select("doc_id", "group_id", "group_size", "n_links")

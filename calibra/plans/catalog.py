@@ -401,6 +401,19 @@ def q_spearman_gap_difficulty(spark, sf_dir):
     return rounded(INF.spearman(feat(spark, sf_dir)))
 
 
+@register("spearman_internal_prob", O.with_ctes(f"""
+SELECT model_id, count(*) AS n,
+  {O.rnd('CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END')} AS spearman_rho
+FROM (SELECT model_id, {_MIDRANK.format(c='confidence_norm')} AS rx, {_MIDRANK.format(c='ip')} AS ry
+      FROM (SELECT *, CAST(internal_prob_answer AS DOUBLE) AS ip FROM feat)
+      WHERE ip IS NOT NULL AND confidence_norm IS NOT NULL) r
+GROUP BY model_id""", "f1"))
+def q_spearman_internal_prob(spark, sf_dir):
+    """I2 of a continuous score: ranks over range partitions."""
+    f = feat(spark, sf_dir).select("model_id", "confidence_norm", F.col("internal_prob_answer").cast("double").alias("ip"))
+    return rounded(INF.spearman_ranged(f, x="confidence_norm", y="ip"))
+
+
 @register("verbal_vs_internal_tests")
 def q_verbal_vs_internal_tests(spark, sf_dir):
     """A7 with Pearson's p (t tail on one row per model)."""
@@ -1136,6 +1149,12 @@ def q_near_duplicates(spark, sf_dir):
     return rounded(ND.near_duplicates(FX.table(spark, sf_dir, "documents"), "doc_id", "text", 0.9))
 
 
+@register("near_duplicate_groups")
+def q_near_duplicate_groups(spark, sf_dir):
+    """D2 with one row a document; tested against the pairs of ``near_duplicates``."""
+    return ND.near_duplicate_groups(FX.table(spark, sf_dir, "documents"), "doc_id", "text", 0.9)
+
+
 # ---------------------------------------------------------------------------
 # Provider payloads
 # ---------------------------------------------------------------------------

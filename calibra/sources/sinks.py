@@ -29,6 +29,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
         w.format(fmt).save(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: str = "model_id") -> None:
+    """Put ``df`` in place of the partitions it has rows of; other partitions' files stay as they are.
+
+    Rows are staged first and moved in at commit, so a failed write changes
+    nothing and a repeated one gives the same table.  ``df`` must not read
+    from ``path``.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
+def remove_partition(spark, path: str, value: str, partition_by: str = "model_id") -> bool:
+    """Take one partition (a model's rows) out of a table; False if it has none.  Other files stay."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition_by, value)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{escaped}")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run_metadata(raw: DataFrame, n_bootstrap: int = 2000) -> DataFrame:
     """One aggregation pass over the raw table -> a one-row document."""
     usable = F.col("parse_ok") & F.col("confidence").isNotNull()

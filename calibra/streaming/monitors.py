@@ -3,7 +3,8 @@
 The collection log is append-only; a Spark user runs it as a stream:
 
 ST1 ingest   file source with an explicit schema, exactly once per
-             (question, model, trial) via ``dropDuplicatesWithinWatermark``
+             (question, model, trial) via ``dropDuplicatesWithinWatermark``;
+             ``start_landing`` keeps that for good, against the landed table
 ST2 progress per-model counts, parse rate and cost (update mode)
 ST3 drift    tumbling event-time windows of accuracy / gap / ECE, using the
              same single-level aggregate builders as batch, so one stateful
@@ -44,6 +45,37 @@ def ingest_frame(raw: DataFrame, ts_col: str = "collection_timestamp",
     return score_responses(deduped)
 
 
+def land_new(batch: DataFrame, path: str, keys=KEYS, partition: str = "model_id") -> None:
+    """ST1 for good: append to the table at ``path`` the rows of a batch whose key it does not hold yet.
+
+    The table is partitioned, and only the partitions that the batch has are
+    read for its keys, so a batch costs what its own models have landed.  A
+    batch that is run again after a failure writes nothing twice: its rows
+    are either landed as a whole (the write commits once) or not at all.
+    Rows of a batch that repeat a key are one of them.
+    """
+    keys = list(keys)
+    spark = batch.sparkSession
+    once = batch.dropDuplicates(keys)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        parts = [r[0] for r in batch.select(partition).distinct().collect()]  # one value a partition of the batch
+        landed = spark.read.schema(batch.schema).parquet(path).where(
+            F.col(partition).isin([p for p in parts if p is not None]) | (F.col(partition).isNull() if None in parts else F.lit(False)))
+        landed = landed.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        once = once.join(landed, same, "left_anti")
+    once.write.mode("append").partitionBy(partition).parquet(path)
+
+
+def start_landing(stream: DataFrame, path: str, name: str, checkpoint: str, keys=KEYS, partition: str = "model_id"):
+    """Run ``land_new`` on every batch of a stream; a key is written once, however late it comes again."""
+    return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True) \
+        .foreachBatch(lambda batch, _: land_new(batch, path, keys, partition)).start()
+
+
 def progress_frame(scored: DataFrame) -> DataFrame:
     """ST2: per-model rows, parse rate and cost so far."""
     costed = OPS.rates(scored, "backend", "model_name").withColumn("_cost", OPS.cost_expr())
