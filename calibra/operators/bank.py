@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import parsing
+from calibra.operators.ranges import quantiles
 from calibra.schemas import (CONSTRAINED_PROMPT, DIFFICULTY_ORDER, DOMAIN_ORDER, FREEFORM_PROMPT,
                              LETTERS, REPAIR_SUFFIX, subject_dim)
 
@@ -274,13 +275,12 @@ def prompt_table(bank: DataFrame) -> DataFrame:
 def empirical_difficulty(feat: DataFrame, item_col: str = "question_id") -> DataFrame:
     """Per-item accuracy and its tercile (low accuracy = hard).
 
-    Cut points are exact percentiles of the per-item table, used as scalar
-    subqueries: no global window over items, no join.
+    Cut points are exact quantiles of the per-item table, found by running
+    sums over range partitions: no buffer holds all distinct accuracies.
     """
     items = feat.groupBy(item_col).agg(F.count(F.lit(1)).alias("n"),
                                        F.avg("correct").alias("accuracy"))
-    cuts = items.agg(F.percentile("accuracy", F.array(F.lit(1.0 / 3.0), F.lit(2.0 / 3.0)))).scalar()
-    q1, q2 = cuts[0], cuts[1]
+    q1, q2 = (F.lit(q).cast("double") for q in quantiles(items, "accuracy", [1.0 / 3.0, 2.0 / 3.0]))
     tier = (F.when(F.col("accuracy") <= q1, F.lit("hard"))
             .when(F.col("accuracy") <= q2, F.lit("medium")).otherwise(F.lit("easy")))
     return items.select(item_col, "n", "accuracy", tier.alias("empirical_difficulty"))

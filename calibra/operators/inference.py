@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from calibra.functions import metrics as M
 from calibra.functions import stats as ST
 from calibra.operators import resampling as RS
+from calibra.operators.ranges import running_sums
 from calibra.session import ensure_checkpoint_dir
 
 X, Y = "difficulty_numeric", "overconfidence_gap_row"
@@ -95,26 +96,12 @@ def spearman(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> Dat
 def midranks(values: DataFrame, keys: list[str], value: str, weight: str = "w") -> DataFrame:
     """``values`` (one row per key and value, with a multiplicity) with the average rank ``rank`` of its rows.
 
-    The values are range-partitioned by (keys, value).  Inside a partition a
-    running sum ranks them; a table of one row a (group, partition) has the
-    weight of the partitions before.  Ties are one row, so none straddles two
-    partitions, and no task holds more of a group than its range.  The sorted
-    values are checkpointed, so that both uses see one numbering.
+    Ranks are running sums over range partitions (``ranges``).  Ties are one
+    row, so none straddles two partitions, and no task holds more of a group
+    than its range.
     """
-    ensure_checkpoint_dir(values.sparkSession)
-    placed = values.orderBy(*keys, value).withColumn("_id", F.monotonically_increasing_id()).checkpoint() \
-        .withColumn("_part", F.shiftright("_id", 33))
-    of = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    names = [f"_k{i}" for i in range(len(keys))]
-    before = Window.partitionBy(*names).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*of, F.col("_part").alias("_of")).agg(F.sum(weight).alias("_sum")) \
-        .select(*names, "_of", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    same = placed["_part"] == offsets["_of"]
-    for i, k in enumerate(keys):
-        same = same & placed[k].eqNullSafe(offsets[f"_k{i}"])
-    rank = F.col("_off") + F.coalesce(F.col("_local"), F.lit(0.0)) + (F.col(weight) + 1) / 2.0
-    return placed.withColumn("_local", F.sum(weight).over(inside)).join(offsets, same).select(*values.columns, rank.alias("rank"))
+    sums = running_sums(values, keys, [value], F.col(weight), "_before")
+    return sums.select(*values.columns, (F.col("_before") + (F.col(weight) + 1) / 2.0).alias("rank"))
 
 
 def spearman_ranged(feat: DataFrame, keys=("model_id",), x: str = X, y: str = Y) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.operators.ranges import running_sums
 from calibra.schemas import (CONFIG_VERSION, DEFAULT_WALL_SEC, DRY_IN_TOKENS, DRY_OUT_TOKENS,
                              MAX_OUTPUT_TOKENS, UNKNOWN_PROVIDER_RATES, WALL_SEC, pricing_dim)
 
@@ -93,24 +94,15 @@ def cost_by_provider(costed: DataFrame) -> DataFrame:
 
 
 def running_spend(costed: DataFrame, run_col: str = "run_id", ts_col: str = "ts",
-                  id_col: str = "call_id", cost_col: str = "cost_usd",
-                  bucket: str = "hour") -> DataFrame:
-    """Running cost per run in (ts, call id) order, as a segmented scan.
-
-    A run is cut into time buckets: the running sum inside a bucket is a
-    window over (run, bucket), the offset of each bucket is a prefix sum over
-    the per-bucket totals (one row per run and bucket).  A run holding a
-    third of all calls is therefore spread over many tasks instead of one.
+                  id_col: str = "call_id", cost_col: str = "cost_usd") -> DataFrame:
+    """Running cost per run in (ts, call id) order, over range partitions.
+
+    Partitions are cut by the number of calls, not by the clock: a run with a
+    third of all calls is spread over many tasks, also if they all fall into
+    one hour or one instant.
     """
-    b = costed.withColumn("_bucket", F.date_trunc(bucket, F.col(ts_col)))
-    w_in = Window.partitionBy(run_col, "_bucket").orderBy(ts_col, id_col) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumn("_local", F.sum(cost_col).over(w_in))
-    totals = b.groupBy(run_col, "_bucket").agg(F.sum(cost_col).alias("_bt"))
-    w_b = Window.partitionBy(run_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(run_col, "_bucket", F.coalesce(F.sum("_bt").over(w_b), F.lit(0.0)).alias("_off"))
-    return local.join(offs, [run_col, "_bucket"]).withColumn(
-        "run_cost_usd", F.col("_off") + F.col("_local")).drop("_bucket", "_local", "_off")
+    sums = running_sums(costed, [run_col], [ts_col, id_col], F.coalesce(F.col(cost_col), F.lit(0.0)), "_before")
+    return sums.withColumn("run_cost_usd", F.col("_before") + F.coalesce(F.col(cost_col), F.lit(0.0))).drop("_before")
 
 
 def spend_cap(costed: DataFrame, cap: float, **kw) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from calibra.operators import bank as B
 from calibra.operators import inference as INF
 from calibra.operators import neardup as ND
+from calibra.operators import ops as OPS
+from calibra.operators.ranges import quantiles
 from calibra.sources import sinks
 from calibra.streaming import monitors as STM
 
@@ -183,3 +185,37 @@ def test_equal_hashes_of_other_texts_stay_in_the_pool(spark, monkeypatch):
     old = spark.createDataFrame([("s", "b")], "subject string, question string")
     assert [r.doc_id for r in B.content_disjoint(pool, old).collect()] == [1]
     assert B.overlap_keys(pool, old).count() == 1
+
+
+# ---- running sums and quantiles over range partitions (W1, D4) ----
+
+def test_running_sums_equal_a_window_for_one_hot_instant(spark):
+    rng = np.random.default_rng(6)
+    rows = [(("hot" if i % 3 else f"r{i % 4}") if i % 50 else None, "2024-01-01 10:00:00", i, float(rng.integers(0, 9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run_id string, t string, call_id long, cost_usd double") \
+        .withColumn("ts", F.col("t").cast("timestamp")).repartition(8)
+    got = {r.call_id: r.run_cost_usd for r in OPS.running_spend(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["run", "t", "id", "c"]).sort_values("id")
+    want = pdf.groupby("run", dropna=False).c.cumsum()
+    assert got == {int(i): pytest.approx(w) for i, w in zip(pdf.id, want)}
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be joined
+    try:
+        spread = sums_by_part(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert max(spread.values()) < 0.6 * len(rows)  # the hot run's one instant is not one task's
+
+
+def sums_by_part(df):
+    placed = df.orderBy("run_id", "ts", "call_id").withColumn("p", F.spark_partition_id())
+    return {r.p: r["count"] for r in placed.groupBy("p").count().collect()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 1000])
+def test_quantiles_equal_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    v = rng.integers(0, 40, n) / 8
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "a double").repartition(5)
+    got = quantiles(df, "a", [0.0, 1 / 3, 0.5, 2 / 3, 1.0])
+    assert got == [None] * 5 if not n else got == pytest.approx(np.quantile(v, [0.0, 1 / 3, 0.5, 2 / 3, 1.0]).tolist())
