@@ -160,16 +160,16 @@ def judge(pages: DataFrame, rules: dict[str, str], *, order: int = 4, folds: int
     if classes != {0, 1}:
         return rows.select("page_id", "host", "path", "rule", F.lit(0.0).alias("score"), F.lit(float("-inf")).alias("threshold"),
                            F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    # exchanges of a stated width: what little they carry becomes many strings
+    # equal URLs are one before they are dealt; exchanges of a stated width: what little they carry becomes many strings
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = None
     for k in range(folds):  # each fold is scored by what the others teach
-        out = labelled.where(F.col("fold") == k).select("key", "cls", "s").repartition(width, "key").distinct()
+        out = labelled.where(F.col("fold") == k).select("key", "cls", "s").distinct().repartition(width, "key")
         part = score(out, learn(labelled.where(F.col("fold") != k), order=order), order=order, broadcast_rows=broadcast_rows) \
             .join(out.select("key", "cls"), "key")
         held = part if held is None else held.unionAll(part)
     cut = _threshold(written(held, "held"))
-    distinct = rows.select("key", _text(F.col("host"), F.col("path")).alias("s")).repartition(width, "key").distinct()
+    distinct = rows.select("key", _text(F.col("host"), F.col("path")).alias("s")).distinct().repartition(width, "key")
     scored = written(score(distinct, learn(labelled, order=order), order=order, broadcast_rows=broadcast_rows), "scores")
     return rows.join(scored, "key", "left").select(
         "page_id", "host", "path", "rule", "score", F.lit(cut).alias("threshold"),
