@@ -234,6 +234,6 @@ def fit(stats: DataFrame, labels: DataFrame, *, label: str = "quality", sample_r
         .groupBy("doc_id").agg(F.max(label).alias("_y")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     joined = stats.select("doc_id", *STATISTICS).join(F.broadcast(ids), "doc_id") \
-        .groupBy("doc_id").agg(F.max("_y").alias("_y"), *[F.max(c).alias(c) for c in STATISTICS])
+        .groupBy("doc_id").agg(F.max("_y").alias("_y"), F.max(F.struct(*STATISTICS)).alias("_row")).select("doc_id", "_y", "_row.*")
     got = joined.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return learn(got[STATISTICS].to_numpy(np.float64), got["_y"].to_numpy() > 0, STATISTICS)
