@@ -76,3 +76,12 @@ def test_odd_rows(spark):
     assert rules.rules == () and rules.default == 1
     assert quality.fit(stats, labels.where("false")).default == 1
     assert stats.where("false").withColumn("v", rules.verdict()).count() == 0
+
+
+def test_rows_that_repeat_an_id_teach_as_one_whole_row(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "learn", lambda x, y, names: seen.update(x=x.tolist(), y=y.tolist()))
+    rows = [(1, *[float(k == 0) for k in range(len(quality.STATISTICS))]), (1, *[float(k == 1) for k in range(len(quality.STATISTICS))])]
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{c}` double" for c in quality.STATISTICS))
+    quality.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert seen["x"] in ([list(rows[0][1:])], [list(rows[1][1:])]) and seen["y"] == [True]

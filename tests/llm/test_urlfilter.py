@@ -75,3 +75,11 @@ def test_odd_rows(spark):
     one_sided = U.judge(pages.where("page_id < 2 or page_id = 5"), URL_RULES).collect()
     assert {r.verdict for r in one_sided} == {"allow"}
     assert U.judge(pages.where("false"), URL_RULES).count() == 0
+
+
+def test_a_hot_url_is_one_row_before_it_is_dealt(spark):
+    pages = spark.createDataFrame([(k, "http://same.org/x" if k % 3 else f"http://h{k}.{'com' if k % 2 else 'net'}/{'es' if k % 2 == 0 else 'a'}/{k}")
+                                   for k in range(90)] + [(None, None)], "page_id long, url string")
+    got = U.judge(pages, {"com/": "allow", "net/es/": "block"}).collect()
+    same = {(r.score, r.verdict) for r in got if r.host == "same.org"}
+    assert len(got) == 91 and len(same) == 1
