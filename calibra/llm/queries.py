@@ -219,8 +219,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lm_score")
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, vocabulary = lmscore.fit(docs, fold(F.col("doc_id"), 10) != 0)
-    return lmscore.score(docs, model, vocabulary).select(
+    model, vocabulary, stream = lmscore.learn(docs, fold(F.col("doc_id"), 10) != 0)
+    return lmscore.score_streams(stream, model, vocabulary).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
