@@ -15,6 +15,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from calibra.functions import large
+
 _EPS = 1e-300
 _TOL = 1e-16
 
@@ -203,11 +205,15 @@ def betainc_sql(a: str, b: str, x: str, log_beta: str | None = None) -> str:
             f"ELSE 1D - {front} * {_betacf_sql(b, a, f'(1D - {x})')} / {b} END)")
 
 
+def _many(df: str) -> str:
+    return f"{df} >= {_d(large.LEAST_DF)}"
+
+
 def t_log_beta_sql(df: str) -> str:
     """lgamma(df/2 + 1/2) - lgamma(df/2) - lgamma(1/2) for a df column."""
     d = f"CAST(`{df}` AS DOUBLE)"
-    return (f"({lgamma_sql(f'{d} / 2D + 0.5D')} - {lgamma_sql(f'{d} / 2D')} "
-            f"- {_d(math.lgamma(0.5))})")
+    few = f"({lgamma_sql(f'{d} / 2D + 0.5D')} - {lgamma_sql(f'{d} / 2D')})"
+    return f"((CASE WHEN {_many(d)} THEN {large.log_gamma_ratio_sql(d)} ELSE {few} END) - {_d(math.lgamma(0.5))})"
 
 
 def t_p_value_sql(t: str, df: str, log_beta: str | None = None) -> str:
@@ -216,6 +222,7 @@ def t_p_value_sql(t: str, df: str, log_beta: str | None = None) -> str:
     lb = f"`{log_beta}`" if log_beta else None
     return (f"(CASE WHEN {t} IS NULL OR {d} IS NULL OR {d} <= 0D OR isnan({t}) THEN NULL "
             f"WHEN abs({t}) = CAST('Infinity' AS DOUBLE) THEN 0D "
+            f"WHEN {_many(d)} THEN {large.t_tail_sql(t, d)} "
             f"ELSE {betainc_sql(f'{d} / 2D', '0.5D', f'{d} / ({d} + {t} * {t})', lb)} END)")
 
 
@@ -228,7 +235,8 @@ def t_quantile_sql(q: float, df: str, log_beta: str) -> str:
     z = _normal_quantile(q)
     start = f"({_d(z)} + {_d(z ** 3 + z)} / (4D * {d}) + {_d(5 * z ** 5 + 16 * z ** 3 + 3 * z)} / (96D * {d} * {d}))"
     # t density: exp(log_beta - ln(df)/2 - (df+1)/2 log1p(t^2/df)) (log_beta includes -lgamma(1/2))
-    p2 = betainc_sql(f"{d} / 2D", "0.5D", f"{d} / ({d} + nt * nt)", lb)
+    few = betainc_sql(f"{d} / 2D", "0.5D", f"{d} / ({d} + nt * nt)", lb)
+    p2 = f"(CASE WHEN {_many(d)} THEN {large.t_tail_sql('nt', d)} ELSE {few} END)"
     dens = f"exp({lb} - ln({d}) / 2D - ({d} + 1D) / 2D * log1p(nt * nt / {d}))"
     step = f"greatest(nt + ({p2} - {_d(2.0 * (1.0 - q))}) / (2D * {dens}), nt / 4D)"
     return (f"(CASE WHEN {d} > 0D THEN aggregate(sequence(1, {_NEWTON_ITERS}), {start}, "
@@ -264,7 +272,8 @@ def chi2_sf_sql(x: str, dof: str) -> str:
           f"'h', gc.h * gc.d * gc.c), gc -> gc.h * gc.d * gc.c)")
     xv = f"CAST(`{x}` AS DOUBLE)"
     return (f"(CASE WHEN {xv} IS NULL OR isnan({xv}) OR `{dof}` IS NULL OR `{dof}` <= 0 THEN NULL "
-            f"WHEN {y} <= 0D THEN 1D WHEN {y} < {s} + 1D THEN 1D - {series} * {front} "
+            f"WHEN {y} <= 0D THEN 1D WHEN {_many(f'CAST(`{dof}` AS DOUBLE)')} THEN {large.gamma_tail_sql(s, y)} "
+            f"WHEN {y} < {s} + 1D THEN 1D - {series} * {front} "
             f"ELSE {front} * {cf} END)")
 
 
