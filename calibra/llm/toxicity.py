@@ -12,14 +12,17 @@ stem none; the words that made a stem are terms beside it, so that they are
 found when the stem's own letters are misspelt.  A word that needs edits does not count if the sample's other
 texts have it too, and so is a word of its own.
 
-*Context.*  Each hit is read in a window of words: between quotation marks,
-or near a word of reporting, it counts as quoted; near a word of address it
+*Context.*  Each hit is read in a window of words: between quotation marks
+that open and close on its line, however far away, or near a word of
+reporting, it counts as quoted; near a word of address it
 counts more.  A text's abuse and quotation sums go into a logistic
 regression fitted on the sample.
 
 The sample has at most ``sample_rows`` rows, those with the smallest hashes
-of the id.  Lexicon and weights are of bounded size; every text is scored
-whole.
+of the id, and bounds the lexicon as well: a term has ``LEAST_SUPPORT`` of the
+toxic votes or more, so that there are at most 1 / ``LEAST_SUPPORT`` times as
+many as a sampled toxic text has words and beginnings on average; the words
+that are not misspellings are words of the sample.  Every text is scored whole.
 
 Nulls and odd cases: a null, empty or hitless text gets the score of no
 hits; null ids or labels are not learned from; of an id with several labels
@@ -32,9 +35,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +51,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from calibra.llm.common import in_arrow, written
 
 SAMPLE_ROWS = 12_000
-LEXICON_TERMS = 4_000
 STEM_LETTERS = range(4, 8)
 NEAR = 8  # words on either side of a hit
 LEAST_ODDS = 1.5  # log of how much oftener a term is in toxic texts, two standard errors below its estimate
@@ -55,7 +59,8 @@ FEATURES = ["abuse", "quoted", "abuse_share"]
 _CACHE = 500_000
 
 _WORD = re.compile(r"[^\s.,;:!?\"'()\[\]{}|/<>«»„“”‘’…]+")
-_QUOTES = "\"“”„«»‘’"
+_MARKS = re.compile(r"[\n\"“”„«»‘]|(?<!\w)’|’(?!\w)")  # an apostrophe inside a word is no mark
+_CLOSED_BY = {"”": "“", "»": "«", "“": "„", "’": "‘"}
 
 # fixed values: words that report what another says, and words that address someone
 REPORTING = frozenset("""
@@ -73,6 +78,31 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class Quotations:
+    """Where a text's quotations are: from a mark to the one that closes it on the same line."""
+
+    def __init__(self, text: str):
+        spans, opened = [], {}
+        for m in _MARKS.finditer(text):
+            at, mark = m.start(), m.group()
+            if mark == "\n":
+                opened.clear()
+                continue
+            other = '"' if mark == '"' else _CLOSED_BY.get(mark)
+            closes = opened.pop(other, None)
+            if closes is not None:
+                spans.append((closes, at))
+            elif mark not in "”»’":  # a mark that closes opens nothing
+                opened.setdefault(mark, at)
+        spans.sort()
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))  # the furthest end so far
+
+    def hold(self, start: int, stop: int) -> bool:
+        k = bisect_left(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= stop
+
+
 def _edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -170,18 +200,13 @@ class Matcher:
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
-        out = []
+        quotations, out = Quotations(low), []
         for i, w in enumerate(words):
             if w in found:
                 a, b = spans[i]
                 around = words[max(0, i - NEAR):i] + words[i + 1:i + 1 + NEAR]
-                line = low.rfind("\n", 0, a) + 1
-                end = low.find("\n", b)
-                before, behind = low[max(line, a - 200):a], low[b:min(end if end >= 0 else len(low), b + 200)]
-                inside = before.count('"') % 2 == 1 and '"' in behind or any(
-                    before.rfind(o) > before.rfind(c) and c in behind for o, c in ("“”", "«»", "„“", "‘’"))
                 out.append({"term": found[w][0], "edits": found[w][1], "at": i, "start": a, "stop": b,
-                            "quoted": inside or any(x in REPORTING for x in around),
+                            "quoted": quotations.hold(a, b) or any(x in REPORTING for x in around),
                             "address": any(x in ADDRESS for x in around)})
         return out
 
@@ -269,7 +294,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", sample
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     often = _counts(sample, _word_and_stems).withColumn("odds", odds) \
         .where((F.col("toxic") >= LEAST_SUPPORT * n1) & (F.col("odds") - 2 * error >= LEAST_ODDS)) \
-        .orderBy(F.desc("toxic"), "gram").limit(LEXICON_TERMS).collect()
+        .orderBy(F.desc("toxic"), "gram").collect()
     words = {r.gram: r for r in often if not r.gram.endswith("*")}
     stems: dict[str, float] = {}
     for r in sorted((r for r in often if r.gram.endswith("*")), key=lambda r: (len(r.gram), r.gram)):
@@ -284,7 +309,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", sample
 
     loose = Model(terms, stems)
     misspelt = _counts(sample, _Misspelt(loose)).where((F.col("other") / n0) * 3 > F.col("toxic") / n1)
-    own = frozenset(r.gram for r in misspelt.orderBy(F.desc("other"), "gram").limit(20 * LEXICON_TERMS).collect())
+    own = frozenset(r.gram for r in misspelt.select("gram").collect())
     model = Model(terms, stems, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +356,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, vote: np.ndarray, ridge: float = 0.0
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the features of every row."""
     rows = documents.select("doc_id", "text")
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # LEXICON_TERMS terms at most
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value.matcher()

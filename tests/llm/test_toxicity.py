@@ -1,5 +1,6 @@
 """Toxicity: automaton against edit distances, held-out labels, quotation, odd rows."""
 
+import math
 import random
 import zlib
 
@@ -94,3 +95,33 @@ def test_misspelt_within_a_learned_stem(spark):
     assert m.match("w0rthless") == ("worthless", 1) and m.match("vortling") == ("wortling", 1)
     assert m.match("worthless") == ("worthless", 0) and m.match("wortful")[1] == 0
     assert model.score(m.features("walk the river you w0rthless of the table")) > 0.5 > model.score(m.features("walk the river of the table"))
+
+
+def test_quotations_of_any_length():
+    m = toxicity.Matcher({"moron": 1.0}, {})
+    far = "house river " * 40  # 480 letters
+
+    def quoted(text):
+        return [h["quoted"] for h in m.hits(text)]
+
+    assert quoted(f'he "{far} moron {far}" walks') == [True]
+    assert quoted(f'he "{far}" moron {far} "river"') == [False]
+    assert quoted(f'a "b" {far} "c moron d" moron "e"') == [True, False]
+    assert quoted('he "walks\nmoron" home') == [False]  # not closed on the line
+    for a, b in ("“”", "«»", "„“", "‘’"):
+        assert quoted(f"x {a}{far} moron {far}{b} moron") == [True, False]
+    assert quoted("„house“ moron „river“ “moron”") == [False, True]
+    assert quoted("the ‘river’s moron’ moron") == [True, False]  # an apostrophe closes nothing
+    assert quoted('"' * 30_000 + "moron") == [False]
+
+
+def test_score_is_the_logistic_of_plain_sums():
+    model = toxicity.Model({"moron": 2.0, "worthless": 3.0}, {}, frozenset(), (-2.0, 1.5, -0.5, 0.25))
+    m = model.matcher()
+    text = "you moron walk by the green house and the river by the old table of the house " + "a w0rthless clock " + "river " * 12 + '"moron"'
+    n = len(text.split())
+    abuse = 2.0 * 1.25 + 3.0 * 0.8
+    features = (math.log1p(abuse), math.log1p(2.0), math.log1p(100 * abuse / n))
+    assert all(math.isclose(a, b) for a, b in zip(m.features(text), features))
+    z = -2.0 + 1.5 * features[0] - 0.5 * features[1] + 0.25 * features[2]
+    assert math.isclose(model.score(m.features(text)), 1 / (1 + math.exp(-z)))
