@@ -29,6 +29,8 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,7 @@ from calibra.llm.common import in_arrow
 
 SAMPLE_ROWS = 20_000
 THRESHOLDS = 48  # candidate quantiles a statistic
-MOST_RULES = 24
-MOST_CONDITIONS = 5
+LEAST_COVER = 3  # rows of its label that a rule covers
 WINDOW = 5  # words
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -135,13 +136,10 @@ class DecisionList:
     default: int
 
     def verdict(self) -> Column:
-        out = F.lit(self.default)
-        for rule in reversed(self.rules):
-            hold = F.lit(True)
-            for c in rule:
-                hold = hold & c.column()
-            out = F.when(hold, F.lit(self.label)).otherwise(out)
-        return out
+        out = F.when(F.lit(False), F.lit(self.default))
+        for rule in self.rules:  # one list of branches, tried in order
+            out = out.when(reduce(and_, [c.column() for c in rule]), F.lit(self.label))
+        return out.otherwise(F.lit(self.default))
 
     def describe(self) -> str:
         return "\n".join([f"if {' and '.join(map(str, r))}: {self.label}" for r in self.rules] + [f"else: {self.default}"])
@@ -157,7 +155,7 @@ def _holds(rule: list[Condition], x: np.ndarray, names: list[str]) -> np.ndarray
 def _grow(x: np.ndarray, y: np.ndarray, names: list[str], cuts: list[np.ndarray]) -> list[Condition]:
     rule: list[Condition] = []
     here = np.ones(len(x), bool)
-    while len(rule) < MOST_CONDITIONS and y[here].any() and not y[here].all():
+    while y[here].any() and not y[here].all():
         p, n = int(y[here].sum()), int((~y[here]).sum())
         before = math.log2(p / (p + n))
         best, gain = None, 1e-9
@@ -210,7 +208,7 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], *, seed: int = 0) -> D
     left = np.ones(len(x), bool)
     rng = np.random.default_rng(seed)
     rules: list[tuple[Condition, ...]] = []
-    while len(rules) < MOST_RULES and want[left].any():
+    while want[left].any():  # each rule takes LEAST_COVER rows or more
         own = rng.permutation(np.nonzero(left)[0])
         grow, prune = own[:len(own) * 2 // 3], own[len(own) * 2 // 3:]
         rule = _grow(x[grow], want[grow], names, cuts)
@@ -220,8 +218,9 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], *, seed: int = 0) -> D
         h = _holds(rule, x, names)
         checked = h[prune]
         covered = h & left
-        # kept if right for most of what it covers, also on the rows it was not grown on
-        if 2 * (covered & want).sum() <= covered.sum() or 2 * (checked & want[prune]).sum() < checked.sum() or (covered & want).sum() < 3:
+        # kept if right for most of what it covers, also on the rows it was not grown on, which must have some;
+        # the first rule that is not ends the covering
+        if 2 * (covered & want).sum() <= covered.sum() or 2 * (checked & want[prune]).sum() <= checked.sum() or (covered & want).sum() < LEAST_COVER:
             break
         rules.append(tuple(rule))
         left &= ~h

@@ -85,3 +85,20 @@ def test_rows_that_repeat_an_id_teach_as_one_whole_row(spark, monkeypatch):
     stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{c}` double" for c in quality.STATISTICS))
     quality.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert seen["x"] in ([list(rows[0][1:])], [list(rows[1][1:])]) and seen["y"] == [True]
+
+
+def test_covering_ends_by_itself_and_the_conditions_are_its_rules(spark):
+    """Forty planted stripes take more rules than any fixed few; verdicts equal the rules applied row by row."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.random(12_000) * 40, rng.random(12_000)])
+    y = ~((x[:, 0] % 1 < 0.5) & (x[:, 1] < 0.9))
+    rules = quality.learn(x, y, ["a", "b"])
+    assert all(rules.rules) and len(rules.rules) < 12_000 / quality.LEAST_COVER
+    some = x[:500]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(some)], "i long, a double, b double")
+    got = {r.i: r.v for r in df.select("i", rules.verdict().alias("v")).collect()}
+    for i, row in enumerate(some):
+        value = dict(zip("ab", row))
+        hit = any(all(value[c.name] >= c.cut if c.above else value[c.name] < c.cut for c in rule) for rule in rules.rules)
+        assert got[i] == (rules.label if hit else rules.default)
+    assert spark.range(1).select(quality.DecisionList((), 0, 1).verdict().alias("v")).first().v == 1
