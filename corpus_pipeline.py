@@ -4,10 +4,16 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  Every stage
 works on all that the one before it kept; all but the last return the columns
 of documents.
+
+Columns beyond ``COLUMNS`` pass through unchanged, whatever their names: a
+stage sees them under names that no operator uses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +22,42 @@ from calibra.llm.common import written
 from calibra.llm.queries import language_model, token_table
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _own_names(stage: Stage) -> Stage:
+    """The stage with columns beyond ``COLUMNS`` renamed while it works."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {c if c in COLUMNS else f"extra_{k}_": c for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*own), sf_dir)
+        return out.toDF(*[own[c] for c in out.columns])
+
+    return run_stage
+
+
+@_own_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; a missing ``lang`` is filled in."""
     found = langid.predict(docs, language_model(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@_own_names
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.deduplicate(docs, shingle=3, radius=3, seed=42)
 
 
+@_own_names
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_own_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights: documents repeat or go."""
     return mixing.mixed(docs, weights=(5, 2, 1), total=1.5, repeat=2)
