@@ -83,6 +83,19 @@ def test_stages(spark):
     assert [t[0] for t in sorted(tokens, key=lambda t: t[1])] == sorted(t[0] for t in tokens)
 
 
+def test_other_columns_pass_whatever_their_names(spark):
+    raw = spark.read.parquet(f"{SF001}/documents.parquet").where("doc_id % 10 = 0")
+    others = ("lang_pred", "lang_score", "_key", "_copy", "_text_key", "fingerprint", "component_id", "size", "n_hit", "extra_5_")
+    docs = written(raw.selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in others]), "wide")
+    for name, stage in P.STAGES[:-1]:
+        plain = written(stage(spark, docs.select(raw.columns), SF001), "plain")
+        docs = written(stage(spark, docs, SF001), "wide")
+        assert docs.columns == [*raw.columns, *others]
+        rows = docs.collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in plain.collect()) and rows
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in others)
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     raw = spark.read.parquet(f"{SF001}/documents.parquet")
     raw.where("false").write.parquet(f"{tmp_path}/documents.parquet")
