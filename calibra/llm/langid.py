@@ -83,7 +83,8 @@ def _sample(rows: DataFrame, per_language: int) -> DataFrame:
     rows, so that the ranking sees few rows however many there are.
     """
     ids = rows.where("doc_id is not null and lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("_share"))
+    # a row a language, like the model's columns: sent to the rows, so that these are thinned where they lie
+    share = F.broadcast(ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("_share")))
     u = F.shiftrightunsigned("_h", 11) / 2.0**53
     w = Window.partitionBy("lang").orderBy("_h", "doc_id")
     return ids.join(share, "lang").where(u < F.col("_share")).withColumn("_r", F.row_number().over(w)) \
