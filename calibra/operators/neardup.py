@@ -4,11 +4,14 @@ Token sets are word tokens (lower-cased letters/digits).  Identical token
 sets are collapsed first, so exact copies - however many - become one set
 with a multiplicity and never produce pairs (they are reported by the
 duplicate-item table).  Candidate pairs of distinct sets come from prefix
-filtering: with tokens ordered by ascending document frequency, two sets
+filtering: with tokens ordered by ascending document frequency (counted by
+hash slot, so that a table of fixed size gives the order), two sets
 with Jaccard >= t share a token among the first |x| - ceil(t |x|) + 1
 tokens of each.  Prefixes hold each set's rarest tokens, so frequent words
-never form candidate groups; a length filter (t |x| <= |y| <= |x| / t)
-prunes further, and every candidate is verified exactly.
+never form candidate groups; a length filter (t |x| <= |y| <= |x| / t) and
+the places of the shared tokens prune further, and every candidate is
+verified exactly.  Only prefixes, as hashes, and the tokens of candidates
+are shuffled.
 
 ``near_duplicates`` returns every pair, which in a cluster of k distinct
 near-copies is k (k - 1) / 2 rows.  ``near_duplicate_groups`` returns one row a
@@ -20,29 +23,112 @@ followed to groups.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.session import ensure_checkpoint_dir
+from calibra.session import ensure_checkpoint_dir, ship_package, written
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+SLOTS = 1 << 18  # of token frequencies, which decide how rare a token is
 
 
 def token_set(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.array_distinct(F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(t), TOKEN_SPLIT)), "")
+
+
+def set_key(tokens: str) -> Column:
+    return F.sha2(F.array_join(F.sort_array(tokens), " "), 256)
 
 
 def distinct_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     toks = docs.select(F.col(id_col).alias("doc_id"), token_set(text_col).alias("tokens")) \
         .filter(F.size("tokens") > 0)
-    key = F.sha2(F.array_join(F.array_sort("tokens"), " "), 256)
-    return toks.groupBy(key.alias("set_id")).agg(
+    return toks.groupBy(set_key("tokens").alias("set_id")).agg(
         F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_members"),
         F.any_value("tokens").alias("tokens")).withColumn("L", F.size("tokens"))
 
 
+def written_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (a number of its own), doc_id, set_id, tokens and L of every document with a token, worked out and written once."""
+    # the filter stays behind the number, so that no text is split twice
+    toks = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), token_set(text_col).alias("tokens")) \
+        .filter(F.size("tokens") > 0)
+    return written(toks.select("row", "doc_id", set_key("tokens").alias("set_id"), "tokens", F.size("tokens").alias("L")), "token_sets")
+
+
+def one_a_set(toks: DataFrame) -> DataFrame:
+    """set_id, rep_id, n_members and the row that stands for the set."""
+    return toks.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_members"), F.min("row").alias("row"))
+
+
+def _hashed(toks: DataFrame) -> DataFrame:
+    return toks.select("row", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
+
+
+def _lists(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(rows, sizes, hashes one after the other) of a few sets at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            some = b.slice(at, rows)
+            hashes = some["hashes"]
+            yield some["row"], np.diff(hashes.offsets.to_numpy()), hashes.flatten().to_numpy()
+
+
+def token_frequencies(toks: DataFrame) -> np.ndarray:
+    """How many token sets hold a token of each of ``SLOTS`` hash slots."""
+    met = toks.select(F.explode("tokens").alias("token")).groupBy(F.xxhash64("token").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count().toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[met["slot"].to_numpy()] = met["count"].to_numpy()
+    return out
+
+
+def prefixes(toks: DataFrame, threshold: float) -> DataFrame:
+    """row, L and the set's first tokens as hashes (``keys``), in an order that all sets share.
+
+    The order is that of the tokens' slots by frequency, then of their hashes,
+    so a set's prefix needs no other set.  Tokens of one hash count as equal,
+    which only adds candidates.
+    """
+    ship_package(toks.sparkSession)
+    shared = toks.sparkSession.sparkContext.broadcast(np.minimum(token_frequencies(toks), (1 << 24) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, sizes, h in _lists(batches):
+            which = np.repeat(np.arange(len(sizes)), sizes)
+            key = shared.value[h & (SLOTS - 1)] << 39 | (h.view(np.uint64) >> np.uint64(25)).astype(np.int64)
+            key = key[np.lexsort((key, which))]
+            # the small epsilon only ever lengthens the prefix (safe)
+            first = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(key[place < first[which]]))
+            yield pa.RecordBatch.from_arrays([row, pa.array(sizes, pa.int32()), keys], ["row", "L", "keys"])
+
+    return _hashed(toks).mapInArrow(run, "row long, L int, keys array<long>")
+
+
+def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
+    """(ra, rb): pairs of sets that their prefixes and sizes let reach the threshold.
+
+    Of two sets' common tokens, those up to the last one that the prefixes
+    share are counted; behind it there are at most as many as the shorter rest.
+    """
+    t = threshold
+    one = prefix.select("row", "L", F.posexplode("keys").alias("at", "key"))
+    a, b = one.alias("a"), one.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row"))
+                 & (F.col("b.L") >= F.col("a.L") * t) & (F.col("a.L") >= F.col("b.L") * t)) \
+        .groupBy(F.col("a.row").alias("ra"), F.col("b.row").alias("rb")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("a.L")).alias("la"), F.min(F.col("b.L")).alias("lb"),
+             F.max(F.col("a.at")).alias("ia"), F.max(F.col("b.at")).alias("ib"))
+    most = F.col("n") + F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib")) - 1
+    return met.where(most * (1 + t) >= (F.col("la") + F.col("lb")) * t - 1e-6).select("ra", "rb")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = 0.9) -> DataFrame:
     """Pairs of distinct token sets with Jaccard >= threshold.
@@ -51,28 +137,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set, intersection and union sizes, Jaccard.
     """
     t = float(threshold)
-    sets = distinct_sets(docs, id_col, text_col)
-    ex = sets.select("set_id", "L", F.explode("tokens").alias("token"))
-    dfreq = ex.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = ex.join(dfreq, "token")
-    # prefix length; the small epsilon only ever lengthens the prefix (safe)
-    p = F.col("L") - F.ceil(F.col("L") * t - 1e-9) + 1
-    w = Window.partitionBy("set_id").orderBy("df", "token")
-    prefix = ranked.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= p) \
-        .select("token", "set_id", "L")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id"))
-                  & (F.col("b.L") >= F.col("a.L") * t) & (F.col("a.L") >= F.col("b.L") * t)) \
-        .select(F.col("a.set_id").alias("sa"), F.col("b.set_id").alias("sb")).distinct()
-    sa = sets.select(F.col("set_id").alias("sa"), F.col("rep_id").alias("rep_a"),
-                     F.col("n_members").alias("n_a"), F.col("tokens").alias("tok_a"), F.col("L").alias("L_a"))
-    sb = sets.select(F.col("set_id").alias("sb"), F.col("rep_id").alias("rep_b"),
-                     F.col("n_members").alias("n_b"), F.col("tokens").alias("tok_b"), F.col("L").alias("L_b"))
-    v = cand.join(sa, "sa").join(sb, "sb")
+    toks = written_sets(docs, id_col, text_col)
+    sets = written(one_a_set(toks), "sets")
+    pairs = written(candidates(prefixes(toks, t).join(sets.select("row"), "row", "left_semi"), t), "candidates")
+    # only sets that stand in a pair travel with their tokens
+    met = pairs.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()
+    whole = sets.join(met, "row", "left_semi").join(toks.select("row", "tokens", "L"), "row")
+    sa = whole.select(F.col("row").alias("ra"), F.col("set_id").alias("sa"), F.col("rep_id").alias("rep_a"),
+                      F.col("n_members").alias("n_a"), F.col("tokens").alias("tok_a"), F.col("L").alias("L_a"))
+    sb = whole.select(F.col("row").alias("rb"), F.col("set_id").alias("sb"), F.col("rep_id").alias("rep_b"),
+                      F.col("n_members").alias("n_b"), F.col("tokens").alias("tok_b"), F.col("L").alias("L_b"))
+    v = pairs.join(sa, "ra").join(sb, "rb")
     inter = F.size(F.array_intersect("tok_a", "tok_b"))
     v = v.withColumn("inter", inter).withColumn("union_size", F.col("L_a") + F.col("L_b") - F.col("inter"))
     v = v.withColumn("jaccard", F.col("inter") / F.col("union_size")).filter(F.col("jaccard") >= t)
-    first = F.col("rep_a") < F.col("rep_b")
+    # of two sets of one id, or without, the second by set_id comes first
+    first = F.coalesce(F.col("rep_a") < F.col("rep_b"), F.lit(False)) \
+        | (~F.coalesce(F.col("rep_a") != F.col("rep_b"), F.lit(False)) & (F.col("sa") > F.col("sb")))
     return v.select(
         F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"),
         F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("members_a"),

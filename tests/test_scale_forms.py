@@ -219,3 +219,24 @@ def test_quantiles_equal_numpy(spark, n):
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "a double").repartition(5)
     got = quantiles(df, "a", [0.0, 1 / 3, 0.5, 2 / 3, 1.0])
     assert got == [None] * 5 if not n else got == pytest.approx(np.quantile(v, [0.0, 1 / 3, 0.5, 2 / 3, 1.0]).tolist())
+
+
+def test_candidates_lose_no_pair_and_are_hardly_more(spark):
+    r = random.Random(3)
+    bases = [[f"w{r.randrange(400)}" for _ in range(50)] for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 2, 8])):
+            w[r.randrange(len(w))] = f"w{r.randrange(400)}"
+        texts.append(frozenset(w))
+    docs = spark.createDataFrame([(None if k % 9 == 0 else k % 40, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    toks = ND.written_sets(docs, "doc_id", "text")
+    sets = {x.row: frozenset(x.tokens) for x in toks.join(ND.one_a_set(toks), "row", "left_semi").collect()}
+    assert set(sets.values()) == set(texts)
+    got = {(x.ra, x.rb) for x in ND.candidates(ND.prefixes(toks, 0.9), 0.9).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])}
+    assert want and want <= {(a, b) for a, b in got if a in sets and b in sets}
+    assert ND.near_duplicates(docs).count() == len(want)
+    near = sum(a in sets and b in sets for a, b in got)
+    assert near < len(sets) ** 2 / 20
