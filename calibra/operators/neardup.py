@@ -173,6 +173,22 @@ def prefix_length(size: int, threshold: float) -> int:
 BANDS, ROWS = 12, 6  # at a similarity of 0.9 a pair shares no band once in 10,000
 
 
+def minima(toks: DataFrame) -> DataFrame:
+    """row and signature of every token set where it lies: minima of its hashed tokens under ``BANDS * ROWS`` seeds."""
+    ship_package(toks.sparkSession)
+    seeds = np.random.RandomState(42).randint(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, sizes, h in _lists(batches):
+            start, h = np.cumsum(sizes) - sizes, h.view(np.uint64)
+            sig = [np.minimum.reduceat((h ^ a) * (b | np.uint64(1)), start) for a, b in seeds.T]
+            flat = pa.array(np.stack(sig, axis=1).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([row, pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * len(sig), pa.int32()), flat)],
+                                             ["row", "sig"])
+
+    return _hashed(toks).mapInArrow(run, "row long, sig array<long>")
+
+
 def signatures(ex: DataFrame, n: int = BANDS * ROWS) -> DataFrame:
     """set_id and ``n`` minima of seeded token hashes, from one row a token: one hash aggregate."""
     mins = ex.groupBy("set_id").agg(*[F.min(F.xxhash64(F.lit(i), "token")).alias(f"m{i}") for i in range(n)])
@@ -241,15 +257,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by MinHash and, in buckets of more than ``few`` sets, by representatives,
     so a group may miss a member; ``near_duplicates`` is the exact form.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    toks = docs.select(F.col(id_col).alias("doc_id"), token_set(text_col).alias("tokens")).filter(F.size("tokens") > 0)
-    member = toks.withColumn("set_id", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
-    sets = distinct_sets(docs, id_col, text_col).checkpoint()
-    sigs = signatures(sets.select("set_id", F.explode("tokens").alias("token")))
-    rows = buckets(sigs).withColumn("root", F.col("set_id")).checkpoint()
+    toks = written_sets(docs, id_col, text_col)
+    sets = written(one_a_set(toks), "sets")
+    sigs = minima(toks).join(sets.select("row", "set_id"), "row")
+    rows = written(buckets(sigs).withColumn("root", F.col("set_id")), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("set_id").alias(c), F.col("tokens").alias(f"t{c}")) for c in ("sa", "sb"))
+        met = pairs.select(F.explode(F.array("sa", "sb")).alias("set_id")).distinct()
+        whole = sets.join(met, "set_id", "left_semi").join(toks.select("row", "tokens"), "row")
+        left, right = (whole.select(F.col("set_id").alias(c), F.col("tokens").alias(f"t{c}")) for c in ("sa", "sb"))
         inter = F.size(F.array_intersect("tsa", "tsb"))
         return pairs.join(left, "sa").join(right, "sb").withColumn("inter", inter) \
             .where(F.col("inter") / (F.size("tsa") + F.size("tsb") - F.col("inter")) >= threshold).select("sa", "sb").checkpoint()
@@ -267,4 +283,4 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select("set_id", F.coalesce("root", "set_id").alias("root"), "rep_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links")).checkpoint()
     groups = whole.groupBy("root").agg(F.min("rep_id").alias("group_id"), F.sum("n_members").alias("group_size"))
     of = whole.join(groups, "root").select("set_id", "group_id", "group_size", "n_links")
-    return member.select("doc_id", "set_id").join(of, "set_id").select("doc_id", "group_id", "group_size", "n_links")
+    return toks.select("doc_id", "set_id").join(of, "set_id").select("doc_id", "group_id", "group_size", "n_links")
