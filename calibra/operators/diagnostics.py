@@ -40,20 +40,21 @@ def answer_token_prob(df: DataFrame, tokens_col: str = "tokens",
     repeated token keeps its last value (deduplicated in the array, so no
     session setting is needed); an empty map becomes NULL.
     """
-    toks = F.col(tokens_col)
-    letter = F.upper(F.col(letter_col))
-    n = F.size(F.coalesce(toks, F.array()))
-    idx = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (
-        F.length(_strip(toks[i]["token"])).between(1, 2)
-        & (F.upper(F.substring(_strip(toks[i]["token"]), 1, 1)) == letter)))
-    idx = F.when(n > 0, idx).otherwise(F.array().cast("array<int>"))
-    first = F.get(idx, 0)
-    entry = toks[first]
+    # a column a step: each is worked out once a row, not once for every use
+    toks, n, letter, idx, entry, usable, dedup = (F.col(c) for c in (
+        tokens_col, "_p13_n", "_p13_letter", "_p13_idx", "_p13_entry", "_p13_usable", "_p13_dedup"))
+    heads = F.transform(toks, lambda t: _strip(t["token"]))
+    df = df.withColumns({"_p13_n": F.size(F.coalesce(toks, F.array())), "_p13_letter": F.upper(F.col(letter_col)), "_p13_heads": heads})
+    found = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (
+        F.length(F.col("_p13_heads")[i]).between(1, 2) & (F.upper(F.substring(F.col("_p13_heads")[i], 1, 1)) == letter)))
+    df = df.withColumn("_p13_idx", F.when(n > 0, found).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_p13_entry", F.get(toks, F.get(idx, 0)))
+    df = df.withColumn("_p13_usable", F.filter(
+        F.coalesce(entry["top_logprobs"], F.array()),
+        lambda a: (F.coalesce(a["token"], F.lit("")) != "") & a["logprob"].isNotNull()))
+    df = df.withColumn("_p13_dedup", F.filter(usable, lambda a, i: ~F.exists(
+        F.slice(usable, i + 2, F.greatest(F.size(usable), F.lit(1))), lambda b: b["token"] == a["token"])))
     lp = entry["logprob"]
-    usable = F.filter(F.coalesce(entry["top_logprobs"], F.array()),
-                      lambda a: (F.coalesce(a["token"], F.lit("")) != "") & a["logprob"].isNotNull())
-    dedup = F.filter(usable, lambda a, i: ~F.exists(
-        F.slice(usable, i + 2, F.greatest(F.size(usable), F.lit(1))), lambda b: b["token"] == a["token"]))
     alts = F.map_from_entries(F.transform(dedup, lambda a: F.struct(
         a["token"].alias("key"), F.exp(a["logprob"]).alias("value"))))
     no_input = letter.isNull() | (n == 0)
@@ -70,7 +71,7 @@ def answer_token_prob(df: DataFrame, tokens_col: str = "tokens",
         "internal_prob_answer": F.when(ok, F.exp(lp)),
         "internal_prob_alternatives": F.when(ok & (F.size(dedup) > 0), alts),
         "internal_prob_note": note,
-    })
+    }).drop(*[f"_p13_{c}" for c in ("n", "letter", "heads", "idx", "entry", "usable", "dedup")])
 
 
 FORMATS = ["constrained", "unconstrained"]

@@ -208,31 +208,27 @@ def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logprob, 5 duplicate alternative token, 6 a two-letter token first,
     7 empty alternatives.
     """
-    r = raw_responses(spark, sf_dir)
-    letter = parsing.answer_letter("raw_response")
-    lp = -F.col("l_discount") * 10
-    other = _letter(((F.coalesce(parsing.letter_to_index(letter), F.lit(0)) + 1) % 4).cast("int"))
     tok = lambda t, l, top: F.struct(t.alias("token"), l.cast("double").alias("logprob"),
                                      top.alias("top_logprobs"))
     alt = lambda t, l: F.struct(t.alias("token"), l.cast("double").alias("logprob"))
     no_top = F.array().cast("array<struct<token:string,logprob:double>>")
-    sp_letter = F.concat(F.lit(" "), F.coalesce(letter, F.lit("?")))
-    sp_other = F.concat(F.lit(" "), other)
-    alts = F.array(alt(sp_letter, lp), alt(sp_other, lp - 1.5))
-    dup_alts = F.array(alt(sp_letter, lp), alt(sp_other, lp - 1.5), alt(sp_letter, lp - 0.5))
-    head = [tok(F.lit("ANSWER"), F.lit(-0.1), no_top), tok(F.lit(":"), F.lit(-0.01), no_top)]
+    # the letter, then what is built from it, each worked out once a row
+    r = raw_responses(spark, sf_dir).withColumn("_letter", parsing.answer_letter("raw_response")).withColumn("_lp", -F.col("l_discount") * 10)
+    letter, lp = F.col("_letter"), F.col("_lp")
+    sp_other = F.concat(F.lit(" "), _letter(((F.coalesce(parsing.letter_to_index(letter), F.lit(0)) + 1) % 4).cast("int")))
+    r = r.withColumns({"_bare": F.coalesce(letter, F.lit("?")), "_sp": F.concat(F.lit(" "), F.coalesce(letter, F.lit("?"))), "_sp_other": sp_other})
+    bare, sp_letter = F.col("_bare"), F.col("_sp")
     ln = F.col("l_linenumber")
-    arr = (
-        F.when(ln == 2, F.array(*head, tok(F.lit(" maybe"), lp, alts)))
-        .when(ln == 3, F.array(*head, tok(sp_letter, lp, alts), tok(F.lit("\n"), F.lit(-0.2), no_top),
-                               tok(F.coalesce(letter, F.lit("?")), lp - 0.25, alts)))
-        .when(ln == 4, F.array(*head, tok(sp_letter, F.lit(None), alts)))
-        .when(ln == 5, F.array(*head, tok(sp_letter, lp, dup_alts)))
-        .when(ln == 6, F.array(*head, tok(F.concat(F.coalesce(letter, F.lit("?")), F.lit("n")),
-                                          lp - 2.0, alts), tok(sp_letter, lp, alts)))
-        .when(ln == 7, F.array(*head, tok(sp_letter, lp, no_top)))
-        .otherwise(F.array(*head, tok(sp_letter, lp, alts)))
-    )
+    two = F.array(alt(sp_letter, lp), alt(F.col("_sp_other"), lp - 1.5))
+    r = r.withColumn("_alts", F.when(ln == 5, F.concat(two, F.array(alt(sp_letter, lp - 0.5)))).when(ln == 7, no_top).otherwise(two))
+    alts = F.col("_alts")
+    head = F.array(tok(F.lit("ANSWER"), F.lit(-0.1), no_top), tok(F.lit(":"), F.lit(-0.01), no_top))
+    arr = F.concat(head, (
+        F.when(ln == 2, F.array(tok(F.lit(" maybe"), lp, alts)))
+        .when(ln == 3, F.array(tok(sp_letter, lp, alts), tok(F.lit("\n"), F.lit(-0.2), no_top), tok(bare, lp - 0.25, alts)))
+        .when(ln == 4, F.array(tok(sp_letter, F.lit(None), alts)))
+        .when(ln == 6, F.array(tok(F.concat(bare, F.lit("n")), lp - 2.0, alts), tok(sp_letter, lp, alts)))
+        .otherwise(F.array(tok(sp_letter, lp, alts)))))
     return r.select("model_id", "question_id", "trial_index",
                     letter.alias("predicted_letter"), arr.alias("tokens"), "raw_response",
                     "input_tokens", "output_tokens", F.col("l_linenumber").alias("line"))
@@ -252,7 +248,10 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     line 7: only an average log-probability).  Texts are padded with blanks;
     line 2 has an empty text.
     """
-    t = token_logprobs(spark, sf_dir)
+    m = F.col("model_id")
+    t = token_logprobs(spark, sf_dir).withColumn("provider", F.when(m == "R", F.lit("anthropic"))
+                                                 .when((m == "A") & F.col("line").isin(5, 6), F.lit("ollama"))
+                                                 .when(m == "A", F.lit("openai")).otherwise(F.lit("gemini")))
     toks, ln = F.col("tokens"), F.col("line")
     reply = F.when(ln == 2, F.lit("")).otherwise(F.concat(F.lit("  "), F.col("raw_response"), F.lit(" \n")))
     inp, out = F.col("input_tokens").cast("long"), F.col("output_tokens").cast("long")
@@ -286,13 +285,10 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             lpr.alias("logprobsResult"))).alias("candidates"),
         lpr_top.alias("logprobsResult"),
         F.struct(inp.alias("promptTokenCount"), out.alias("candidatesTokenCount")).alias("usageMetadata")))
-    m = F.col("model_id")
-    provider = (F.when(m == "R", F.lit("anthropic"))
-                .when((m == "A") & ln.isin(5, 6), F.lit("ollama"))
-                .when(m == "A", F.lit("openai")).otherwise(F.lit("gemini")))
+    provider = F.col("provider")
     payload = (F.when(provider == "anthropic", anthropic).when(provider == "openai", openai)
                .when(provider == "ollama", ollama).otherwise(gemini))
-    return t.select("model_id", "question_id", "trial_index", provider.alias("provider"),
+    return t.select("model_id", "question_id", "trial_index", "provider",
                     payload.alias("payload"))
 
 

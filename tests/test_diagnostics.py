@@ -83,3 +83,14 @@ def test_trial_consistency_equals_all_pairs(spark):
     assert got.n_pairs == len(diffs)
     assert got.mean_abs_delta == pytest.approx(np.mean(diffs))
     assert got.pair_corr == pytest.approx(np.corrcoef(xs, ys)[0, 1])
+
+
+def test_token_matches_and_replies_are_worked_out_once(spark):
+    from calibra.sources import fixtures as FX
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame([("A", [("A", -0.5, [("A", -0.5), ("B", -1.0)])])],
+                               "letter string, toks array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>")
+    out = DG.answer_token_prob(df, "toks", "letter")
+    assert out.columns == ["letter", "toks", "internal_prob_answer", "internal_prob_alternatives", "internal_prob_note"]
+    assert plan(out).count("sequence(") <= 1
+    assert plan(FX.token_logprobs(spark, "/root/testdata/sf0.001")).count("ANSWER:\\s") <= 1
