@@ -18,8 +18,9 @@ predictors plus an adjustment by the sum's own size.  Weights are chosen by a
 gate (depth of the node, or longest context seen), and both weights and
 adjustments are refined while a document is read: each block of ``BLOCK``
 tokens is scored by what the blocks before it taught, from the first of a text
-to its last.  They start from what a few training documents ended with, which
-were read by the counts of the others; then these are counted too.
+to its last.  They start from what all training documents ended with, each
+read by the counts of the half of them that it is not in; then both halves'
+counts are added.
 
 *Passes.*  Once the words are chosen, every text becomes a row of symbols (its
 stream), from which contexts are counted and texts are scored; texts
@@ -56,8 +57,7 @@ from calibra.llm.common import in_arrow, written
 WORDS = 1 << 17
 LEAST_COUNT = 3  # rarer words are spelled, and teach how new words are
 BLOCK = 128  # tokens
-TUNING = 192  # documents
-TUNING_SHARE = 8  # and at most one of so many
+_FIXED = float(1 << 20)  # weights are summed as integers, so that their order does not matter
 CLASSES = 512  # of words as contexts: the most frequent, then by their last bytes
 OWN_CLASS = 448
 NODES = 2048  # nodes of the word tree, heaviest first, that contexts are kept for
@@ -163,7 +163,7 @@ class Model:
     total: int  # training tokens
     distinct: int  # and how many different ones
     ready: bool = False
-    seen: tuple[np.ndarray, np.ndarray] | None = None  # counts and byte counts without the tuning texts, while these are read
+    seen: tuple[np.ndarray, np.ndarray] | None = None  # counts and byte counts of one half, while the other is read
 
     def prepare(self) -> Model:
         """Trees and classes, worked out where they are used."""
@@ -412,7 +412,7 @@ def _unpacked(b: pa.RecordBatch) -> list[tuple[np.ndarray, list[bytes]]]:
 # ---- learning -----------------------------------------------------------
 
 def _word_counts(train: DataFrame) -> DataFrame:
-    """word (binary), c (all training texts), m (without the tuning texts)."""
+    """word (binary), c (all training texts), m (those of the first half)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -425,8 +425,8 @@ def _word_counts(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], ["word", "c", "m"])
 
         for b in _few(batches):
-            for t, tuning in zip(b["text"].to_pylist(), b["tuning"].to_pylist()):
-                every[tuning].update(words_of(t))
+            for t, second in zip(b["text"].to_pylist(), b["second"].to_pylist()):
+                every[second].update(words_of(t))
                 if len(every[0]) + len(every[1]) > _FLUSH:
                     yield out()
         yield out()
@@ -553,16 +553,12 @@ def fit(documents: DataFrame, train: Column, *, words: int = WORDS) -> tuple[Mod
 
 def learn(documents: DataFrame, train: Column, *, words: int = WORDS) -> tuple[Model, DataFrame, DataFrame]:
     """``fit``, and the streams of all ``documents``, which ``score_streams`` takes."""
-    every_row = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    ids = every_row.where("train").select("doc_id").distinct()
-    tuning = min(TUNING, ids.limit(TUNING * TUNING_SHARE).count() // TUNING_SHARE)
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(tuning).withColumn("tuning", F.lit(True))
-    every_row = every_row.join(F.broadcast(chosen), "doc_id", "left") \
-        .select("doc_id", "text", "train", (F.col("train") & F.coalesce("tuning", F.lit(False))).alias("tuning"))
-    rows = every_row.where("train").select("text", "tuning")
+    every_row = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
+                                 F.coalesce(F.xxhash64("doc_id") % 2 != 0, F.lit(False)).alias("second"))
+    rows = every_row.where("train").select("text", "second")
     vocabulary = written(_word_counts(rows), "vocabulary")
-    n_docs, n_tuning = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("tuning").cast("long")), F.lit(0))).first()
-    total, distinct, modelled = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    n_docs, n_second = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("second").cast("long")), F.lit(0))).first()
+    total, distinct, in_first = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
     often = vocabulary.where(F.col("c") >= LEAST_COUNT)
     # how many words have each count says from which count on there are at most that many
     upto = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
@@ -570,16 +566,18 @@ def learn(documents: DataFrame, train: Column, *, words: int = WORDS) -> tuple[M
         .where(F.col("n") <= words).agg(F.min("c")).first()[0]
     top = sorted(often.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, bytes(r.word))) if least else []
 
-    def counts(of: str, tokens: int, docs: int) -> np.ndarray:
-        return np.maximum(np.array([r[of] for r in top] + [tokens - sum(r[of] for r in top), docs], np.float64), 0.5)
+    def counts(of, tokens: int, docs: int) -> np.ndarray:
+        known = [of(r) for r in top]
+        return np.maximum(np.array(known + [tokens - sum(known), docs], np.float64), 0.5)
 
     model = Model({bytes(r.word): k for k, r in enumerate(top)}, np.array([r.c for r in top] + [n_docs], np.float64),
-                  counts("c", total, n_docs), np.ones(256),
+                  counts(lambda r: r.c, total, n_docs), np.ones(256),
                   {},
                   (np.tile(np.array([0.4, 0.4, 0.4], np.float32), (WORD_GATES, 1)), np.tile(np.array([0.1, 0.2, 0.3, 0.4, 0.4], np.float32), (SPELL_GATES, 1))),
                   total + n_docs, distinct + (n_docs > 0))
     stream = streams(every_row, model.words)
-    every, others = (_byte_counts(vocabulary.select("word", F.col(n).alias("n")), set(model.words)) for n in ("c", "m"))
+    c, m = F.col("c"), F.col("m")
+    every, first, second = (_byte_counts(vocabulary.select("word", n.alias("n")), set(model.words)) for n in (c, m, c - m))
     model.byte_counts = every
     context = documents.sparkSession.sparkContext
     shared = context.broadcast(model)
@@ -588,12 +586,13 @@ def learn(documents: DataFrame, train: Column, *, words: int = WORDS) -> tuple[M
         return _contexts(stream.where(F.col("train") & texts), shared).unionAll(
             _spellings(vocabulary.select("word", n.alias("n")).where("n > 0"), shared))
 
-    # the tuning texts are read by what the others taught, then count as well
-    apart = written(_summed(branches(~F.col("tuning"), F.col("m"))), "branches")
-    model.tables, model.seen = _tables(apart), (counts("m", modelled, n_docs - n_tuning), others)
-    weights = _tuned(stream.where("tuning"), context.broadcast(model), model)
-    model = replace(model, tables=_tables(apart.unionAll(branches(F.col("tuning"), F.col("c") - F.col("m")))), weights=weights, seen=None, ready=False)
-    return model, vocabulary, stream.drop("train", "tuning")
+    # each half is read by what the other taught, then both count
+    halves = [written(_summed(branches(~F.col("second"), m)), "branches"), written(_summed(branches(F.col("second"), c - m)), "branches")]
+    seen = [(counts(lambda r: r.m, in_first, n_docs - n_second), first), (counts(lambda r: r.c - r.m, total - in_first, n_second), second)]
+    ends = [_ended(stream.where(F.col("train") & other), context.broadcast(replace(model, tables=_tables(half), seen=taught, ready=False)))
+            for half, taught, other in zip(halves, seen, (F.col("second"), ~F.col("second")))]
+    model = replace(model, tables=_tables(halves[0].unionAll(halves[1])), weights=_mean_weights(ends[0].unionAll(ends[1]), model.weights), ready=False)
+    return model, vocabulary, stream.drop("train", "second")
 
 
 def _byte_counts(vocabulary: DataFrame, known: set[bytes]) -> np.ndarray:
@@ -615,21 +614,30 @@ def _byte_counts(vocabulary: DataFrame, known: set[bytes]) -> np.ndarray:
     return out
 
 
-def _tuned(stream: DataFrame, shared, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The weights that the tuning texts end with, averaged by their length."""
+def _ended(stream: DataFrame, shared) -> DataFrame:
+    """place, total: the weights that the texts end with, summed by the root of their length; place -1 holds the roots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches):
-            texts = _unpacked(b)
-            _, w, s = score_texts(shared.value.prepare(), texts, tuning=True)
-            yield pa.RecordBatch.from_arrays([pa.array([float(len(t)) for t, _ in texts]), pa.array(list(w.astype(float))), pa.array(list(s.astype(float)))],
-                                             ["n", "w", "s"])
+        sums = None
+        for b in batches:
+            for some in _few([b]):
+                texts = _unpacked(some)
+                root = np.sqrt([len(t) for t, _ in texts])[:, None]
+                _, w, s = score_texts(shared.value.prepare(), texts, tuning=True)
+                more = np.rint(np.hstack([np.ones_like(root), w, s]) * root * _FIXED).astype(np.int64).sum(axis=0)
+                sums = more if sums is None else sums + more
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(sums) - 1)), pa.array(sums)], ["place", "total"])
+
+    return stream.select("symbols", "spelled").transform(in_arrow, run, "place long, total long")
+
 
-    got = stream.select("symbols", "spelled").transform(in_arrow, run, "n double, w array<double>, s array<double>").collect()  # TUNING rows
+def _mean_weights(ends: DataFrame, start: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of the weights that texts end with, by the root of their length; ``start`` without texts."""
+    got = {r.place: r.total for r in ends.groupBy("place").agg(F.sum("total").alias("total")).collect()}  # a row a weight
     if not got:
-        return model.weights
-    n = np.sqrt([r.n for r in got])
-    return tuple((np.average([r[k] for r in got], axis=0, weights=n).reshape(start.shape).astype(np.float32)
-                  for k, start in zip(("w", "s"), model.weights)))
+        return start
+    mean = np.array([got[k] for k in range(len(got) - 1)], np.float64) / got[-1]
+    return tuple(part.reshape(w.shape).astype(np.float32) for part, w in zip(np.split(mean, [start[0].size]), start))
 
 
 # ---- scoring ------------------------------------------------------------

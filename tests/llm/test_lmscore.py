@@ -162,3 +162,11 @@ def test_few_documents_teach_and_all_count(spark):
     assert one.counts[one.words[b"the"]] == 6
     bits = {r.doc_id: r.bits_per_byte for r in lmscore.score(docs, model, vocabulary).collect()}
     assert max(bits.values()) < 1
+
+
+def test_start_weights_come_from_every_training_text(spark):
+    text = lambda k: " ".join(f"w{(k * i) % 7}" for i in range(60))
+    docs = spark.createDataFrame([(k, text(k + 1)) for k in range(6)], "doc_id long, text string")
+    model, _ = lmscore.fit(docs, F.lit(True))
+    other, _ = lmscore.fit(docs.where("doc_id <> 5"), F.lit(True))
+    assert not np.allclose(model.weights[0], 0.4) and not np.allclose(model.weights[0], other.weights[0], atol=1e-7)
