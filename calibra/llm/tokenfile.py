@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from calibra.llm.common import in_arrow
+from calibra.llm.common import in_arrow, small_batches
 
 BLOCK = 512
 PERCENTILE = 95
@@ -240,12 +240,17 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder, kept from task to task."""
+    """This worker's encoder, kept from task to task until files are read."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop this worker's encoders and the words they keep."""
+    _ENCODERS.clear()
+
+
 def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, block: int = BLOCK,
           percentile: int = PERCENTILE, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode doc_id, text and write the segments to ``folder``."""
@@ -284,7 +289,8 @@ def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, blo
         StructField("part", IntegerType()), StructField("seq", IntegerType()), StructField("first", LongType()),
         StructField("n_ids", LongType()), StructField("doc_ids", ArrayType(rows.schema["doc_id"].dataType)),
         StructField("counts", ArrayType(LongType())), StructField("payload", BinaryType())])
-    rows.transform(in_arrow, run, schema).write.parquet(folder)
+    with small_batches(documents.sparkSession):
+        rows.transform(in_arrow, run, schema).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,6 +305,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         .select((F.col("base") + F.col("first")).alias("start"), "doc_ids", "counts", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the worker may be one that has written: its words are not needed here
         for b in batches:
             for k in range(b.num_rows):
                 ids = read_ids(b["payload"][k].as_py()).astype("<u4")

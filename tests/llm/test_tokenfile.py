@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from calibra.llm import tokenfile
-from calibra.llm.common import shared_folder
+from calibra.llm.common import in_arrow, shared_folder
 from calibra.llm.queries import QUERIES, token_table
 
 from tests.conftest import SF001
@@ -86,3 +86,34 @@ def test_small_segments_keep_order_and_index(spark):
     assert spark.read.parquet(folder).count() > 20
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read(spark, folder).collect()}
     assert got == brute(docs.collect())
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    """A partition of 18 MB is not sent as one batch."""
+    def bounded(df, run, schema):
+        def small(batches):
+            for b in batches:
+                assert b.nbytes < 6 << 20
+                yield b
+
+        return in_arrow(df, lambda batches: run(small(batches)), schema)
+
+    monkeypatch.setattr(tokenfile, "in_arrow", bounded)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text")
+    folder = f"{shared_folder(spark)}/batches"
+    tokenfile.write(docs, folder, PATH, end_id=1)
+    assert spark.read.parquet(folder).agg({"n_ids": "sum"}).first()[0] == 4000 * 801
+    assert spark.conf.get(size) == before
+
+
+def test_reading_drops_the_words_that_writing_kept(spark, monkeypatch):
+    folder = f"{shared_folder(spark)}/kept"
+    tokenfile.write(spark.createDataFrame([(1, "the end")], "doc_id long, text string"), folder, PATH, end_id=1)
+    runs = []
+    monkeypatch.setattr(tokenfile, "in_arrow", lambda df, run, schema: runs.append(run) or df)
+    monkeypatch.setattr(tokenfile, "_ENCODERS", {})
+    tokenfile.read(spark, folder)
+    tokenfile.encoder(PATH)
+    assert list(runs[0](iter([]))) == [] and not tokenfile._ENCODERS
