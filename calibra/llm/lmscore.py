@@ -68,6 +68,7 @@ _CHUNK = 4096  # slots that are summed together
 _FLUSH = 400_000
 _TOGETHER = 24 * 1024  # tokens that are read at once; of a longer text so many at a time
 _PAIRS = 1 << 18  # tokens whose pairs of context and symbol are counted together
+_STRETCH = 1 << 13  # of those pairs, whose bits are added together
 _RATE, _ADJUST = 0.6, 2.0
 TABLES = ("before", "recent", "spell1", "spell2", "spell3", "spell5")
 
@@ -142,12 +143,18 @@ class Tree:
         return np.repeat(np.arange(len(symbols)), length), self.node[at], self.bit[at]
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _slot(context: np.ndarray, node: np.ndarray, slots: int) -> np.ndarray:
-    h = (context.astype(np.uint64) * np.uint64(256) + node.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+    return _hashed((context.astype(np.uint64) * np.uint64(256) + node.astype(np.uint64)) * _SPREAD, slots)
+
+
+def _hashed(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> np.uint64(64 - slots.bit_length() + 1)).view(np.int64)
 
 
-_PREPARED = ("tree", "byte_tree", "classes", "escape", "end", "column", "own", "gate", "ratios")
+_PREPARED = ("tree", "byte_tree", "classes", "escape", "end", "own", "packed", "ratios")
 
 
 @dataclass
@@ -178,9 +185,9 @@ class Model:
             self.classes[:min(OWN_CLASS, len(names))] = np.arange(min(OWN_CLASS, len(names)))
             self.escape, self.end = len(self.words), len(self.words) + 1
             node = self.tree.node  # by place in the tree's codes; contexts have one column for all nodes past NODES, empty
-            self.column = np.minimum(node, NODES)
+            gate = (node >= 16).astype(np.int32) + (node >= 256) + (node >= NODES)
+            self.packed = np.minimum(node, NODES) << 3 | gate << 1 | self.tree.bit  # column, gate and bit are read at once
             self.own = self.tree.ratio[node]
-            self.gate = ((node >= 16).astype(np.uint8) + (node >= 256) + (node >= NODES)).astype(np.uint8)
             self.ratios = {t: v.astype(np.float32) for t, v in self.tables.items()}
             for t in TABLES[:2]:
                 if t in self.ratios:
@@ -213,6 +220,18 @@ class Model:
 
     def spelling(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """(word, place in it, node, bit, contexts) of the spelling bits."""
+        word, place, contexts, which, node, bit = self._spelled(spelled)
+        return word[which], place[which], node, bit, [c[which] for c in contexts]
+
+    def spelling_slots(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+        """``spelling`` with the contexts' slots in place of the contexts; ``_slot``, with what a byte's bits share worked out once."""
+        word, place, contexts, which, node, bit = self._spelled(spelled)
+        own = node.astype(np.uint64) * _SPREAD
+        slots = (_hashed((c * np.uint64(256) * _SPREAD)[which] + own, n) for c, n in zip(contexts, SPELL_SLOTS))
+        return word[which], place[which], node, bit, slots
+
+    def _spelled(self, spelled: list[bytes]):
+        """Of every byte: word, place in it, contexts; of every bit: which byte, node, bit."""
         raw = np.frombuffer(b" ".join(spelled) + b" ", np.uint8)
         sizes = np.array([len(w) + 1 for w in spelled])
         word = np.repeat(np.arange(len(spelled)), sizes)
@@ -224,8 +243,7 @@ class Model:
             at = at * np.uint64(257) + b
             if k in SPELL_ORDERS:
                 contexts.append(at)
-        which, node, bit = self.byte_tree.bits(raw.astype(np.int64))
-        return word[which], place[which], node, bit, [c[which] for c in contexts]
+        return word, place, contexts, *self.byte_tree.bits(raw.astype(np.int64))
 
 
 def _tail_classes(words: list[bytes]) -> np.ndarray:
@@ -305,25 +323,26 @@ def _read(model: Model, sym: np.ndarray, before: np.ndarray, recent: np.ndarray,
     length, at = model.tree.places(sym[order])
     x = np.empty((3, len(at)), np.float32)
     model.own.take(at, out=x[0], mode="clip")
-    column = model.column.take(at)
+    packed = model.packed.take(at)
+    column = packed >> 3
     for j, context in ((1, before), (2, recent)):
         where = np.repeat(context[order] * (NODES + 1), length)
         where += column
         model.ratios[TABLES[j - 1]].take(where, out=x[j], mode="clip")
     upto = np.concatenate([[0], np.cumsum(length)])
-    mixers[0].read(x, model.tree.bit.take(at), model.gate.take(at), np.repeat(lane[order], length), upto[np.searchsorted(key, marks)])
+    mixers[0].read(x, packed & 1, packed >> 1 & 3, np.repeat(lane[order], length), upto[np.searchsorted(key, marks)])
 
     if spelled:
         escaped = sym == model.escape
         which = (np.cumsum(escaped) - 1)[order][escaped[order]]
         key = key[escaped[order]]
-        word, place, node, bit, contexts = model.spelling([spelled[k] for k in which.tolist()])
+        word, place, node, bit, slots = model.spelling_slots([spelled[k] for k in which.tolist()])
         x = np.empty((5, len(node)), np.float32)
-        x[0] = model.byte_tree.ratio[node]
-        for j, (context, slots) in enumerate(zip(contexts, SPELL_SLOTS), 1):
-            x[j] = model.ratios[TABLES[j + 1]][_slot(context, node, slots)]
+        model.byte_tree.ratio.take(node, out=x[0], mode="clip")
+        for j, slot in enumerate(slots, 1):
+            model.ratios[TABLES[j + 1]].take(slot, out=x[j], mode="clip")
         gate = (x[3] != 0) + 2 * (x[4] != 0)
-        gate = np.where(place == 0, 4, gate).astype(np.int64)
+        gate[place == 0] = 4
         key = key[word]
         mixers[1].read(x, bit, gate, key % n, np.searchsorted(key, marks))
 
@@ -473,10 +492,17 @@ def _contexts(stream: DataFrame, model) -> DataFrame:
             contexts = m.contexts(sym, sizes, [w for _, ws in held for w in ws])
             for context, (_, total) in zip(contexts, sums):
                 pair, n = np.unique(context.astype(np.int64) * symbols + sym, return_counts=True)
-                length, at = m.tree.places(pair % symbols)
-                keep = m.column[at] < NODES
-                slot = np.repeat(pair // symbols * NODES, length)[keep] + m.column[at][keep]
-                np.add.at(total, 2 * slot + m.tree.bit[at][keep], np.repeat(n.astype(np.float64), length)[keep])
+                for a in range(0, len(pair), _STRETCH):  # what is made for a stretch stays in the caches
+                    group, symbol = np.divmod(pair[a:a + _STRETCH], symbols)
+                    length, at = m.tree.places(symbol)
+                    packed = m.packed.take(at)
+                    column = packed >> 3
+                    keep = np.nonzero(column < NODES)[0]
+                    place = np.repeat(group * NODES, length)
+                    place += column
+                    place *= 2
+                    place += packed & 1
+                    np.add.at(total, place.take(keep), np.repeat(n[a:a + _STRETCH].astype(np.float64), length).take(keep))
             held.clear()
 
         tokens = 0
@@ -503,10 +529,10 @@ def _spellings(vocabulary: DataFrame, model) -> DataFrame:
             rows = [(w, c) for w, c in zip(b["word"].to_pylist(), b["n"].to_pylist()) if w not in m.words]
             for at in range(0, len(rows), 10_000):
                 some = rows[at:at + 10_000]
-                word, _, node, bit, contexts = m.spelling([w for w, _ in some])
+                word, _, _, bit, slots = m.spelling_slots([w for w, _ in some])
                 weight = np.array([c for _, c in some], np.float64)[word]
-                for context, (_, total) in zip(contexts, sums):
-                    np.add.at(total, 2 * _slot(context, node, len(total) // 2) + bit, weight)
+                for slot, (_, total) in zip(slots, sums):
+                    np.add.at(total, 2 * slot + bit, weight)
         yield from _met((k, 0, total) for k, total in sums)
 
     return vocabulary.transform(in_arrow, run, _BRANCH)

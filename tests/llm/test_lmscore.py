@@ -170,3 +170,19 @@ def test_start_weights_come_from_every_training_text(spark):
     model, _ = lmscore.fit(docs, F.lit(True))
     other, _ = lmscore.fit(docs.where("doc_id <> 5"), F.lit(True))
     assert not np.allclose(model.weights[0], 0.4) and not np.allclose(model.weights[0], other.weights[0], atol=1e-7)
+
+
+def test_slots_of_spelling_equal_those_of_its_contexts():
+    """What a byte's bits share is worked out once, and paths read columns, gates and bits at once."""
+    names = [b"w%d" % k for k in range(3000)]
+    counts = np.arange(3002, 0, -1).astype(float)
+    model = lmscore.Model(dict(zip(names, range(3000))), np.ones(3001), counts, np.arange(1.0, 257.0), {}, (np.zeros((4, 3)), np.zeros((5, 5))), 1, 1).prepare()
+    spelled = [b"a", b"some", "ünd".encode(), b"\xff\x00long-word"]
+    word, place, node, bit, contexts = model.spelling(spelled)
+    got = model.spelling_slots(spelled)
+    assert all((a == b).all() for a, b in zip((word, place, node, bit), got))
+    for slots, context, n in zip(got[4], contexts, lmscore.SPELL_SLOTS, strict=True):
+        assert (slots == lmscore._slot(context, node, n)).all() and slots.max() < n
+    node = model.tree.node
+    assert (model.packed >> 3 == np.minimum(node, lmscore.NODES)).all() and (model.packed & 1 == model.tree.bit).all()
+    assert ((model.packed >> 1 & 3) == np.searchsorted([16, 256, lmscore.NODES], node, "right")).all()
