@@ -9,6 +9,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,20 @@ def split_words(text: Column, separators: str) -> Column:
                       F.array().cast("array<string>"))
 
 
+def split_ascii(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``bytes.split()`` makes of each text (no nulls): all words in a row
+    (binary), and where each text's words start, then the end."""
+    texts = texts.view(pa.string())  # bytes that are no UTF-8 pass as they are
+    lists = pc.ascii_split_whitespace(texts)
+    words, upto = lists.flatten().view(pa.binary()), lists.offsets.to_numpy()
+    upto = upto - (upto[0] if len(upto) else 0)
+    real = pc.greater(pc.binary_length(words), 0)  # space at either end of a text leaves an empty word
+    if pc.all(real).as_py() is False:
+        upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[upto]
+        words = words.filter(real)
+    return words, upto
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n).cast("bigint"))

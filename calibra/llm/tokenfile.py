@@ -2,9 +2,9 @@
 
 *Tokens.*  The tokenizers library encodes each text; white space between
 words carries no state in the tokenizers meant here, so a text is encoded
-word by word (ASCII space only; other spaces are left to the library) and
-each worker keeps the ids of the words it has met lately, up to twice
-``_CACHE`` of them.
+word by word (ASCII space only; other spaces are left to the library), each
+different word of a batch once, and each worker keeps the ids of the words it
+has met lately, up to twice ``_CACHE`` of them.
 
 *File format.*  A folder of Parquet files, one row a segment, so that any
 store Spark writes to will do and Spark's commit protocol leaves whole files
@@ -40,18 +40,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from calibra.llm.common import in_arrow, small_batches
+from calibra.llm.common import in_arrow, small_batches, split_ascii
 
 BLOCK = 512
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 20
 _CACHE = 400_000
 _LONG_WORD = 64
+_STRETCH = 1 << 18  # words whose ids are put in place together
 _STOPS = ".,;:!?"
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIIII")
@@ -218,22 +220,44 @@ class Encoder:
             out[w] = (out.get(a) or have(a)) + (out.get(b) or have(b))
         return out
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        texts = [t or b"" for t in texts]
-        # a special token in a text is told by its case
-        split = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
+    def __call__(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.binary()), b"").view(pa.string())
+        if self.lowers:  # a special token in a text is told by its case
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words, upto = split_ascii(texts)
+        words = words.dictionary_encode()  # a word is looked up once, however often it stands in the texts
+        raw = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        of, out = words.indices.to_numpy(), []
+        for at in range(0, len(of), _STRETCH):
+            some = of[at:at + _STRETCH]
+            n = size[some]
+            ends = np.cumsum(n)
+            out.append(flat[np.arange(ends[-1]) + np.repeat(start[some] - ends + n, n)])
+        data = memoryview(np.concatenate([flat[:0], *out])).cast("B")
+        cuts = (4 * np.concatenate([[0], np.cumsum(size[of])])[upto]).tolist()
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """ids of each of some different words."""
         if len(self.known) > _CACHE:  # words not met since then go at the next turn
             self.known, self.older = {}, self.known
         known, older, once = self.known, self.older, {}
-        new = {w for words in split for w in words if w not in known}
-        for w in [w for w in new if w in older]:
-            known[w] = older[w]
-            new.discard(w)
-        for w, raw in self._learn(new, lambda w: known.get(w) or older.get(w)).items():
-            (known if len(w) <= _LONG_WORD else once)[w] = raw
-        if once:
-            known = {**known, **once}
-        return [b"".join([known[w] for w in words]) for words in split]
+        raw = list(map(known.get, words))
+        missing = [k for k, r in enumerate(raw) if r is None]
+        new = set()
+        for w in [words[k] for k in missing]:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.add(w)
+        for w, r in self._learn(new, lambda w: known.get(w) or older.get(w)).items():
+            (known if len(w) <= _LONG_WORD else once)[w] = r
+        for k in missing:
+            w = words[k]
+            raw[k] = once[w] if w in once else known[w]
+        return raw
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -273,9 +297,9 @@ def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, blo
 
         for b in batches:
             kind = b["doc_id"].type
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for i, r in zip(some["doc_id"].to_pylist(), encode(some["text"].to_pylist())):
+            for at in range(0, b.num_rows, 2048):
+                some = b.slice(at, 2048)
+                for i, r in zip(some["doc_id"].to_pylist(), encode(some["text"])):
                     ids.append(i)
                     raw.append(r + end)
                     size += len(r) // 4 + 1

@@ -4,11 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from calibra.llm import tokenfile
-from calibra.llm.common import in_arrow, shared_folder
+from calibra.llm.common import in_arrow, shared_folder, split_ascii
 from calibra.llm.queries import QUERIES, token_table
 
 from tests.conftest import SF001
@@ -117,3 +118,35 @@ def test_reading_drops_the_words_that_writing_kept(spark, monkeypatch):
     tokenfile.read(spark, folder)
     tokenfile.encoder(PATH)
     assert list(runs[0](iter([]))) == [] and not tokenfile._ENCODERS
+
+
+def test_a_word_is_looked_up_once_however_often_it_stands():
+    class Counting(dict):
+        looked = 0
+
+        def __contains__(self, w):
+            Counting.looked += 1
+            return super().__contains__(w)
+
+        def __getitem__(self, w):
+            Counting.looked += 1
+            return super().__getitem__(w)
+
+        def get(self, w, default=None):
+            Counting.looked += 1
+            return super().get(w, default)
+
+    encode = tokenfile.Encoder(PATH)
+    want = encode([b"the end. " * 500, None, b"end."])
+    encode.known = Counting(encode.known)
+    assert encode([b"the end. " * 500, None, b"end."]) == want
+    assert Counting.looked < 20
+
+
+def test_arrow_splits_as_bytes_do():
+    texts = [b"", b" a  b ", b"a\x1cb\x85c\tq\x0b\x0cz\r\n", b"\xff\xfe x", "é x y".encode(), b"  ", b"x"]
+    for some in (texts, texts[:1], []):
+        for first in (0, 1):
+            words, upto = split_ascii(pa.array(some, pa.binary()).slice(first))
+            words = words.to_pylist()
+            assert [words[a:b] for a, b in zip(upto, upto[1:])] == [t.split() for t in some[first:]]
