@@ -47,12 +47,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from calibra.llm.common import in_arrow, written
+from calibra.llm.common import in_arrow, split_ascii, written
 
 WORDS = 1 << 17
 LEAST_COUNT = 3  # rarer words are spelled, and teach how new words are
@@ -65,11 +66,12 @@ SPELL_SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 21)
 SPELL_ORDERS = (1, 2, 3, 5)
 WORD_GATES, SPELL_GATES = 4, 5
 _CHUNK = 4096  # slots that are summed together
-_FLUSH = 400_000
+_TOKENS = 3 << 20  # tokens that are counted together
 _TOGETHER = 24 * 1024  # tokens that are read at once; of a longer text so many at a time
 _PAIRS = 1 << 18  # tokens whose pairs of context and symbol are counted together
 _STRETCH = 1 << 13  # of those pairs, whose bits are added together
 _RATE, _ADJUST = 0.6, 2.0
+_LANE = 32  # sizes that are adjusted, and at least the gates
 TABLES = ("before", "recent", "spell1", "spell2", "spell3", "spell5")
 
 
@@ -77,6 +79,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _words_of_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` all texts (no nulls) in a row, and where those of each text start, then the end."""
+    return split_ascii(pc.ascii_lower(texts.view(pa.string())))
+
+
 class Tree:
     """Canonical Huffman tree of symbols 0..n-1.
 
@@ -257,61 +264,68 @@ def _tail_classes(words: list[bytes]) -> np.ndarray:
 
 
 class _Mixer:
-    """Weights and adjustments of some texts, a lane each."""
+    """Weights and adjustments of some texts, a lane of ``_LANE`` places each."""
 
     def __init__(self, start: np.ndarray, lanes: int):
         self.gates, self.lanes = len(start), lanes
-        self.w = np.tile(start.T, (1, lanes)).astype(np.float32)  # predictors by lanes and gates
-        self.adjust = np.zeros(lanes * 32, np.float32)
+        self.w = np.zeros((start.shape[1], lanes, _LANE), np.float32)  # predictors by lanes and gates
+        self.w[:, :, :self.gates] = start.T[:, None]
+        self.w = self.w.reshape(start.shape[1], -1)
+        self.adjust = np.zeros(lanes * _LANE, np.float32)
         self.nats = np.zeros(lanes)
 
     def weights(self) -> np.ndarray:
-        return self.w.T.reshape(self.lanes, -1)
+        return self.w.reshape(-1, self.lanes, _LANE)[:, :, :self.gates].transpose(1, 2, 0).reshape(self.lanes, -1)
+
+    def read(self, x: np.ndarray, bit: np.ndarray, gate: np.ndarray, at: np.ndarray, edges: np.ndarray, scores: bool = True) -> None:
+        """Bits by block and lane, given by where the lane starts; block b is edges[0, b]:edges[2, b], and the lanes before edges[1, b] go on and learn.
 
-    def read(self, x: np.ndarray, bit: np.ndarray, gate: np.ndarray, lane: np.ndarray, edges: np.ndarray) -> None:
-        """Bits by block and lane; block b is edges[0, b]:edges[2, b], and the lanes before edges[1, b] go on and learn."""
+        Nats are added with ``scores``.  All indices are in range: ``clip`` only spares their check.
+        """
         k = len(self.w)
         bit = bit.astype(np.float32)
-        of_all = lane * self.gates
-        of_all += gate
+        of_all = at + gate
         for a, m, b in edges.T.tolist():
             if a == b:
                 continue
             of, y = of_all[a:b], bit[a:b]
-            z = self.w[0].take(of)
+            z = self.w[0].take(of, mode="clip")
             z *= x[0, a:b]
             for j in range(1, k):
-                part = self.w[j].take(of)
+                part = self.w[j].take(of, mode="clip")
                 part *= x[j, a:b]
                 z += part
             size = z * 2
             size += 16
-            size = np.clip(size, 0, 31, out=size).astype(np.int64)
-            size += lane[a:b] * 32
-            z += self.adjust.take(size)
+            size = np.clip(size, 0, _LANE - 1, out=size).astype(np.int64)
+            size += at[a:b]
+            z += self.adjust.take(size, mode="clip")
             np.clip(z, -12, 12, out=z)
-            odds = np.exp(-z)
-            z *= 1 - y
-            z += np.log1p(odds)
-            # a block's bits stand lane by lane
-            first = np.searchsorted(lane[a:b], np.arange(self.lanes + 1))
-            met = np.nonzero(np.diff(first))[0]
-            self.nats[met] += np.add.reduceat(z, first[met], dtype=np.float64)
+            odds = np.exp(np.negative(z))
+            if scores:
+                z *= 1 - y
+                z += np.log1p(odds)
+                # a block's bits stand lane by lane
+                first = np.searchsorted(at[a:b], np.arange(self.lanes + 1) * _LANE)
+                met = np.nonzero(np.diff(first))[0]
+                self.nats[met] += np.add.reduceat(z, first[met], dtype=np.float64)
             if a == m:
                 continue
             m -= a
-            odds = odds[:m]
-            odds += 1
-            err, of, size = y[:m] - 1 / odds, of[:m], size[:m]
-            n = _RATE / (np.bincount(of, minlength=self.w.shape[1]) + 48)
+            err, of, size = odds[:m], of[:m], size[:m]
+            err += 1
+            np.divide(1, err, out=err)
+            np.subtract(y[:m], err, out=err)
+            n = _RATE / (np.bincount(of) + 48)  # the longest texts have the first lanes, so the others need no places
             for j in range(k):
-                self.w[j] += np.bincount(of, err * x[j, a:a + m], len(n)) * n
-            self.adjust += (_ADJUST * np.bincount(size, err, len(self.adjust)) / (np.bincount(size, minlength=len(self.adjust)) + 48)).astype(np.float32)
+                self.w[j, :len(n)] += np.bincount(of, err * x[j, a:a + m], len(n)) * n
+            n = np.bincount(size) + 48
+            self.adjust[:len(n)] += (_ADJUST * np.bincount(size, err, len(n)) / n).astype(np.float32)
 
 
 def _read(model: Model, sym: np.ndarray, before: np.ndarray, recent: np.ndarray, sizes: np.ndarray, spelled: list[bytes],
-          mixers: tuple[_Mixer, _Mixer], goes_on: bool) -> None:
-    """Read texts in a row, longest first, a lane each; with ``goes_on`` their last blocks teach as well."""
+          mixers: tuple[_Mixer, _Mixer], goes_on: bool, scores: bool = True) -> None:
+    """Read texts in a row, longest first, a lane each; with ``goes_on`` their last blocks teach as well, with ``scores`` nats are added."""
     n = len(sizes)
     lane = np.repeat(np.arange(n), sizes)
     block = (np.arange(len(lane)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // BLOCK
@@ -323,14 +337,14 @@ def _read(model: Model, sym: np.ndarray, before: np.ndarray, recent: np.ndarray,
     length, at = model.tree.places(sym[order])
     x = np.empty((3, len(at)), np.float32)
     model.own.take(at, out=x[0], mode="clip")
-    packed = model.packed.take(at)
+    packed = model.packed.take(at, mode="clip")
     column = packed >> 3
     for j, context in ((1, before), (2, recent)):
         where = np.repeat(context[order] * (NODES + 1), length)
         where += column
         model.ratios[TABLES[j - 1]].take(where, out=x[j], mode="clip")
     upto = np.concatenate([[0], np.cumsum(length)])
-    mixers[0].read(x, packed & 1, packed >> 1 & 3, np.repeat(lane[order], length), upto[np.searchsorted(key, marks)])
+    mixers[0].read(x, packed & 1, packed >> 1 & 3, np.repeat(lane[order] * _LANE, length), upto[np.searchsorted(key, marks)], scores)
 
     if spelled:
         escaped = sym == model.escape
@@ -343,15 +357,14 @@ def _read(model: Model, sym: np.ndarray, before: np.ndarray, recent: np.ndarray,
             model.ratios[TABLES[j + 1]].take(slot, out=x[j], mode="clip")
         gate = (x[3] != 0) + 2 * (x[4] != 0)
         gate[place == 0] = 4
-        key = key[word]
-        mixers[1].read(x, bit, gate, key % n, np.searchsorted(key, marks))
+        mixers[1].read(x, bit, gate, (key % n * _LANE).take(word, mode="clip"), np.searchsorted(word, np.searchsorted(key, marks)), scores)
 
 
-def score_texts(model: Model, texts: list[tuple[np.ndarray, list[bytes]]], *, tuning: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(model: Model, texts: list[tuple[np.ndarray, list[bytes]]], *, tuning: bool = False, scores: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nats, word weights, spelling weights) of each text, given as its symbols and escaped words.
 
     The weights are those at the end of the text if ``tuning``, else those
-    before its last block.
+    before its last block.  Without ``scores`` the nats are left at 0.
     """
     n = len(texts)
     size = np.array([len(s) for s, _ in texts])
@@ -371,12 +384,12 @@ def score_texts(model: Model, texts: list[tuple[np.ndarray, list[bytes]]], *, tu
         spelled = [w for k in some for w in texts[k][1]]
         before, recent = model.contexts(sym, size[some], spelled)
         if len(some) > 1:
-            _read(model, sym, before, recent, size[some], spelled, mixers, tuning)
+            _read(model, sym, before, recent, size[some], spelled, mixers, tuning, scores)
         else:  # a stretch at a time, each by what the ones before it taught
             escapes = np.concatenate([[0], np.cumsum(sym == model.escape)])
             for a in range(0, len(sym), _TOGETHER):
                 b = min(a + _TOGETHER, len(sym))
-                _read(model, sym[a:b], before[a:b], recent[a:b], np.array([b - a]), spelled[escapes[a]:escapes[b]], mixers, tuning or b < len(sym))
+                _read(model, sym[a:b], before[a:b], recent[a:b], np.array([b - a]), spelled[escapes[a]:escapes[b]], mixers, tuning or b < len(sym), scores)
         nats[some] = mixers[0].nats + mixers[1].nats
         for w, mixer in zip(weights, mixers):
             w[some] = mixer.weights()
@@ -399,25 +412,29 @@ def streams(rows: DataFrame, words: dict[bytes, int]) -> DataFrame:
     one each), symbols (32-bit integers, with the end), spelled (words that
     have no symbol, space-joined).
     """
-    names = [c for c in rows.columns if c != "text"]
+    names_of = [c for c in rows.columns if c != "text"]
     shared = rows.sparkSession.sparkContext.broadcast(words)
-    schema = StructType([StructField("row", LongType()), *(rows.schema[c] for c in names), StructField("size", LongType()),
+    schema = StructType([StructField("row", LongType()), *(rows.schema[c] for c in names_of), StructField("size", LongType()),
                          StructField("symbols", BinaryType()), StructField("spelled", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, n = shared.value.get, len(shared.value)
         row = TaskContext.get().partitionId() << 40
-        for b in _few(batches):
-            sizes, symbols, spelled = [], [], []
-            for t in b["text"].to_pylist():
-                words = words_of(t)
-                sym = np.fromiter(map(get, words, repeat(n)), np.int32, len(words))
-                sizes.append(sum(map(len, words)) + len(words))
-                symbols.append(np.append(sym, np.int32(n + 1)).tobytes())
-                spelled.append(b" ".join([words[k] for k in np.nonzero(sym == n)[0].tolist()]))
+        for b in _few(batches, 2048):
+            words, upto = _words_of_all(b["text"])
+            met = words.dictionary_encode()  # a word is looked up once, however often it stands in the texts
+            names = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+            sym = np.fromiter(map(get, names, repeat(n)), np.int32, len(names))[met.indices.to_numpy()]
+            rare = sym == n
+            of_rare = pa.array(np.concatenate([[0], np.cumsum(rare)])[upto], pa.int32())
+            spelled = pc.binary_join(pa.ListArray.from_arrays(of_rare, words.filter(pa.array(rare)).view(pa.string())), " ").view(pa.binary())
+            length = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)])[upto]
+            ended = np.insert(sym, upto[1:], np.int32(n + 1))
+            cuts = (4 * (upto + np.arange(len(upto)))).astype(np.int32)
+            symbols = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(ended)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + b.num_rows)), *(b[c] for c in names), pa.array(sizes, pa.int64()),
-                 pa.array(symbols, pa.binary()), pa.array(spelled, pa.binary())], schema.names)
+                [pa.array(np.arange(row, row + b.num_rows)), *(b[c] for c in names_of), pa.array(np.diff(length) + np.diff(upto), pa.int64()),
+                 symbols, spelled], schema.names)
             row += b.num_rows
 
     return written(rows.transform(in_arrow, run, schema), "streams")
@@ -433,22 +450,25 @@ def _unpacked(b: pa.RecordBatch) -> list[tuple[np.ndarray, list[bytes]]]:
 def _word_counts(train: DataFrame) -> DataFrame:
     """word (binary), c (all training texts), m (those of the first half)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: tuple[Counter, Counter] = (Counter(), Counter())
+        held: list[tuple[pa.Array, np.ndarray]] = []  # words, and which stand in texts of the second half
+        tokens = 0
 
         def out() -> pa.RecordBatch:
-            names = list(every[0].keys() | every[1].keys())
-            m = [every[0][w] for w in names]
-            c = [a + every[1][w] for a, w in zip(m, names)]
-            for e in every:
-                e.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], ["word", "c", "m"])
+            met = pa.chunked_array([w for w, _ in held], pa.binary()).combine_chunks().dictionary_encode()
+            of, names = met.indices.to_numpy(), met.dictionary
+            c, n = (np.bincount(k, minlength=len(names)) for k in (of, of[np.concatenate([s for _, s in held])]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([names, pa.array(c, pa.int64()), pa.array(c - n, pa.int64())], ["word", "c", "m"])
 
         for b in _few(batches):
-            for t, second in zip(b["text"].to_pylist(), b["second"].to_pylist()):
-                every[second].update(words_of(t))
-                if len(every[0]) + len(every[1]) > _FLUSH:
-                    yield out()
-        yield out()
+            words, upto = _words_of_all(b["text"])
+            held.append((words, np.repeat(b["second"].to_numpy(zero_copy_only=False).astype(bool), np.diff(upto))))
+            tokens += len(words)
+            if tokens >= _TOKENS:
+                yield out()
+                tokens = 0
+        if held:
+            yield out()
 
     return train.transform(in_arrow, run, "word binary, c long, m long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
@@ -648,7 +668,7 @@ def _ended(stream: DataFrame, shared) -> DataFrame:
             for some in _few([b]):
                 texts = _unpacked(some)
                 root = np.sqrt([len(t) for t, _ in texts])[:, None]
-                _, w, s = score_texts(shared.value.prepare(), texts, tuning=True)
+                _, w, s = score_texts(shared.value.prepare(), texts, tuning=True, scores=False)
                 more = np.rint(np.hstack([np.ones_like(root), w, s]) * root * _FIXED).astype(np.int64).sum(axis=0)
                 sums = more if sums is None else sums + more
         if sums is not None:

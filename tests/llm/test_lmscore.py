@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from calibra.llm import lmscore
@@ -186,3 +187,20 @@ def test_slots_of_spelling_equal_those_of_its_contexts():
     node = model.tree.node
     assert (model.packed >> 3 == np.minimum(node, lmscore.NODES)).all() and (model.packed & 1 == model.tree.bit).all()
     assert ((model.packed >> 1 & 3) == np.searchsorted([16, 256, lmscore.NODES], node, "right")).all()
+
+
+def test_tuning_reads_weights_without_adding_nats(spark):
+    docs = spark.createDataFrame([(i, "the green river walks by the old house " * 3) for i in range(40)], "doc_id long, text string")
+    model, _ = lmscore.fit(docs, F.lit(True))
+    model.prepare()
+    texts = [model.symbols(t.split()) for t in (b"the old river", b"", b"a new house by the old one " * 40)]
+    want, got = lmscore.score_texts(model, texts, tuning=True), lmscore.score_texts(model, texts, tuning=True, scores=False)
+    assert want[0].all() and not got[0].any()
+    assert all((a == b).all() for a, b in zip(want[1:], got[1:], strict=True))
+
+
+def test_words_of_all_texts_are_those_of_each():
+    texts = [b"One two\x0bTHREE\n", b"", "É İX \x1c y".encode(), b"  ", b"\xff\xfeA b"]
+    words, upto = lmscore._words_of_all(pa.array(texts, pa.binary()))
+    words = words.to_pylist()
+    assert [words[a:b] for a, b in zip(upto, upto[1:])] == [lmscore.words_of(t) for t in texts]
