@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import string
 import tempfile
 import uuid
@@ -87,10 +88,29 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Hand the memory that this worker has freed back to the system.
+
+    Workers live on from task to task, and their allocators with them: Arrow's
+    and C's keep what the largest task needed, also while later stages run.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow``, with this package sent to the workers first."""
+    """``mapInArrow``, with this package sent to the workers first, which keep no freed memory after a task."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 @contextmanager

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from calibra.llm.common import in_arrow, written
+from calibra.llm.common import in_arrow, small_batches, written
 from calibra.llm.components import components
 
 _SLICE = 1 << 15
@@ -175,9 +175,10 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, radius: int = 3,
                     tile: int = 2048) -> DataFrame:
     """doc_id, text_key, fp, root (smallest fingerprint of the group) and
     component_id (smallest doc_id of the group) of every row."""
-    prints = written(fingerprints(documents, shingle=shingle, seed=seed), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct.select("fp"), radius=radius, tile=tile))
+    with small_batches(documents.sparkSession):
+        prints = written(fingerprints(documents, shingle=shingle, seed=seed), "fingerprints")
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+        roots = components(links(distinct.select("fp"), radius=radius, tile=tile))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from calibra.llm.common import in_arrow, small_batches, split_ascii
+from calibra.llm.common import give_back, in_arrow, small_batches, split_ascii
 
 BLOCK = 512
 PERCENTILE = 95
@@ -306,6 +306,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, *, end_id: int, blo
                     if size >= segment_ids:
                         yield segment()
                         seq, first, ids, raw, size = seq + 1, first + size, [], [], 0
+                        give_back()
         if ids:
             yield segment()
 

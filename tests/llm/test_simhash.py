@@ -1,13 +1,17 @@
 """SimHash near-dedup against brute force over all pairs."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 import xxhash
 
-from calibra.llm import simhash
+from calibra.llm import common, simhash
+from calibra.llm.common import in_arrow
 from calibra.llm.queries import QUERIES
 
-from tests.conftest import SF001
+from tests.conftest import ROOT, SF001
 
 
 def brute_fingerprint(text):
@@ -82,3 +86,56 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == [(0, "lonely words here"), (4, "One"), (7, "x " * 50000)]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    """A partition of 18 MB is not sent as one batch."""
+    def bounded(df, run, schema):
+        def small(batches):
+            for b in batches:
+                assert b.nbytes < 6 << 20
+                yield b
+
+        return in_arrow(df, lambda batches: run(small(batches)), schema)
+
+    monkeypatch.setattr(simhash, "in_arrow", bounded)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text")
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {0}
+    assert spark.conf.get(size) == before
+
+
+def test_workers_give_memory_back_after_each_task(spark, monkeypatch):
+    said, runs = [], []
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    monkeypatch.setattr(common, "give_back", lambda: said.append("back"))
+    in_arrow(Frame(), lambda batches: (said.append(b) or b for b in batches), "x long")
+    assert list(runs[0](iter([1, 2]))) == [1, 2] and said == [1, 2, "back"]
+    ended_early = runs[0](iter([3, 4]))
+    next(ended_early)
+    ended_early.close()
+    assert said[3:] == [3, "back"]
+
+
+def test_memory_that_arrow_freed_goes_back():
+    """In a process of its own, like a worker's."""
+    code = """
+import re, pyarrow as pa
+from calibra.llm.common import give_back
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before = mb()
+held = [pa.array([b"x" * 100_000], pa.binary()) for _ in range(2000)]
+kept = held[::100]
+del held
+give_back()
+assert mb() - before < 60, mb() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
