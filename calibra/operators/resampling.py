@@ -18,7 +18,10 @@ Poisson(1) weight, so a cluster is one vector of sums.  Weights are drawn for
 blocks of clusters at once and applied as a matrix product; each task returns
 partial sums a replicate.
 
-Draws depend on (seed, group, cell or cluster, replicate) alone: neither
+*Rows* (``bootstrap_rows``): every row draws a Poisson(1) weight of its own in
+every replicate, where it lies.
+
+Draws depend on (seed, group, cell, cluster or row, replicate) alone: neither
 partitioning nor row order changes them.
 """
 
@@ -222,16 +225,33 @@ def _with_poisson(df: DataFrame, n: str) -> DataFrame:
     return df.withColumn("_w", F.when(F.col(n) < EXACT_BELOW, small.cast("double")).otherwise(F.expr(poisson_quantile_sql("_n", "_z"))))
 
 
-def uniforms(h0: np.ndarray, h1: np.ndarray, replicates: np.ndarray) -> np.ndarray:
-    """The same numbers in numpy, one row a key and one column a replicate."""
+def _words(h0: np.ndarray, h1: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The mixed 32 bits in numpy, one row a key and one column a replicate."""
     def mix(x: np.ndarray) -> np.ndarray:
         for shift, by in ((16, MIX[0]), (13, MIX[1]), (16, None)):
-            x = x ^ (x >> np.uint32(shift))
-            x = x * np.uint32(by) if by else x
+            x ^= x >> np.uint32(shift)
+            if by:
+                x *= np.uint32(by)
         return x
     r = replicates.astype(np.uint32) * np.uint32(STEP)
     x = mix(h0.astype(np.uint32)[:, None] ^ r[None, :])
-    return (mix(x ^ h1.astype(np.uint32)[:, None]) + 0.5) / float(1 << 32)
+    x ^= h1.astype(np.uint32)[:, None]
+    return mix(x)
+
+
+def uniforms(h0: np.ndarray, h1: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The same numbers in numpy, one row a key and one column a replicate."""
+    return (_words(h0, h1, replicates) + 0.5) / float(1 << 32)
+
+
+def poisson1_weights(h0: np.ndarray, h1: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) of ``uniforms``, told from the 32 bits alone: u reaches a threshold where they reach its first word."""
+    x = _words(h0, h1, replicates)
+    out = np.zeros(x.shape, np.uint8)
+    for first in (math.ceil(t * (1 << 32) - 0.5) for t in poisson_cdf(1)):
+        if first <= WORD:
+            out += x >= np.uint32(first)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -367,9 +387,30 @@ def bootstrap_clusters(rows: DataFrame, metrics: list[Metric], cluster: str, key
     names = list(_contributions(metrics))
     vectors = rows.groupBy(*keys, cluster).agg(*[F.sum(c).alias(k) for k, c in _contributions(metrics).items()])
     vectors = vectors.withColumns(_key_words(seed, [_part(vectors, c) for c in [*keys, cluster]])).select(*keys, "_h0", "_h1", *names)
+    return _finished(_replicate_sums(vectors, keys, names, n_boot, block), metrics, keys, level)
+
+
+def bootstrap_rows(rows: DataFrame, metrics: list[Metric], row: tuple[str, ...], keys=("model_id",), *, n_boot: int = 2000,
+                   level: float = 0.95, seed: int = 42, block: int = 32) -> DataFrame:
+    """Percentile intervals by a Poisson bootstrap of single rows; cost is rows x replicates.
+
+    ``row`` names the columns that tell a row of a group from the others
+    (rows that agree in them share their weights).  Every row draws a weight
+    for every replicate where it lies; a task holds the partial sums of 64
+    groups at most, then hands them on.
+    """
+    ship_package(rows.sparkSession)
+    keys = list(keys)
+    contributions = _contributions(metrics)
+    vectors = rows.withColumns(_key_words(seed, [_part(rows, c) for c in [*keys, *row]])) \
+        .select(*keys, "_h0", "_h1", *[c.alias(k) for k, c in contributions.items()])
+    return _finished(_replicate_sums(vectors, keys, list(contributions), n_boot, block), metrics, keys, level)
+
+
+def _replicate_sums(vectors: DataFrame, keys: list[str], names: list[str], n_boot: int, block: int) -> DataFrame:
+    """keys, replicate and the sums of ``names`` under the Poisson(1) weights of every vector (_h0, _h1)."""
     schema = T.StructType([*[vectors.schema[k] for k in keys], T.StructField("replicate", T.LongType()),
                            *[T.StructField(k, T.DoubleType()) for k in names]])
-    thresholds = np.array(poisson_cdf(1))
     replicates = np.arange(n_boot)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,12 +433,11 @@ def bootstrap_clusters(rows: DataFrame, metrics: list[Metric], cluster: str, key
                 for at in range(0, len(part), block):
                     some = part.iloc[at:at + block]
                     s = some[names].to_numpy(np.float64)
-                    u = uniforms(some["_h0"].to_numpy(), some["_h1"].to_numpy(), replicates)
+                    w = poisson1_weights(some["_h0"].to_numpy(), some["_h1"].to_numpy(), replicates)
                     total[0] += s.sum(axis=0)
-                    total[1:] += np.searchsorted(thresholds, u, side="right").astype(np.float64).T @ s
+                    total[1:] += w.astype(np.float64).T @ s
                 if len(held) >= 64:
                     yield from out()
         yield from out()
 
-    sums = vectors.mapInPandas(run, schema).groupBy(*keys, "replicate").agg(*[F.sum(k).alias(k) for k in names])
-    return _finished(sums, metrics, keys, level)
+    return vectors.mapInPandas(run, schema).groupBy(*keys, "replicate").agg(*[F.sum(k).alias(k) for k in names])

@@ -579,6 +579,18 @@ ci AS (SELECT model_id, metric, point, quantile_cont(value, 0.025) AS ci_lo, qua
        FROM ({union}) JOIN ({points}) USING (model_id, metric) GROUP BY model_id, metric, point)"""
 
 
+def _rows_sql() -> str:
+    """Poisson(1) weights of single rows; undefined differences (no weight drawn) count as not at or below 0."""
+    below = " + ".join(f"CAST(u >= {t!r}::DOUBLE AS INTEGER)" for t in RS.poisson_cdf(1))
+    text = "'42|' || coalesce(model_id, '~') || '|' || coalesce(question_id, '~') || '|' || coalesce(CAST(CAST(trial_index AS BIGINT) * 1000000 AS VARCHAR), '~')"
+    return f""",
+single AS (SELECT model_id, difficulty, confidence_norm, correct, {_hash_words_sql(text)} FROM feat),
+{_uniform_sql("single").strip()},
+rm AS (SELECT model_id, replicate, {_HARD_EASY} AS value FROM (SELECT *, {below} AS w FROM drawn) GROUP BY model_id, replicate),
+ci AS (SELECT model_id, avg(coalesce(CAST(value <= 0 AS DOUBLE), 0.0)) AS p_le_0 FROM rm GROUP BY model_id)
+"""
+
+
 _CI_SQL = f"SELECT model_id, metric, {O.rnd('point')} AS point, {O.rnd('ci_lo')} AS ci_lo, {O.rnd('ci_hi')} AS ci_hi, {O.rnd('p_le_0')} AS p_le_0 FROM ci"
 
 
@@ -588,11 +600,10 @@ def q_bootstrap_ci_poisson(spark, sf_dir):
     return rounded(RS.bootstrap_cells_poisson(feat(spark, sf_dir), RS.standard_metrics(), n_boot=N_BOOT))
 
 
-@register("hard_gt_easy_boot_p", O.with_ctes(_cells_sql({"hard_minus_easy_gap": _HARD_EASY})
-                                             + f"SELECT model_id, {O.rnd('p_le_0')} AS hard_gt_easy_p_boot FROM ci", "f1"))
+@register("hard_gt_easy_boot_p", O.with_ctes(_rows_sql() + f"SELECT model_id, {O.rnd('p_le_0')} AS hard_gt_easy_p_boot FROM ci", "f1"))
 def q_hard_gt_easy_boot_p(spark, sf_dir):
-    """One-sided share of replicates in which hard is not above easy."""
-    b = RS.bootstrap_cells_poisson(feat(spark, sf_dir), [RS.hard_minus_easy()], n_boot=N_BOOT)
+    """One-sided share of 2000 replicates of single rows in which hard is not above easy."""
+    b = RS.bootstrap_rows(feat(spark, sf_dir), [RS.hard_minus_easy()], ("question_id", "trial_index"), n_boot=N_BOOT)
     return rounded(b.select("model_id", F.col("p_le_0").alias("hard_gt_easy_p_boot")))
 
 

@@ -153,3 +153,31 @@ def test_nulls_undefined_metrics_and_empty_tables(spark):
         assert got["a", "accuracy"].point == 1.0 and got["a", "overconfidence_gap"].point == -0.5
         assert got["a", "hard_minus_easy_gap"].point is None and got[None, "accuracy"].point == 0.0
         assert run(f.limit(0)).count() == 0
+
+
+def test_hard_over_easy_draws_every_row(spark, monkeypatch):
+    import hashlib
+
+    from calibra.plans import catalog
+    rng = np.random.default_rng(9)
+    own = [(["m1", "m2", None][i % 3], f"q{i // 6}" if i % 41 else None, ["easy", "medium", "hard"][i // 3 % 3], int(rng.integers(40, 101)) / 100.0,
+            float(rng.random() < 0.7), i % 7) for i in range(900)]
+    monkeypatch.setattr(catalog, "feat", lambda *_: spark.createDataFrame(own, SCHEMA + ", trial_index int").repartition(5))
+    got = {r.model_id: r.hard_gt_easy_p_boot for r in catalog.q_hard_gt_easy_boot_p(spark, "").collect()}
+    assert got.keys() == {"m1", "m2", None}
+    for model, p in got.items():
+        mine = [r for r in own if r[0] == model]
+        text = [f"42|{model or '~'}|{r[1] or '~'}|{r[5] * 1_000_000}" for r in mine]
+        h = np.array([[int(hashlib.md5(t.encode()).hexdigest()[at:at + 8], 16) for at in (0, 8)] for t in text])
+        w = np.searchsorted(RS.poisson_cdf(1), RS.uniforms(h[:, 0], h[:, 1], np.arange(2000)), side="right")
+        assert w.shape == (len(mine), 2000)
+        gap, tier = np.array([r[3] - r[4] for r in mine]), np.array([r[2] for r in mine])
+        mean = {t: (w[tier == t] * gap[tier == t][:, None]).sum(axis=0) / w[tier == t].sum(axis=0) for t in ("hard", "easy")}
+        assert p == pytest.approx(np.mean(mean["hard"] - mean["easy"] <= 0), abs=1e-9) and 0 < p < 1
+
+
+def test_weights_from_the_words_are_those_from_the_uniform_numbers():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 32, (2, 300))
+    u = RS.uniforms(*h, np.arange(2000))
+    assert (RS.poisson1_weights(*h, np.arange(2000)) == np.searchsorted(RS.poisson_cdf(1), u, side="right")).all()
