@@ -8,10 +8,13 @@ filtering: with tokens ordered by ascending document frequency (counted by
 hash slot, so that a table of fixed size gives the order), two sets
 with Jaccard >= t share a token among the first |x| - ceil(t |x|) + 1
 tokens of each.  Prefixes hold each set's rarest tokens, so frequent words
-never form candidate groups; a length filter (t |x| <= |y| <= |x| / t) and
-the places of the shared tokens prune further, and every candidate is
-verified exactly.  Only prefixes, as hashes, and the tokens of candidates
-are shuffled.
+never form candidate groups; a length filter (t |x| <= |y| <= |x| / t), the
+places of the shared tokens and the parities of both sets in hash
+buckets (two sets' parities differ in no more buckets than the sets differ in
+tokens) prune further where prefixes meet, and every candidate is verified
+exactly.  Only prefixes, as hashes, and the tokens of candidates are shuffled:
+for verification sets of a cluster meet in tiles, so a set travels once a
+tile, not once a candidate.
 
 ``near_duplicates`` returns every pair, which in a cluster of k distinct
 near-copies is k (k - 1) / 2 rows.  ``near_duplicate_groups`` returns one row a
@@ -27,13 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.session import ensure_checkpoint_dir, ship_package, written
+from calibra.session import ensure_checkpoint_dir, free_shuffles, ship_package, written
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-SLOTS = 1 << 18  # of token frequencies, which decide how rare a token is
+SLOTS = 1 << 22  # of token frequencies, which decide how rare a token is
+BITS = 256  # of a set's parities
+PARITIES = [f"p{i}" for i in range(BITS // 64)]
+LARGE, MORE_BITS = 1024, 768  # sets of so many tokens have more parities
+TILE = 1 << 21  # tokens of the sets that one task verifies against each other or against as many others
+TILE_SETS = 512  # and so many sets at most, as short ones have many pairs
+MARKS = 1 << 22  # slots that tell which sets stand in no candidate
 
 
 def token_set(text) -> Column:
@@ -58,7 +68,7 @@ def written_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the filter stays behind the number, so that no text is split twice
     toks = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), token_set(text_col).alias("tokens")) \
         .filter(F.size("tokens") > 0)
-    return written(toks.select("row", "doc_id", set_key("tokens").alias("set_id"), "tokens", F.size("tokens").alias("L")), "token_sets")
+    return written(toks.select("row", "doc_id", set_key("tokens").alias("set_id"), "tokens", F.size("tokens").alias("L")), "token_sets", "zstd")
 
 
 def one_a_set(toks: DataFrame) -> DataFrame:
@@ -88,45 +98,140 @@ def token_frequencies(toks: DataFrame) -> np.ndarray:
 
 
 def prefixes(toks: DataFrame, threshold: float) -> DataFrame:
-    """row, L and the set's first tokens as hashes (``keys``), in an order that all sets share.
+    """row, L, the set's first tokens as hashes (``keys``), in an order that all sets share, and its parities.
 
     The order is that of the tokens' slots by frequency, then of their hashes,
     so a set's prefix needs no other set.  Tokens of one hash count as equal,
     which only adds candidates.
     """
     ship_package(toks.sparkSession)
-    shared = toks.sparkSession.sparkContext.broadcast(np.minimum(token_frequencies(toks), (1 << 24) - 1))
+    shared = toks.sparkSession.sparkContext.broadcast(np.minimum(token_frequencies(toks), (1 << 24) - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, sizes, h in _lists(batches):
             which = np.repeat(np.arange(len(sizes)), sizes)
-            key = shared.value[h & (SLOTS - 1)] << 39 | (h.view(np.uint64) >> np.uint64(25)).astype(np.int64)
+            key = shared.value[h & (SLOTS - 1)].astype(np.int64) << 39 | (h.view(np.uint64) >> np.uint64(25)).astype(np.int64)
             key = key[np.lexsort((key, which))]
             # the small epsilon only ever lengthens the prefix (safe)
             first = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
             place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(key[place < first[which]]))
-            yield pa.RecordBatch.from_arrays([row, pa.array(sizes, pa.int32()), keys], ["row", "L", "keys"])
+            few = _parities(which, h.view(np.uint64) >> np.uint64(56), len(sizes), BITS)
+            large = sizes >= LARGE
+            more = _parities((np.cumsum(large) - 1)[which[large[which]]], (h[large[which]].view(np.uint64) >> np.uint64(24)) % np.uint64(MORE_BITS),
+                             large.sum(), MORE_BITS)
+            ends = np.concatenate([[0], np.cumsum(large * more.shape[1])])
+            yield pa.RecordBatch.from_arrays([row, pa.array(sizes, pa.int32()), keys, *[pa.array(p) for p in few.T],
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(more.ravel()))], ["row", "L", "keys", *PARITIES, "more"])
 
-    return _hashed(toks).mapInArrow(run, "row long, L int, keys array<long>")
+    return _hashed(toks).mapInArrow(run, "row long, L int, keys array<long>, " + ", ".join(f"{p} long" for p in PARITIES) + ", more array<long>")
+
+
+def _parities(which: np.ndarray, bucket: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Of ``n`` sets, whose number ``which`` has for every token, whether each bucket has an odd number of tokens; 64 buckets a word."""
+    met = np.bincount(which * bits + bucket.astype(np.int64), minlength=n * bits)
+    return np.packbits((met & 1).astype(np.uint8)).view(np.int64).reshape(n, bits // 64)
 
 
 def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
-    """(ra, rb): pairs of sets that their prefixes and sizes let reach the threshold.
+    """(ra, rb, la, lb): pairs of sets, with their sizes, that prefixes, sizes and parities let reach the threshold.
 
-    Of two sets' common tokens, those up to the last one that the prefixes
-    share are counted; behind it there are at most as many as the shorter rest.
+    A shared token has at most the smaller place of common tokens before it
+    and the shorter rest behind it (one is added, for two tokens of one key).
+    Where one of the two tokens before it is shared as well, the pair comes
+    from that one, so that alike sets do not meet once a token.
     """
     t = threshold
-    one = prefix.select("row", "L", F.posexplode("keys").alias("at", "key"))
+    one = prefix.select("row", "L", *PARITIES, "more", "keys", F.posexplode("keys").alias("at", "key")).where(F.col("key") >= 2 << 39)  # a slot met once has no partner
+    one = one.select("row", "L", *PARITIES, "more", "at", "key", *[F.coalesce(F.get("keys", F.col("at") - k), F.lit(-1)).alias(f"before{k}") for k in (1, 2)])
     a, b = one.alias("a"), one.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row"))
-                 & (F.col("b.L") >= F.col("a.L") * t) & (F.col("a.L") >= F.col("b.L") * t)) \
-        .groupBy(F.col("a.row").alias("ra"), F.col("b.row").alias("rb")) \
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("a.L")).alias("la"), F.min(F.col("b.L")).alias("lb"),
-             F.max(F.col("a.at")).alias("ia"), F.max(F.col("b.at")).alias("ib"))
-    most = F.col("n") + F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib")) - 1
-    return met.where(most * (1 + t) >= (F.col("la") + F.col("lb")) * t - 1e-6).select("ra", "rb")
+    both = F.col("a.L") + F.col("b.L")
+    around = F.least("a.at", "b.at") + F.least(F.col("a.L") - F.col("a.at"), F.col("b.L") - F.col("b.at")) + 1
+    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES), F.lit(0))
+    differ = F.aggregate(F.zip_with("a.more", "b.more", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    small = (F.size("a.more") == 0) | (F.size("b.more") == 0)
+    earlier = F.lit(False)
+    for k in (1, 2):
+        earlier |= (F.col(f"a.before{k}") >= 0) & F.col(f"a.before{k}").isin(F.col("b.before1"), F.col("b.before2"))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row"))
+                  & (F.col("b.L") >= F.col("a.L") * t) & (F.col("a.L") >= F.col("b.L") * t) & ~earlier
+                  & (around * (1 + t) >= both * t - 1e-6) & (apart * (1 + t) <= both * (1 - t) + 1e-6)
+                  & (small | (differ * (1 + t) <= both * (1 - t) + 1e-6))) \
+        .select(F.col("a.row").alias("ra"), F.col("b.row").alias("rb"), F.col("a.L").alias("la"), F.col("b.L").alias("lb")).distinct()
+
+
+def tiles(pairs: DataFrame, tile: int = TILE) -> DataFrame:
+    """The pairs with home, lo and hi: those of one (home, lo, hi) have about ``2 * tile`` tokens and ``2 * TILE_SETS`` sets at most.
+
+    A set's home is the smallest row among its partners and itself, a pair's
+    the smaller one of its sets', so that a cluster whose sets are all alike
+    is one home.  A home of many tokens is cut into tiles by its sets' rows.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("ra").alias("row"), F.col("rb").alias("other")),
+                                          F.struct(F.col("rb").alias("row"), F.col("ra").alias("other")))).alias("e")).select("e.*")
+    homes = ends.groupBy("row").agg(F.least("row", F.min("other")).alias("home"))
+    near = pairs.join(homes.toDF("ra", "ha"), "ra").join(homes.toDF("rb", "hb"), "rb") \
+        .select("ra", "rb", "la", "lb", F.least("ha", "hb").alias("home"))
+    met = near.select("home", F.explode(F.array(F.struct(F.col("ra").alias("row"), F.col("la").alias("L")),
+                                                F.struct(F.col("rb").alias("row"), F.col("lb").alias("L")))).alias("e")).distinct()
+    cut = met.groupBy("home").agg(F.ceil(F.greatest(F.sum("e.L") / tile, F.count(F.lit(1)) / TILE_SETS)).alias("n"))
+    ta, tb = (F.pmod(F.xxhash64(c), F.col("n")) for c in ("ra", "rb"))
+    return near.join(cut, "home").select("ra", "rb", "home", F.least(ta, tb).alias("lo"), F.greatest(ta, tb).alias("hi"))
+
+
+def _mark(row):
+    """A slot of ``MARKS`` for the number of a row, as a column or in numpy."""
+    part = F.shiftright(row, 33) if isinstance(row, Column) else row >> 33
+    mixed = row + part * 2654435761
+    return mixed.bitwiseAND(F.lit(MARKS - 1)) if isinstance(row, Column) else mixed & (MARKS - 1)
+
+
+def marked_texts(toks: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, set_id and the tokens as one text, of the sets whose slots ``rows`` have: of all in ``rows``, and a few others."""
+    ship_package(toks.sparkSession)
+    seen = np.zeros(MARKS, bool)
+    seen[rows.select(_mark(F.col("row")).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    shared = toks.sparkSession.sparkContext.broadcast(np.packbits(seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            some = b.filter(pa.array(marks[_mark(b["row"].to_numpy())]))
+            yield pa.RecordBatch.from_arrays([some["row"], some["set_id"], pc.binary_join(some["tokens"], " ")], ["row", "set_id", "text"])
+
+    return toks.select("row", "set_id", "tokens").mapInArrow(run, "row long, set_id string, text string")
+
+
+def overlaps(placed: DataFrame, toks: DataFrame) -> DataFrame:
+    """ra, rb, la, lb, inter and whether the set_id of ra is the larger one, counted from the tokens tile by tile."""
+    go = placed.select("home", "lo", "hi", F.explode(F.array("ra", "rb")).alias("row")).distinct()
+    texts = marked_texts(toks, placed.select(F.explode(F.array("ra", "rb")).alias("row"))).join(go, "row")
+    none = F.lit(None)
+    dealt = texts.select("home", "lo", "hi", F.col("row").alias("ra"), none.cast("long").alias("rb"), "set_id", "text") \
+        .unionByName(placed.select("home", "lo", "hi", "ra", "rb", none.cast("string").alias("set_id"), none.cast("string").alias("text"))) \
+        .repartition("home", "lo", "hi").sortWithinPartitions("home", "lo", "hi", F.col("rb").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, words, of, inside = None, {}, {}, None, None
+        for b in batches:
+            out = []
+            for *tile, ra, rb, set_id, text in zip(*(c.to_pylist() for c in b.columns)):
+                if tile != at:
+                    at, sets, words, of = tile, {}, {}, None
+                if rb is None:
+                    sets[ra] = set_id, np.fromiter((words.setdefault(w, len(words)) for w in text.split(" ")), np.int32)
+                    continue
+                two, y = sets[rb]
+                if of != rb:  # a set's pairs come together
+                    of, inside = rb, np.zeros(len(words), bool)
+                    inside[y] = True
+                one, x = sets[ra]
+                out.append((ra, rb, len(x), len(y), np.count_nonzero(inside[x]), one > two))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)] if out else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names, kinds = ["ra", "rb", "la", "lb", "inter", "after"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    return dealt.mapInArrow(run, "ra long, rb long, la int, lb int, inter int, after boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -140,20 +245,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     toks = written_sets(docs, id_col, text_col)
     sets = written(one_a_set(toks), "sets")
     pairs = written(candidates(prefixes(toks, t).join(sets.select("row"), "row", "left_semi"), t), "candidates")
-    # only sets that stand in a pair travel with their tokens
-    met = pairs.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()
-    whole = sets.join(met, "row", "left_semi").join(toks.select("row", "tokens", "L"), "row")
-    sa = whole.select(F.col("row").alias("ra"), F.col("set_id").alias("sa"), F.col("rep_id").alias("rep_a"),
-                      F.col("n_members").alias("n_a"), F.col("tokens").alias("tok_a"), F.col("L").alias("L_a"))
-    sb = whole.select(F.col("row").alias("rb"), F.col("set_id").alias("sb"), F.col("rep_id").alias("rep_b"),
-                      F.col("n_members").alias("n_b"), F.col("tokens").alias("tok_b"), F.col("L").alias("L_b"))
-    v = pairs.join(sa, "ra").join(sb, "rb")
-    inter = F.size(F.array_intersect("tok_a", "tok_b"))
-    v = v.withColumn("inter", inter).withColumn("union_size", F.col("L_a") + F.col("L_b") - F.col("inter"))
+    free_shuffles(docs.sparkSession)
+    placed = written(tiles(pairs), "tiles")
+    free_shuffles(docs.sparkSession)
+    v = overlaps(placed, toks).withColumn("union_size", F.col("la") + F.col("lb") - F.col("inter"))
     v = v.withColumn("jaccard", F.col("inter") / F.col("union_size")).filter(F.col("jaccard") >= t)
+    who = sets.select("row", "rep_id", "n_members")
+    v = v.join(who.toDF("ra", "rep_a", "n_a"), "ra").join(who.toDF("rb", "rep_b", "n_b"), "rb")
     # of two sets of one id, or without, the second by set_id comes first
     first = F.coalesce(F.col("rep_a") < F.col("rep_b"), F.lit(False)) \
-        | (~F.coalesce(F.col("rep_a") != F.col("rep_b"), F.lit(False)) & (F.col("sa") > F.col("sb")))
+        | (~F.coalesce(F.col("rep_a") != F.col("rep_b"), F.lit(False)) & F.col("after"))
     return v.select(
         F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"),
         F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("members_a"),

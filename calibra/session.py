@@ -7,6 +7,7 @@ exists for tests, the bench and command-line use.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -63,15 +64,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows of ``df``, written once under the checkpoint folder and read back; the table goes when the program ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted now: they go when the driver collects the garbage that held them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of this run at the end of the program, if Spark still runs."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():

@@ -242,7 +242,65 @@ def test_candidates_lose_no_pair_and_are_hardly_more(spark):
     assert near < len(sets) ** 2 / 20
 
 
+def _near_pairs(texts, t=0.9):
+    sets = sorted({frozenset(x.split()) for x in texts.values() if x}, key=sorted)
+    return {(a, b) for a in sets for b in sets if sorted(a) < sorted(b) and len(a & b) >= t * len(a | b)}
+
+
+def test_sets_that_share_only_their_rarest_token_are_no_candidates(spark):
+    texts = [" ".join([f"rare{k // 2}", *(f"w{k}x{i}" if k % 2 else f"v{k}x{i}" for i in range(size))]) for size in (60, 1500) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")  # twice: no token is met once only
+    toks = ND.written_sets(docs, "doc_id", "text")
+    one = ND.one_a_set(toks).select("row")
+    assert ND.candidates(ND.prefixes(toks, 0.9).join(one, "row", "left_semi"), 0.9).count() == 0
+    assert ND.near_duplicates(docs).count() == 0
+
+
+def test_pairs_of_small_and_large_sets_equal_brute_force(spark):
+    r = random.Random(11)
+    texts, k = {}, 0
+    for size in (3, 12, 90, 1015, 1030, 2400):  # about the size from which sets have more parities, too
+        for _ in range(2):
+            base = [f"b{r.randrange(10 ** 6)}" for _ in range(size)]
+            for _ in range(9):
+                w = list(base)
+                for _ in range(r.choice([0, 1, size // 40, size // 18, size // 9])):
+                    w[r.randrange(size)] = f"n{r.randrange(10 ** 6)}"
+                texts[k], k = " ".join(w[:size - r.choice([0, 0, size // 30])]), k + 1
+    docs = spark.createDataFrame([*texts.items(), (k, None), (k + 1, " - ")], "doc_id long, text string").repartition(4)
+    least = {}
+    for d, x in texts.items():
+        least.setdefault(frozenset(x.split()), d)
+    want = {(*sorted((least[a], least[b])), len(a & b), len(a | b)) for a, b in _near_pairs(texts)}
+    assert len(want) > 100
+    assert {(x.doc_a, x.doc_b, x.inter, x.union_size) for x in ND.near_duplicates(docs).collect()} == want
+
+
+@pytest.mark.parametrize("tile", [ND.TILE, 2000])
+def test_a_set_travels_once_a_tile_and_not_once_a_candidate(spark, tile):
+    n, size = 300, 80
+    base = " ".join(f"w{k}" for k in range(size - 1))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " x"), F.col("id").cast("string")).alias("text"))
+    toks = ND.written_sets(docs, "doc_id", "text")
+    pairs = ND.candidates(ND.prefixes(toks, 0.9), 0.9)
+    placed = ND.tiles(pairs, tile).cache()
+    assert placed.select("ra", "rb").distinct().count() == placed.count() == n * (n - 1) // 2
+    copies = placed.select("home", "lo", "hi", F.explode(F.array("ra", "rb")).alias("row")).distinct().groupBy("home", "lo", "hi").count().toPandas()["count"]
+    tiles = -(-n * size // tile)
+    assert copies.sum() <= n * tiles and copies.max() <= max(2 * 2 * tile // size, n if tiles == 1 else 0)
+    got = ND.overlaps(placed, toks).toPandas()
+    assert len(got) == n * (n - 1) // 2 and set(got.inter) == {size - 1} and set(got.la) == set(got.lb) == {size}
+
+
 def test_minima_agree_as_often_as_sets_overlap(spark):
     docs = spark.createDataFrame([(0, " ".join(f"a{k}" for k in range(900))), (1, " ".join(f"a{k}" for k in range(100, 1000)))], "doc_id long, text string")
     one, two = (r.sig for r in ND.minima(ND.written_sets(docs, "doc_id", "text")).collect())
     assert len(one) == ND.BANDS * ND.ROWS and 0.6 < sum(a == b for a, b in zip(one, two)) / len(one) < 0.98  # 0.8 in the mean
+
+
+def test_pairs_of_many_short_near_copies_are_dealt_over_tiles(spark):
+    n = 3 * ND.TILE_SETS
+    pairs = spark.range(1, n).select(F.lit(0).cast("long").alias("ra"), F.col("id").alias("rb"), F.lit(9).alias("la"), F.lit(9).alias("lb"))
+    placed = ND.tiles(pairs.unionByName(pairs.where("rb > 1").withColumn("ra", F.lit(1).cast("long")))).toPandas()
+    assert len(placed) == 2 * n - 3 and set(placed.home) == {0}
+    assert len(placed.groupby(["lo", "hi"])) > 2 and placed.groupby(["lo", "hi"]).size().max() < len(placed) / 2 + ND.TILE_SETS
